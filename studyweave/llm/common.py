@@ -33,18 +33,19 @@ def materialise(df: DataFrame, tag: str, path: str | None = None, codec: str = "
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, *paths: str) -> None:
+def remove(spark: SparkSession, *paths: str | None) -> None:
     """Delete tables that no later plan reads."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
+    for path in filter(None, paths):
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
 
 
-def table_path(df: DataFrame) -> str:
-    """Folder of a table made by materialise()."""
-    return df.inputFiles()[0].rsplit("/", 1)[0]
+def table_path(df: DataFrame) -> str | None:
+    """Folder of a table made by materialise(); None if it has no file."""
+    files = df.inputFiles()
+    return files[0].rsplit("/", 1)[0] if files else None
 
 
 def partitions(spark: SparkSession) -> int:

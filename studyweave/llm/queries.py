@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, near_dedup, packing, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,27 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(_table(spark, sf_dir, "documents"))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_copies(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.write_tokens(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end=2)
+    return token_store.read_index(spark, store)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end=1, capacity=4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup,)}
+    return {f.__name__: f for f in (op4_exact_dedup, op5_minhash_near_dedup, op6_token_output, op7_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
