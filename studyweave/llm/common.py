@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: shared storage, salted joins, bounded broadcasts."""
+"""Helpers shared by the training-data operators: shared storage, bounded broadcasts, Arrow buffers."""
 
 from __future__ import annotations
 
@@ -57,17 +57,6 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_by: str, how: str = "left", salts: int = 16) -> DataFrame:
-    """Equi-join whose left side may hold one key in a third of its rows.
-
-    Left rows of a key spread over ``salts`` sub-keys by a hash of ``salt_by``; the right side, which must
-    have one row per key, is replicated that often. Null keys match nothing.
-    """
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
 def byte_slices(offsets, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow string column whose bytes stay under limit (a longer single row stands alone)."""
     start, n = 0, len(offsets) - 1

@@ -5,9 +5,10 @@
 2. Inverted lists of the retained values tell which nodes can have a partner: two sets of Jaccard 0.8 share,
    among the SKETCH smallest of their union, a binomial number of values; FLOOR of them lies six standard
    deviations below the mean. For sets that fit into the sketch the bound is exact.
-3. For those nodes the lists are made again on size-dependent sketches (the whole set), rarest values first.
-   Only the first values of a node matter (prefix and position bounds for Jaccard >= 0.8, which lose nothing),
-   so a passage that many documents share makes no long list of candidates.
+3. For those nodes the lists are ordered, rarest values first. Only the first values of a node matter (prefix
+   and position bounds on what a partner must share), so a passage that many documents share makes no long list
+   of candidates. The nodes of lists that are still long get lists over their whole sets instead, where the
+   bounds for Jaccard 0.8 are exact and drop all copies with too many changes of their own.
 4. In each list the members are paired with the most central one; the union-sketch estimate drops hopeless
    pairs, full sets decide. Pairs left between different components of a list are decided in a second round.
    Pairs inside a component cannot change the result and are not made, so a large group stays linear.
@@ -27,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, maybe_broadcast, remove, salted_join, table_path, text_buffers
+from .common import materialise, maybe_broadcast, remove, table_path, text_buffers
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
 SKETCH = 64
 #: Least shared values, of SKETCH, for a pair of Jaccard 0.8: 51.2 - 6 * sqrt(64 * 0.8 * 0.2).
 FLOOR = 32
+#: Longer lists of sketch values are replaced by lists over whole sets, whose bounds prune far more.
+LONG_LIST = 64
 _SKETCHES_DDL = "doc_id long, n long, fp1 long, fp2 long, sketch array<long>"
 _SETS_DDL = "doc_id long, n long, sketch array<long>, shingles array<long>"
 
@@ -80,15 +83,15 @@ def _fits(percent: int):
 
 def _least_shared(n, percent: int):
     """Values of a sketch that a partner must share: exact where the union fits into the sketch."""
-    return F.when(n * 100 <= SKETCH * percent, F.ceil(n * percent / 100)).otherwise(F.lit(FLOOR))
+    return F.when(n * 100 <= SKETCH * percent, F.ceil(n * percent / 100)).otherwise(F.lit(FLOOR).cast("long"))
 
 
 def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose union sketch does not rule out the threshold."""
     t = percent / 100
     slim = sets.select("doc_id", "sketch")
-    joined = salted_join(pairs, slim.select(F.col("doc_id").alias("a"), F.col("sketch").alias("ka")), ["a"], "b", "inner")
-    joined = salted_join(joined, slim.select(F.col("doc_id").alias("b"), F.col("sketch").alias("kb")), ["b"], "a", "inner")
+    joined = pairs.join(slim.select(F.col("doc_id").alias("a"), F.col("sketch").alias("ka")), "a")
+    joined = joined.join(slim.select(F.col("doc_id").alias("b"), F.col("sketch").alias("kb")), "b")
     union = F.slice(F.array_sort(F.array_union("ka", "kb")), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect("ka", "kb"), union))
     room = F.when(F.size(union) < SKETCH, 0.0).otherwise(6 * F.sqrt(F.size(union) * t * (1 - t)))
@@ -98,28 +101,42 @@ def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that full sets confirm."""
     full = sets.select("doc_id", "shingles")
-    joined = salted_join(_estimated(pairs, sets, percent), full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), ["a"], "b", "inner")
-    joined = salted_join(joined, full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), ["b"], "a", "inner")
+    joined = _estimated(pairs, sets, percent).join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    joined = joined.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     links = joined.mapInArrow(_fits(percent), "a long, b long, linked boolean")
     return materialise(links.where("linked").select("a", "b"), "links")
 
 
-def _ranked_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """(value, doc_id, n, pos) of the retained values, rarest first, up to the prefix that a partner must meet."""
-    each = sets.select("doc_id", "n", F.explode("shingles").alias("value"))
+def _ranked_lists(sets: DataFrame, values: str, need) -> DataFrame:
+    """(value, doc_id, n, size, need, pos) of the retained values, rarest first, up to the prefix a partner must meet.
+
+    ``need``: how many of the ``size`` values of a node any partner shares. Values that no other node holds come
+    first in the order: they take up positions but make no list.
+    """
+    each = sets.select("doc_id", F.explode(values).alias("value"))
     rarity = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(rarity, "value")
-    order = W.partitionBy("doc_id").orderBy("df", "value")
-    ranked = shared.withColumn("nth", F.row_number().over(order)).withColumn("held", F.count("*").over(W.partitionBy("doc_id")))
-    # values that no other node holds come first in the order; they take up positions but make no list
-    ranked = ranked.withColumn("pos", F.col("nth") - 1 + F.col("n") - F.col("held"))
-    return ranked.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("value", "doc_id", "n", "pos")
+    ranked = shared.withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("df", "value"))).withColumn("held", F.count("*").over(W.partitionBy("doc_id")))
+    ranked = ranked.join(sets.select("doc_id", "n", F.size(values).cast("long").alias("size"), need.alias("need")), "doc_id")
+    ranked = ranked.withColumn("pos", F.col("nth") - 1 + F.col("size") - F.col("held"))
+    return ranked.where("pos <= size - need").select("value", "doc_id", "n", "size", "need", "pos")
+
+
+def _possible(x, y, percent: int):
+    """Set sizes fit, and what two members of a list can share from its value on reaches what they must share."""
+    whole = F.ceil((x("n") + y("n")) * percent / (100 + percent) - 1e-9)
+    need = F.when((x("size") == x("n")) & (y("size") == y("n")), whole).otherwise(F.greatest(x("need"), y("need")))
+    return (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent) & (F.least(x("size") - x("pos"), y("size") - y("pos")) >= need)
 
 
-def _possible(na, nb, pa_, pb, percent: int):
-    """Size and position bounds: what can still be shared from here on must reach the threshold's overlap."""
-    need = F.ceil((na + nb) * percent / (100 + percent) - 1e-9)
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa_, nb - pb) >= need)
+def _candidate_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """Lists of sketch values, and of whole sets for the nodes of long lists."""
+    short = materialise(_ranked_lists(sets, "sketch", _least_shared(F.col("n"), percent)), "sketch-lists")
+    long = short.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > LONG_LIST).select("value")
+    crowd = materialise(short.join(long, "value", "left_semi").select("doc_id").distinct(), "crowd")
+    whole = sets.join(maybe_broadcast(crowd, crowd.count()), "doc_id", "left_semi")
+    whole = _ranked_lists(whole, "shingles", F.ceil(F.col("n") * percent / 100))
+    return materialise(short.join(long, "value", "left_anti").withColumn("kind", F.lit(0)).unionByName(whole.withColumn("kind", F.lit(1))), "lists")
 
 
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -128,39 +145,42 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sketches = materialise(texts.mapInArrow(_per_text(width, False), _SKETCHES_DDL), "sketches")
     usable = sketches.where("n > 0 and doc_id is not null")
-    same = usable.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = materialise(same.where("copies > 1").select("n", "fp1", "fp2", "rep"), "equal-sets")
-    member = salted_join(sketches.drop("sketch"), copies, ["n", "fp1", "fp2"], "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
-    member = materialise(member, "members")
-    nodes = salted_join(usable, copies, ["n", "fp1", "fp2"], "doc_id").where("rep is null or rep = doc_id").select("doc_id", "n", "sketch")
+    copies = usable.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    member = sketches.select("doc_id", "n", "fp1", "fp2").join(copies, ["n", "fp1", "fp2"], "left")
+    member = materialise(member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")), "members")
+    others = member.where("rep <> doc_id").select("doc_id")
+    nodes = usable.join(maybe_broadcast(others, others.count()), "doc_id", "left_anti").select("doc_id", "n", "sketch")
 
-    values = nodes.select("doc_id", "n", F.explode("sketch").alias("value"))
+    values = nodes.select("doc_id", F.explode("sketch").alias("value"))
     lists = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value")
-    overlaps = values.join(lists, "value", "left_semi").groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("shared"))
-    wanted = materialise(overlaps.where(F.col("shared") >= _least_shared(F.col("n"), percent)).select("doc_id"), "candidates")
+    overlaps = values.join(lists, "value", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    wanted = overlaps.join(nodes.select("doc_id", "n"), "doc_id").where(F.col("shared") >= _least_shared(F.col("n"), percent))
+    wanted = materialise(wanted.select("doc_id"), "candidates")
     sets = texts.join(maybe_broadcast(wanted, wanted.count()), "doc_id", "left_semi").mapInArrow(_per_text(width, True), _SETS_DDL)
     sets = materialise(sets.where("n > 0"), "sets")
-    ranked = materialise(_ranked_lists(sets, percent), "lists")
+    remove(spark, table_path(wanted))
+    ranked = _candidate_lists(sets, percent)
 
-    centre = ranked.groupBy("value").agg(F.min(F.struct("pos", "doc_id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
-    star = salted_join(ranked, centre.select("value", "c"), ["value"], "doc_id", "inner").where(F.col("doc_id") != F.col("c.doc_id"))
-    star = star.where(_possible(F.col("n"), F.col("c.n"), F.col("pos"), F.col("c.pos"), percent))
+    centre = ranked.groupBy("kind", "value").agg(F.min(F.struct("pos", "doc_id", "n", "size", "need")).alias("c"), F.count("*").alias("m")).where("m > 1").drop("m")
+    star = ranked.join(centre, ["kind", "value"]).where(F.col("doc_id") != F.col("c.doc_id"))
+    star = star.where(_possible(F.col, lambda c: F.col(f"c.{c}"), percent))
     star = star.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
     first = _verified(star, sets, percent)
     found = connected_components(first)
 
     placed = ranked.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-    placed = materialise(salted_join(placed, mixed, ["value"], "doc_id", "inner"), "mixed")
+    mixed = placed.groupBy("kind", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("kind", "value")
+    placed = materialise(placed.join(mixed, ["kind", "value"]), "mixed")
     x, y = placed.alias("x"), placed.alias("y")
-    rest = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.component") < F.col("y.component")) & _possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), percent))
+    same_list = (F.col("x.kind") == F.col("y.kind")) & (F.col("x.value") == F.col("y.value"))
+    rest = x.join(y, same_list & (F.col("x.component") < F.col("y.component")) & _possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent))
     rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     second = _verified(rest, sets, percent)
     joined = second.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     merged = connected_components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     final = _compose(found, merged)
-    remove(spark, *(table_path(t) for t in (sketches, copies, wanted, ranked, placed, first, second)))
-    out = salted_join(member, final, ["rep"], "doc_id")
+    remove(spark, *(table_path(t) for t in (sketches, sets, ranked, placed, first, second)))
+    out = member.join(final, "rep", "left")
     component = F.coalesce("component_id", "rep")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -168,7 +188,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 def _compose(found: DataFrame, merged: DataFrame) -> DataFrame:
     """(rep, component_id) from first-round components and the merges between them."""
     roots = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
-    one = salted_join(found, roots, ["component"], "node").select(F.col("node").alias("rep"), F.coalesce("root", "component").alias("component_id"))
+    one = found.join(roots, "component", "left").select(F.col("node").alias("rep"), F.coalesce("root", "component").alias("component_id"))
     alone = merged.join(found.select("node"), "node", "left_anti").select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     return one.union(alone)
 
