@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import materialise, maybe_broadcast, partitions
 
 #: Characters of the normalised text in the splitters that Spark samples to the driver.
 SPLITTER_CHARS = 24
@@ -96,6 +96,9 @@ def find_copies(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; rows that repeat a kept doc_id stay with it."""
-    kept = find_copies(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_copy_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_copy_id"], "left_anti")
+    """The rows that stay, with all their columns. Rows without doc_id stay; rows that repeat both the doc_id
+    and the text of a kept one stay with it."""
+    gone = find_copies(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_copy_id"), F.col("text_sha256").alias("_copy_sha"))
+    gone = maybe_broadcast(gone, gone.count())
+    sha = F.sha2(normalised(F.col("text")).cast("binary"), 256)
+    return docs.join(gone, (docs["doc_id"] == gone["_copy_id"]) & (sha == gone["_copy_sha"]), "left_anti")

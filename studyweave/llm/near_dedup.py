@@ -196,4 +196,4 @@ def _compose(found: DataFrame, merged: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows that stay (one document of each group), with all their columns."""
     gone = near_copies(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_copy_id"))
-    return docs.join(gone, docs["doc_id"] == gone["_copy_id"], "left_anti")
+    return docs.join(maybe_broadcast(gone, gone.count()), docs["doc_id"] == gone["_copy_id"], "left_anti")

@@ -127,36 +127,41 @@ def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPO
     lines = texts.select(F.explode(F.split("text", "\n")).alias("line"))
     words = lines.select(F.xxhash64("line").alias("line"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("term"))
     terms = wanted.count()
-    spread = words.join(maybe_broadcast(wanted, terms), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term")) if terms else wanted.withColumn("n_term", F.lit(0).cast("long"))
-    total = lines.select(F.approx_count_distinct("line", 0.01).alias("n"))  # one row
+    if not terms:
+        return together.select("entity", F.array("term").alias("terms")).limit(0)
+    total = F.lit(lines.agg(F.approx_count_distinct("line", 0.01).alias("n")).first().n).cast("double")
+    spread = words.join(maybe_broadcast(wanted, terms), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     per_entity = hits.groupBy("entity").agg(F.count_distinct("line").alias("n_entity"))
-    scored = together.join(spread, "term").join(per_entity, "entity").crossJoin(F.broadcast(total)) if terms else together.withColumns({"n_term": F.lit(1), "n_entity": F.lit(1), "n": F.lit(1)})
-    pmi = F.log2(F.col("n_both") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
-    content = -F.log2(F.col("n_entity") / F.col("n"))
+    scored = together.join(spread, "term").join(per_entity, "entity")
+    pmi = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
+    content = -F.log2(F.col("n_entity") / total)
     return materialise(scored.where(pmi >= alpha * content).groupBy("entity").agg(F.sort_array(F.collect_set("term")).alias("terms")), "disclosing")
 
 
+def all_spans(text: str, terms: list[str] | None) -> tuple[list, list]:
+    """(base spans, those and the spans of disclosing terms outside them)."""
+    base = base_spans(text)
+    if not terms:
+        return base, base
+    taken, wanted, k = sorted((a, b) for a, b, _ in base), set(terms), 0
+    more = []
+    for m in re.finditer(TERM, text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if m[0].lower() in wanted and not any(a < m.end() and m.start() < b for a, b in taken[k : k + 8]):
+            more.append((*m.span(), "term"))
+    return base, sorted(base + more, key=lambda s: (s[0], (*KINDS, "term").index(s[2])))
+
+
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Base spans, and the spans of a document's disclosing terms outside them."""
-    word = re.compile(TERM)
     for batch in batches:
         rows = []
-        for text, terms in zip(batch.column("text").to_pylist(), batch.column("terms").to_pylist()):
-            base = base_spans(text)
-            spans = base
-            if terms:
-                taken, wanted, k = sorted((a, b) for a, b, _ in base), set(terms), 0
-                more = []
-                for m in word.finditer(text):
-                    while k < len(taken) and taken[k][1] <= m.start():
-                        k += 1
-                    if m[0].lower() in wanted and not any(a < m.end() and m.start() < b for a, b in taken[k : k + 8]):
-                        more.append((*m.span(), "term"))
-                spans = sorted(base + more, key=lambda s: (s[0], (*KINDS, "term").index(s[2])))
+        for text, terms in zip(batch.column("text").to_pylist(), batch.column("_terms").to_pylist()):
+            base, spans = all_spans(text, terms)
             rows.append([sum(s[2] == kind for s in base) for kind in KINDS] + [hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), sanitise(text, spans)])
         columns = list(zip(*rows)) if rows else [()] * 7
         types = [pa.int64()] * 4 + [pa.string()] * 3
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))], names=["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "clean_text"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "clean_text"])
 
 
 def sanitise(text: str, spans) -> str:
@@ -179,18 +184,40 @@ def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.list_(pa.string()))], ["row", "entities"])
 
 
-def find_personal_data(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and clean_text of every document."""
+def _with_terms(docs: DataFrame, alpha: float, support: int) -> DataFrame:
+    """The input's rows with the terms that disclose an entity they hold, as column _terms (null: none)."""
     terms = disclosing_terms(docs, alpha, support)
     known = terms.count()
-    texts = _texts(docs)
-    out = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, clean_text string"
-    none = F.lit(None).cast("array<string>")
     if not known:
-        return texts.select(F.lit(0).cast("long").alias("row"), "doc_id", "text", none.alias("terms")).mapInArrow(_marked, out).drop("row")
-    # documents that hold such an entity get its terms; the others pass by
-    keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    held = keyed.where(F.col("text").rlike("[@+0-9]")).select("row", "text").mapInArrow(_entities, "row long, entities array<string>").select("row", F.explode("entities").alias("entity"))
-    per_row = held.distinct().join(maybe_broadcast(terms, known), "entity").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    per_row = materialise(per_row, "row-terms")
-    return keyed.join(maybe_broadcast(per_row, per_row.count()), "row", "left").select("row", "doc_id", "text", "terms").mapInArrow(_marked, out).drop("row")
+        return docs.withColumn("_terms", F.lit(None).cast("array<string>"))
+    # equal texts share their terms, so the text's hash is key enough
+    text = F.coalesce("text", F.lit(""))
+    held = docs.where(text.rlike("[@+0-9]")).select(F.xxhash64(text).alias("row"), text.alias("text"))
+    held = held.mapInArrow(_entities, "row long, entities array<string>").select("row", F.explode("entities").alias("entity")).distinct()
+    per_text = held.join(maybe_broadcast(terms, known), "entity").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("_terms"))
+    per_text = materialise(per_text, "text-terms").withColumnRenamed("row", "_row")
+    return docs.withColumn("_row", F.xxhash64(text)).join(maybe_broadcast(per_text, per_text.count()), "_row", "left").drop("_row")
+
+
+def find_personal_data(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and clean_text of every document."""
+    rows = _with_terms(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), alpha, support)
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_terms")
+    return rows.mapInArrow(_marked, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, clean_text string")
+
+
+def sanitise_documents(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """The input's rows and columns with spans generalised in text, and n_chars following it. Null texts stay null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("text").to_pylist(), batch.column("_terms").to_pylist())
+            texts = [None if t is None else sanitise(t, all_spans(t, terms)[1]) for t, terms in pairs]
+            columns = {name: batch.column(name) for name in batch.schema.names if name != "_terms"}
+            columns["text"] = pa.array(texts, pa.string())
+            if "n_chars" in columns:
+                n = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
+                columns["n_chars"] = n.fill_null(0) if n.null_count and not columns["n_chars"].null_count else n
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return _with_terms(docs, alpha, support).mapInArrow(run, docs.schema)

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, near_dedup, packing, pii, token_store
+from . import bpe, exact_dedup, html_text, near_dedup, neighbours, packing, pii, quality, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(_table(spark, sf_dir, "documents"))
 
@@ -46,8 +50,23 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end=1, capacity=4096)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.capture_histories(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_byte_bpe, op4_exact_dedup, op5_minhash_near_dedup, op6_token_output, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_pii, op2_byte_bpe, op3_html_extraction, op4_exact_dedup, op5_minhash_near_dedup, op6_token_output, op7_best_fit_packing, op8_quality_classifier, op9_nearest_neighbours, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -56,4 +75,16 @@ def oracle_sql() -> dict[str, str]:
             with n as (select doc_id, length(coalesce(text, '')) as chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as h from documents),
             g as (select h, count(*) as group_size, arg_min(doc_id, {'c': -chars, 'i': doc_id}) as keep_id from n group by h)
             select doc_id, keep_id, group_size, doc_id = keep_id as kept, h as text_sha256 from n join g using (h)""",
+        "op9_nearest_neighbours": """
+            with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            n as (select vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) as size from v),
+            s as (select q.vec_id as query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]), lambda a, b: a + b) / (q.size * c.size) as score from n q join n c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
+            r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+            select query_id, rank::int as rank, vec_id, score from r where rank <= 5""",
+        "op10_warc": """
+            with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as d, octet_length(encode(coalesce(html, ''))) as n from pages),
+            g as (select n, d, max(page_id) as last from p where n >= 1000 group by n, d)
+            select page_id, n::bigint as payload_bytes, d as payload_digest, case when last is null or last = page_id then 'response' else 'revisit' end as record_type,
+                   case when last <> page_id then last end as refers_to
+            from p left join g using (n, d)""",
     }
