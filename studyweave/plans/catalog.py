@@ -6,27 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from . import graph_queries, learner_queries, link_queries, retrieval_queries, reward_queries, text_queries
 
-
-def register(name: str, sql: str | None = None):
-    def add(f):
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
+_MODULES = (text_queries, link_queries, retrieval_queries, graph_queries, learner_queries, reward_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {name: f for m in _MODULES for name, f in m.REGISTRY.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: sql for m in _MODULES for name, sql in m.REGISTRY.sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Hybrid search of every benchmark item over all chunks that have a vector or text in common with it."""
+    return retrieval_queries.REGISTRY.queries["hybrid_search"](spark, sf_dir)
