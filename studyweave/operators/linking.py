@@ -12,29 +12,31 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 
-_ORDER = W.partitionBy("doc_id").orderBy("idx")
+def in_order():
+    """Window over a resource's chunks in their order."""
+    return W.partitionBy("doc_id").orderBy("idx")
 
 
 def links(chunks: DataFrame) -> DataFrame:
     """previous_chunk_id, next_chunk_id and parent_section_id: a blank title takes over the section before."""
     return chunks.withColumns({
-        "previous_chunk_id": F.lag("chunk_id").over(_ORDER),
-        "next_chunk_id": F.lead("chunk_id").over(_ORDER),
-        "parent_section_id": F.last(F.nullif("section_title", F.lit("")), ignorenulls=True).over(_ORDER.rowsBetween(W.unboundedPreceding, 0)),
+        "previous_chunk_id": F.lag("chunk_id").over(in_order()),
+        "next_chunk_id": F.lead("chunk_id").over(in_order()),
+        "parent_section_id": F.last(F.nullif("section_title", F.lit("")), ignorenulls=True).over(in_order().rowsBetween(W.unboundedPreceding, 0)),
     })
 
 
 def context_windows(chunks: DataFrame, chars: int = 500) -> DataFrame:
     """Texts around each chunk and the chapter's theme: the first level-1 title from five before to four after."""
-    before, after = F.lag("full_text").over(_ORDER), F.lead("full_text").over(_ORDER)
-    near = F.collect_list(F.when((F.col("section_level") == 1) & (F.col("section_title") != ""), F.col("section_title"))).over(_ORDER.rowsBetween(-5, 4))
+    before, after = F.lag("full_text").over(in_order()), F.lead("full_text").over(in_order())
+    near = F.collect_list(F.when((F.col("section_level") == 1) & (F.col("section_title") != ""), F.col("section_title"))).over(in_order().rowsBetween(-5, 4))
     text = lambda c: F.coalesce(T.strip(c), F.lit(""))
     return chunks.withColumns({
         "previous_chunk_summary": text(F.left(before, F.lit(200))), "surrounding_text_before": text(F.right(before, F.lit(chars))),
         "next_chunk_preview": text(F.left(after, F.lit(200))), "surrounding_text_after": text(F.left(after, F.lit(chars))),
         "section_context": F.when(F.col("section_title") != "", F.concat(F.lit("Part of section: "), "section_title")).otherwise(""),
         "chapter_theme": F.coalesce(F.get(near, F.lit(0)), F.lit("")),
-        "position_in_section": F.row_number().over(_ORDER), "total_chunks": F.count("*").over(W.partitionBy("doc_id")),
+        "position_in_section": F.row_number().over(in_order()), "total_chunks": F.count("*").over(W.partitionBy("doc_id")),
     })
 
 
@@ -43,7 +45,7 @@ def positions(chunks: DataFrame) -> DataFrame:
     section = W.partitionBy("doc_id", F.coalesce("section_title", F.lit("unknown")))
     return chunks.withColumns({
         "position_in_section": F.row_number().over(section.orderBy("idx")), "total_in_section": F.count("*").over(section),
-        "position_in_chapter": F.row_number().over(_ORDER), "total_in_chapter": F.count("*").over(W.partitionBy("doc_id")),
+        "position_in_chapter": F.row_number().over(in_order()), "total_in_chapter": F.count("*").over(W.partitionBy("doc_id")),
     })
 
 
@@ -83,11 +85,11 @@ def continuity(chunks: DataFrame, coherence: Column) -> DataFrame:
 
     ``coherence``: column of the similarity to the chunk before, 0 without one.
     """
-    first = F.lag("chunk_id").over(_ORDER).isNull()
-    title, before = F.col("section_title"), F.lag("section_title").over(_ORDER)
+    first = F.lag("chunk_id").over(in_order()).isNull()
+    title, before = F.col("section_title"), F.lag("section_title").over(in_order())
     new_section = ~first & (title != before) & (title != "")
-    shift = ~first & ~F.col("topic").eqNullSafe(F.lag("topic").over(_ORDER))
-    rows = chunks.withColumns({"coherence": F.round(F.when(first, 0.0).otherwise(coherence), 3), "_new": new_section, "_shift": shift, "_first": first, "concept_overlap": F.when(first, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_intersect("key_concepts", F.lag("key_concepts").over(_ORDER))))})
+    shift = ~first & ~F.col("topic").eqNullSafe(F.lag("topic").over(in_order()))
+    rows = chunks.withColumns({"coherence": F.round(F.when(first, 0.0).otherwise(coherence), 3), "_new": new_section, "_shift": shift, "_first": first, "concept_overlap": F.when(first, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_intersect("key_concepts", F.lag("key_concepts").over(in_order()))))})
     kind = F.when(F.col("_first"), "continuation").when((F.col("content_type") == "example") & (F.col("coherence") > 0.5), "example").when(F.col("content_type").isin("derivation", "summary"), F.col("content_type"))
     kind = kind.when(F.col("_new"), "new_section").when(F.col("_shift"), "topic_shift").otherwise("continuation")
     return rows.withColumns({"starts_new_topic": F.col("_new") | F.col("_shift"), "transition_type": kind, "concludes_topic": ~F.col("_first") & (F.col("content_type") == "summary")}).drop("_new", "_shift", "_first")
@@ -95,22 +97,22 @@ def continuity(chunks: DataFrame, coherence: Column) -> DataFrame:
 
 def topic_transitions(chunks: DataFrame) -> DataFrame:
     """is_topic_start, confidence and is_topic_end (the next chunk starts a topic) from titles, types and coherence."""
-    title, before = F.col("section_title"), F.lag("section_title").over(_ORDER)
-    first = F.lag("chunk_id").over(_ORDER).isNull()
+    title, before = F.col("section_title"), F.lag("section_title").over(in_order())
+    first = F.lag("chunk_id").over(in_order()).isNull()
     section = ~first & (title != "") & (title != before)
-    after_summary = ~first & (F.lag("content_type").over(_ORDER) == "summary") & F.col("content_type").isin("concept_intro", "definition")
+    after_summary = ~first & (F.lag("content_type").over(in_order()) == "summary") & F.col("content_type").isin("concept_intro", "definition")
     rows = chunks.withColumns({"_section": F.coalesce(section, F.lit(False)), "_summary": F.coalesce(after_summary, F.lit(False)), "_low": ~first & (F.col("coherence") < 0.3)})
     start = F.col("_section") | F.col("_summary") | F.col("_low")
     rows = rows.withColumns({
         "is_topic_start": start, "transition_confidence": F.when(F.col("_summary"), 0.75).when(F.col("_section"), 0.95).when(F.col("_low"), 0.6).otherwise(0.0),
         "new_topic_name": F.when(F.col("_section"), F.col("section_title")).when(F.col("_low") & ~F.col("_summary"), F.coalesce(F.get("topic", F.lit(0)), F.lit(""))).otherwise(""),
     }).drop("_section", "_summary", "_low")
-    return rows.withColumn("is_topic_end", F.coalesce(F.lead("is_topic_start").over(_ORDER), F.lit(False)))
+    return rows.withColumn("is_topic_end", F.coalesce(F.lead("is_topic_start").over(in_order()), F.lit(False)))
 
 
 def look_ahead(chunks: DataFrame, steps: int = 5, most: int = 3) -> DataFrame:
     """(doc_id, idx, prepares_for): topics of the next chunks a prerequisite of which occurs in a key concept here."""
-    ahead = F.collect_list(F.struct("prerequisites", "topic")).over(_ORDER.rowsBetween(1, steps))
+    ahead = F.collect_list(F.struct("prerequisites", "topic")).over(in_order().rowsBetween(1, steps))
     rows = chunks.withColumn("_ahead", ahead)
     fits = lambda f: F.exists(f["prerequisites"], lambda p: F.exists(F.col("key_concepts"), lambda k: F.contains(F.lower(k), F.lower(p))))
     topics = F.flatten(F.transform(F.filter("_ahead", fits), lambda f: f["topic"]))
@@ -149,7 +151,7 @@ def consecutive_sections(chunks: DataFrame, budget: int = 6000) -> DataFrame:
     A text that no longer fits ends the joining for its run; the budget counts two characters per joint.
     """
     key = F.col("section_key")
-    rows = chunks.withColumn("_new", F.coalesce((key != F.lag(key).over(_ORDER)), F.lit(True)).cast("int")).withColumn("run", F.sum("_new").over(_ORDER))
+    rows = chunks.withColumn("_new", F.coalesce((key != F.lag(key).over(in_order())), F.lit(True)).cast("int")).withColumn("run", F.sum("_new").over(in_order()))
     runs = rows.groupBy("doc_id", "run").agg(F.min("section_key").alias("section_key"), F.array_sort(F.collect_list(F.struct("idx", "full_text"))).alias("cs"))
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(False).alias("over"))
 

@@ -64,7 +64,7 @@ def _vector():
 
 def _continuity(spark, sf_dir):
     c = chunks(spark, sf_dir).withColumns({"content_type": T.content_type(F.col("full_text")), "v": _vector()})
-    return linking.continuity(c, T.cosine(F.col("v"), F.lag("v").over(linking._ORDER)))
+    return linking.continuity(c, T.cosine(F.col("v"), F.lag("v").over(linking.in_order())))
 
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2]))"
