@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from ..functions import rules
 from ..functions import text as T
+from ..sources.staging import staged
 
 #: Concepts of a chunk that pairs are made of (the tagger gives no more).
 CHUNK_CONCEPTS = 5
@@ -104,11 +105,13 @@ def cycles(edges: DataFrame, length: int = 10, trims: int = 3) -> DataFrame:
     """(path) of simple directed cycles of 2 to ``length`` edges, each once, from its smallest node on.
 
     Nodes without edges in or out can lie on none and are trimmed first; a path only grows over nodes greater
-    than its start.
+    than its start. The edges and each length's paths are written to the shared folder, so no plan grows with
+    the length, and the walk ends when no path is left.
     """
     e = edges.select("src", "dst").where("src <> dst").distinct()
     for _ in range(trims):
         e = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    e = staged(e, "walk-edges")
     step = e.select(F.col("src").alias("_from"), F.col("dst").alias("_to"))
     paths = e.where("dst > src").select(F.array("src", "dst").alias("path"))
     found = []
@@ -117,7 +120,9 @@ def cycles(edges: DataFrame, length: int = 10, trims: int = 3) -> DataFrame:
         grown = paths.join(step, last == F.col("_from"))
         found.append(grown.where(F.col("_to") == first).select("path"))
         if n < length:
-            paths = grown.where((F.col("_to") > first) & ~F.array_contains("path", F.col("_to"))).select(F.array_append("path", F.col("_to")).alias("path"))
+            paths = staged(grown.where((F.col("_to") > first) & ~F.array_contains("path", F.col("_to"))).select(F.array_append("path", F.col("_to")).alias("path")), "walks")
+            if paths.isEmpty():
+                break
     return reduce(DataFrame.union, found)
 
 
@@ -147,7 +152,7 @@ def prerequisite_closure(edges: DataFrame, targets: DataFrame, depth: int = 4) -
     back = edges.select(F.col("dst").alias("_at"), F.col("src").alias("_before")).distinct()
     reached = level = targets.select("target", F.col("target").alias("key"), F.lit(0).alias("depth"))
     for d in range(1, depth + 1):
-        level = level.join(back, F.col("key") == F.col("_at")).select("target", F.col("_before").alias("key"), F.lit(d).alias("depth")).distinct()
+        level = staged(level.join(back, F.col("key") == F.col("_at")).select("target", F.col("_before").alias("key"), F.lit(d).alias("depth")).distinct(), "closure")
         reached = reached.union(level)
     return reached.groupBy("target", "key").agg(F.max("depth").alias("depth"))
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import learner as L
 from ..operators import quality
+from ..sources.staging import shared_path
 from ..streaming import learners as S
 from .inputs import _quoted, table
 from .registry import Registry
@@ -160,15 +159,10 @@ def sanitised_labels(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", L.sanitised(F.col("role"), ["user", "assistant"], "unknown").alias("role"))
 
 
-def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/studyweave"
-    return f"{base.rstrip('/')}/stream-{uuid4().hex}"
-
-
 @add(f"with {_STATE} select user_id, concept, mastery, attempts, correct from state")
 def streamed_mastery(spark, sf_dir):
     """The stream over a finished folder gives the batch's state."""
-    out = S.run_once(S.mastery_stream(_answers(S.read_events(spark, f"{sf_dir}/events.parque[t]"))), _scratch(spark), "update")
+    out = S.run_once(S.mastery_stream(_answers(S.read_events(spark, f"{sf_dir}/events.parque[t]"))), shared_path(spark, "stream"), "update")
     last = out.groupBy("user_id", "concept").agg(F.max_by(F.struct("mastery", "attempts", "correct"), "batch").alias("s"))
     return last.select("user_id", "concept", F.round("s.mastery", 6).alias("mastery"), "s.attempts", "s.correct")
 

@@ -73,7 +73,7 @@ def extracted_json(text: Column) -> Column:
     """The JSON in a model's answer as text: between fences, else from the first brace to the last; commas before a closing bracket go."""
     fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
     braced = F.nullif(F.regexp_extract(text, r"(?s)([{\[].*[}\]])", 1), F.lit(""))
-    return F.regexp_replace(F.trim(F.coalesce(fenced, braced)), r",\s*([}\]])", "$1")
+    return F.regexp_replace(F.regexp_replace(F.coalesce(fenced, braced, F.lit("")), r"^\s+|\s+$", ""), r",\s*([}\]])", "$1")
 
 
 def report_markdown(report: DataFrame, title: str) -> str:
