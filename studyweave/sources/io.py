@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 #: Larger uploads are refused.
 MAX_UPLOAD = 100 * 1024 * 1024
@@ -50,10 +50,16 @@ def job_status(log: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, schema: StructType, array: bool = False) -> tuple[DataFrame, DataFrame]:
     """(records, bad lines) of JSON lines, or of JSON arrays in whole files; a bad line keeps its text in _bad."""
-    full = StructType(schema.fields).add("_bad", "string")
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("multiLine", array).json(path)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"))
-    return rows.where("_bad is null").drop("_bad", "_file"), rows.where("_bad is not null").select("_file", "_bad")
+    text = spark.read.option("wholetext", array).text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("_file"), "value")
+    if array:
+        parsed = text.withColumn("r", F.from_json("value", ArrayType(schema)))
+        good = parsed.select(F.explode("r").alias("r"))
+        bad = parsed.where("r is null")
+    else:
+        full = StructType(schema.fields).add("_bad", "string")
+        parsed = text.withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+        good, bad = parsed.where("r._bad is null"), parsed.where("r._bad is not null")
+    return good.select(*(F.col("r")[f.name].alias(f.name) for f in schema.fields)), bad.select("_file", F.col("value").alias("_bad"))
 
 
 def write_records(df: DataFrame, path: str) -> None:
