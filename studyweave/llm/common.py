@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -9,11 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
 #: Where intermediate tables go when the session names no shared folder (single-machine runs, tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/studyweave"
 
-#: Rows that a broadcast may hold; at 8 bytes of key and some overhead this stays under about 64 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch, where the session has Spark's default: texts may be long, and JVM and Python hold a batch each.
+BATCH_ROWS = 2_000
+
+#: Bytes that a broadcast may hold, by counted rows and their size.
+BROADCAST_BYTES = 16_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless its user chose a size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def hand_back() -> None:
+    """Give freed memory back to the system between batches, so that workers that live on stay small."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
@@ -52,9 +76,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint only behind a check of the row count; otherwise Spark shuffles both sides."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def maybe_broadcast(df: DataFrame, rows: int, row_bytes: float = 16) -> DataFrame:
+    """A broadcast hint only behind a check of counted rows and their size; otherwise Spark shuffles both sides."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
 def byte_slices(offsets, limit: int) -> Iterator[tuple[int, int]]:

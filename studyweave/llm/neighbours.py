@@ -5,11 +5,13 @@ drops is kept, which bounds the error of every product: |x.y - s_x s_y (q_x.q_y)
 those lengths. Candidates and queries are cut into tiles; each pair of tiles is one integer matrix product. In a
 tile pair a candidate survives for a query if its upper bound reaches the k-th largest lower bound there; the
 lower bounds of all tiles then give each query one threshold. Survivors are recomputed in double precision on
-the original vectors and merged by bounded heaps.
+the original vectors and merged by bounded heaps. Equal vectors are one class in all that: only the k + 1 smallest
+ids of a class can be among anyone's k nearest.
 
 Defined cases: null vectors, zero vectors and those with null or non-finite components take no part, nor do
 null vec_ids; ties go to the smaller vec_id; a query with fewer than k candidates gets them all; rows that
-repeat a vec_id are separate candidates, but never neighbours of the query with that id; vectors whose length
+repeat a vec_id are separate candidates, but never neighbours of the query with that id (a query is asked once per
+id and vector); vectors whose length
 differs from the query's are no candidates; an empty table gives an empty result.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ from .common import materialise, remove, table_path
 
 #: Rows of a tile.
 TILE = 4096
+#: Bytes of query tiles that one broadcast holds.
+BLOCK_BYTES = 16_000_000
 #: Room for rounding in the bounds; the products themselves are exact integers.
 SLACK = 1e-9
 _TILE_DDL = "tile long, dim int, ids binary, codes binary, scale binary, drop binary"
@@ -73,30 +78,47 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _products(k: int):
-    """Survivors of each pair of tiles with the bounds of their products."""
+    """Survivors among a task's tiles for the queries of a block, with the bounds of their products.
+
+    Per query the k largest lower bounds met so far are kept; what cannot reach the least of them is dropped.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}
+        held: dict[int, list] = {}
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda c, t: np.frombuffer(batch.column(c)[r].as_buffer(), t)
-                dim = batch.column("dim")[r].as_py()
+                dim, tile = batch.column("dim")[r].as_py(), batch.column("q_tile")[r].as_py()
                 qi, ci = get("q_ids", "<i8"), get("ids", "<i8")
                 # sums of at most 2^16 products of int8 stay exact in double precision
                 codes = get("codes", np.int8).reshape(-1, dim).astype(np.float64)
                 qs, cs, qd, cd = (get(c, np.float64) for c in ("q_scale", "scale", "q_drop", "drop"))
-                for low in range(0, len(qi), 256):
-                    part = slice(low, low + 256)
+                lows = best.setdefault(tile, np.full((len(qi), k), -np.inf))
+                for at in range(0, len(qi), 256):
+                    part = slice(at, at + 256)
                     near = (get("q_codes", np.int8).reshape(-1, dim)[part].astype(np.float64) @ codes.T) * qs[part, None] * cs[None]
                     error = qd[part, None] + cd[None] + qd[part, None] * cd[None] + SLACK
-                    lower = near - error
-                    lower[qi[part, None] == ci[None]] = -np.inf
-                    kth = np.partition(lower, -k, axis=1)[:, -k] if lower.shape[1] > k else np.full(len(lower), -np.inf)
-                    q, c = np.nonzero((near + error >= kth[:, None]) & (qi[part, None] != ci[None]))
-                    yield pa.RecordBatch.from_arrays([pa.array(qi[part][q]), pa.array(ci[c]), pa.array(lower[q, c]), pa.array((near + error)[q, c])], ["query_id", "vec_id", "low", "high"])
+                    low = near - error
+                    lows[part] = np.partition(np.concatenate([lows[part], low], axis=1), -k, axis=1)[:, -k:]
+                    q, c = np.nonzero(near + error >= lows[part].min(1)[:, None])
+                    held.setdefault(tile, []).append((q + at, ci[c], low[q, c], (near + error)[q, c], qi))
+                if sum(len(h[0]) for h in held[tile]) > 4 * k * len(qi) + 100_000:
+                    held[tile] = [_reaching(held[tile], lows)]
+        for tile, parts in held.items():
+            q, c, low, high, qi = _reaching(parts, best[tile])
+            yield pa.RecordBatch.from_arrays([pa.array(qi[q]), pa.array(c), pa.array(low), pa.array(high)], ["query_id", "vec_id", "low", "high"])
 
     return run
 
 
+def _reaching(parts: list, lows: np.ndarray) -> tuple:
+    """Survivors whose upper bound reaches the k-th largest lower bound of their query."""
+    q, c, low, high = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    keep = high >= lows.min(1)[q]
+    return q[keep], c[keep], low[keep], high[keep], parts[0][4]
+
+
 def _in_order(x: np.ndarray) -> np.ndarray:
     """Row sums in double precision, component after component."""
     total = np.zeros(len(x))
@@ -128,40 +150,76 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(k: int):
-    """The k best of a query, by a heap of k entries."""
+    """The k best of a query, itself left out, by a heap of k entries."""
 
     def run(key, batches):
         heap: list[tuple[float, int]] = []
         for score, vec in zip(batches.column("score").to_pylist(), batches.column("vec_id").to_pylist()):
             item = (score, -vec)
+            if vec == key[1].as_py():
+                continue
             if len(heap) < k:
                 heapq.heappush(heap, item)
             else:
                 heapq.heappushpop(heap, item)
         best = sorted(heap, reverse=True)
         n = len(best)
-        return pa.table({"query_id": pa.array([key[0].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array([-v for _, v in best], pa.int64()), "score": pa.array([s for s, _ in best], pa.float64())})
+        return pa.table({"query_id": pa.array([key[1].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array([-v for _, v in best], pa.int64()), "score": pa.array([s for s, _ in best], pa.float64())})
 
     return run
 
 
+def _members(rows: DataFrame, k: int) -> DataFrame:
+    """(v, vec_id): per class of equal vectors its k + 1 smallest ids, each up to k times if it repeats.
+
+    No further member can be among the k nearest of any query: as many equal ones with smaller ids come first.
+    Spark limits ranked windows before the shuffle, so a large class does not meet in one task.
+    """
+    each = rows.withColumn("nth", F.row_number().over(W.partitionBy("v", "vec_id").orderBy("vec_id"))).where(F.col("nth") <= k)
+    first = each.withColumn("place", F.dense_rank().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("place") <= k + 1)
+    return first.select("v", "vec_id")
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(vec_id, v): each distinct vector once, with a number of its own as vec_id."""
+    return rows.select("v").distinct().withColumn("vec_id", F.monotonically_increasing_id())
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest vectors by cosine, itself left out."""
     spark = vectors.sparkSession
-    all_rows, asked = usable(vectors), usable(queries)
-    tiles = materialise(all_rows.mapInArrow(_tiles, _TILE_DDL), "tiles")
-    query_tiles = materialise(asked.mapInArrow(_tiles, _TILE_DDL), "query-tiles")
-    # the grid of tile pairs: a query tile meets each candidate tile; both sides are dealt by the pair's own key
+    members = materialise(_members(usable(vectors), k), "members")
+    # classes of equal vectors are numbered; in what follows vec_id and query_id are those numbers until the last step
+    classes = materialise(_classes(members), "classes")
+    ids = materialise(members.join(classes.withColumnRenamed("vec_id", "class"), "v").select("class", "vec_id"), "class-ids")
+    asked = usable(queries)
+    asks = materialise(_classes(asked), "asked")
+    tiles = materialise(classes.mapInArrow(_tiles, _TILE_DDL), "tiles")
+    full = asks.repartition(max(1, -(-asks.count() // TILE)), "vec_id").mapInArrow(_tiles, _TILE_DDL)
     columns = [F.monotonically_increasing_id().alias("q_tile"), F.col("dim").alias("q_dim"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "codes", "scale", "drop"))]
-    asks = materialise(query_tiles.select(*columns), "asks")
-    keys = [F.lit(r.q_tile) for r in asks.select("q_tile").collect()]  # one number per tile of queries
-    grid = tiles.withColumn("q_tile", F.explode(F.array(*keys).cast("array<long>")))
-    pairs = grid.join(asks, "q_tile").where("dim = q_dim")
-    bounds = materialise(pairs.mapInArrow(_products(k), _BOUND_DDL), "bounds")
-    least = bounds.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("low")))).where(F.col("nth") == k).select("query_id", F.col("low").alias("threshold"))
+    query_tiles = materialise(full.select(*columns), "query-tiles")
+    # blocks of queries are broadcast, each of a size that was summed first; every block meets all tiles where they lie
+    size = query_tiles.agg(F.sum(F.length("q_ids") + F.length("q_codes") + F.length("q_scale") + F.length("q_drop"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    found = []
+    for n in range(blocks):
+        block = query_tiles.where(F.pmod(F.xxhash64("q_tile"), F.lit(blocks)) == n)
+        pairs = tiles.join(F.broadcast(block), F.col("dim") == F.col("q_dim"))
+        found.append(materialise(pairs.mapInArrow(_products(k + 1), _BOUND_DDL), "bounds"))
+    bounds = reduce(DataFrame.union, found)
+    # a query's own class may be one of them, so k + 1 classes hold its k nearest
+    least = bounds.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("low")))).where(F.col("nth") == k + 1).select("query_id", F.col("low").alias("threshold"))
     left = bounds.join(least, "query_id", "left").where(F.col("threshold").isNull() | (F.col("high") >= F.col("threshold"))).select("query_id", "vec_id").distinct()
-    scored = left.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id").join(all_rows.select("vec_id", F.col("v").alias("cv")), "vec_id")
-    scored = scored.where(F.size("qv") == F.size("cv"))
+    scored = left.join(asks.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id").join(classes.select("vec_id", F.col("v").alias("cv")), "vec_id")
     scores = materialise(scored.select("query_id", "vec_id", "qv", "cv").mapInArrow(_scores, "query_id long, vec_id long, score double"), "scores")
-    remove(spark, *(table_path(t) for t in (tiles, query_tiles, asks, bounds)))
-    return scores.groupBy("query_id").applyInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
+    best = scores.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    least = best.where(F.col("nth") == k + 1).select("query_id", F.col("score").alias("least"))
+    best = best.drop("nth").join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("score") >= F.col("least"))).drop("least")
+    # from classes back to rows: those of the best classes, in order of score and id, as far as any member of the query's class needs
+    rows = best.withColumnRenamed("vec_id", "class").join(ids, "class").select(F.col("query_id").alias("ask"), "vec_id", "score")
+    place = F.dense_rank().over(W.partitionBy("ask").orderBy(F.desc("score"), "vec_id"))
+    rows = materialise(rows.withColumn("place", place).where(F.col("place") <= k + 1).drop("place"), "found")
+    members_asked = asked.join(asks.select(F.col("vec_id").alias("ask"), "v"), "v").select("ask", F.col("vec_id").alias("query_id")).distinct()
+    result = materialise(members_asked.join(rows, "ask").groupBy("ask", "query_id").applyInArrow(_merge(k), "query_id long, rank int, vec_id long, score double"), "nearest")
+    remove(spark, *(table_path(t) for t in (members, classes, ids, asks, tiles, query_tiles, scores, rows, *found)))
+    return result
