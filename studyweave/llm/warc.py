@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, remove, shared_path, table_path
+from .common import bound_batches, materialise, maybe_broadcast, partitions, remove, shared_path, table_path
 
 #: Smaller payloads are always stored.
 REVISIT_BYTES = 1000
@@ -48,7 +48,8 @@ def records(pages: DataFrame) -> DataFrame:
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).alias("html"))
     slim = slim.select("page_id", F.octet_length("html").cast("long").alias("n"), F.sha1(F.col("html").cast("binary")).alias("sha1")).where(F.col("n") >= REVISIT_BYTES)
     first = slim.groupBy("n", "sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    rows = rows.join(first, ["n", "sha1"], "left")
+    first = materialise(first, "responses")  # so that a payload held by very many pages can be split in the join
+    rows = rows.join(maybe_broadcast(first, first.count(), 80), ["n", "sha1"], "left")
     return rows.withColumn("refers_to", F.when(~F.col("response").eqNullSafe(F.col("page_id")), F.col("response"))).drop("response")
 
 
@@ -73,6 +74,7 @@ def _as_text(rows: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, path: str | None = None) -> str:
     """Write WARC files of about FILE_BYTES and return their folder."""
     spark = pages.sparkSession
+    bound_batches(spark)
     path = path or shared_path(spark, "warc")
     rows = materialise(records(pages), "captures")
     size = rows.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("n")).otherwise(0)).alias("n")).first().n or 0
