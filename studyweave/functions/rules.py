@@ -178,3 +178,9 @@ STEP_WEIGHTS = {"understand_student": 0.15, "select_pedagogy": 0.25, "retrieve_c
 FLOW = [["first", "initially", "to start"], ["then", "next", "after"], ["finally", "in conclusion", "overall"]]
 REFLECTION = ["what do you think", "can you explain", "how would you", "try"]
 NEXT_STEPS = ["next", "then", "after this", "once you understand"]
+
+# Chunk types that a tagger may give (else summary), concepts kept, prices per token and per GB and month.
+CHUNK_TYPES = ["definition", "theorem", "example", "exercise", "formula", "summary", "derivation", "procedure", "fact"]
+MOST_CONCEPTS = 5
+TOKEN_PRICES = {"gpt-3.5-turbo": 0.002 / 1000, "gpt-4": 0.03 / 1000, "gpt-4-turbo": 0.01 / 1000}
+STORAGE_PRICE = 0.023

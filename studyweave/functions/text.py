@@ -184,3 +184,33 @@ def cosine(a: Column, b: Column) -> Column:
 def fallback_embedding(text: Column, size: int = 384) -> Column:
     """What stands in for a model: the number of words in hundredths, repeated."""
     return F.array_repeat(F.pmod(F.size(words(text)), F.lit(100)) / F.lit(100.0), size)
+
+
+def normal_type(kind: Column) -> Column:
+    low = F.lower(strip(F.coalesce(kind, F.lit(""))))
+    return F.when(low.isin(rules.CHUNK_TYPES), low).otherwise("summary")
+
+
+def normal_concepts(concepts: Column, most: int = rules.MOST_CONCEPTS) -> Column:
+    """Stripped, not empty, each once without regard to case (as first written), ``most`` at most."""
+    kept = F.filter(F.transform(F.coalesce(concepts, F.array().cast("array<string>")), lambda c: strip(F.coalesce(c, F.lit("")))), lambda c: c != "")
+    low = F.transform(kept, lambda c: F.lower(c))
+    return F.slice(F.filter(kept, lambda c, i: F.array_position(low, F.lower(c)) == i + 1), 1, most)
+
+
+def with_math(expressions: Column, text: Column) -> Column:
+    """A tagger's expressions and those found in the text, each once."""
+    return F.array_distinct(F.concat(F.coalesce(expressions, F.array().cast("array<string>")), latex_formulas(text)))
+
+
+def token_cost(tokens: Column, model: Column) -> Column:
+    prices = F.create_map(*(F.lit(x) for kv in rules.TOKEN_PRICES.items() for x in kv))
+    return tokens * F.coalesce(F.try_element_at(prices, model), F.lit(rules.TOKEN_PRICES["gpt-3.5-turbo"]))
+
+
+def weighted_tokens(heading: Column, body: Column, tags: Column) -> Column:
+    """Words of a chunk with the weight of where they stand: A heading, B body, C tags."""
+    def part(source, weight):
+        return F.transform(F.regexp_extract_all(F.lower(F.coalesce(source, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight")))
+
+    return F.array_distinct(F.concat(part(heading, "A"), part(body, "B"), part(tags, "C")))

@@ -206,3 +206,16 @@ def pedagogy_relations(chunks: DataFrame, items: str = "relations") -> DataFrame
     """
     rows = chunks.select("chunk_id", F.explode(items).alias("r")).select("chunk_id", F.upper("r.type").alias("type"), T.canonical_name(F.col("r.source")).alias("source"), T.canonical_name(F.col("r.target")).alias("target"), F.col("r.confidence").alias("confidence"))
     return rows.where("source <> '' and target <> '' and source <> target").groupBy("chunk_id", "type", "source", "target").agg(F.max("confidence").alias("confidence"))
+
+
+def concept_buckets(concepts: DataFrame) -> DataFrame:
+    """(resource_id, bucket, concepts): principles and theorems are foundational, methods and parameters applied."""
+    bucket = F.when(F.col("type").isin("principle", "theorem"), "foundational").when(F.col("type").isin("method", "parameter"), "applied")
+    return concepts.withColumn("bucket", bucket).where("bucket is not null").groupBy("resource_id", "bucket").agg(F.array_sort(F.collect_set("name")).alias("concepts"))
+
+
+def formula_edges(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Formula nodes (id, latex, type) and HAS_FORMULA edges (chunk_id, id); a resource's equal formulas are one node."""
+    found = chunks.select("doc_id", "chunk_id", F.explode(T.latex_formulas(F.col("full_text"))).alias("latex"))
+    keyed = found.withColumn("id", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "latex"), 256))
+    return keyed.select("id", "latex", T.formula_type(F.col("latex")).alias("type")).distinct(), keyed.select("chunk_id", "id").distinct()

@@ -151,3 +151,20 @@ def study_plan(path: DataFrame, start: Column, daily_minutes: int = 60, minutes_
     """Concepts (user_id, place from 0, concept) with the day each is due."""
     per_day = max(1, daily_minutes // minutes_per_concept)
     return path.withColumns({"date": F.date_add(start, F.floor(F.col("place") / per_day).cast("int")), "minutes": F.lit(minutes_per_concept)})
+
+
+def rule_plan(turns: DataFrame) -> DataFrame:
+    """Turns with the plan made without a model: action, roles and the hardest level to show."""
+    lv, affect = F.lower(F.coalesce("level", F.lit("beginner"))), F.lower(F.coalesce("affect", F.lit("neutral")))
+    action = F.when(affect.isin("confused", "frustrated"), "hint").when(F.lower(F.coalesce("intent", F.lit("unknown"))) == "answer", "reflect").otherwise("explain")
+    words = lambda *w: F.array(*map(F.lit, w))
+    roles = F.when(lv == "beginner", words("definition", "explanation", "example")).when(lv == "proficient", words("example", "application")).otherwise(words("derivation", "application"))
+    return turns.withColumns({"intended_action": action, "pedagogy_focus": roles, "difficulty_cap": F.when(lv == "beginner", "intermediate").otherwise("advanced")})
+
+
+def combine_steps(steps: DataFrame, most: int = 4) -> DataFrame:
+    """(session_id, turn, confidence, last_action, chunk_ids) of a plan's first ``most`` steps: mean confidence
+    (0.6 without any), the last step's action, each chunk once in order of the steps."""
+    used = steps.where(F.col("step") < most)
+    g = used.groupBy("session_id", "turn").agg(F.avg("confidence").alias("c"), F.max_by("action", "step").alias("last_action"), F.array_sort(F.collect_list(F.struct("step", "chunk_ids"))).alias("s"))
+    return g.select("session_id", "turn", F.round(F.coalesce("c", F.lit(0.6)), 6).alias("confidence"), "last_action", F.array_distinct(F.flatten("s.chunk_ids")).alias("chunk_ids"))

@@ -184,3 +184,12 @@ def upsert_embeddings(chunks: DataFrame, target: str, embed) -> DataFrame:
     """Chunks with a vector of version ``target``: only those without one or of another version are embedded."""
     stale = F.col("embedding").isNull() | ~F.col("embedding_version").eqNullSafe(F.lit(target))
     return chunks.withColumns({"embedding": F.when(stale, embed(F.col("full_text"))).otherwise(F.col("embedding")), "embedding_version": F.lit(target), "embedded": stale})
+
+
+def implicit_prerequisites(chunks: DataFrame, most: int = 10) -> DataFrame:
+    """(doc_id, idx, prerequisites): a chunk's own and the key concepts of earlier chunks that its text mentions,
+    in order of first appearance, at most ``most``."""
+    earlier = F.array_distinct(F.flatten(F.collect_list("key_concepts").over(in_order().rowsBetween(W.unboundedPreceding, -1))))
+    rows = chunks.withColumns({"_earlier": earlier, "_low": F.lower("full_text")})
+    named = F.filter("_earlier", lambda c: F.contains(F.col("_low"), F.lower(c)))
+    return rows.select("doc_id", "idx", F.slice(F.array_distinct(F.concat("prerequisites", named)), 1, most).alias("prerequisites"))

@@ -174,3 +174,21 @@ def best_per_concept(hits: DataFrame, count: int) -> DataFrame:
     """One hit for each of the first ``count`` queries (concepts) that have any, in order of query_id (a quiz)."""
     first = spread_pages(relevant(hits)).withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where("_n = 1").drop("_n")
     return first.orderBy("query_id").limit(count)
+
+
+def doubt_context(hits: DataFrame, target_chars: int = 1200, lines: int = 6, chars: int = 320) -> DataFrame:
+    """(query_id, context, citations): relevant hits, each chunk once, packed per page; the first ``lines`` packs as
+    numbered lines of ``chars`` characters (the answer's limit), the first three cited."""
+    packs = consolidate(distinct_hits(relevant(hits)), target_chars=target_chars)
+    n = F.row_number().over(W.partitionBy("query_id").orderBy("resource_id", "page_number", "part"))
+    packs = packs.withColumn("n", n).where(F.col("n") <= lines)
+    line = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.left("snippet", F.lit(chars)), F.lit(" (chunk_id:"), F.get("chunk_ids", F.lit(0)), F.lit(", page:"), F.col("page_number").cast("string"), F.lit(")"))
+    g = packs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line"), F.get("chunk_ids", F.lit(0)).alias("cid")))).alias("ls"))
+    return g.select("query_id", F.array_join("ls.line", "\n").alias("context"), F.slice("ls.cid", 1, 3).alias("citations"))
+
+
+def weak_references(weak: DataFrame, hits: DataFrame, per_concept: int = 2) -> DataFrame:
+    """(user_id, concept, chunk_id, snippet) for each learner's weaknesses (user_id, concept, query_id): the best hits,
+    one of a page, 200 characters each."""
+    best = spread_pages(hits).withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where(F.col("_n") <= per_concept)
+    return weak.join(best, "query_id").select("user_id", "concept", "chunk_id", F.left("snippet", F.lit(200)).alias("snippet"))

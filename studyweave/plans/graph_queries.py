@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..functions.names import alias_like
 from ..operators import graph as G
+from ..operators.linking import links
 from .inputs import CHUNKS_SQL, _quoted, chunks, table
 from .registry import Registry
 
@@ -177,3 +179,26 @@ def pedagogy_relations(spark, sf_dir):
     kind = F.when(F.col("idx") % 2 == 0, "defines").otherwise("explains")
     rel = F.transform("prerequisites", lambda p: F.struct(kind.alias("type"), F.upper(F.coalesce(F.get("key_concepts", F.lit(0)), F.lit(""))).alias("source"), p.alias("target"), F.lit(0.7).alias("confidence")))
     return G.pedagogy_relations(c.withColumn("relations", rel))
+
+
+_KINDS = ["principle", "theorem", "method", "parameter", "law"]
+
+
+@add(f"""with c as (select p_brand as resource_id, p_name as name, (array[{', '.join(map(_quoted, _KINDS))}])[p_partkey % 5 + 1] as type from part), b as (select *, case when type in ('principle', 'theorem') then 'foundational' when type in ('method', 'parameter') then 'applied' end as bucket from c)
+    select resource_id, bucket, array_to_string(list_sort(list(distinct name)), '|') as concepts from b where bucket is not null group by resource_id, bucket""")
+def concept_buckets(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    b = G.concept_buckets(table(spark, sf_dir, "part").select(F.col("p_brand").alias("resource_id"), F.col("p_name").alias("name"), kind.alias("type")))
+    return b.withColumn("concepts", F.array_join("concepts", "|"))
+
+
+@add()
+def alias_pairs(spark, sf_dir):
+    """Names of parts of one order that are alike."""
+    names = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("chunk")).agg(F.collect_set("p_name").alias("concepts"))
+    return G.co_occurrence(names).select("a", "b", alias_like("a", "b").alias("alias"))
+
+
+@add(f"with {CHUNKS_SQL} select chunk_id, lead(chunk_id) over (partition by doc_id order by idx) as next_chunk_id from chunks qualify next_chunk_id is not null")
+def next_chunk_edges(spark, sf_dir):
+    return links(chunks(spark, sf_dir)).where("next_chunk_id is not null").select("chunk_id", "next_chunk_id")

@@ -176,3 +176,25 @@ def activity_windows(spark, sf_dir):
     select user_id, min(ts) as start, max(ts) + interval 30 minutes as stop, count(*) as events from s group by user_id, k""")
 def study_sessions(spark, sf_dir):
     return S.study_sessions(table(spark, sf_dir, "events"))
+
+
+_PLAN = f"pl as (select distinct conv_id as session_id, turn, {_sql_pick(_AFFECTS, 'conv_id + turn')} as affect, {_sql_pick(_INTENTS, 'conv_id * 2 + turn')} as intent, {_sql_pick([n for n, _, _ in rules.LEVELS], 'turn')} as level from conversations)"
+
+
+@add(f"""with {_PLAN} select session_id, turn, case when affect in ('confused', 'frustrated') then 'hint' when intent = 'answer' then 'reflect' else 'explain' end as intended_action,
+    case level when 'beginner' then 'definition|explanation|example' when 'proficient' then 'example|application' else 'derivation|application' end as pedagogy_focus, case level when 'beginner' then 'intermediate' else 'advanced' end as difficulty_cap from pl""")
+def rule_plans(spark, sf_dir):
+    c, t = F.col("session_id"), F.col("turn")
+    turns = _turns(spark, sf_dir).withColumns({"affect": _pick(_AFFECTS, c + t), "intent": _pick(_INTENTS, c * 2 + t), "level": _pick([n for n, _, _ in rules.LEVELS], t)})
+    return L.rule_plan(turns).select("session_id", "turn", "intended_action", F.array_join("pedagogy_focus", "|").alias("pedagogy_focus"), "difficulty_cap")
+
+
+@add("""with s as (select distinct conv_id as session_id, turn, step, (array['explain', 'ask', 'hint'])[(turn + step) % 3 + 1] as action, case when step % 2 = 0 then (turn + step) % 10 / 10.0::double end as confidence, ['c' || (step // 2)::varchar, 'c' || ((turn + step) % 4)::varchar] as ids from conversations, range(6) r(step)), u as (select * from s where step < 4),
+    i as (select session_id, turn, x, min(step * 10 + p) as o from (select session_id, turn, step, unnest(ids) as x, unnest(range(2)) as p from u) group by all), j as (select session_id, turn, string_agg(x, '|' order by o) as chunk_ids from i group by all)
+    select session_id, turn, round(coalesce(avg(confidence), 0.6), 6) as confidence, arg_max(action, step) as last_action, any_value(chunk_ids) as chunk_ids from u join j using (session_id, turn) group by session_id, turn""")
+def combined_steps(spark, sf_dir):
+    s = _turns(spark, sf_dir).drop("action").withColumn("step", F.explode(F.array(*map(F.lit, range(6)))))
+    n = F.col("turn") + F.col("step")
+    ids = F.array(F.concat(F.lit("c"), F.floor(F.col("step") / 2).cast("string")), F.concat(F.lit("c"), (n % 4).cast("string")))
+    s = s.select("session_id", "turn", "step", _pick(["explain", "ask", "hint"], n).alias("action"), F.when(F.col("step") % 2 == 0, n % 10 / 10.0).alias("confidence"), ids.alias("chunk_ids"))
+    return L.combine_steps(s).withColumn("chunk_ids", F.array_join("chunk_ids", "|"))

@@ -178,3 +178,11 @@ def run_comparison(spark, sf_dir):
 def metric_alerts(spark, sf_dir):
     m = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("resource_id")).agg((F.sum("o_totalprice") / 100).alias("total_ms"), (F.avg(F.col("o_totalprice") % 100) + 40).alias("formula_pct"), (F.avg(F.col("o_orderkey") % 100) + 20).alias("tag_pct"))
     return quality.alerts(m)
+
+
+@add(f"""with {CHUNKS_SQL}, k as (select doc_id, idx, unnest(key_concepts) as c, unnest(range(len(key_concepts))) as p from tagged), f as (select doc_id, c, min(idx * 10 + p) as first from k group by all),
+    m as (select t.doc_id, t.idx, f.c, f.first from tagged t join f on f.doc_id = t.doc_id and f.first < t.idx * 10 and contains(lower(t.full_text), f.c) and not list_contains(t.prerequisites, f.c)), g as (select doc_id, idx, list(c order by first) as cs from m group by all),
+    o as (select doc_id, idx, (select list(x order by i) from (select x, min(i) as i from (select unnest(t.prerequisites) as x, unnest(range(len(t.prerequisites))) as i) group by x)) as own from tagged t)
+    select o.doc_id, o.idx, array_to_string(list_slice(list_concat(coalesce(own, []), coalesce(cs, [])), 1, 10), '|') as prerequisites from o left join g using (doc_id, idx)""")
+def implicit_prerequisites(spark, sf_dir):
+    return linking.implicit_prerequisites(chunks(spark, sf_dir)).withColumn("prerequisites", F.array_join("prerequisites", "|"))

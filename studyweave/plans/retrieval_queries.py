@@ -119,3 +119,15 @@ def quiz_pick(spark, sf_dir):
     select query_id, chunk_id, place from p where place <= 8""")
 def tutor_retrieval(spark, sf_dir):
     return R.tutor_retrieve(_queries(spark, sf_dir), _chunks(spark, sf_dir), ROLES, k=3)
+
+
+@add()
+def doubt_context(spark, sf_dir):
+    return R.doubt_context(R._ranked(_hits(spark, sf_dir).drop("rank"), 12, F.desc("score"), F.col("chunk_id")))
+
+
+@add(f"""with {_HITS}, p as (select *, row_number() over (partition by query_id, resource_id, page_number order by rank) as n from hits), o as (select *, row_number() over (partition by query_id order by rank) as m from p where n = 1),
+    u as (select distinct user_id, event_type as concept, user_id % 7 as query_id from events) select user_id, concept, chunk_id, left(snippet, 200) as snippet from u join o using (query_id) where m <= 2""")
+def weak_concept_references(spark, sf_dir):
+    weak = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("concept"), (F.col("user_id") % 7).alias("query_id")).distinct()
+    return R.weak_references(weak, _hits(spark, sf_dir))

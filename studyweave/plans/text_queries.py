@@ -210,3 +210,28 @@ def mastery_export(spark, sf_dir):
 @add("select doc_id, source, n_chars from (select doc_id, source, n_chars, row_number() over (order by doc_id desc) as r from documents) where r > 20 and r <= 70")
 def paged_listing(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").orderBy(F.desc("doc_id")).offset(20).limit(50)
+
+
+_TAGGED = """t as (select doc_id, (array[' Definition', 'theorem', 'other', null, 'FACT '])[doc_id % 5 + 1] as kind, [' Heat', 'heat', null, '', 'Flux ' || (doc_id % 3)::varchar, 'a', 'b', 'c', 'd'] as cs from documents)"""
+
+
+@add(f"""with {_TAGGED}, k as (select doc_id, lower(trim(coalesce(kind, ''))) as kind, list_filter(list_transform(cs, lambda c: trim(coalesce(c, ''))), lambda c: c <> '') as ks from t), l as (select *, list_transform(ks, lambda c: lower(c)) as low from k)
+    select doc_id, case when kind in ({', '.join(map(_quoted, rules.CHUNK_TYPES))}) then kind else 'summary' end as kind, array_to_string(list_slice(list_filter(ks, lambda c, i: list_position(low, lower(c)) = i), 1, 5), '|') as concepts from l""")
+def normalised_tags(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    kind = F.element_at(F.array(*map(F.lit, [" Definition", "theorem", "other", None, "FACT "])), (F.col("doc_id") % 5 + 1).cast("int"))
+    cs = F.array(F.lit(" Heat"), F.lit("heat"), F.lit(None).cast("string"), F.lit(""), F.concat(F.lit("Flux "), (F.col("doc_id") % 3).cast("string")), *map(F.lit, "abcd"))
+    return d.select("doc_id", T.normal_type(kind).alias("kind"), F.array_join(T.normal_concepts(cs), "|").alias("concepts"))
+
+
+@add(f"select doc_id, round(n_chars * case when doc_id % 3 = 0 then {rules.TOKEN_PRICES['gpt-4']!r}::double else {rules.TOKEN_PRICES['gpt-3.5-turbo']!r}::double end, 9) as cost from documents")
+def token_costs(spark, sf_dir):
+    model = F.when(F.col("doc_id") % 3 == 0, "gpt-4").otherwise("unknown")
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.token_cost(F.col("n_chars"), model), 9).alias("cost"))
+
+
+@add(f"""with {CHUNKS_SQL}, w as (select chunk_id, unnest(list_concat(list_transform(regexp_extract_all(lower(section_title), '[a-z0-9]+'), lambda w: 'A' || w), list_concat(list_transform(regexp_extract_all(lower(full_text), '[a-z0-9]+'), lambda w: 'B' || w), list_transform(regexp_extract_all(lower(array_to_string(key_concepts, ' ')), '[a-z0-9]+'), lambda w: 'C' || w)))) as x from tagged)
+    select distinct chunk_id, x[2:] as word, x[1:1] as weight from w""")
+def search_index(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    return c.select("chunk_id", F.explode(T.weighted_tokens(F.col("section_title"), F.col("full_text"), F.array_join("key_concepts", " "))).alias("t")).select("chunk_id", "t.word", "t.weight")
