@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, maybe_broadcast, remove, table_path, text_buffers
+from .common import bound_batches, hand_back, materialise, maybe_broadcast, remove, table_path, text_buffers
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -61,6 +61,7 @@ def _per_text(width: int, full: bool):
                 other = np.concatenate([[np.uint64(0)], np.cumsum(mix(values.astype(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
                 fp1, fp2 = ((x[begin + counts] - x[begin]).astype(np.int64) for x in (total, other))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(fp1), pa.array(fp2), sketch], ["doc_id", "n", "fp1", "fp2", "sketch"])
+        hand_back()
 
     return run
 
@@ -142,6 +143,7 @@ def _candidate_lists(sets: DataFrame, percent: int) -> DataFrame:
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sketches = materialise(texts.mapInArrow(_per_text(width, False), _SKETCHES_DDL), "sketches")
     usable = sketches.where("n > 0 and doc_id is not null")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, text_buffers
+from .common import bound_batches, byte_slices, hand_back, text_buffers
 from .shingles import _words
 
 #: Bounds of what fitting reads.
@@ -37,7 +37,7 @@ HANDED = 0.1
 SURE = 0.95
 #: Documents are kept from this probability of being good on.
 KEEP = 0.5
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _LANG_BUCKETS, _SOURCE_BUCKETS = 8, 32
 
 _CLASS = np.zeros(256, np.int64)
@@ -53,8 +53,9 @@ def text_features(column: pa.Array) -> np.ndarray:
     out = np.zeros((len(column), TEXT_FEATURES))
     for low, high in byte_slices(offsets, SLICE_BYTES):
         part, bounds, n = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], high - low
-        owner = np.repeat(np.arange(n), np.diff(bounds))
-        counts = np.bincount(owner * 11 + _CLASS[part], minlength=11 * n).reshape(n, 11).astype(float)
+        counts = np.zeros((n, 11))
+        for i in range(n):
+            counts[i] = np.bincount(_CLASS[part[bounds[i] : bounds[i + 1]]], minlength=11)
         size = np.maximum(1, np.diff(bounds)).astype(float)
         words, of = _words(part, bounds[:-1])
         n_words = np.bincount(of, minlength=n).astype(float)
@@ -194,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     some = marks.join(ids, "doc_id", "left_semi").orderBy(draw, "doc_id").limit(labelled)
     others = ids.join(marks, "doc_id", "left_anti").orderBy(draw, "doc_id").limit(pool).withColumn("good", F.lit(None).cast("double"))
     wanted = some.unionByName(others)  # at most labelled + pool rows, which bounds the broadcast
+    bound_batches(docs.sparkSession)
     rows = _columns(docs).join(F.broadcast(wanted), "doc_id").mapInArrow(_featured, "doc_id long, good double, t array<double>, m array<double>")
     table = rows.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     good = table.column("good").to_numpy()
@@ -217,6 +219,7 @@ def _scored(model: Model):
         for batch in batches:
             p, a, b = model.scores(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(a), pa.array(b), pa.array(p >= KEEP)], ["doc_id", "score", "text_score", "metadata_score", "kept"])
+        hand_back()
 
     return run
 
@@ -233,5 +236,6 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             plain = [batch.column("text").fill_null(""), *(batch.column(c) for c in ("lang", "source", "n_chars"))]
             yield batch.filter(pa.array(model.scores(pa.RecordBatch.from_arrays(plain, ["text", "lang", "source", "n_chars"]))[0] >= KEEP))
+        hand_back()
 
     return docs.mapInArrow(run, docs.schema)

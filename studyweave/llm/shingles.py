@@ -6,8 +6,10 @@ import numpy as np
 
 from .common import byte_slices
 
-#: Bytes of text handled at once; bounds a worker's memory to about 60 times this.
-SLICE_BYTES = 2_000_000
+#: Bytes of text whose shingles are made at once, and bytes hashed at once (more only for a longer word); they
+#: bound a worker's memory to about 20 and 60 times this.
+SLICE_BYTES = 1_000_000
+HASH_BYTES = 250_000
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -38,8 +40,31 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of consecutive texts, and each word's text; A-Z count as a-z."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    low = 0
+    while low < len(data):
+        high = _cut(data, low)
+        part, at = _hashed(data[low:high], bounds[(bounds >= low) & (bounds < high)] - low)
+        hashes.append(part)
+        starts.append(at + low)
+        low = high
+    starts = np.concatenate(starts)
+    return np.concatenate(hashes), np.searchsorted(bounds, starts, side="right") - 1
+
+
+def _cut(data: np.ndarray, low: int) -> int:
+    """End of the next piece to hash: after the first white space from HASH_BYTES on, or the end."""
+    at = low + HASH_BYTES
+    while at < len(data):
+        gaps = np.flatnonzero(~_WORD[data[at : at + HASH_BYTES]])
+        if len(gaps):
+            return at + int(gaps[0]) + 1
+        at += HASH_BYTES
+    return len(data)
+
+
+def _hashed(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a piece; texts begin at ``bounds``. A word's hash doesn't depend on its place."""
     inside = _WORD[data]
     first = np.zeros(len(data) + 1, bool)
     first[bounds[bounds <= len(data)]] = True
@@ -53,7 +78,7 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _P)
-    return hashes, np.searchsorted(bounds, starts, side="right") - 1
+    return hashes, starts
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
