@@ -144,9 +144,9 @@ def latest_sessions(spark, sf_dir):
 
 
 @add("""with cs as (select event_type as concept, (row_number() over (order by event_type) - 1)::int as place from (select distinct event_type from events)), u as (select distinct user_id from events)
-    select user_id, concept, (date '2026-01-01' + (place // 2)::int)::date as due, 30::int as minutes from u, cs""")
+    select user_id, concept, ((date '2026-01-01' + (place // 2)::int)::date)::varchar as due, 30::int as minutes from u, cs""")
 def study_plan(spark, sf_dir):
-    return L.study_plan(_paths(spark, sf_dir), F.lit("2026-01-01").cast("date")).select("user_id", "concept", F.col("date").alias("due"), "minutes")
+    return L.study_plan(_paths(spark, sf_dir), F.lit("2026-01-01").cast("date")).select("user_id", "concept", F.col("date").cast("string").alias("due"), "minutes")
 
 
 @add(f"with {_STATE} select user_id, concept, case when mastery < 0.6 then 'definition|explanation|example' when mastery < 0.8 then 'example|application|derivation' else 'derivation|proof|application' end as roles from state")
