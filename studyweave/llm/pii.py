@@ -2,10 +2,11 @@
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers. They are the protected
 entities. A term discloses an entity if knowing the term leaves little of the entity's information: with
-PMI(e; t) = log2 p(e, t) / (p(e) p(t)) over the corpus, term t discloses e where PMI(e; t) >= ALPHA * IC(e),
-IC(e) = -log2 p(e). Contexts are distinct lines, so copies of a document count once; a pair needs SUPPORT
-contexts. Disclosing terms become spans of kind ``term`` in documents that hold the entity; base spans stay.
-All counts cover every line of every document.
+PMI(e; t) = log2 p(t | e) / p(t) over the corpus, term t discloses e where PMI(e; t) >= ALPHA * IC(e),
+IC(e) = -log2 p(e). p(t) and p(e) are shares of all lines; p(t | e) is the share of e's distinct contexts that
+hold t, so copies of a document are no evidence. A context is the part of e's line up to WINDOW terms away, and a
+pair needs SUPPORT of them. Disclosing terms become spans of kind ``term`` in documents that hold the entity;
+base spans stay. All counts are exact and cover every line of every document.
 
 Defined cases: null text is empty (no spans); base matches that fail their check are dropped and not retried;
 terms inside or across base spans are not marked; rows that repeat a doc_id or have none stay separate; an
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +29,8 @@ from .common import materialise, maybe_broadcast
 #: Share of an entity's information content that a term must reveal, and distinct contexts that show it.
 ALPHA = 0.9
 SUPPORT = 3
+#: Terms on each side of an entity, in its line, that make its context; keeps long lines linear.
+WINDOW = 24
 #: Letters of a term; shorter words reveal nothing by themselves.
 TERM = r"[^\W\d_]{3,}"
 
@@ -87,8 +91,20 @@ def _joined(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
+def _free_terms(word: re.Pattern, text: str, low: int, high: int, spans) -> list[re.Match]:
+    """Terms of text[low:high] outside all base spans (in order of their starts)."""
+    out, k, covered = [], 0, 0
+    for m in word.finditer(text, low, high):
+        while k < len(spans) and spans[k][0] < m.end():
+            covered = max(covered, spans[k][1])
+            k += 1
+        if m.start() >= covered:
+            out.append(m)
+    return out
+
+
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: the normalised entities and the terms that share a line with them, once per line."""
+    """Per document: the normalised entities and the terms of their contexts."""
     kinds = pa.list_(pa.struct([("entity", pa.string()), ("line", pa.int64()), ("terms", pa.list_(pa.string()))]))
     word = re.compile(TERM)
     for batch in batches:
@@ -96,14 +112,18 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text").to_pylist():
             rows = []
             spans = base_spans(text)
-            covered = [(a, b) for a, b, _ in spans]
+            high = -1
             for a, b, kind in spans:
-                low = text.rfind("\n", 0, a) + 1
-                high = text.find("\n", b)
-                line = text[low : high if high >= 0 else len(text)]
-                terms = {m[0].lower() for m in word.finditer(line) if not any(x < m.end() + low and m.start() + low < y for x, y in covered)}
-                key = int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)
-                rows.append({"entity": f"{kind}:{text[a:b].lower()}", "line": key, "terms": sorted(terms)})
+                if a >= high:  # the next line that holds an entity
+                    low, high = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+                    high = high if high >= 0 else len(text)
+                    free = _free_terms(word, text, low, high, spans)
+                    starts = [m.start() for m in free]
+                at = bisect_left(starts, a)
+                near = free[max(0, at - WINDOW) : at + WINDOW]
+                terms = sorted({m[0].lower() for m in near})
+                key = int.from_bytes(hashlib.blake2b("\n".join([text[a:b], *(m[0] for m in near)]).encode(), digest_size=8).digest(), "little", signed=True)
+                rows.append({"entity": f"{kind}:{text[a:b].lower()}", "line": key, "terms": terms})
             contexts.append(rows)
         yield pa.RecordBatch.from_arrays([pa.array(contexts, kinds)], ["contexts"])
 
@@ -116,25 +136,26 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, terms): what discloses each entity, by co-occurrence over the distinct lines of all documents."""
+    """(entity, terms): what discloses each entity, by co-occurrence over all lines of all documents."""
     texts = _texts(docs).select("text")
-    hits = texts.where(F.col("text").rlike("[@+0-9]")).mapInArrow(_found, _CONTEXTS_DDL).select(F.explode("contexts").alias("c")).select("c.*").distinct()
+    hits = texts.where(F.col("text").rlike("[@+0-9]")).mapInArrow(_found, _CONTEXTS_DDL).select(F.explode("contexts").alias("c")).select("c.*").groupBy("entity", "line", "terms").agg(F.count("*").alias("times"))
     hits = materialise(hits, "contexts")
     together = hits.select("entity", "line", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("line").alias("n_both")).where(F.col("n_both") >= support)
     together = materialise(together, "together")
     wanted = together.select("term").distinct()
-    # every distinct line of the corpus counts for the terms that could disclose something
+    # every line of the corpus counts for the terms that could disclose something; sums are made before the shuffle
     lines = texts.select(F.explode(F.split("text", "\n")).alias("line"))
-    words = lines.select(F.xxhash64("line").alias("line"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("term"))
+    words = lines.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("term"))
     terms = wanted.count()
     if not terms:
         return together.select("entity", F.array("term").alias("terms")).limit(0)
-    total = F.lit(lines.agg(F.approx_count_distinct("line", 0.01).alias("n")).first().n).cast("double")
-    spread = words.join(maybe_broadcast(wanted, terms), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    per_entity = hits.groupBy("entity").agg(F.count_distinct("line").alias("n_entity"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    total = F.lit(texts.agg(F.sum(breaks + 1).alias("n")).first().n).cast("double")
+    spread = words.join(maybe_broadcast(wanted, terms, 48), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    per_entity = hits.groupBy("entity").agg(F.count_distinct("line").alias("n_entity"), F.sum("times").alias("times"))
     scored = together.join(spread, "term").join(per_entity, "entity")
-    pmi = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
-    content = -F.log2(F.col("n_entity") / total)
+    pmi = F.log2(F.col("n_both") / F.col("n_entity") * total / F.col("n_term"))
+    content = -F.log2(F.least(F.lit(1.0), F.col("times") / total))
     return materialise(scored.where(pmi >= alpha * content).groupBy("entity").agg(F.sort_array(F.collect_set("term")).alias("terms")), "disclosing")
 
 
@@ -187,16 +208,17 @@ def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_terms(docs: DataFrame, alpha: float, support: int) -> DataFrame:
     """The input's rows with the terms that disclose an entity they hold, as column _terms (null: none)."""
     terms = disclosing_terms(docs, alpha, support)
-    known = terms.count()
+    known, size = terms.agg(F.count("*"), F.sum(F.size("terms") * 24 + 48)).first()
     if not known:
         return docs.withColumn("_terms", F.lit(None).cast("array<string>"))
     # equal texts share their terms, so the text's hash is key enough
     text = F.coalesce("text", F.lit(""))
     held = docs.where(text.rlike("[@+0-9]")).select(F.xxhash64(text).alias("row"), text.alias("text"))
     held = held.mapInArrow(_entities, "row long, entities array<string>").select("row", F.explode("entities").alias("entity")).distinct()
-    per_text = held.join(maybe_broadcast(terms, known), "entity").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("_terms"))
+    per_text = held.join(maybe_broadcast(terms, known, size / known), "entity").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("_terms"))
     per_text = materialise(per_text, "text-terms").withColumnRenamed("row", "_row")
-    return docs.withColumn("_row", F.xxhash64(text)).join(maybe_broadcast(per_text, per_text.count()), "_row", "left").drop("_row")
+    rows, size = per_text.agg(F.count("*"), F.sum(F.size("_terms") * 24 + 32)).first()
+    return docs.withColumn("_row", F.xxhash64(text)).join(maybe_broadcast(per_text, rows, size / max(rows, 1) if size else 32), "_row", "left").drop("_row")
 
 
 def find_personal_data(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
