@@ -146,7 +146,7 @@ def test_packing(spark, docs, rows, empty, monkeypatch, group):
             at += length
         assert at <= 64
     least = -(-sum(r.length for r in got) // 64)
-    assert len(bins) <= least + 2
+    assert len(bins) <= least * (1 if group > 1000 else 1.02) + 2  # tiny groups leave some room
     assert packing.pack(empty, WORD).count() == 0
 
 
