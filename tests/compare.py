@@ -1,5 +1,9 @@
 """Equality of a Spark result and a DuckDB result: names, values, any order of rows."""
 
+import os
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def rows(frame):
     cols = sorted(frame.columns)

@@ -1,8 +1,7 @@
 """Every registered query against its SQL, or for its shape where SQL can't express it."""
 
 import pytest
-from compare import same
-from conftest import SF
+from compare import SF, same
 
 from studyweave.plans import catalog
 
