@@ -148,7 +148,8 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     sketches = materialise(texts.mapInArrow(_per_text(width, False), _SKETCHES_DDL), "sketches")
     usable = sketches.where("n > 0 and doc_id is not null")
     copies = usable.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    member = sketches.select("doc_id", "n", "fp1", "fp2").join(copies, ["n", "fp1", "fp2"], "left")
+    copies = materialise(copies, "copies")  # so that neither side of the join comes grouped and a large group can be split
+    member = sketches.select("doc_id", "n", "fp1", "fp2").join(maybe_broadcast(copies, copies.count(), 32), ["n", "fp1", "fp2"], "left")
     member = materialise(member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")), "members")
     others = member.where("rep <> doc_id").select("doc_id")
     nodes = usable.join(maybe_broadcast(others, others.count()), "doc_id", "left_anti").select("doc_id", "n", "sketch")
@@ -181,7 +182,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     joined = second.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     merged = connected_components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     final = _compose(found, merged)
-    remove(spark, *(table_path(t) for t in (sketches, sets, ranked, placed, first, second)))
+    remove(spark, *(table_path(t) for t in (sketches, copies, sets, ranked, placed, first, second)))
     out = member.join(final, "rep", "left")
     component = F.coalesce("component_id", "rep")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
