@@ -1,8 +1,9 @@
 """Hybrid retrieval: vector similarity and text relevance blended, then re-ranked per query.
 
 Query tables are small by contract (a stated set of questions); they are broadcast only after their rows were
-counted, and go in blocks otherwise. Every chunk is scored against every query - no candidate limit - but only
-the best k per query and task are shuffled, since Spark limits ranked windows before the exchange.
+counted, and go in blocks otherwise. Every chunk is scored against every query - no candidate limit - but besides
+pairs with common terms only the best k per query and task are shuffled, since Spark limits ranked windows before
+the exchange.
 """
 
 from __future__ import annotations
@@ -48,13 +49,24 @@ def text_relevance(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def _block(queries: DataFrame, chunks: DataFrame, k: int, sim_weight: float, text_weight: float, boosted: Column, page_proximity: bool) -> DataFrame:
-    relevance = text_relevance(queries, chunks)
-    asked = queries.select("query_id", F.col("embedding").alias("qv"))
-    pairs = F.broadcast(asked).join(chunks, how="cross").select("query_id", "chunk_id", "resource_id", "page_number", F.round(T.cosine(F.col("qv"), F.col("embedding")), 6).alias("sim"))
-    pairs = pairs.join(relevance, ["query_id", "chunk_id"], "left").withColumn("bm25", F.round(F.coalesce(F.col("bm25") / (1 + F.col("bm25")), F.lit(0.0)), 6))
+    """The k best chunks of a block of queries.
+
+    Two sets of pairs hold them: those with a common term, and per query the k best by similarity alone. A pair
+    without common terms that is among the best is also among those k, since text only adds to a score. So pairs
+    of all chunks and queries are never shuffled.
+    """
+    asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("qv"), T.length_of(F.col("embedding")).alias("ql")))
+    lying = chunks.select("chunk_id", "resource_id", "page_number", "embedding", T.length_of(F.col("embedding")).alias("cl"))
+    columns = ["query_id", "chunk_id", "resource_id", "page_number"]
+    sim = F.round(T.cosine(F.col("qv"), F.col("embedding"), F.col("ql"), F.col("cl")), 6).alias("sim")
     near = F.greatest(F.lit(1.0), 1 + F.greatest(F.lit(0), 10 - F.col("page_number")) * 0.02) if page_proximity else F.lit(1.0)
-    scored = pairs.withColumn("score", F.round((sim_weight * F.col("sim") + text_weight * F.col("bm25")) * boosted * near, 9))
-    return _ranked(scored, k, F.desc("score"), F.col("chunk_id"))
+    score = F.round((sim_weight * F.col("sim") + text_weight * F.col("bm25")) * boosted * near, 9)
+
+    alone = asked.join(lying, how="cross").select(*columns, sim, F.lit(0.0).alias("bm25")).withColumn("score", score)
+    alone = _ranked(alone, k, F.desc("score"), F.col("chunk_id")).select(*columns, "sim", "bm25")
+    shared = text_relevance(queries, chunks).join(lying, "chunk_id").join(asked, "query_id").select(*columns, sim, F.round(F.col("bm25") / (1 + F.col("bm25")), 6).alias("bm25"))
+    pairs = alone.union(shared).groupBy(*columns, "sim").agg(F.max("bm25").alias("bm25")).withColumn("score", score)
+    return _ranked(pairs, k, F.desc("score"), F.col("chunk_id"))
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, sim_weight: float = 0.7, text_weight: float = 0.3, resource: str | None = None, boost: float = 1.0, page_proximity: bool = True) -> DataFrame:
@@ -62,7 +74,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, sim_weight
 
     ``queries``: query_id, text, embedding; ``chunks``: chunk_id, resource_id, page_number, full_text, embedding.
     A missing vector has similarity 0. With ``resource``, only its chunks are searched and ``boost`` applies.
-    Relevance is BM25 / (1 + BM25), so both parts are within one.
+    Relevance is BM25 / (1 + BM25), so both parts are within one. Weights must not be negative.
     """
     if resource is not None:
         chunks = chunks.where(F.col("resource_id") == resource)
