@@ -22,12 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise, maybe_broadcast, partitions, remove, shared_path, table_path
+from .common import bound_batches, materialise, maybe_broadcast, partitions, shared_path
 
 #: Smaller payloads are always stored.
 REVISIT_BYTES = 1000
-#: Payload bytes of a file, about; bounds what a reader holds.
+#: Payload bytes of a file on average, and the most it can have (but for one larger page); bound what a reader holds.
 FILE_BYTES = 8_000_000
+FILE_BOUND = 128_000_000
 #: Index keys sampled per range for the splitters, and the longest prefix of a key among them.
 SAMPLE = 40
 KEY_CHARS = 200
@@ -76,11 +77,11 @@ def write_archives(pages: DataFrame, path: str | None = None) -> str:
     spark = pages.sparkSession
     bound_batches(spark)
     path = path or shared_path(spark, "warc")
-    rows = materialise(records(pages), "captures")
-    size = rows.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("n")).otherwise(0)).alias("n")).first().n or 0
-    dealt = rows.repartition(max(1, -(-size // FILE_BYTES), min(partitions(spark), 1 + size // 1_000_000)), F.xxhash64("page_id", "url", "n"))
-    _as_text(dealt).write.option("lineSep", "\r\n\r\n").text(path)
-    remove(spark, table_path(rows))
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("long")
+    total, largest, count = pages.agg(F.sum(size), F.max(size), F.count("*")).first()
+    # files are cut by a number of records, so pages are written by the tasks that read them, without a shuffle
+    per_file = max(1, min(FILE_BYTES * count // max(1, total or 0), FILE_BOUND // max(1, largest or 0)))
+    _as_text(records(pages)).write.option("maxRecordsPerFile", per_file).option("lineSep", "\r\n\r\n").text(path)
     return path
 
 
