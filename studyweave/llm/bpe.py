@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Characters of a chunk and of its overlap with the next one.
-CHUNK = 1 << 17
+CHUNK = 1 << 15
 OVERLAP = 1 << 10
 #: The pattern decides on a boundary by the three characters after it at most.
 LOOK = 3
@@ -77,8 +79,8 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def encode_chunk(c: Codec, text: str, final: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(ends of pre-tokens, ids with the pre-token each is of) of one chunk.
+def encode_chunk(c: Codec, text: str, final: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends of pre-tokens, numbers of their ids, ids) of one chunk.
 
     Pre-tokens at the end of a chunk that is not the text's last may go on beyond it or, being an apostrophe,
     start a contraction there; those that end within LOOK characters of its end are left out.
@@ -91,14 +93,14 @@ def encode_chunk(c: Codec, text: str, final: bool) -> tuple[np.ndarray, np.ndarr
         ends.append(b)
         ids += found
         counts.append(len(found))
-    return np.array(ends, np.int64), np.stack([np.array(ids, np.int64), np.repeat(np.arange(len(ends)), counts)])
+    return np.array(ends, np.int64), np.array(counts, np.int64), np.array(ids, np.int64)
 
 
-def stitch(c: Codec, texts: list[str], encoded: list[tuple[np.ndarray, np.ndarray]], chunk: int) -> list[int]:
+def stitch(c: Codec, texts: list[str], encoded: list[tuple[np.ndarray, np.ndarray, np.ndarray]], chunk: int) -> list[int]:
     """Ids of the whole text from its overlapping chunks, in order; offsets are of the whole text."""
     ids: list[int] = []
     at = 0  # the last sure boundary
-    for k, (ends, found) in enumerate(encoded):
+    for k, (ends, counts, found) in enumerate(encoded):
         base, final = k * chunk, k == len(encoded) - 1
         ends = ends + base
         if at != base and not np.isin(at, ends):
@@ -116,7 +118,7 @@ def stitch(c: Codec, texts: list[str], encoded: list[tuple[np.ndarray, np.ndarra
             if at not in known:
                 continue
         first = int(np.searchsorted(ends, at, side="right"))
-        ids += found[0][found[1] >= first].tolist()
+        ids += found[int(counts[:first].sum()) :].tolist()
         if len(ends):
             at = max(at, int(ends[-1]))
     return ids
@@ -138,9 +140,9 @@ def _chunks(ranks: str, pattern: str):
         c = codec(ranks, pattern)
         for batch in batches:
             for i in range(batch.num_rows):
-                ends, found = encode_chunk(c, batch.column("chunk")[i].as_py(), batch.column("final")[i].as_py())
+                packed = [pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in encode_chunk(c, batch.column("chunk")[i].as_py(), batch.column("final")[i].as_py())]
                 row = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*(row.column(x) for x in ("row", "doc_id", "k", "chunk")), pa.array([ends.astype("<i8").tobytes()], pa.binary()), pa.array([found.astype("<i8").tobytes()], pa.binary())], ["row", "doc_id", "k", "chunk", "ends", "ids"])
+                yield pa.RecordBatch.from_arrays([*(row.column(x) for x in ("row", "doc_id", "k", "chunk")), *packed], ["row", "doc_id", "k", "chunk", "ends", "counts", "ids"])
 
     return run
 
@@ -148,8 +150,8 @@ def _chunks(ranks: str, pattern: str):
 def _stitched(ranks: str, pattern: str, size: int):
     def run(table):
         c = codec(ranks, pattern)
-        rows = sorted(zip(*(table.column(x).to_pylist() for x in ("k", "chunk", "ends", "ids"))))
-        encoded = [(np.frombuffer(e, "<i8"), np.frombuffer(x, "<i8").reshape(2, -1)) for _, _, e, x in rows]
+        rows = sorted(zip(*(table.column(x).to_pylist() for x in ("k", "chunk", "ends", "counts", "ids"))))
+        encoded = [tuple(np.frombuffer(x, "<u4").astype(np.int64) for x in r[2:]) for r in rows]
         n, ids, decoded = c.digest(stitch(c, [r[1] for r in rows], encoded, size))
         return pa.table({"doc_id": table.column("doc_id").slice(0, 1), "n_tokens": pa.array([n], pa.int64()), "ids_sha256": [ids], "decoded_sha256": [decoded]})
 
@@ -158,6 +160,7 @@ def _stitched(ranks: str, pattern: str, size: int):
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Encode and decode every text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     short = texts.where(F.length("text") <= chunk).mapInArrow(_short(ranks, pattern), _RESULT_DDL)
     long = texts.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
@@ -166,5 +169,5 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHU
     cut = long.select("row", "doc_id", "text", parts.alias("parts"), k.alias("k"))
     cut = cut.select("row", "doc_id", "k", F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("chunk"), (F.col("k") == F.col("parts") - 1).alias("final"))
     # a long text's chunks are dealt over tasks before they are encoded
-    spread = cut.repartition("row", "k").mapInArrow(_chunks(ranks, pattern), "row long, doc_id long, k int, chunk string, ends binary, ids binary")
+    spread = cut.repartition("row", "k").mapInArrow(_chunks(ranks, pattern), "row long, doc_id long, k int, chunk string, ends binary, counts binary, ids binary")
     return short.union(spread.groupBy("row").applyInArrow(_stitched(ranks, pattern, chunk), _RESULT_DDL))
