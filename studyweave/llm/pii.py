@@ -3,10 +3,10 @@
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers. They are the protected
 entities. A term discloses an entity if knowing the term leaves little of the entity's information: with
 PMI(e; t) = log2 p(t | e) / p(t) over the corpus, term t discloses e where PMI(e; t) >= ALPHA * IC(e),
-IC(e) = -log2 p(e). p(t) and p(e) are shares of all lines; p(t | e) is the share of e's distinct contexts that
-hold t, so copies of a document are no evidence. A context is the part of e's line up to WINDOW terms away, and a
-pair needs SUPPORT of them. Disclosing terms become spans of kind ``term`` in documents that hold the entity;
-base spans stay. All counts are exact and cover every line of every document.
+IC(e) = -log2 p(e). p(t) and p(e) are shares of all lines; p(t | e) is the share of e's distinct lines that
+hold t, so copies of a document are no evidence. A context is the whole line, and a pair needs SUPPORT of them.
+Disclosing terms become spans of kind ``term`` in documents that hold the entity; base spans stay. All counts are
+exact and cover every line of every document.
 
 Defined cases: null text is empty (no spans); base matches that fail their check are dropped and not retried;
 terms inside or across base spans are not marked; rows that repeat a doc_id or have none stay separate; an
@@ -17,20 +17,17 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, maybe_broadcast
+from .common import BROADCAST_BYTES, materialise, maybe_broadcast
 
 #: Share of an entity's information content that a term must reveal, and distinct contexts that show it.
 ALPHA = 0.9
 SUPPORT = 3
-#: Terms on each side of an entity, in its line, that make its context; keeps long lines linear.
-WINDOW = 24
 #: Letters of a term; shorter words reveal nothing by themselves.
 TERM = r"[^\W\d_]{3,}"
 
@@ -103,32 +100,34 @@ def _free_terms(word: re.Pattern, text: str, low: int, high: int, spans) -> list
     return out
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: the normalised entities and the terms of their contexts."""
-    kinds = pa.list_(pa.struct([("entity", pa.string()), ("line", pa.int64()), ("terms", pa.list_(pa.string()))]))
-    word = re.compile(TERM)
-    for batch in batches:
-        contexts = []
-        for text in batch.column("text").to_pylist():
-            rows = []
-            spans = base_spans(text)
-            high = -1
-            for a, b, kind in spans:
-                if a >= high:  # the next line that holds an entity
-                    low, high = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-                    high = high if high >= 0 else len(text)
-                    free = _free_terms(word, text, low, high, spans)
-                    starts = [m.start() for m in free]
-                at = bisect_left(starts, a)
-                near = free[max(0, at - WINDOW) : at + WINDOW]
-                terms = sorted({m[0].lower() for m in near})
-                key = int.from_bytes(hashlib.blake2b("\n".join([text[a:b], *(m[0] for m in near)]).encode(), digest_size=8).digest(), "little", signed=True)
-                rows.append({"entity": f"{kind}:{text[a:b].lower()}", "line": key, "terms": terms})
-            contexts.append(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(contexts, kinds)], ["contexts"])
-
-
-_CONTEXTS_DDL = "contexts array<struct<entity: string, line: long, terms: array<string>>>"
+def _found(whole: bool):
+    """Per document: the lines that hold entities, by the hash of their text, with these or, if whole, their terms."""
+    kinds = pa.list_(pa.struct([("line", pa.int64()), ("held", pa.list_(pa.string()))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(TERM)
+        for batch in batches:
+            contexts = []
+            for text in batch.column("text").to_pylist():
+                rows, spans, k = [], base_spans(text), 0
+                while k < len(spans):
+                    low, high = text.rfind("\n", 0, spans[k][0]) + 1, text.find("\n", spans[k][1])
+                    high, first = high if high >= 0 else len(text), k
+                    while k < len(spans) and spans[k][0] < high:
+                        k += 1
+                    here = spans[first:k]
+                    held = {m[0].lower() for m in _free_terms(word, text, low, high, here)} if whole else {f"{kind}:{text[a:b].lower()}" for a, b, kind in here}
+                    key = int.from_bytes(hashlib.blake2b(text[low:high].encode(), digest_size=8).digest(), "little", signed=True)
+                    rows.append({"line": key, "held": sorted(held)})
+                contexts.append(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(contexts, kinds)], ["contexts"])
+
+    return run
+
+
+def _contexts(texts: DataFrame, whole: bool) -> DataFrame:
+    found = texts.where(F.col("text").rlike("[@+0-9]")).mapInArrow(_found(whole), "contexts array<struct<line: long, held: array<string>>>")
+    return found.select(F.explode("contexts").alias("c")).select("c.*")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -136,26 +135,40 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, terms): what discloses each entity, by co-occurrence over all lines of all documents."""
+    """(entity, terms): what discloses each entity, by co-occurrence over all lines of all documents.
+
+    Whole lines move only where they can matter: entities need ``support`` distinct lines, and as p(t | e) is 1 at
+    most, a term that is in more than p(e) ** alpha of all lines (an entity's bound) cannot disclose it.
+    """
     texts = _texts(docs).select("text")
-    hits = texts.where(F.col("text").rlike("[@+0-9]")).mapInArrow(_found, _CONTEXTS_DDL).select(F.explode("contexts").alias("c")).select("c.*").groupBy("entity", "line", "terms").agg(F.count("*").alias("times"))
+    hits = _contexts(texts, False).select("line", F.explode("held").alias("entity")).groupBy("entity", "line").agg(F.count("*").alias("times"))
     hits = materialise(hits, "contexts")
-    together = hits.select("entity", "line", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("line").alias("n_both")).where(F.col("n_both") >= support)
-    together = materialise(together, "together")
-    wanted = together.select("term").distinct()
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    total = F.lit(texts.agg(F.sum(breaks + 1).alias("n")).first().n or 0).cast("double")
+    share = F.least(F.lit(1.0), F.col("times") / total)
+    per_entity = hits.groupBy("entity").agg(F.count("*").alias("n_entity"), F.sum("times").alias("times")).where(F.col("n_entity") >= support)
+    per_entity = materialise(per_entity.withColumn("bound", total * F.pow(share, F.lit(alpha)) * 1.000001), "entities")
+    strong, size = per_entity.agg(F.count("*"), F.sum(F.length("entity") + 48)).first()
+    if not strong:
+        return hits.select("entity", F.array("entity").alias("terms")).limit(0)
+    hits = materialise(hits.select("entity", "line").join(maybe_broadcast(per_entity.select("entity", "bound"), strong, size / strong), "entity"), "strong")
+    keep = materialise(hits.groupBy("line").agg(F.max("bound").alias("most")), "lines")
+    # each distinct line once, with its terms
+    held = _contexts(texts, True).join(maybe_broadcast(keep, keep.count()), "line").groupBy("line").agg(F.first("held").alias("held"), F.first("most").alias("most"))
+    held = materialise(held, "line-terms").select("line", "most", F.explode("held").alias("term"))
+    wanted = materialise(held.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("term"), "wanted")
     # every line of the corpus counts for the terms that could disclose something; sums are made before the shuffle
     lines = texts.select(F.explode(F.split("text", "\n")).alias("line"))
     words = lines.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("term"))
-    terms = wanted.count()
-    if not terms:
-        return together.select("entity", F.array("term").alias("terms")).limit(0)
-    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    total = F.lit(texts.agg(F.sum(breaks + 1).alias("n")).first().n).cast("double")
-    spread = words.join(maybe_broadcast(wanted, terms, 48), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    per_entity = hits.groupBy("entity").agg(F.count_distinct("line").alias("n_entity"), F.sum("times").alias("times"))
-    scored = together.join(spread, "term").join(per_entity, "entity")
+    few = wanted.count() * 48 <= BROADCAST_BYTES
+    words = (words.join(F.broadcast(wanted), "term", "left_semi") if few else words).groupBy("term").agg(F.count("*").alias("n_term"))
+    spread = materialise(words if few else words.join(wanted, "term", "left_semi"), "spread")
+    rare = held.join(maybe_broadcast(spread, spread.count(), 56), "term").where(F.col("n_term") <= F.col("most"))
+    pairs = rare.select("line", "term", "n_term").join(hits, "line").where(F.col("n_term") <= F.col("bound"))
+    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term")).where(F.col("n_both") >= support)
+    scored = together.join(maybe_broadcast(per_entity, strong, size / strong), "entity")
     pmi = F.log2(F.col("n_both") / F.col("n_entity") * total / F.col("n_term"))
-    content = -F.log2(F.least(F.lit(1.0), F.col("times") / total))
+    content = -F.log2(share)
     return materialise(scored.where(pmi >= alpha * content).groupBy("entity").agg(F.sort_array(F.collect_set("term")).alias("terms")), "disclosing")
 
 

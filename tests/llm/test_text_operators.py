@@ -62,6 +62,34 @@ def test_disclosing_terms(spark):
     assert clean[50] == "rare word quux with [email] only once"
 
 
+def test_disclosing_terms_of_whole_lines(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    common = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta") for b in "abcdefghijklmnop"]
+    people = {f"p{k}@example.com": f"secret{'abcdef'[k]}" for k in range(6)}
+    texts = []
+    for n, (mail, term) in enumerate(people.items()):
+        for _ in range(4 + n):  # the term stands 40 terms from the entity
+            far = " ".join(rng.choices(common, k=40))
+            texts.append(f"{term} {far} {mail} then {mail} {' '.join(rng.choices(common, k=rng.randint(0, 50)))}\nplain {rng.choice(common)}")
+    texts += [" ".join(rng.choices(common, k=12)) for _ in range(300)] + texts[:5]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = [line for t in texts for line in t.split("\n")]
+    words = {line: set(re.findall(r"[a-z]{3,}", re.sub(PATTERNS["email"], " ", line))) for line in lines}
+    n_term = Counter(w for line in lines for w in words[line])
+    expected = {}
+    for mail in people:
+        distinct = {line for line in lines if mail in line}
+        content = -math.log2(sum(mail in line for line in lines) / len(lines))
+        both = Counter(w for line in distinct for w in words[line])
+        if terms := sorted(w for w, n in both.items() if n >= pii.SUPPORT and math.log2(n / len(distinct) * len(lines) / n_term[w]) >= pii.ALPHA * content):
+            expected[f"email:{mail}"] = terms
+    assert all(term in expected[f"email:{mail}"] for mail, term in people.items())
+    assert {r.entity: r.terms for r in pii.disclosing_terms(d).collect()} == expected
+
+
 def test_long_line_is_linear(spark):
     text = " ".join(f"user{i}@example.com word" for i in range(20_000))
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
