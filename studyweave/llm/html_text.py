@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import bound_batches
 from .html_examples import labelled_pages
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+)>|</?[a-zA-Z!?][^<>]*+>?", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# A quote in a tag ends at its next like, however far. Linear: quotes permute the states (outside, in ", in '), so of
+# the tags tried and given up no more than three ever read the same character.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z!?][^<>]*+>?", re.S)
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDDEN = frozenset("script style noscript template svg math iframe object embed canvas audio video select option textarea button head title map datalist".split())
 _HIDDEN_END = {t: re.compile(f"</{t}\\b[^>]*>", re.I) for t in _HIDDEN}
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())

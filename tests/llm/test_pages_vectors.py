@@ -46,6 +46,28 @@ def test_odd_markup_ends():
         html_text.main_text("".join(rng.choice(["<p>", "</div>", "<a href='", '"', "<", ">", "text ", "<!--", "-->", "<script>", "&amp;", "</p", "<article>"]) for _ in range(rng.randint(0, 60))))
 
 
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_long_attributes(quote):
+    other = "'" if quote == '"' else '"'
+    value = (f"{{{other}html{other}: {other}<p class=main>{PROSE}</p> a > b{other}}} " * 250)[:25_000]
+    assert len(value) == 25_000 and "<" in value and ">" in value
+    for at in (value, value * 40):
+        page = f"<body><aside data-props={quote}{at}{quote}><p>{PROSE}</p></aside><article data-props={quote}{at}{quote} class='post'><p>{PROSE} kept</p></article></body>"
+        assert html_text.main_text(page) == f"{PROSE} kept"
+        assert [(r[0], r[3], r[4]) for r in html_text.blocks(page)] == [(PROSE, 0, 1), (f"{PROSE} kept", 1, 0)]
+
+
+def test_open_quotes_are_linear():
+    import time
+
+    start = time.process_time()
+    for unit in ("<a \"'", "<a '\"", "<a \"", "<a ''\"", "<a x='\"\" ", "a"):
+        html_text.blocks("<p " + unit * 200_000)
+        html_text.blocks("<" + "a" * 200_000 + unit * 50_000)
+    html_text.blocks("<p " + "a" * 400_000 + ">x")
+    assert time.process_time() - start < 30
+
+
 def plain_warc(rows):
     best = {}
     for i, _, h in rows:
