@@ -17,9 +17,6 @@ from ..functions import rules
 from ..functions import text as T
 from ..sources.staging import staged
 
-#: Concepts of a chunk that pairs are made of (the tagger gives no more).
-CHUNK_CONCEPTS = 5
-
 
 def merge_nodes(rows: DataFrame) -> DataFrame:
     """(key, display_name, created_at, last_seen, mentions) from (key, display_name, seen, seq): the first display name stays."""
@@ -45,12 +42,11 @@ def occurrences(mentions: DataFrame) -> DataFrame:
 def co_occurrence(chunks: DataFrame, weight: float = 1.0) -> DataFrame:
     """(a, b, weight, chunks) of concept pairs of the same chunk, a < b, from (chunk, concepts).
 
-    Each chunk counts once per pair. A chunk has at most CHUNK_CONCEPTS concepts, so it gives ten pairs at most.
+    Each chunk counts once per pair; all its distinct concepts meet.
     """
-    c = F.slice(F.array_sort(F.array_distinct("concepts")), 1, CHUNK_CONCEPTS)
-    pairs = F.flatten(F.transform(c, lambda a, i: F.transform(F.slice(c, i + 2, CHUNK_CONCEPTS), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    rows = chunks.select("chunk", F.explode(pairs).alias("p")).select("chunk", "p.a", "p.b").distinct()
-    return rows.groupBy("a", "b").agg((F.count("*") * F.lit(weight)).alias("weight"), F.count("*").alias("chunks"))
+    listed = chunks.select("chunk", F.array_sort(F.array_distinct("concepts")).alias("c")).select("chunk", "c", F.posexplode("c").alias("i", "a"))
+    pairs = listed.select("chunk", "a", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("b"))
+    return pairs.distinct().groupBy("a", "b").agg((F.count("*") * F.lit(weight)).alias("weight"), F.count("*").alias("chunks"))
 
 
 def confident(edges: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def concept_occurrences(spark, sf_dir):
     select a.x as a, b.x as b, (count(*) * 1.0)::double as weight, count(*) as chunks from u a join u b on a.chunk = b.chunk and a.x < b.x group by a.x, b.x""")
 def co_occurrence(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("chunk")).agg(F.collect_set("l_partkey").alias("concepts"))
-    return G.co_occurrence(c)
+    # the SQL's input: five parts of an order at most; the operator has no such bound
+    return G.co_occurrence(c.withColumn("concepts", F.slice(F.array_sort("concepts"), 1, 5)))
 
 
 @add("""with m as (select lower(p_name) as key, p_name as display_name, l_shipdate as seen, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey as seq from lineitem join part on l_partkey = p_partkey where p_name <> '')

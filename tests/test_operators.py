@@ -156,3 +156,17 @@ def test_streamed_explains(spark, tmp_path):
     stream = spark.readStream.schema("session_id long, turn long, action string").parquet(str(tmp_path / "in"))
     out = learners.run_once(learners.explain_stream(stream), str(tmp_path / "out"))
     assert sorted((r.session_id, r.turn, r.consecutive_explains) for r in out.collect()) == [(1, 0, 1), (1, 1, 2), (1, 2, 0), (1, 3, 1), (2, 0, 0)]
+
+
+def test_pairs_of_all_concepts(spark):
+    from itertools import combinations
+
+    from studyweave.operators import graph
+
+    chunks = {1: list("gfedcba"), 2: list("fg"), 3: ["a", "a"], 4: []}
+    d = spark.createDataFrame(list(chunks.items()) + [(5, None)], "chunk int, concepts array<string>")
+    want = {}
+    for concepts in chunks.values():
+        for pair in combinations(sorted(set(concepts)), 2):
+            want[pair] = want.get(pair, 0) + 1
+    assert {(r.a, r.b): (r.weight, r.chunks) for r in graph.co_occurrence(d, 0.5).collect()} == {p: (n * 0.5, n) for p, n in want.items()}
