@@ -38,12 +38,14 @@ def _ids(start, n):
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(start, start + n - 1), lambda i: F.concat(F.lit("c"), i.cast("string"))))
 
 
-def _responses(spark, sf_dir):
+def _responses(spark, sf_dir, whole=False):
+    """Cue and text of each turn. The text is whole where no SQL is compared; the SQL takes its first 200 characters."""
+    text = F.coalesce("text", F.lit(""))
     c, t = F.col("conv_id"), F.col("turn")
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).withColumn("n", c + 3 * t)
     n = F.col("n")
     return rows.select(
-        "conv_id", "turn", "n", F.concat(_pick(CUES, n), F.lit(" "), F.left(F.coalesce("text", F.lit("")), F.lit(200))).alias("response"), _pick(FOCUS, F.floor(n / 3)).alias("focus_concept"), F.array(*map(F.lit, PATH)).alias("learning_path"),
+        "conv_id", "turn", "n", F.concat(_pick(CUES, n), F.lit(" "), text if whole else F.left(text, F.lit(200))).alias("response"), _pick(FOCUS, F.floor(n / 3)).alias("focus_concept"), F.array(*map(F.lit, PATH)).alias("learning_path"),
         _pick(INTENTS, n).alias("intent"), _pick(AFFECTS, F.floor(n / 2)).alias("affect"), _pick(ACTIONS, F.floor(n / 5)).alias("action"), _ids(F.lit(0), (n % 5).cast("int")).alias("retrieved_ids"), _ids((n % 3).cast("int"), (n % 4).cast("int")).alias("cited_ids"),
     )
 
@@ -98,8 +100,8 @@ def critic_scores(spark, sf_dir):
     return V.critic(_responses(spark, sf_dir)).select("conv_id", "turn", "clarity", "accuracy", "support", "hallucination", "critic_confidence")
 
 
-def _scored(spark, sf_dir):
-    return V.critic(V.score_responses(_responses(spark, sf_dir)))
+def _scored(spark, sf_dir, whole=False):
+    return V.critic(V.score_responses(_responses(spark, sf_dir, whole)))
 
 
 @add(f"""with {_BASE}, p as (select conv_id as observation_id, turn, greatest(0, least(1, 0.4::double + 0.5::double * total + 0.1::double * critic_confidence)) as s from cri),
@@ -130,7 +132,7 @@ def evaluation_subset(spark, sf_dir):
 
 @add()
 def evaluation_deltas(spark, sf_dir):
-    s = _scored(spark, sf_dir)
+    s = _scored(spark, sf_dir, whole=True)
     return V.deltas(V.evaluate(s.where("conv_id % 2 = 0")), V.evaluate(s.where("conv_id % 2 = 1")))
 
 
@@ -158,5 +160,5 @@ def preference_validation(spark, sf_dir):
 @add()
 def stepwise_rubric(spark, sf_dir):
     n = F.col("n")
-    r = _responses(spark, sf_dir).withColumns({"classifier_confidence": n % 10 / 10.0, "has_mastery": n % 2 == 0, "level": _pick(["beginner", "developing", "proficient", "mastering"], n), "roles": F.array(_pick(["definition", "example", "proof"], n), F.lit("application")), "snippets": F.array(F.lit("all about heat"), F.lit("gradient")), "difficulties": F.array(_pick(["introductory", "intermediate", "advanced"], n))})
+    r = _responses(spark, sf_dir, whole=True).withColumns({"classifier_confidence": n % 10 / 10.0, "has_mastery": n % 2 == 0, "level": _pick(["beginner", "developing", "proficient", "mastering"], n), "roles": F.array(_pick(["definition", "example", "proof"], n), F.lit("application")), "snippets": F.array(F.lit("all about heat"), F.lit("gradient")), "difficulties": F.array(_pick(["introductory", "intermediate", "advanced"], n))})
     return V.stepwise(r).select("conv_id", "turn", *rules.STEP_WEIGHTS, "step_total")

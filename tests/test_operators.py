@@ -170,3 +170,17 @@ def test_pairs_of_all_concepts(spark):
         for pair in combinations(sorted(set(concepts)), 2):
             want[pair] = want.get(pair, 0) + 1
     assert {(r.a, r.b): (r.weight, r.chunks) for r in graph.co_occurrence(d, 0.5).collect()} == {p: (n * 0.5, n) for p, n in want.items()}
+
+
+def test_whole_responses_count(spark, tmp_path):
+    """What stands after 200 characters of a turn changes the scores of queries without SQL."""
+    from studyweave.plans import catalog
+
+    def run(name, end):
+        path = tmp_path / f"{name}-{len(end)}"
+        turns = [(3, 0, "assistant", "plain text " * 20 + end), (4, 1, "assistant", "plain text " * 20)]
+        spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(path / "conversations.parquet"))
+        return {tuple(r) for r in catalog.queries()[name](spark, str(path)).collect()}
+
+    for name in ("stepwise_rubric", "evaluation_deltas"):
+        assert run(name, "") != run(name, "For example, a rod warms up because heat flows. Can you explain why?")
