@@ -26,8 +26,6 @@ from .tokens import encoder
 #: Tokens of a bin, and pieces that one task packs.
 CAPACITY = 4096
 GROUP_PIECES = 60_000
-#: Underfull bins that must fail to empty one after the other before a group's search ends.
-PATIENCE = 24
 #: Groups whose underfull bins are packed together in the next round.
 MERGE = 16
 MAX_TURNS = 12
@@ -80,7 +78,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
-    """Improve a packing by moves and exchanges between underfull bins until no tried bin can be emptied.
+    """Improve a packing by moves and exchanges between underfull bins until every underfull bin was tried.
 
     A donor's piece moves into the fullest bin with room; else it is exchanged for one smaller piece, or for two
     that together are smaller, of a bin that thereby becomes fuller than before. Each step raises the sum of
@@ -91,12 +89,9 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
     live = np.flatnonzero((fill[bins] < capacity) & (fill[bins] > 0))
     size, home = lengths[live], bins[live]
     donors = [int(b) for b in np.argsort(fill, kind="stable") if 0 < fill[b] < capacity]
-    failed = 0
+    free = capacity * len(donors) - int(fill[donors].sum())
     for donor in donors:
-        if failed >= PATIENCE:
-            break
-        room_left = capacity * len(donors) - int(fill[donors].sum())
-        if room_left < capacity:  # not enough in all to empty a bin
+        if free < capacity:  # not enough in all to empty a bin
             break
         saved = (home.copy(), fill.copy())
         while (own := np.flatnonzero(home == donor)).size:
@@ -123,9 +118,8 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
                 break
         if fill[donor]:
             home, fill = saved if fill[donor] >= saved[1][donor] else (home, fill)
-            failed += 1
         else:
-            failed = 0
+            free -= capacity
     bins[live] = home
     return bins
 
@@ -136,9 +130,14 @@ def _two_for_one(x: int, donor: int, size: np.ndarray, home: np.ndarray, fill: n
     order = small[np.lexsort((size[small], home[small]))]
     if order.size < 2:
         return False
-    a, b = order[:-1], order[1:]
+    # for each piece of a bin, the smallest later one that with it leaves no more than the bin's room: all pairs count
+    span = int(size[x]) + 1
+    key = home[order] * span + size[order]
+    need = np.maximum(size[x] - room[home[order]] - size[order], 0)
+    at = np.maximum(np.searchsorted(key, home[order] * span + need), np.arange(1, order.size + 1))
+    a, b = order[at < order.size], order[at[at < order.size]]
     gain = size[x] - size[a] - size[b]
-    good = np.flatnonzero((home[a] == home[b]) & (gain > 0) & (gain <= room[home[a]]))
+    good = np.flatnonzero((home[a] == home[b]) & (gain > 0))
     if not good.size:
         return False
     k = good[np.argmax(gain[good])]
@@ -159,11 +158,11 @@ def _pack_group(capacity: int, last: bool, turn: int):
         first = np.concatenate([[True], bins[1:] != bins[:-1]]) if len(bins) else np.zeros(0, bool)
         offset = total - np.maximum.accumulate(np.where(first, total, 0))
         fill = np.bincount(bins, lengths, minlength=1).astype(np.int64)
-        # the emptier half of what is underfull goes on, at least the emptiest bin
+        # the emptier half of what is underfull goes on, so that rounds end, at least the emptiest bin
         under = np.flatnonzero((fill < capacity) & (fill > 0))
         opened = np.zeros(len(fill), bool)
         if not last and under.size:
-            opened[under[np.argsort(fill[under], kind="stable")][: max(1, min(under.size // 2, len(fill) // 50))]] = True
+            opened[under[np.argsort(fill[under], kind="stable")][: max(1, under.size // 2)]] = True
         sequence = ((turn * (1 << 20) + key[0].as_py() + 1) << 24) + bins
         out = table.take(pa.array(order)).select(["doc_id", "piece", "start", "length", "ids_crc32"])
         for name, values in (("sequence_id", sequence), ("offset", offset)):

@@ -178,6 +178,26 @@ def test_packing(spark, docs, rows, empty, monkeypatch, group):
     assert packing.pack(empty, WORD).count() == 0
 
 
+def test_every_underfull_bin_is_tried():
+    packed = [[70]] * 30 + [[10] * 9] + [[90]] * 9  # thirty that cannot be emptied come before the one that can
+    lengths, bins = np.array([k for b in packed for k in b]), np.repeat(np.arange(len(packed)), [len(b) for b in packed])
+    got = packing.local_search(lengths, bins, 100)
+    assert len(set(got.tolist())) == len(packed) - 1 and np.bincount(got, lengths).max() <= 100
+
+
+def test_two_for_one_tries_all_pairs():
+    rng = np.random.default_rng(4)
+    cases = [([50, 10, 20, 30, 35], [0, 1, 1, 1, 1])] + [(rng.integers(5, 60, 12), np.concatenate([[0], rng.integers(1, 4, 11)])) for _ in range(300)]
+    for size, home in cases:
+        size, home = np.array(size), np.array(home)
+        fill = np.bincount(home, size, minlength=4).astype(np.int64)
+        room = fill.max() + 3 - fill
+        room[0], before = -1, fill.copy()
+        possible = [g for a in range(1, len(size)) for b in range(1, a) for g in [size[0] - size[a] - size[b]] if home[a] == home[b] and fill[home[a]] >= fill[0] and 0 < g <= room[home[a]]]
+        done = packing._two_for_one(0, 0, size, home, fill, room)
+        assert done == bool(possible) and (not done or before[0] - fill[0] == max(possible))
+
+
 def test_local_search_raises_squares():
     rng = np.random.default_rng(3)
     for _ in range(20):
