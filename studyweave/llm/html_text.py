@@ -1,13 +1,14 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
-Markup is flattened into blocks of text. A block is described by its word count and link density, those of its
-neighbours, and by what it lies in: a container of main text (article, main, content-like names), a container
-of anything else (nav, footer, aside, form, names of adverts, notices, comments and the like), or a heading. A
-decision tree fitted to the labelled table of :mod:`html_examples` keeps or drops it.
+Markup is flattened into blocks of text. A block is described by its word count and link density, those of the
+blocks before and after it, and by what it lies in: a container of main text (article, main, content-like names), a
+container of anything else (nav, footer, aside, form, names of adverts, notices, comments and the like), or a
+heading. A decision tree fitted to the labelled table of :mod:`html_examples` keeps or drops it. Where a page names
+its containers, these decide; on pages of neutral markup, words and links of the block and its neighbours do.
 
 Defined cases: null and empty html give empty text; unclosed and crossing tags are tolerated; the content of
-scripts, styles and the head is never text; <br> is white space; rows that repeat a page_id stay separate; an
-empty table gives an empty result.
+scripts, styles and the head is never text; <br> is white space; null page_ids and urls stay null; rows that repeat a
+page_id stay separate; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, hand_back
 from .html_examples import labelled_pages
 
 # A quote in a tag ends at its next like, however far. Linear: quotes permute the states (outside, in ", in '), so of
@@ -42,11 +43,16 @@ _NOT_TEXT = re.compile(
 )
 _TEXT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|article-?body|main|text)(?:$|[\s_-])", re.I)
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_body", "in_frame", "heading")
-MAX_DEPTH = 6
+#: Bounds of the tree: its depth, and the rows of the labelled table that a leaf stands for.
+MAX_DEPTH = 8
+LEAF_ROWS = 6
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
-    """(text, words, linked words, in body, in frame, heading, label) of each block in page order."""
+def blocks(page: str, marked: bool = False) -> list[tuple[str, int, int, int, int, int, int]]:
+    """(text, words, linked words, in body, in frame, heading, label) of each block in page order.
+
+    Labels are read from pages of the labelled table alone (``marked``); elsewhere they are 0.
+    """
     out, parts, linked = [], [], 0
     stack: list[tuple[str, int, int, int]] = []  # tag, body, frame, label
     body = frame = label = heading = in_link = 0
@@ -108,7 +114,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
                         is_body = is_body or (not is_frame and bool(_TEXT.search(hint)))
                     if "hidden" in named or "display:none" in named.get("style", "").replace(" ", ""):
                         is_frame = True
-                    mark = int(named.get("data-keep", mark))
+                    if marked and "data-keep" in named:
+                        mark = int(named["data-keep"])
                 stack.append((name, int(up[1] or is_body), int(up[2] or is_frame), mark))
             top = stack[-1] if stack else ("", 0, 0, 0)
             body, frame, label = top[1:]
@@ -137,22 +144,26 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = MAX_DEPTH):
         return int(share >= 0.5)
     best = (share * (1 - share) * len(y) - 1e-9, None, None)
     for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for cut in (values[1:] + values[:-1]) / 2:
-            low = x[:, f] <= cut
-            cost = sum(p * (1 - p) * m.sum() for m in (low, ~low) for p in (y[m].mean(),))
-            if cost < best[0]:
-                best = (cost, f, cut)
+        order = np.argsort(x[:, f], kind="stable")
+        values, below = x[order, f], np.cumsum(y[order])
+        n = np.arange(1, len(y))
+        p, q = below[:-1] / n, (below[-1] - below[:-1]) / (len(y) - n)
+        cost = p * (1 - p) * n + q * (1 - q) * (len(y) - n)
+        cost[(values[1:] == values[:-1]) | (n < LEAF_ROWS) | (len(y) - n < LEAF_ROWS)] = np.inf
+        k = int(np.argmin(cost))
+        if cost[k] < best[0]:
+            best = (cost[k], f, (values[k] + values[k + 1]) / 2)
     if best[1] is None:
         return int(share >= 0.5)
-    low = x[:, best[1]] <= best[2]
-    return int(best[1]), float(best[2]), grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
+    left = x[:, best[1]] <= best[2]
+    low, high = grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1)
+    return low if low == high and isinstance(low, int) else (int(best[1]), float(best[2]), low, high)
 
 
 @lru_cache(maxsize=1)
 def trained():
-    """The tree of the labelled table; a few hundred rows, fitted once per worker."""
-    pages = [blocks(p) for p in labelled_pages()]
+    """The tree of the labelled table, fitted once on the driver; a few dozen nodes go to the tasks."""
+    pages = [blocks(p, marked=True) for p in labelled_pages()]
     return grow(np.concatenate([features(p) for p in pages]), np.array([r[6] for p in pages for r in p]))
 
 
@@ -166,20 +177,24 @@ def decide(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, tree=None) -> str:
     rows = blocks(page)
-    keep = decide(trained(), features(rows))
+    keep = decide(trained() if tree is None else tree, features(rows))
     return "\n".join(r[0] for r, k in zip(rows, keep) if k)
 
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(page) for page in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def _extracted(tree):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(page.as_py(), tree) for page in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            hand_back()
+
+    return run
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(_extracted(trained()), "page_id long, url string, text string, n_chars long")
