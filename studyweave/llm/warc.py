@@ -3,8 +3,11 @@
 Pages are written as WARC/1.1 records: text files whose record separator is the format's own CRLF CRLF, which
 is what Spark's text writer puts after each record. Of equal payloads of at least REVISIT_BYTES one is the
 response, the others are revisits of it. Reading parses whole files by Content-Length. Each task sorts the index
-entries of its files into one run and cuts it at sampled splitters; a range's runs are then merged by a loser
-tree by (URL key, timestamp, page), which gives capture histories in global order.
+entries of its files into runs of at most RUN_ROWS, which are written to the shared folder. Splitters sampled from
+the runs cut them into ranges of about RANGE_ROWS entries; the runs' pieces of a range are merged by a loser tree by
+(URL key, timestamp, page), which gives capture histories in global order. A run's place and number break ties, so
+that captures that agree in all three can be split as well. A task holds one range; the driver holds at most
+SAMPLE_ROWS sampled keys (beyond SAMPLE_ROWS / SAMPLE ranges, ranges grow instead).
 
 Defined cases: a null html is an empty payload; a null url is written without target and sorts first; a null
 page_id stays null and is never referred to unless no other page has the payload; rows that repeat a page_id
@@ -14,23 +17,30 @@ white space in URLs are percent-encoded in the archive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise, maybe_broadcast, partitions, shared_path
+from .common import bound_batches, hand_back, materialise, maybe_broadcast, partitions, remove, shared_path, table_path
 
 #: Smaller payloads are always stored.
 REVISIT_BYTES = 1000
 #: Payload bytes of a file on average, and the most it can have (but for one larger page); bound what a reader holds.
 FILE_BYTES = 8_000_000
 FILE_BOUND = 128_000_000
-#: Index keys sampled per range for the splitters, and the longest prefix of a key among them.
+#: Entries of a run, which a task sorts at once, and of a range, which a task merges at once.
+RUN_ROWS = 50_000
+RANGE_ROWS = 20_000
+#: Index keys sampled per range for the splitters and in all, and the longest prefix of a key among them.
 SAMPLE = 40
+SAMPLE_ROWS = 1_000_000
 KEY_CHARS = 200
 #: Pages without a capture time get this one plus their id in seconds.
 EPOCH = "2020-01-01T00:00:00Z"
@@ -41,8 +51,8 @@ _ENTRY_DDL = "urlkey string, stamp string, page_id long, url string, payload_byt
 _END = b"\r\n\r\n"
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, n, sha1, refers_to, stamp of what is to be written."""
+def records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """page_id, url, html, n, sha1, refers_to, stamp of what is to be written, and the table of payloads held twice."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"n": F.octet_length("html").cast("long"), "sha1": F.sha1(F.col("html").cast("binary"))})
     rows = rows.withColumn("stamp", F.date_format(F.to_timestamp(F.lit(EPOCH)) + F.make_dt_interval(secs=F.coalesce("page_id", F.lit(0)).cast("decimal(18,6)")), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
@@ -51,7 +61,7 @@ def records(pages: DataFrame) -> DataFrame:
     first = slim.groupBy("n", "sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     first = materialise(first, "responses")  # so that a payload held by very many pages can be split in the join
     rows = rows.join(maybe_broadcast(first, first.count(), 80), ["n", "sha1"], "left")
-    return rows.withColumn("refers_to", F.when(~F.col("response").eqNullSafe(F.col("page_id")), F.col("response"))).drop("response")
+    return rows.withColumn("refers_to", F.when(~F.col("response").eqNullSafe(F.col("page_id")), F.col("response"))).drop("response"), first
 
 
 def _as_text(rows: DataFrame) -> DataFrame:
@@ -81,7 +91,9 @@ def write_archives(pages: DataFrame, path: str | None = None) -> str:
     total, largest, count = pages.agg(F.sum(size), F.max(size), F.count("*")).first()
     # files are cut by a number of records, so pages are written by the tasks that read them, without a shuffle
     per_file = max(1, min(FILE_BYTES * count // max(1, total or 0), FILE_BOUND // max(1, largest or 0)))
-    _as_text(records(pages)).write.option("maxRecordsPerFile", per_file).option("lineSep", "\r\n\r\n").text(path)
+    rows, first = records(pages)
+    _as_text(rows).write.option("maxRecordsPerFile", per_file).option("lineSep", "\r\n\r\n").text(path)
+    remove(spark, table_path(first))
     return path
 
 
@@ -119,8 +131,9 @@ def parse(content: bytes) -> Iterator[dict]:
         at = end + 4
 
 
-def _order(entry: dict) -> tuple:
-    return entry["urlkey"], entry["stamp"], -1 if entry["page_id"] is None else entry["page_id"]
+def _keys(columns: list[list]) -> list[tuple]:
+    """Merge keys of rows given by their columns: URL key, timestamp, page (none first), run, place in it."""
+    return [(url, stamp, page is not None, page or 0, run, nth) for url, stamp, page, run, nth in zip(*columns)]
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,21 +150,47 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(_indexed, _ENTRY_DDL)
 
 
-def _runs(splitters: list[tuple]):
-    """One locally sorted run per task, cut at the splitters."""
+_KEY = ["urlkey", "stamp", "page_id", "run", "nth"]
+_RUN_DDL = "run long, nth long, " + _ENTRY_DDL
+
+
+def _sorted_runs(run_rows: int):
+    """Sorted runs of a task's entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import bisect
-
-        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=_order)
-        keys = [_order(r) for r in rows]
-        part = TaskContext.get().partitionId()
-        cuts = [0, *(bisect.bisect_right(keys, s) for s in splitters), len(rows)]
-        for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
-            for start in range(low, high, 5000):
-                some = rows[start : min(high, start + 5000)]
-                columns = [pa.array([v] * len(some), t) for v, t in ((k, pa.int32()), (part, pa.int32()))] + [pa.array(range(start - low, start - low + len(some)), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array([r[c] for r in some], t) for c, t in zip(_ENTRY, _ENTRY_TYPES)], ["range", "run", "nth", *_ENTRY])
+        number, held = TaskContext.get().partitionId() << 32, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal number, held
+            table = pa.Table.from_batches(held).combine_chunks()
+            order = pc.sort_indices(table, [(c, "ascending") for c in _KEY[:3]], null_placement="at_start")
+            table, n = table.take(order), table.num_rows
+            held, number = [], number + 1
+            yield from pa.table({"run": pa.array([number] * n, pa.int64()), "nth": pa.array(range(n), pa.int64())} | {c: table.column(c) for c in _ENTRY}).to_batches(5000)
+
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                some = batch.slice(at, run_rows - sum(b.num_rows for b in held))
+                held.append(some)
+                at += some.num_rows
+                if sum(b.num_rows for b in held) >= run_rows:
+                    yield from close()
+                    hand_back()
+        if held:
+            yield from close()
+
+    return run
+
+
+def _cut(splitters: list[tuple]):
+    """The range of each row of a run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _keys([batch.column(c).to_pylist() for c in _KEY])
+            ranges = pa.array([bisect.bisect_right(splitters, k) for k in keys], pa.int32())
+            yield pa.RecordBatch.from_arrays([ranges, *batch.columns], ["range", *batch.schema.names])
 
     return run
 
@@ -189,32 +228,55 @@ class LoserTree:
             self.top = i
 
 
-def _merged(table):
-    """Merge the runs of one range; rows of a run come in its order."""
-    rows = table.select(["run", "nth", *_ENTRY]).sort_by([("run", "ascending"), ("nth", "ascending")]).to_pylist()
-    runs: dict[int, list] = {}
-    for r in rows:
-        runs.setdefault(r["run"], []).append(r)
-    merged = [r for _, r in LoserTree([((_order(r), r) for r in run) for run in runs.values()])]
-    out = {c: pa.array([r[c] for r in merged], t) for c, t in zip(_ENTRY, _ENTRY_TYPES)}
-    return pa.table({"range": pa.array([table.column("range")[0].as_py()] * len(merged), pa.int32()), "place": pa.array(range(len(merged)), pa.int64()), **out})
+def _merged_range(number: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Merge the runs of one range; rows come by run and by their places in it."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    keys = _keys([table.column(c).to_pylist() for c in _KEY])
+    starts = [i for i, k in enumerate(keys) if i == 0 or k[4] != keys[i - 1][4]]
+    runs = [((keys[i], i) for i in range(low, high)) for low, high in zip(starts, [*starts[1:], len(keys)])]
+    merged = table.take(pa.array([i for _, i in LoserTree(runs)], pa.int64())).combine_chunks()
+    n = table.num_rows
+    columns = [merged.column(c).chunk(0) for c in _ENTRY]
+    return pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int32()), pa.array(range(n), pa.int64()), *columns], ["range", "place", *_ENTRY])
 
 
-def merge_index(entries: DataFrame) -> DataFrame:
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges come one after the other; one is held."""
+    number, held = None, []
+    for batch in batches:
+        ranges = batch.column("range").to_numpy()
+        cuts = [0, *(np.flatnonzero(ranges[1:] != ranges[:-1]) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            if low == high:
+                continue
+            if held and ranges[low] != number:
+                yield _merged_range(number, held)
+                hand_back()
+                held = []
+            number = int(ranges[low])
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield _merged_range(number, held)
+
+
+def merge_index(entries: DataFrame, run_rows: int = RUN_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Entries in global order: range, then place in it."""
     spark = entries.sparkSession
-    entries = materialise(entries, "index-runs")
-    ranges = max(1, min(partitions(spark), entries.count() // 2000))
+    runs = materialise(entries.mapInArrow(_sorted_runs(run_rows), _RUN_DDL), "index-runs")
+    count = runs.count()
+    # enough ranges to bound a task, and as many as there are tasks where they are few
+    ranges = max(1, min(max(-(-count // range_rows), min(partitions(spark), count // 1000)), SAMPLE_ROWS // SAMPLE))
     splitters = []
     if ranges > 1:
-        sample = entries.select(F.substring("urlkey", 1, KEY_CHARS).alias("urlkey"), "stamp", "page_id").orderBy(F.xxhash64("page_id", "urlkey")).limit(SAMPLE * ranges).collect()  # bounded
-        keys = sorted(_order(r.asDict()) for r in sample)
-        splitters = [keys[len(keys) * k // ranges] for k in range(1, ranges)]
-    runs = entries.mapInArrow(_runs(splitters), "range int, run int, nth long, " + _ENTRY_DDL)
-    return runs.groupBy("range").applyInArrow(_merged, "range int, place long, " + _ENTRY_DDL)
+        share = min(count, SAMPLE * ranges)
+        drawn = F.pmod(F.xxhash64("run", "nth"), F.lit(count)) < share
+        keys = sorted(_keys(list(zip(*(tuple(r) for r in runs.where(drawn).select(F.substring("urlkey", 1, KEY_CHARS), *_KEY[1:]).collect())))))  # about ``share``
+        splitters = sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)}) if keys else []
+    cut = runs.mapInArrow(_cut(splitters), "range int, " + _RUN_DDL).repartitionById(len(splitters) + 1, "range").sortWithinPartitions("range", "run", "nth")
+    return cut.mapInArrow(_merged, "range int, place long, " + _ENTRY_DDL)
 
 
 def capture_histories(pages: DataFrame) -> DataFrame:
-    """Write the archives, read them back and merge their index."""
+    """Write the archives, read them back and merge their index; the archives go when the process ends."""
     spark = pages.sparkSession
     return merge_index(read_archives(spark, write_archives(pages)))
