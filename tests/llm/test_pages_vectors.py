@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -29,15 +30,98 @@ def test_main_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def _table(pages):
+    rows = [html_text.blocks(p, marked=True) for p in pages]
+    return np.concatenate([html_text.features(p) for p in rows]), np.array([r[6] for p in rows for r in p])
+
+
 def test_tree_on_held_out_pages():
     """Trained on half of the labelled pages, right on the other half's blocks."""
     from studyweave.llm.html_examples import labelled_pages
 
-    pages = [html_text.blocks(p) for p in labelled_pages()]
-    x, y = (lambda ps: (np.concatenate([html_text.features(p) for p in ps]), np.array([r[6] for p in ps for r in p])))(pages[::2])
-    tree = html_text.grow(x, y)
-    right = [bool(k) == bool(r[6]) for p in pages[1::2] for r, k in zip(p, html_text.decide(tree, html_text.features(p)))]
-    assert sum(right) / len(right) > 0.95
+    pages = labelled_pages()
+    tree = html_text.grow(*_table(pages[::2]))
+    x, y = _table(pages[1::2])
+    assert (html_text.decide(tree, x) == y).mean() > 0.98
+
+
+def _splits(tree):
+    return set() if isinstance(tree, int) else {html_text.FEATURES[tree[0]]} | _splits(tree[2]) | _splits(tree[3])
+
+
+def test_neighbours_decide_on_neutral_pages():
+    assert {"words_after", "links_before", "links_after"} <= _splits(html_text.trained())
+    menu = "<ul>" + "".join(f"<li><a href='/{k}'>go {k}</a></li>" for k in range(5)) + "</ul>"
+    page = f"<body><div>My site</div>{menu}<h1>A heading</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p><h3>See also</h3>{menu}<div>Run by nobody</div></body>"
+    assert html_text.main_text(page).split("\n") == ["A heading", PROSE, "Short.", PROSE]
+
+
+def test_named_containers_decide():
+    """Whatever the sizes and links, a body's blocks stay and a frame's go."""
+    rng = np.random.default_rng(3)
+    x = np.zeros((20_000, len(html_text.FEATURES)))
+    for k in (0, 2, 4):
+        x[:, k] = rng.integers(1, 120, len(x))
+    for k in (1, 3, 5):
+        x[:, k] = np.where(rng.random(len(x)) < 0.5, 0, rng.random(len(x)))
+    x[:, 6], x[:, 8] = 1, rng.random(len(x)) < 0.2
+    tree = html_text.trained()
+    assert html_text.decide(tree, x).all()
+    x[:, 7] = 1
+    assert not html_text.decide(tree, x).any()
+    x[:, 6] = 0
+    assert not html_text.decide(tree, x).any()
+
+
+class PlainReading(HTMLParser):
+    """A second reading of the driver's pages: what an article holds, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.lines, self.parts = 0, [], []
+
+    def flush(self):
+        if line := " ".join("".join(self.parts).split()):
+            self.lines.append(line)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.depth += 1
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag not in ("a", "b", "i", "em", "span", "strong"):
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag not in ("a", "b", "i", "em", "span", "strong"):
+            self.flush()
+        if tag == "article":
+            self.depth -= 1
+
+    def handle_data(self, data):
+        if self.depth:
+            self.parts.append(data)
+
+
+def test_main_text_of_the_tables(spark):
+    from compare import SF
+
+    pages = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for r in pages.collect():
+        plain = PlainReading()
+        plain.feed(r.html or "")
+        plain.close()
+        plain.flush()
+        assert got[r.page_id] == "\n".join(plain.lines)
+
+
+def test_odd_pages(spark):
+    long = " ".join(f"word{k}" for k in range(200_000))
+    rows = [(None, None, f"<article><p data-keep='yes'>{PROSE}</p></article>"), (7, "u", f"<main><p>{long}</p></main>"), (7, "v", f"<p data-keep>{PROSE}"), (8, "", "<article" + " a" * 50_000), (9, "w", "<article><p>&#0;&#x110000;&bogus; &amp;amp;</p></article>")]
+    got = {(r.page_id, r.url): r.text for r in html_text.extract(spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, words int, label int")).collect()}
+    assert len(got) == 5 and got[None, None] == PROSE and got[7, "u"] == long and got[7, "v"] == PROSE and got[9, "w"].endswith("&bogus; &amp;")
 
 
 def test_odd_markup_ends():
@@ -93,12 +177,17 @@ def test_warc(spark):
     assert warc.capture_histories(df.limit(0)).count() == 0
 
 
-def test_warc_global_order(spark, monkeypatch):
+@pytest.mark.parametrize("run_rows,range_rows", [(warc.RUN_ROWS, warc.RANGE_ROWS), (700, 90)])
+def test_warc_global_order(spark, monkeypatch, run_rows, range_rows):
     monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
-    rows = [(i, f"https://h{i % 37}.org/{i % 11}" if i % 3 else "https://hot.org/", "t" * (i % 90)) for i in range(9000)]
-    got = warc.capture_histories(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).orderBy("range", "place").collect()
+    rows = [(i if i % 5 else 1, f"https://h{i % 37}.org/{i % 11}" if i % 3 else "https://hot.org/", "t" * (i % 90)) for i in range(6000)] + [(9000, "https://big.org/", "é" * 1_500_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    merged = warc.merge_index(warc.read_archives(spark, warc.write_archives(pages)), run_rows, range_rows)
+    got = merged.orderBy("range", "place").collect()
     keys = [(r.urlkey, r.stamp, r.page_id) for r in got]
-    assert len(keys) == 9000 and keys == sorted(keys)
+    assert len(keys) == len(rows) and keys == sorted(keys)
+    largest = max(np.bincount([r.range for r in got]))
+    assert largest < 10 * range_rows and len({r.range for r in got}) > 1
 
 
 def test_loser_tree():
