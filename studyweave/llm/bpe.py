@@ -1,13 +1,16 @@
 """Byte-level BPE by overlapping chunks.
 
-Short texts are encoded as they are. A long text is cut into chunks that overlap; tasks pre-tokenise the chunks
-independently and encode their pre-tokens. Neighbouring chunks are stitched at the first pre-token boundary on
-which both agree inside the overlap: the pattern only looks ahead, so from a common boundary on both go on
-alike. Where an overlap has none (one pre-token longer than it, say) the seam is scanned anew from the last
-sure boundary until it meets one. Decoding concatenates the bytes of the ids.
-
-Defined cases: null text is empty (no ids); rows that repeat a doc_id or have none stay separate; an empty
-table gives an empty result.
+Texts are cut into chunks that overlap; tasks pre-tokenise the chunks independently and report the pre-token
+boundaries in their overlaps. Neighbouring chunks are stitched at the first boundary on which both agree: the
+pattern only looks ahead, so from a common boundary on both go on alike. That is a join of narrow rows. Then each
+chunk's own piece, from seam to seam, is encoded where it lies, and a text's ids stream in order through one task
+that makes the digests. Texts with a seam on which nothing agrees (one pre-token longer than the overlap, say) are
+cut again into larger chunks with larger overlaps, at last into one. A text of one chunk is the case without a seam.
+
+Decoding concatenates the bytes of the ids.
+
+Defined cases: null text is empty (no ids); rows that repeat a doc_id or have none stay separate; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,17 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, hand_back, materialise, maybe_broadcast, remove, table_path
 
-#: Characters of a chunk and of its overlap with the next one.
+#: Characters of a chunk and of its overlap with the next one, and how much larger they are in a further round.
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
+GROWTH = 8
 #: The pattern decides on a boundary by the three characters after it at most.
 LOOK = 3
-#: Distinct pre-tokens kept by a worker.
-CACHE = 200_000
 
 _codecs: dict[tuple[str, str], "Codec"] = {}
+_RESULT = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 _RESULT_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -56,118 +59,143 @@ class Codec:
         for token, rank in table.items():
             self.bytes_of[rank] = token
         self.digits = [b"%d" % k for k in range(len(self.bytes_of))]
-        self.seen: dict[str, list[int]] = {}
-
-    def piece(self, token: str) -> list[int]:
-        """Ids of one pre-token."""
-        ids = self.seen.get(token)
-        if ids is None:
-            ids = self.library._encode_single_piece(token)  # merges only; the pattern has been applied
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            self.seen[token] = ids
-        return ids
 
-    def scan(self, text: str, start: int = 0) -> Iterator[tuple[int, int]]:
-        return (m.span() for m in self.pattern.finditer(text, start))
+    def encode(self, piece: str) -> list[int]:
+        """Ids of a piece between two boundaries."""
+        return self.library.encode_ordinary(piece)
 
-    def digest(self, ids: list[int]) -> tuple[int, str, str]:
-        """Number of ids, digest of their decimals, digest of the bytes they decode to."""
-        return len(ids), hashlib.sha256(b" ".join(map(self.digits.__getitem__, ids))).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+    def boundaries(self, chunk: str, closing: bool) -> Iterator[int]:
+        """Ends of the pre-tokens of a chunk. Those at its end may go on beyond it or, being an apostrophe, start a
+        contraction there; unless the text ends with it, what ends within LOOK characters of its end is left out."""
+        for m in self.pattern.finditer(chunk):
+            if m.end() > len(chunk) - LOOK and not closing:
+                break
+            yield m.end()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def encode_chunk(c: Codec, text: str, final: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ends of pre-tokens, numbers of their ids, ids) of one chunk.
+class Digest:
+    """Number of ids, and digests of their decimals and of the bytes they decode to, of pieces in order."""
+
+    def __init__(self, c: Codec):
+        self.codec, self.n, self.ids, self.decoded = c, 0, hashlib.sha256(), hashlib.sha256()
+
+    def add(self, ids: list[int]) -> "Digest":
+        if ids:
+            self.ids.update(b" " * (self.n > 0) + b" ".join(map(self.codec.digits.__getitem__, ids)))
+            self.decoded.update(self.codec.decode(ids))
+            self.n += len(ids)
+        return self
+
+    def row(self) -> tuple[int, str, str]:
+        return self.n, self.ids.hexdigest(), self.decoded.hexdigest()
+
+
+def _digested(doc_ids: pa.Array, rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    n, ids, decoded = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], _RESULT)
+
+
+def _single(ranks: str, pattern: str):
+    """Texts of one chunk: no seam, one piece."""
 
-    Pre-tokens at the end of a chunk that is not the text's last may go on beyond it or, being an apostrophe,
-    start a contraction there; those that end within LOOK characters of its end are left out.
-    """
-    ends, ids, counts = [], [], []
-    for a, b in c.scan(text):
-        if b > len(text) - LOOK and not final:
-            break
-        found = c.piece(text[a:b])
-        ends.append(b)
-        ids += found
-        counts.append(len(found))
-    return np.array(ends, np.int64), np.array(counts, np.int64), np.array(ids, np.int64)
-
-
-def stitch(c: Codec, texts: list[str], encoded: list[tuple[np.ndarray, np.ndarray, np.ndarray]], chunk: int) -> list[int]:
-    """Ids of the whole text from its overlapping chunks, in order; offsets are of the whole text."""
-    ids: list[int] = []
-    at = 0  # the last sure boundary
-    for k, (ends, counts, found) in enumerate(encoded):
-        base, final = k * chunk, k == len(encoded) - 1
-        ends = ends + base
-        if at != base and not np.isin(at, ends):
-            # not in step with this chunk: scan on from the sure boundary until one of its boundaries is met
-            origin = at // chunk * chunk
-            whole = "".join([*(t[:chunk] for t in texts[origin // chunk : k]), texts[k]])
-            known = {base, *ends.tolist()}
-            for a, b in c.scan(whole, at - origin):
-                if b > len(whole) - LOOK and not final:
-                    break  # it may go on in the next chunk
-                ids += c.piece(whole[a:b])
-                at = b + origin
-                if at in known:
-                    break
-            if at not in known:
-                continue
-        first = int(np.searchsorted(ends, at, side="right"))
-        ids += found[int(counts[:first].sum()) :].tolist()
-        if len(ends):
-            at = max(at, int(ends[-1]))
-    return ids
-
-
-def _short(ranks: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks, pattern)
         for batch in batches:
-            rows = [c.digest(c.library.encode_ordinary(t)) for t in batch.column("text").to_pylist()]
-            n, ids, decoded = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield _digested(batch.column("doc_id"), [Digest(c).add(c.encode(t.as_py())).row() for t in batch.column("text")])
+            hand_back()
 
     return run
 
 
-def _chunks(ranks: str, pattern: str):
+def _scanned(ranks: str, pattern: str, size: int, overlap: int):
+    """Each chunk with its boundaries in the overlap with the chunk before (from 0 on) and the one after it, both
+    counted from the beginning of the overlap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks, pattern)
         for batch in batches:
-            for i in range(batch.num_rows):
-                packed = [pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in encode_chunk(c, batch.column("chunk")[i].as_py(), batch.column("final")[i].as_py())]
-                row = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*(row.column(x) for x in ("row", "doc_id", "k", "chunk")), *packed], ["row", "doc_id", "k", "chunk", "ends", "counts", "ids"])
+            heads, tails = [], []
+            for chunk, closing in zip(batch.column("chunk"), batch.column("closing")):
+                ends = list(c.boundaries(chunk.as_py(), closing.as_py()))
+                heads.append([0, *(e for e in ends if e <= overlap)])
+                tails.append([e - size for e in ends if e >= size])
+            both = [pa.array(x, pa.list_(pa.int32())) for x in (heads, tails)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "k", "chunk")), *both], ["row", "doc_id", "k", "chunk", "head", "tail"])
+            hand_back()
 
     return run
 
 
-def _stitched(ranks: str, pattern: str, size: int):
-    def run(table):
+def _encoded(ranks: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks, pattern)
-        rows = sorted(zip(*(table.column(x).to_pylist() for x in ("k", "chunk", "ends", "counts", "ids"))))
-        encoded = [tuple(np.frombuffer(x, "<u4").astype(np.int64) for x in r[2:]) for r in rows]
-        n, ids, decoded = c.digest(stitch(c, [r[1] for r in rows], encoded, size))
-        return pa.table({"doc_id": table.column("doc_id").slice(0, 1), "n_tokens": pa.array([n], pa.int64()), "ids_sha256": [ids], "decoded_sha256": [decoded]})
+        for batch in batches:
+            ids = [np.array(c.encode(p.as_py()), "<u4").tobytes() for p in batch.column("piece")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "k")), pa.array(ids, pa.binary())], ["row", "doc_id", "k", "ids"])
+            hand_back()
+
+    return run
+
+
+def _joined(ranks: str, pattern: str):
+    """Digests of texts whose pieces come one after the other; one piece is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, row, doc, digest = codec(ranks, pattern), None, None, None
+        for batch in batches:
+            for r, d, ids in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
+                if r != row:
+                    if digest:
+                        yield _digested(pa.array([doc], pa.int64()), [digest.row()])
+                    row, doc, digest = r, d, Digest(c)
+                digest.add(np.frombuffer(ids.as_buffer(), "<u4").tolist())
+        if digest:
+            yield _digested(pa.array([doc], pa.int64()), [digest.row()])
 
     return run
 
 
+def _stitched(texts: DataFrame, ranks: str, pattern: str, size: int, overlap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, pieces of the texts whose chunks all meet, rows of the others)."""
+    n = F.length("text")
+    parts = F.ceil(n / size).cast("int")
+    cut = texts.select("row", "doc_id", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("k"))
+    cut = cut.select("row", "doc_id", "k", F.substring("text", F.col("k") * size + 1, F.lit(size + overlap)).alias("chunk"), (F.col("k") * size + size + overlap >= F.col("n")).alias("closing"))
+    # a long text's chunks are dealt over tasks
+    chunks = cut.repartition("row", "k").mapInArrow(_scanned(ranks, pattern, size, overlap), "row long, doc_id long, k int, chunk string, head array<int>, tail array<int>")
+    chunks = materialise(chunks, "chunks")
+    after = chunks.select("row", (F.col("k") - 1).alias("k"), "head")
+    seams = materialise(chunks.select("row", "k", "tail").join(after, ["row", "k"]).select("row", "k", F.array_min(F.array_intersect("tail", "head")).alias("seam")), "seams")
+    apart = seams.where("seam is null").select("row").distinct()
+    bounds = seams.select("row", "k", (F.col("seam") + size).alias("stop")).join(seams.select("row", (F.col("k") + 1).alias("k"), F.col("seam").alias("start")), ["row", "k"], "full")
+    bounds = bounds.join(apart, "row", "left_anti")
+    pieces = chunks.join(apart, "row", "left_anti").join(bounds, ["row", "k"], "left")
+    start = F.coalesce("start", F.lit(0))
+    return chunks, pieces.select("row", "doc_id", "k", F.substring("chunk", start + 1, F.coalesce("stop", F.length("chunk")) - start).alias("piece")), apart
+
+
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Encode and decode every text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    short = texts.where(F.length("text") <= chunk).mapInArrow(_short(ranks, pattern), _RESULT_DDL)
-    long = texts.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
-    parts = F.ceil(F.length("text") / chunk).cast("int")
-    k = F.explode(F.sequence(F.lit(0), parts - 1))
-    cut = long.select("row", "doc_id", "text", parts.alias("parts"), k.alias("k"))
-    cut = cut.select("row", "doc_id", "k", F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("chunk"), (F.col("k") == F.col("parts") - 1).alias("final"))
-    # a long text's chunks are dealt over tasks before they are encoded
-    spread = cut.repartition("row", "k").mapInArrow(_chunks(ranks, pattern), "row long, doc_id long, k int, chunk string, ends binary, counts binary, ids binary")
-    return short.union(spread.groupBy("row").applyInArrow(_stitched(ranks, pattern, chunk), _RESULT_DDL))
+    out = texts.where(F.length("text") <= chunk).mapInArrow(_single(ranks, pattern), _RESULT_DDL)
+    long = materialise(texts.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "long-texts")
+    left, used, encoded = long, [long], []
+    while True:
+        chunks, pieces, apart = _stitched(left, ranks, pattern, chunk, overlap)
+        encoded.append(materialise(pieces.mapInArrow(_encoded(ranks, pattern), "row long, doc_id long, k int, ids binary"), "pieces"))
+        apart = materialise(apart, "apart")
+        used += [chunks, apart]
+        again = apart.count()
+        if not again:
+            break
+        left, chunk, overlap = long.join(maybe_broadcast(apart, again), "row", "left_semi"), chunk * GROWTH, overlap * GROWTH
+    remove(spark, *(table_path(t) for t in used))
+    for pieces in encoded:
+        ordered = pieces.repartition("row").sortWithinPartitions("row", "k")
+        out = out.union(ordered.mapInArrow(_joined(ranks, pattern), _RESULT_DDL))
+    return out
