@@ -2,16 +2,20 @@
 
 1. Every text becomes its set of distinct word shingles (63-bit hashes) and a sketch: the SKETCH smallest
    hashes. Texts with equal sets collapse to one node first.
-2. Inverted lists of the retained values tell which nodes can have a partner: two sets of Jaccard 0.8 share,
-   among the SKETCH smallest of their union, a binomial number of values; FLOOR of them lies six standard
-   deviations below the mean. For sets that fit into the sketch the bound is exact.
+2. Inverted lists of the retained values tell which nodes can have a partner: two sets of Jaccard p share, among
+   the SKETCH smallest of their union, a number of values that is binomial with mean SKETCH * p; the floor lies
+   DEVIATIONS standard deviations below. For p = 0.8 that is 32 of 64, and a pair falls under it with probability
+   2e-08. For sets that fit into the sketch the bound is certain. ``exact=True`` does without it: lists are then
+   made over whole sets for all nodes and no estimate filters, so every link is found for certain, at more cost.
 3. For those nodes the lists are ordered, rarest values first. Only the first values of a node matter (prefix
    and position bounds on what a partner must share), so a passage that many documents share makes no long list
    of candidates. The nodes of lists that are still long get lists over their whole sets instead, where the
-   bounds for Jaccard 0.8 are exact and drop all copies with too many changes of their own.
+   bounds are certain and drop all copies with too many changes of their own.
 4. In each list the members are paired with the most central one; the union-sketch estimate drops hopeless
-   pairs, full sets decide. Pairs left between different components of a list are decided in a second round.
-   Pairs inside a component cannot change the result and are not made, so a large group stays linear.
+   pairs, full sets decide. Pairs left between different components of a list are decided in a second round:
+   in lists over whole sets a member meets only those smaller ones whose size its position leaves within reach
+   (classes of sizes are part of the join's key), and two members of the list's largest component never meet.
+   Pairs inside a component cannot change the result, so a large group stays linear.
 
 Defined cases: null, empty and blank texts have n_shingles 0 and stand alone; rows that repeat a doc_id are one
 node of the graph; a null doc_id is linked with nothing, has a null component and is kept; an empty table gives
@@ -20,6 +24,7 @@ an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bound_batches, hand_back, materialise, maybe_broadcast, remove, table_path, text_buffers
+from .common import bound_batches, free_name, hand_back, materialise, maybe_broadcast, remove, table_path, text_buffers
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
 SKETCH = 64
-#: Least shared values, of SKETCH, for a pair of Jaccard 0.8: 51.2 - 6 * sqrt(64 * 0.8 * 0.2).
-FLOOR = 32
+#: How many standard deviations below its mean an estimate may lie before a pair is ruled out.
+DEVIATIONS = 6
+#: Ratio of the sizes in one class of the second round's join.
+CLASS_RATIO = 1.05
 #: Longer lists of sketch values are replaced by lists over whole sets, whose bounds prune far more.
 LONG_LIST = 64
 _SKETCHES_DDL = "doc_id long, n long, fp1 long, fp2 long, sketch array<long>"
@@ -82,9 +89,15 @@ def _fits(percent: int):
     return run
 
 
+def floor_of(percent: int) -> int:
+    """Least shared values, of SKETCH, for a pair of that Jaccard, but for DEVIATIONS; at least one."""
+    p = percent / 100
+    return max(1, math.ceil(SKETCH * p - DEVIATIONS * math.sqrt(SKETCH * p * (1 - p)) - 1e-9))
+
+
 def _least_shared(n, percent: int):
     """Values of a sketch that a partner must share: exact where the union fits into the sketch."""
-    return F.when(n * 100 <= SKETCH * percent, F.ceil(n * percent / 100)).otherwise(F.lit(FLOOR).cast("long"))
+    return F.when(n * 100 <= SKETCH * percent, F.ceil(n * percent / 100)).otherwise(F.lit(floor_of(percent)).cast("long"))
 
 
 def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -95,14 +108,14 @@ def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = joined.join(slim.select(F.col("doc_id").alias("b"), F.col("sketch").alias("kb")), "b")
     union = F.slice(F.array_sort(F.array_union("ka", "kb")), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect("ka", "kb"), union))
-    room = F.when(F.size(union) < SKETCH, 0.0).otherwise(6 * F.sqrt(F.size(union) * t * (1 - t)))
+    room = F.when(F.size(union) < SKETCH, 0.0).otherwise(DEVIATIONS * F.sqrt(F.size(union) * t * (1 - t)))
     return joined.where(shared >= F.size(union) * t - room - 1e-9).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, exact: bool) -> DataFrame:
     """The pairs that full sets confirm."""
     full = sets.select("doc_id", "shingles")
-    joined = _estimated(pairs, sets, percent).join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    joined = (pairs if exact else _estimated(pairs, sets, percent)).join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     joined = joined.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     links = joined.mapInArrow(_fits(percent), "a long, b long, linked boolean")
     return materialise(links.where("linked").select("a", "b"), "links")
@@ -130,8 +143,10 @@ def _possible(x, y, percent: int):
     return (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent) & (F.least(x("size") - x("pos"), y("size") - y("pos")) >= need)
 
 
-def _candidate_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """Lists of sketch values, and of whole sets for the nodes of long lists."""
+def _candidate_lists(sets: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Lists of sketch values (kind 0), and of whole sets (kind 1) for the nodes of long lists or, if exact, for all."""
+    if exact:
+        return materialise(_ranked_lists(sets, "shingles", F.ceil(F.col("n") * percent / 100)).withColumn("kind", F.lit(1)), "lists")
     short = materialise(_ranked_lists(sets, "sketch", _least_shared(F.col("n"), percent)), "sketch-lists")
     long = short.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > LONG_LIST).select("value")
     crowd = materialise(short.join(long, "value", "left_semi").select("doc_id").distinct(), "crowd")
@@ -140,8 +155,36 @@ def _candidate_lists(sets: DataFrame, percent: int) -> DataFrame:
     return materialise(short.join(long, "value", "left_anti").withColumn("kind", F.lit(0)).unionByName(whole.withColumn("kind", F.lit(1))), "lists")
 
 
-def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def _rest(placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(Pairs (a, b) between different components of a list that bounds don't rule out, the long lists' table).
+
+    With x the larger set: x's position leaves it n_x - pos values to share, so its partner has at most
+    (n_x - pos) * (100 + p) / p - n_x of them; likewise for y. Only members that reach their own size can be y.
+    """
+    sides = lambda s: (lambda c: F.col(f"{s}.{c}"))
+    x, y = sides("x"), sides("y")
+    apart = (x("value") == y("value")) & (x("component") != y("component")) & _possible(x, y, percent)
+    pair = [F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")]
+    short = placed.where("kind = 0")  # at most LONG_LIST members each
+    found = short.alias("x").join(short.alias("y"), apart & (x("doc_id") < y("doc_id"))).select(*pair)
+    reach = (F.col("size") - F.col("pos")) * ((100 + percent) / percent) - F.col("n")
+    size_class = lambda n: F.floor(F.log(n) / math.log(CLASS_RATIO)).cast("int")
+    long = placed.where("kind = 1").withColumn("reach", reach + 1e-6)
+    most = long.groupBy("value", "component").agg(F.count("*").alias("m")).groupBy("value").agg(F.max_by("component", F.struct("m", "component")).alias("largest"))
+    long = materialise(long.join(most, "value").withColumn("main", F.col("component") == F.col("largest")).drop("largest"), "long-lists")
+    least = F.ceil(F.col("n") * percent / 100 - 1e-9)
+    larger = long.where(F.col("reach") >= least).withColumn("class", F.explode(F.sequence(size_class(least), size_class(F.least("n", F.floor("reach"))))))
+    smaller = long.where(F.col("reach") >= F.col("n")).withColumn("class", size_class(F.col("n")))
+    ordered = F.struct(y("n"), y("doc_id")) < F.struct(x("n"), x("doc_id"))
+    for left, right in ((larger.where("not main"), smaller), (larger.where("main"), smaller.where("not main"))):
+        found = found.union(left.alias("x").join(right.alias("y"), apart & (x("class") == y("class")) & ordered).select(*pair))
+    return found.distinct(), long
+
+
+def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be in 1 to 100")
     spark = docs.sparkSession
     bound_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -154,35 +197,35 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     others = member.where("rep <> doc_id").select("doc_id")
     nodes = usable.join(maybe_broadcast(others, others.count()), "doc_id", "left_anti").select("doc_id", "n", "sketch")
 
-    values = nodes.select("doc_id", F.explode("sketch").alias("value"))
-    lists = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value")
-    overlaps = values.join(lists, "value", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
-    wanted = overlaps.join(nodes.select("doc_id", "n"), "doc_id").where(F.col("shared") >= _least_shared(F.col("n"), percent))
-    wanted = materialise(wanted.select("doc_id"), "candidates")
+    if exact:
+        wanted = nodes.select("doc_id")
+    else:
+        values = nodes.select("doc_id", F.explode("sketch").alias("value"))
+        lists = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value")
+        overlaps = values.join(lists, "value", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
+        wanted = overlaps.join(nodes.select("doc_id", "n"), "doc_id").where(F.col("shared") >= _least_shared(F.col("n"), percent)).select("doc_id")
+    wanted = materialise(wanted, "candidates")
     sets = texts.join(maybe_broadcast(wanted, wanted.count()), "doc_id", "left_semi").mapInArrow(_per_text(width, True), _SETS_DDL)
     sets = materialise(sets.where("n > 0"), "sets")
     remove(spark, table_path(wanted))
-    ranked = _candidate_lists(sets, percent)
+    ranked = _candidate_lists(sets, percent, exact)
 
     centre = ranked.groupBy("kind", "value").agg(F.min(F.struct("pos", "doc_id", "n", "size", "need")).alias("c"), F.count("*").alias("m")).where("m > 1").drop("m")
     star = ranked.join(centre, ["kind", "value"]).where(F.col("doc_id") != F.col("c.doc_id"))
     star = star.where(_possible(F.col, lambda c: F.col(f"c.{c}"), percent))
     star = star.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
-    first = _verified(star, sets, percent)
+    first = _verified(star, sets, percent, exact)
     found = connected_components(first)
 
     placed = ranked.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("kind", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("kind", "value")
     placed = materialise(placed.join(mixed, ["kind", "value"]), "mixed")
-    x, y = placed.alias("x"), placed.alias("y")
-    same_list = (F.col("x.kind") == F.col("y.kind")) & (F.col("x.value") == F.col("y.value"))
-    rest = x.join(y, same_list & (F.col("x.component") < F.col("y.component")) & _possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent))
-    rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    second = _verified(rest, sets, percent)
+    rest, long_lists = _rest(placed, percent)
+    second = _verified(rest, sets, percent, exact)
     joined = second.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     merged = connected_components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     final = _compose(found, merged)
-    remove(spark, *(table_path(t) for t in (sketches, copies, sets, ranked, placed, first, second)))
+    remove(spark, *(table_path(t) for t in (sketches, copies, sets, ranked, placed, long_lists, first, second)))
     out = member.join(final, "rep", "left")
     component = F.coalesce("component_id", "rep")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -196,7 +239,7 @@ def _compose(found: DataFrame, merged: DataFrame) -> DataFrame:
     return one.union(alone)
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """The rows that stay (one document of each group), with all their columns."""
-    gone = near_copies(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_copy_id"))
-    return docs.join(maybe_broadcast(gone, gone.count()), docs["doc_id"] == gone["_copy_id"], "left_anti")
+    gone = near_copies(docs, width, percent, exact).where("not kept").select(F.col("doc_id").alias(free_name(docs, "copy_id")))
+    return docs.join(maybe_broadcast(gone, gone.count()), docs["doc_id"] == gone[gone.columns[0]], "left_anti")

@@ -25,7 +25,7 @@ def test_exact(spark, docs, rows, empty):
         assert r.group_size == size and (r.keep_id if r.keep_id is not None else 1 << 62) == keep and r.kept == (r.doc_id == r.keep_id)
     left = exact_dedup.drop_copies(docs)
     assert left.columns == docs.columns
-    assert len({normal(r.text) for r in left.collect()}) == len(groups)
+    assert sorted(normal(r.text) for r in left.collect()) == sorted(groups)
     assert exact_dedup.find_copies(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
 
 
@@ -36,6 +36,27 @@ def test_exact_large_group(spark):
     assert [tuple(r) for r in hot] == [(0, 1000)]
 
 
+def test_exact_rows_that_repeat(spark):
+    rows = [(1, "a b", 7), (1, "a b", 7), (2, "ab", 8), (1, "ab", 9), (None, "x", 1), (None, "x", 1), (None, "y", 1), (3, "z", 1), (3, "other", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, copy_id int").withColumnRenamed("copy_id", "copy_hash").repartition(3)
+    left = [tuple(r) for r in exact_dedup.drop_copies(d).collect()]
+    assert sorted(left, key=repr) == sorted([(1, "a b", 7), (None, "x", 1), (None, "y", 1), (3, "z", 1), (3, "other", 1)], key=repr)
+
+
+def test_exact_over_borders(spark, monkeypatch):
+    """Many texts that begin alike, held by more rows than a range takes, and texts of white space before them."""
+    rng = random.Random(6)
+    begin = "the same beginning of very many texts that goes on for more than the splitters can tell apart"
+    rows = [(i, " " * rng.choice([0, 0, 400]) + begin + str(rng.randrange(40)) + " " * rng.randrange(3)) for i in range(1500)] + [(2000 + i, f"text {i % 200}") for i in range(500)]
+    rng.shuffle(rows)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(normal(t), []).append((-len(t), i))
+    want = {i: (min(g)[1], len(g)) for g in groups.values() for _, i in g}
+    got = exact_dedup.find_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == want
+
+
 def shingles(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -98,6 +119,31 @@ def test_near_at_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == brute(rows, 4, 80)
 
 
+@pytest.mark.parametrize("percent,exact", [(35, False), (80, True)])
+def test_near_other_thresholds(spark, percent, exact):
+    rng = random.Random(percent)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for n in range(30):
+        base = rng.choices(words, k=rng.choice([4, 60, 200]))
+        other = base[: int(len(base) * rng.uniform(0.3, 1))]
+        rows += [(3 * n, " ".join(base)), (3 * n + 1, " ".join(other + rng.choices(words, k=rng.randint(0, len(base) // 2)))), (3 * n + 2, " ".join(rng.choices(words, k=40)))]
+    got = near_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, percent, exact)
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute(rows, 4, percent)
+
+
+def test_near_common_text(spark, monkeypatch):
+    """Documents that share most of their words without being copies, and copies among them, in lists that are long."""
+    monkeypatch.setattr(near_dedup, "LONG_LIST", 8)
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(5000)]
+    common = rng.choices(words, k=170)
+    rows = [(n, " ".join(common + rng.choices(words, k=rng.choice([15, 30, 45])))) for n in range(150)]
+    rows += [(500 + n, " ".join(common + words[:20] + rng.choices(words, k=3))) for n in range(30)] + [(600, " ".join(common[:150])), (601, " ".join(common))]
+    got = near_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 80)
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute(rows, 4, 80)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(k, k + 1) for k in range(300, 340)] + [(5, 5)]
