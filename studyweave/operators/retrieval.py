@@ -1,23 +1,26 @@
 """Hybrid retrieval: vector similarity and text relevance blended, then re-ranked per query.
 
-Query tables are small by contract (a stated set of questions); they are broadcast only after their rows were
-counted, and go in blocks otherwise. Every chunk is scored against every query - no candidate limit - but besides
-pairs with common terms only the best k per query and task are shuffled, since Spark limits ranked windows before
-the exchange.
+Query tables are small by contract (a stated set of questions); they go to the tasks in blocks of a checked size in
+bytes. Every chunk is scored against every query, a block of queries and a batch of chunks as one matrix product - no
+candidate limit - but besides pairs with common terms only the best k per query and task are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
 
-#: Rows of queries in one broadcast.
-QUERY_BLOCK = 10_000
+#: Bytes of query vectors in one block, and queries in one matrix product.
+BLOCK_BYTES = 16_000_000
+SLICE = 256
 #: BM25 parameters.
 K1, B = 1.2, 0.75
 
@@ -48,25 +51,74 @@ def text_relevance(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return asked.join(weighed.select("term", "chunk_id", weight.alias("w")), "term").groupBy("query_id", "chunk_id").agg(F.sum("w").alias("bm25"))
 
 
-def _block(queries: DataFrame, chunks: DataFrame, k: int, sim_weight: float, text_weight: float, boosted: Column, page_proximity: bool) -> DataFrame:
+def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors of the arrays of that size, zero rows for others, nulls and zero vectors."""
+    out = np.zeros((len(lists), dim))
+    rows = np.flatnonzero(lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dim)
+    if len(rows):
+        x = lists.take(pa.array(rows)).flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, dim)
+        size = np.sqrt((x * x).sum(1))
+        out[rows] = np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] > 0)
+    return np.nan_to_num(out)
+
+
+def _nearest(ids: np.ndarray, vectors: list[np.ndarray], k: int, factor: float, proximity: bool):
+    """Of each query (in slices of unit vectors) the task's k best chunks by similarity and page, ties to the smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros((len(v), 0)), np.zeros((len(v), 0), np.int64)) for v in vectors]
+        for batch in batches:
+            chunk = batch.column("chunk_id").to_numpy()
+            near = np.maximum(1.0, 1 + np.maximum(0, 10 - batch.column("page_number").fill_null(10).to_numpy()) * 0.02) if proximity else np.ones(len(chunk))
+            x = _matrix(batch.column("embedding"), vectors[0].shape[1]).T
+            for n, v in enumerate(vectors):
+                score = np.round(np.round(v @ x, 6) * factor * near, 9)
+                scores, chunks = np.concatenate([best[n][0], score], 1), np.concatenate([best[n][1], np.broadcast_to(chunk, score.shape)], 1)
+                top = np.lexsort((chunks, -scores), axis=1)[:, :k]
+                best[n] = np.take_along_axis(scores, top, 1), np.take_along_axis(chunks, top, 1)
+        at = 0
+        for (scores, chunks), v in zip(best, vectors):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + len(v)], scores.shape[1])), pa.array(scores.ravel()), pa.array(chunks.ravel())], ["query_id", "score", "chunk_id"])
+            at += len(v)
+
+    return run
+
+
+def _alone(queries: DataFrame, chunks: DataFrame, k: int, factor: float, proximity: bool) -> DataFrame:
+    """(query_id, chunk_id): each query's k best chunks by similarity alone. The queries' vectors are read to the driver."""
+    table = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).toArrow().combine_chunks()
+    lists = table.column("embedding").combine_chunks()
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("page_number").cast("long").alias("page_number"), "embedding")
+    found, ids = [], table.column("query_id").to_numpy()
+    for dim in np.unique(sizes).tolist():  # one size as a rule; queries without vector have size 0 with every chunk
+        of = np.flatnonzero(sizes == dim)
+        v = _matrix(lists.take(pa.array(of)), dim)
+        run = _nearest(ids[of], [v[a : a + SLICE] for a in range(0, len(v), SLICE)], k, factor, proximity)
+        best = rows.mapInArrow(run, "query_id long, score double, chunk_id long")
+        found.append(_ranked(best, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id"))
+    return reduce(DataFrame.union, found)
+
+
+def _block(queries: DataFrame, chunks: DataFrame, k: int, sim_weight: float, text_weight: float, factor: float, page_proximity: bool) -> DataFrame:
     """The k best chunks of a block of queries.
 
     Two sets of pairs hold them: those with a common term, and per query the k best by similarity alone. A pair
     without common terms that is among the best is also among those k, since text only adds to a score. So pairs
-    of all chunks and queries are never shuffled.
+    of all chunks and queries are never made as rows.
     """
-    asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("qv"), T.length_of(F.col("embedding")).alias("ql")))
-    lying = chunks.select("chunk_id", "resource_id", "page_number", "embedding", T.length_of(F.col("embedding")).alias("cl"))
+    asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("qv"), T.length_of(F.col("embedding")).alias("ql")))  # a block of checked size
+    lying = chunks.select("chunk_id", "resource_id", "page_number", "embedding")
     columns = ["query_id", "chunk_id", "resource_id", "page_number"]
-    sim = F.round(T.cosine(F.col("qv"), F.col("embedding"), F.col("ql"), F.col("cl")), 6).alias("sim")
+    sim = F.round(T.cosine(F.col("qv"), F.col("embedding"), F.col("ql"), T.length_of(F.col("embedding"))), 6).alias("sim")
     near = F.greatest(F.lit(1.0), 1 + F.greatest(F.lit(0), 10 - F.col("page_number")) * 0.02) if page_proximity else F.lit(1.0)
-    score = F.round((sim_weight * F.col("sim") + text_weight * F.col("bm25")) * boosted * near, 9)
+    score = F.round((sim_weight * F.col("sim") + text_weight * F.col("bm25")) * F.lit(factor) * near, 9)
 
-    alone = asked.join(lying, how="cross").select(*columns, sim, F.lit(0.0).alias("bm25")).withColumn("score", score)
-    alone = _ranked(alone, k, F.desc("score"), F.col("chunk_id")).select(*columns, "sim", "bm25")
-    shared = text_relevance(queries, chunks).join(lying, "chunk_id").join(asked, "query_id").select(*columns, sim, F.round(F.col("bm25") / (1 + F.col("bm25")), 6).alias("bm25"))
-    pairs = alone.union(shared).groupBy(*columns, "sim").agg(F.max("bm25").alias("bm25")).withColumn("score", score)
-    return _ranked(pairs, k, F.desc("score"), F.col("chunk_id"))
+    alone = _alone(queries, chunks, k, sim_weight * factor, page_proximity).withColumn("bm25", F.lit(0.0))
+    shared = text_relevance(queries, chunks).withColumn("bm25", F.round(F.col("bm25") / (1 + F.col("bm25")), 6)).select("query_id", "chunk_id", "bm25")
+    pairs = alone.unionByName(shared).groupBy("query_id", "chunk_id").agg(F.max("bm25").alias("bm25"))
+    scored = pairs.join(lying, "chunk_id").join(asked, "query_id").select(*columns, sim, "bm25").withColumn("score", score)
+    return _ranked(scored, k, F.desc("score"), F.col("chunk_id"))
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, sim_weight: float = 0.7, text_weight: float = 0.3, resource: str | None = None, boost: float = 1.0, page_proximity: bool = True) -> DataFrame:
@@ -74,17 +126,14 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, sim_weight
 
     ``queries``: query_id, text, embedding; ``chunks``: chunk_id, resource_id, page_number, full_text, embedding.
     A missing vector has similarity 0. With ``resource``, only its chunks are searched and ``boost`` applies.
-    Relevance is BM25 / (1 + BM25), so both parts are within one. Weights must not be negative.
+    Relevance is BM25 / (1 + BM25), so both parts are within one. Weights must not be negative. Ids are numbers.
     """
     if resource is not None:
         chunks = chunks.where(F.col("resource_id") == resource)
-    factor = F.lit(boost if resource is not None else 1.0)
-    n = queries.count()
-    blocks = [queries]
-    if n > QUERY_BLOCK:
-        parts = -(-n // QUERY_BLOCK)
-        blocks = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
-    return reduce(DataFrame.unionByName, (_block(q, chunks, k, sim_weight, text_weight, factor, page_proximity) for q in blocks))
+    n, width = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    parts = max(1, -(-n * (8 * max(width or 0, 1) + 64) // BLOCK_BYTES))
+    blocks = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [queries]
+    return reduce(DataFrame.unionByName, (_block(q, chunks, k, sim_weight, text_weight, boost if resource is not None else 1.0, page_proximity) for q in blocks))
 
 
 def relevant(hits: DataFrame, score: float = 0.35, sim: float = 0.30, bm25: float = 0.15, relax: bool = False) -> DataFrame:
