@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -16,26 +18,39 @@ try:
 except (OSError, AttributeError):  # another C library
     _LIBC = None
 
-#: Where intermediate tables go when the session names no shared folder (single-machine runs, tests).
+#: Where intermediate tables go on a single machine whose session names no shared folder.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/studyweave"
 
-#: Rows of an Arrow batch, where the session has Spark's default: texts may be long, and JVM and Python hold a batch each.
+#: Rows and bytes of an Arrow batch, where the session has Spark's defaults: JVM and Python hold a batch each.
 BATCH_ROWS = 2_000
+BATCH_BYTES = 4_000_000
 
 #: Bytes that a broadcast may hold, by counted rows and their size.
 BROADCAST_BYTES = 16_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one on a single machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path or LOCAL_CHECKPOINTS
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches for this session, unless its user chose a size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) == 10_000:
-        spark.conf.set(key, BATCH_ROWS)
+    """Smaller Arrow batches for this session, unless its user chose sizes."""
+    for key, default, bound in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", f"{64 << 20}b", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, bound)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def hand_back() -> None:
@@ -45,8 +60,23 @@ def hand_back() -> None:
         _LIBC.malloc_trim(0)
 
 
+_scratch: dict[str, SparkSession] = {}
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new path below this application's own folder."""
+    top = f"{shared_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+    _scratch[top] = spark
+    return f"{top}/{tag}-{uuid.uuid4().hex}"
+
+
+@atexit.register
+def release() -> None:
+    """Delete all intermediate tables of this process; results that still read them must have been written before."""
+    while _scratch:
+        top, spark = _scratch.popitem()
+        if spark.sparkContext._jsc is not None:  # not stopped
+            remove(spark, top)
 
 
 def materialise(df: DataFrame, tag: str, path: str | None = None, codec: str = "zstd") -> DataFrame:

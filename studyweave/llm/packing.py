@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bound_batches, materialise, remove, table_path
 from .tokens import encoder
 
 #: Tokens of a bin, and pieces that one task packs.
@@ -174,6 +174,7 @@ def _pack_group(capacity: int, last: bool, turn: int):
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most ``capacity`` tokens of every text with its end id."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(_pieces(tokenizer, end, capacity), _PIECES_DDL)
 

@@ -5,12 +5,13 @@ entities. A term discloses an entity if knowing the term leaves little of the en
 PMI(e; t) = log2 p(t | e) / p(t) over the corpus, term t discloses e where PMI(e; t) >= ALPHA * IC(e),
 IC(e) = -log2 p(e). p(t) and p(e) are shares of all lines; p(t | e) is the share of e's distinct lines that
 hold t, so copies of a document are no evidence. A context is the whole line, and a pair needs SUPPORT of them.
-Disclosing terms become spans of kind ``term`` in documents that hold the entity; base spans stay. All counts are
-exact and cover every line of every document.
+A line holds the terms that stand anywhere in it, inside personal data too: a name in an address is a term like
+any other. Disclosing terms become spans of kind ``term`` in documents that hold the entity; base spans stay. All
+counts are exact and cover every line of every document.
 
 Defined cases: null text is empty (no spans); base matches that fail their check are dropped and not retried;
 terms inside or across base spans are not marked; rows that repeat a doc_id or have none stay separate; an
-empty table gives an empty result.
+empty table gives an empty result; input columns of any name are kept by :func:`sanitise_documents`.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialise, maybe_broadcast
+from .common import BROADCAST_BYTES, bound_batches, free_name, hand_back, materialise, maybe_broadcast, remove, table_path
 
 #: Share of an entity's information content that a term must reveal, and distinct contexts that show it.
 ALPHA = 0.9
 SUPPORT = 3
-#: Letters of a term; shorter words reveal nothing by themselves.
-TERM = r"[^\W\d_]{3,}"
+#: A term: a run of characters but for ASCII and Latin-1 signs, digits, punctuation and symbols. Shorter words reveal
+#: nothing by themselves. Ranges are written out so that Java and Python read the same terms.
+TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\xA9\\xAB-\\xB4\\xB6-\\xB9\\xBB-\\xBF\\xD7\\xF7\\u2000-\\u206F\\u20A0-\\u2BFF\\u2E00-\\u2E7F\\u3000-\\u303F\\uFE30-\\uFE6F\\uFF00-\\uFF20\U0001F000-\U0001FAFF]{3,}"
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -88,18 +90,6 @@ def _joined(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def _free_terms(word: re.Pattern, text: str, low: int, high: int, spans) -> list[re.Match]:
-    """Terms of text[low:high] outside all base spans (in order of their starts)."""
-    out, k, covered = [], 0, 0
-    for m in word.finditer(text, low, high):
-        while k < len(spans) and spans[k][0] < m.end():
-            covered = max(covered, spans[k][1])
-            k += 1
-        if m.start() >= covered:
-            out.append(m)
-    return out
-
-
 def _found(whole: bool):
     """Per document: the lines that hold entities, by the hash of their text, with these or, if whole, their terms."""
     kinds = pa.list_(pa.struct([("line", pa.int64()), ("held", pa.list_(pa.string()))]))
@@ -108,19 +98,20 @@ def _found(whole: bool):
         word = re.compile(TERM)
         for batch in batches:
             contexts = []
-            for text in batch.column("text").to_pylist():
+            for value in batch.column("text"):
+                text = value.as_py()
                 rows, spans, k = [], base_spans(text), 0
                 while k < len(spans):
                     low, high = text.rfind("\n", 0, spans[k][0]) + 1, text.find("\n", spans[k][1])
                     high, first = high if high >= 0 else len(text), k
                     while k < len(spans) and spans[k][0] < high:
                         k += 1
-                    here = spans[first:k]
-                    held = {m[0].lower() for m in _free_terms(word, text, low, high, here)} if whole else {f"{kind}:{text[a:b].lower()}" for a, b, kind in here}
+                    held = {w.lower() for w in word.findall(text, low, high)} if whole else {f"{kind}:{text[a:b].lower()}" for a, b, kind in spans[first:k]}
                     key = int.from_bytes(hashlib.blake2b(text[low:high].encode(), digest_size=8).digest(), "little", signed=True)
                     rows.append({"line": key, "held": sorted(held)})
                 contexts.append(rows)
             yield pa.RecordBatch.from_arrays([pa.array(contexts, kinds)], ["contexts"])
+            hand_back()
 
     return run
 
@@ -140,9 +131,10 @@ def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPO
     Whole lines move only where they can matter: entities need ``support`` distinct lines, and as p(t | e) is 1 at
     most, a term that is in more than p(e) ** alpha of all lines (an entity's bound) cannot disclose it.
     """
+    bound_batches(docs.sparkSession)
     texts = _texts(docs).select("text")
     hits = _contexts(texts, False).select("line", F.explode("held").alias("entity")).groupBy("entity", "line").agg(F.count("*").alias("times"))
-    hits = materialise(hits, "contexts")
+    hits = all_hits = materialise(hits, "contexts")
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     total = F.lit(texts.agg(F.sum(breaks + 1).alias("n")).first().n or 0).cast("double")
     share = F.least(F.lit(1.0), F.col("times") / total)
@@ -150,16 +142,19 @@ def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPO
     per_entity = materialise(per_entity.withColumn("bound", total * F.pow(share, F.lit(alpha)) * 1.000001), "entities")
     strong, size = per_entity.agg(F.count("*"), F.sum(F.length("entity") + 48)).first()
     if not strong:
-        return hits.select("entity", F.array("entity").alias("terms")).limit(0)
+        remove(docs.sparkSession, table_path(all_hits), table_path(per_entity))
+        return docs.sparkSession.createDataFrame([], "entity string, terms array<string>")
     hits = materialise(hits.select("entity", "line").join(maybe_broadcast(per_entity.select("entity", "bound"), strong, size / strong), "entity"), "strong")
     keep = materialise(hits.groupBy("line").agg(F.max("bound").alias("most")), "lines")
     # each distinct line once, with its terms
     held = _contexts(texts, True).join(maybe_broadcast(keep, keep.count()), "line").groupBy("line").agg(F.first("held").alias("held"), F.first("most").alias("most"))
-    held = materialise(held, "line-terms").select("line", "most", F.explode("held").alias("term"))
+    line_terms = materialise(held, "line-terms")
+    held = line_terms.select("line", "most", F.explode("held").alias("term"))
     wanted = materialise(held.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("term"), "wanted")
     # every line of the corpus counts for the terms that could disclose something; sums are made before the shuffle
     lines = texts.select(F.explode(F.split("text", "\n")).alias("line"))
-    words = lines.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("term"))
+    found = F.array_join(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)), "\n")  # each term is put in lower case by itself
+    words = lines.select(F.explode(F.array_distinct(F.split(F.lower(found), "\n"))).alias("term"))
     few = wanted.count() * 48 <= BROADCAST_BYTES
     words = (words.join(F.broadcast(wanted), "term", "left_semi") if few else words).groupBy("term").agg(F.count("*").alias("n_term"))
     spread = materialise(words if few else words.join(wanted, "term", "left_semi"), "spread")
@@ -169,7 +164,9 @@ def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPO
     scored = together.join(maybe_broadcast(per_entity, strong, size / strong), "entity")
     pmi = F.log2(F.col("n_both") / F.col("n_entity") * total / F.col("n_term"))
     content = -F.log2(share)
-    return materialise(scored.where(pmi >= alpha * content).groupBy("entity").agg(F.sort_array(F.collect_set("term")).alias("terms")), "disclosing")
+    result = materialise(scored.where(pmi >= alpha * content).groupBy("entity").agg(F.sort_array(F.collect_set("term")).alias("terms")), "disclosing")
+    remove(docs.sparkSession, *(table_path(t) for t in (all_hits, per_entity, hits, keep, line_terms, wanted, spread)))
+    return result
 
 
 def all_spans(text: str, terms: list[str] | None) -> tuple[list, list]:
@@ -190,12 +187,14 @@ def all_spans(text: str, terms: list[str] | None) -> tuple[list, list]:
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, terms in zip(batch.column("text").to_pylist(), batch.column("_terms").to_pylist()):
-            base, spans = all_spans(text, terms)
+        for text, terms in zip(batch.column("text"), batch.column("terms")):
+            text = text.as_py()
+            base, spans = all_spans(text, terms.as_py())
             rows.append([sum(s[2] == kind for s in base) for kind in KINDS] + [hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), sanitise(text, spans)])
         columns = list(zip(*rows)) if rows else [()] * 7
         types = [pa.int64()] * 4 + [pa.string()] * 3
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "clean_text"])
+        hand_back()
 
 
 def sanitise(text: str, spans) -> str:
@@ -214,45 +213,48 @@ def sanitise(text: str, spans) -> str:
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [sorted({f"{kind}:{text[a:b].lower()}" for a, b, kind in base_spans(text)}) for text in batch.column("text").to_pylist()]
+        found = [sorted({f"{kind}:{text[a:b].lower()}" for a, b, kind in base_spans(text)}) for text in (value.as_py() for value in batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.list_(pa.string()))], ["row", "entities"])
 
 
-def _with_terms(docs: DataFrame, alpha: float, support: int) -> DataFrame:
-    """The input's rows with the terms that disclose an entity they hold, as column _terms (null: none)."""
+def _with_terms(docs: DataFrame, alpha: float, support: int, name: str) -> DataFrame:
+    """The input's rows with the terms that disclose an entity they hold, as column ``name`` (null: none)."""
     terms = disclosing_terms(docs, alpha, support)
     known, size = terms.agg(F.count("*"), F.sum(F.size("terms") * 24 + 48)).first()
     if not known:
-        return docs.withColumn("_terms", F.lit(None).cast("array<string>"))
+        return docs.withColumn(name, F.lit(None).cast("array<string>"))
     # equal texts share their terms, so the text's hash is key enough
-    text = F.coalesce("text", F.lit(""))
+    text, key = F.coalesce("text", F.lit("")), free_name(docs, name + "_row")
     held = docs.where(text.rlike("[@+0-9]")).select(F.xxhash64(text).alias("row"), text.alias("text"))
     held = held.mapInArrow(_entities, "row long, entities array<string>").select("row", F.explode("entities").alias("entity")).distinct()
-    per_text = held.join(maybe_broadcast(terms, known, size / known), "entity").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("_terms"))
-    per_text = materialise(per_text, "text-terms").withColumnRenamed("row", "_row")
-    rows, size = per_text.agg(F.count("*"), F.sum(F.size("_terms") * 24 + 32)).first()
-    return docs.withColumn("_row", F.xxhash64(text)).join(maybe_broadcast(per_text, rows, size / max(rows, 1) if size else 32), "_row", "left").drop("_row")
+    per_text = held.join(maybe_broadcast(terms, known, size / known), "entity").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias(name))
+    per_text = materialise(per_text, "text-terms").withColumnRenamed("row", key)
+    remove(docs.sparkSession, table_path(terms))
+    rows, size = per_text.agg(F.count("*"), F.sum(F.size(name) * 24 + 32)).first()
+    return docs.withColumn(key, F.xxhash64(text)).join(maybe_broadcast(per_text, rows, size / max(rows, 1) if size else 32), key, "left").drop(key)
 
 
 def find_personal_data(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and clean_text of every document."""
-    rows = _with_terms(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), alpha, support)
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_terms")
+    rows = _with_terms(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), alpha, support, "terms")
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "terms")
     return rows.mapInArrow(_marked, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, clean_text string")
 
 
 def sanitise_documents(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """The input's rows and columns with spans generalised in text, and n_chars following it. Null texts stay null."""
+    held = free_name(docs, "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column("text").to_pylist(), batch.column("_terms").to_pylist())
+            pairs = ((text.as_py(), terms.as_py()) for text, terms in zip(batch.column("text"), batch.column(held)))
             texts = [None if t is None else sanitise(t, all_spans(t, terms)[1]) for t, terms in pairs]
-            columns = {name: batch.column(name) for name in batch.schema.names if name != "_terms"}
+            columns = {name: batch.column(name) for name in batch.schema.names if name != held}
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
                 n = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
                 columns["n_chars"] = n.fill_null(0) if n.null_count and not columns["n_chars"].null_count else n
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            hand_back()
 
-    return _with_terms(docs, alpha, support).mapInArrow(run, docs.schema)
+    return _with_terms(docs, alpha, support, held).mapInArrow(run, docs.schema)

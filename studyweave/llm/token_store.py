@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import rans
-from .common import materialise, partitions, remove, shared_path
+from .common import bound_batches, materialise, partitions, remove, shared_path
 from .tokens import encoder
 
 #: A block is closed by the document that takes it to so many tokens.
@@ -104,6 +104,7 @@ def _coded(freq: np.ndarray):
 def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2, path: str | None = None) -> TokenStore:
     """Encode every text, append ``end`` and write the data set. ``tokenizer``: a vocabulary file of word-level BPE."""
     spark = docs.sparkSession
+    bound_batches(spark)
     if encoder(tokenizer).library.get_vocab_size() > 1 << 16 or end >= 1 << 16:
         raise ValueError("ids must fit into 16 bits")
     path = path or shared_path(spark, "token-blocks")

@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import byte_slices, text_buffers
+from .common import byte_slices, hand_back, text_buffers
 
-#: Bytes of text encoded at once, and words per generation of the cache (two are held).
-SLICE_BYTES = 6_000_000
-CACHE_WORDS = 300_000
+#: Bytes of text encoded at once, and words and their bytes per generation of the cache (two are held).
+SLICE_BYTES = 1_000_000
+CACHE_WORDS = 100_000
+CACHE_BYTES = 2_000_000
 #: ASCII punctuation that the vocabulary's pre-tokens take as one run after a word (the apostrophe starts contractions).
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A word of its own between the words of one library call; it never comes from a text's words there.
@@ -32,14 +33,22 @@ class WordEncoder:
     """Exact ids of the tokenizers library for a vocabulary whose pre-tokens never span white space.
 
     White space only separates words there, so a text's ids are its words' ids in order; each distinct word
-    goes through the library once while it stays in the cache.
+    goes through the library once while it stays in the cache. Texts that hold the string of a special token go
+    through the library whole, as it stands.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole = self.library  # finds special tokens in a text, as the file says
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        if any(t.normalized or t.lstrip or t.rstrip for t in self.library.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens must be found as they are written")
+        if self.special:  # words come in lower case: what looks special there is not
+            self.library = Tokenizer.from_file(path)
+            self.library.encode_special_tokens = True
+        self.learned = 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
@@ -66,6 +75,7 @@ class WordEncoder:
         return np.array([t.id for t in self.library.model.tokenize(shown)], np.uint16).tobytes() + self.tails[tail]
 
     def _learn(self, words: list[str]) -> None:
+        self.learned += sum(map(len, words))
         plain = []
         for w in words:
             if (ids := self._simple(w)) is not None:
@@ -88,8 +98,8 @@ class WordEncoder:
 
     def _lookup(self, words: list[str]) -> list[bytes]:
         young, old = self.young, self.old
-        if len(young) > CACHE_WORDS:
-            self.old, self.young = young, {}
+        if len(young) > CACHE_WORDS or self.learned > CACHE_BYTES:
+            self.old, self.young, self.learned = young, {}, 0
             young, old = self.young, self.old
         missing = []
         for w in words:
@@ -113,17 +123,25 @@ class WordEncoder:
             per_row = np.diff(lists.offsets.to_numpy())
             yield low, high - low, words.indices.to_numpy(), per_row, self._lookup(words.dictionary.to_pylist())
 
-    def counts(self, column: pa.Array) -> np.ndarray:
-        """How often each id occurs in a column."""
-        total = np.zeros(1 << 16, np.int64)
-        for _, _, index, _, ids in self.slices(column):
-            times = np.bincount(index, minlength=len(ids))
-            flat = np.frombuffer(b"".join(ids), np.uint16)
-            total += np.bincount(flat, np.repeat(times, [len(x) // 2 for x in ids]), 1 << 16).astype(np.int64)
-        return total
+    def _special_rows(self, column: pa.Array) -> np.ndarray:
+        hit = np.zeros(len(column), bool)
+        for token in self.special:
+            hit |= pc.match_substring(column, token).fill_null(False).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(hit)
 
     def encode(self, column: pa.Array, end: int):
         """Yield (first row, ids of consecutive rows, ids per row); each row's ids are followed by ``end``."""
+        at = 0
+        for row in [*self._special_rows(column).tolist(), len(column)]:
+            for low, tokens, sizes in self._by_words(column.slice(at, row - at), end):
+                yield at + low, tokens, sizes
+            if row < len(column):
+                ids = self.whole.encode(column[row].as_py(), add_special_tokens=False).ids
+                yield row, np.array([*ids, end], np.uint16), np.array([len(ids) + 1])
+            at = row + 1
+        hand_back()
+
+    def _by_words(self, column: pa.Array, end: int):
         for low, rows, index, per_row, ids in self.slices(column):
             flat = np.frombuffer(b"".join(ids) + np.uint16(end).tobytes(), np.uint16)
             size = np.array([len(x) // 2 for x in ids] + [1], np.int32)

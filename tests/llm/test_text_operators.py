@@ -77,7 +77,7 @@ def test_disclosing_terms_of_whole_lines(spark):
     texts += [" ".join(rng.choices(common, k=12)) for _ in range(300)] + texts[:5]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     lines = [line for t in texts for line in t.split("\n")]
-    words = {line: set(re.findall(r"[a-z]{3,}", re.sub(PATTERNS["email"], " ", line))) for line in lines}
+    words = {line: set(re.findall(r"[a-z]{3,}", line)) for line in lines}
     n_term = Counter(w for line in lines for w in words[line])
     expected = {}
     for mail in people:
@@ -103,7 +103,7 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize("chunk,overlap", [(1 << 17, 1 << 10), (64, 16), (7, 3)])
+@pytest.mark.parametrize("chunk,overlap", [(1 << 15, 1 << 10), (64, 16), (7, 3)])
 def test_byte_bpe(spark, docs, rows, empty, chunk, overlap):
     enc, texts = library(), {i: t or "" for i, t, *_ in rows}
     small = docs.where("length(text) < 5000 or text is null") if chunk < 1000 else docs
@@ -115,12 +115,23 @@ def test_byte_bpe(spark, docs, rows, empty, chunk, overlap):
     assert bpe.encode_documents(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_seams(spark):
+    """Random texts of odd pre-tokens (long runs, contractions, white space at the cuts), cut everywhere."""
+    import random
+
+    rng, enc = random.Random(8), library()
+    texts = ["".join(rng.choice(["'", "s", "ll", " ", "  ", "\n", "\t ", "word", "12", "!?", "é", "🙂", "a" * 30, " " * 25]) for _ in range(rng.randint(5, 120))) for _ in range(150)]
+    got = bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, public_tokenizers.PATTERN, 20, 9).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, enc.encode_ordinary(texts[r.doc_id]))).encode()).hexdigest()
+
+
 def word_ids(text):
     from tokenizers import Tokenizer
 
     if not hasattr(word_ids, "library"):
         word_ids.library = Tokenizer.from_file(WORD)
-        word_ids.library.encode_special_tokens = True
     return word_ids.library.encode(text, add_special_tokens=False).ids
 
 
