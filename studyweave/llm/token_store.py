@@ -28,6 +28,9 @@ from . import rans
 from .common import bound_batches, materialise, partitions, remove, shared_path
 from .tokens import encoder
 
+#: Words kept by a worker that tokenises, and bytes it encodes at once.
+CACHE_WORDS = 300_000
+SLICE_BYTES = 4_000_000
 #: A block is closed by the document that takes it to so many tokens.
 BLOCK_TOKENS = 1 << 20
 _RAW_DDL = "part int, doc_id long, first_token long, ids binary, token int, times long"
@@ -52,7 +55,7 @@ def _tokenised(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total, first = TaskContext.get().partitionId(), np.zeros(1 << 16, np.int64), 0
         for batch in batches:
-            for low, tokens, sizes in encoder(path).encode(batch.column("text"), end):
+            for low, tokens, sizes in encoder(path, CACHE_WORDS, SLICE_BYTES).encode(batch.column("text"), end):
                 total += np.bincount(tokens, minlength=1 << 16)
                 offsets = np.concatenate([[0], np.cumsum(sizes * 2)]).astype(np.int32)
                 n = len(sizes)

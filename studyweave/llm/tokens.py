@@ -10,10 +10,11 @@ import pyarrow.compute as pc
 
 from .common import byte_slices, hand_back, text_buffers
 
-#: Bytes of text encoded at once, and words and their bytes per generation of the cache (two are held).
+#: Bytes of text encoded at once, and words per generation of the cache (two are held), each of CACHE_BYTES a word on
+#: average at most: about 200 MB for a worker. A larger cache learns fewer words twice.
 SLICE_BYTES = 1_000_000
 CACHE_WORDS = 100_000
-CACHE_BYTES = 2_000_000
+CACHE_BYTES = 20
 #: ASCII punctuation that the vocabulary's pre-tokens take as one run after a word (the apostrophe starts contractions).
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A word of its own between the words of one library call; it never comes from a text's words there.
@@ -22,10 +23,11 @@ _BREAK = "\x1c"
 _encoders: dict[str, "WordEncoder"] = {}
 
 
-def encoder(path: str) -> "WordEncoder":
-    """One encoder per worker and vocabulary file."""
+def encoder(path: str, cache_words: int = CACHE_WORDS, slice_bytes: int = SLICE_BYTES) -> "WordEncoder":
+    """One encoder per worker and vocabulary file; a later call may change its bounds."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].cache_words, _encoders[path].slice_bytes = cache_words, slice_bytes
     return _encoders[path]
 
 
@@ -48,7 +50,7 @@ class WordEncoder:
         if self.special:  # words come in lower case: what looks special there is not
             self.library = Tokenizer.from_file(path)
             self.library.encode_special_tokens = True
-        self.learned = 0
+        self.learned, self.cache_words, self.slice_bytes = 0, CACHE_WORDS, SLICE_BYTES
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
@@ -98,7 +100,7 @@ class WordEncoder:
 
     def _lookup(self, words: list[str]) -> list[bytes]:
         young, old = self.young, self.old
-        if len(young) > CACHE_WORDS or self.learned > CACHE_BYTES:
+        if len(young) > self.cache_words or self.learned > self.cache_words * CACHE_BYTES:
             self.old, self.young, self.learned = young, {}, 0
             young, old = self.young, self.old
         missing = []
@@ -116,7 +118,7 @@ class WordEncoder:
         """Yield (first row, rows, word index, words per row, ids of each distinct word as bytes)."""
         _, offsets = text_buffers(column)
         column = column.fill_null("") if column.null_count else column
-        for low, high in byte_slices(offsets, SLICE_BYTES):
+        for low, high in byte_slices(offsets, self.slice_bytes):
             lists = pc.ascii_split_whitespace(pc.ascii_lower(column.slice(low, high - low)))
             words = lists.flatten().dictionary_encode()
             # the first and last item of a list are empty where a text begins or ends with white space
