@@ -6,6 +6,7 @@ one uploaded file, whose size is bounded (uploads over 100 MB are refused).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -63,21 +64,24 @@ def prerequisite_links(chunks: DataFrame, concepts: list[str]) -> DataFrame:
     return found.where(~F.col("has") & F.col("prereq_idx").isNotNull()).select("doc_id", "idx", "term", "prereq_idx")
 
 
+def _depths(edges: pa.Table) -> pa.Table:
+    """Depth of each chunk of a resource that has prerequisites; in order of idx, those behind it are settled."""
+    depth: dict[int, int] = {}
+    ordered = edges.sort_by("idx")
+    for idx, back in zip(ordered.column("idx").to_pylist(), ordered.column("prereq_idx").to_pylist()):
+        depth[idx] = max(depth.get(idx, 0), 1 + depth.get(back, 0))
+    doc = [edges.column("doc_id")[0].as_py()] * len(depth)
+    return pa.table({"doc_id": pa.array(doc, pa.int64()), "idx": pa.array(list(depth), pa.int32()), "depth": pa.array(list(depth.values()), pa.int32())})
+
+
 def chain_depth(chunks: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, idx, depth): length of the longest chain of prerequisites behind each chunk.
 
-    Edges point backwards, so within a resource one ordered fold settles every depth.
+    Edges point backwards, so one pass over a resource's edges settles every depth.
     """
-    per = edges.groupBy("doc_id", "idx").agg(F.collect_set("prereq_idx").alias("back"))
-    rows = chunks.select("doc_id", "idx").join(per, ["doc_id", "idx"], "left").select("doc_id", F.struct("idx", F.coalesce("back", F.array().cast("array<int>")).alias("back")).alias("c"))
-    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>"))
-
-    def step(depths, c):
-        behind = F.transform(c["back"], lambda b: 1 + F.coalesce(F.try_element_at(depths, b), F.lit(0)))
-        return F.map_concat(depths, F.create_map(c["idx"], F.coalesce(F.array_max(behind), F.lit(0))))
-
-    return listed.select("doc_id", F.explode(F.aggregate("cs", none, step)).alias("idx", "depth"))
+    e = edges.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("idx").cast("int").alias("idx"), F.col("prereq_idx").cast("int").alias("prereq_idx")).distinct()
+    deep = e.groupBy("doc_id").applyInArrow(_depths, "doc_id long, idx int, depth int")
+    return chunks.select("doc_id", "idx").distinct().join(deep, ["doc_id", "idx"], "left").select("doc_id", "idx", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def continuity(chunks: DataFrame, coherence: Column) -> DataFrame:
@@ -188,8 +192,16 @@ def upsert_embeddings(chunks: DataFrame, target: str, embed) -> DataFrame:
 
 def implicit_prerequisites(chunks: DataFrame, most: int = 10) -> DataFrame:
     """(doc_id, idx, prerequisites): a chunk's own and the key concepts of earlier chunks that its text mentions,
-    in order of first appearance, at most ``most``."""
-    earlier = F.array_distinct(F.flatten(F.collect_list("key_concepts").over(in_order().rowsBetween(W.unboundedPreceding, -1))))
-    rows = chunks.withColumns({"_earlier": earlier, "_low": F.lower("full_text")})
-    named = F.filter("_earlier", lambda c: F.contains(F.col("_low"), F.lower(c)))
-    return rows.select("doc_id", "idx", F.slice(F.array_distinct(F.concat("prerequisites", named)), 1, most).alias("prerequisites"))
+    in order of first appearance, at most ``most``.
+
+    Each concept of a resource is one row with its first place; it meets the resource's later chunks.
+    """
+    each = chunks.select("doc_id", "idx", F.posexplode("key_concepts").alias("place", "concept"))
+    first = each.groupBy(F.col("doc_id").alias("_doc"), "concept").agg(F.min(F.struct("idx", "place")).alias("first"))
+    own = F.array_distinct(F.coalesce("prerequisites", F.array().cast("array<string>")))
+    rows = chunks.select("doc_id", "idx", own.alias("own"), F.lower("full_text").alias("low"))
+    named = rows.join(first, (F.col("doc_id") == F.col("_doc")) & (F.col("first.idx") < F.col("idx")) & F.contains("low", F.lower("concept")) & ~F.array_contains("own", F.col("concept")))
+    ranked = named.select("doc_id", "idx", "concept", F.row_number().over(W.partitionBy("doc_id", "idx").orderBy("first")).alias("n")).where(F.col("n") <= most)
+    listed = ranked.groupBy("doc_id", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "concept"))), lambda c: c["concept"]).alias("named"))
+    joined = rows.drop("low").join(listed, ["doc_id", "idx"], "left")
+    return joined.select("doc_id", "idx", F.slice(F.concat("own", F.coalesce("named", F.array().cast("array<string>"))), 1, most).alias("prerequisites"))

@@ -16,8 +16,17 @@ from .learner import clamp, role_sequence
 COMPONENTS = ("rubric", "intent", "gating", "grounding", "style")
 
 
+def _prepared(rows: DataFrame) -> DataFrame:
+    """Rows with what several scores read, made once: the response in lower case, its words, its sentences' mean."""
+    text = T.strip(F.coalesce("response", F.lit("")))
+    # sentences are what stands between runs of . ! and ?; their words are the text's without those
+    sentences, words = F.regexp_count(text, F.lit(r"[^.!?\s][^.!?]*")), F.size(T.words(F.regexp_replace(text, "[.!?]+", " ")))
+    rows = rows.withColumns({"_low": F.lower(F.coalesce("response", F.lit(""))), "_n": F.size(T.words(F.coalesce("response", F.lit(""))))})
+    return rows.withColumn("_mean", F.when(sentences > 0, words / sentences).otherwise(F.col("_n").cast("double")))
+
+
 def _low() -> Column:
-    return F.lower(F.coalesce("response", F.lit("")))
+    return F.col("_low")
 
 
 def _one(test: Column) -> Column:
@@ -72,32 +81,26 @@ def grounding() -> Column:
     return F.when((F.size(cited) > 0) & (unknown > 0), 0.4).when((F.size(cited) > 0) & (missing == 0), 1.0).when(F.size(cited) > 0, 0.85).when(F.size(known) > 0, 0.6).otherwise(0.5)
 
 
-def _sentence_mean() -> Column:
-    parts = F.filter(F.split(T.strip(F.coalesce("response", F.lit(""))), r"[.!?]+\s*"), lambda s: s != "")
-    total = F.aggregate(F.transform(parts, lambda s: F.size(T.words(s))), F.lit(0), lambda a, n: a + n)
-    return F.when(F.size(parts) > 0, total / F.size(parts)).otherwise(F.size(T.words(F.coalesce("response", F.lit("")))).cast("double"))
-
-
 def style() -> Column:
     """1 less what is too short, too long or in long sentences; banned phrases leave 0.2 at most."""
-    n = F.size(T.words(F.coalesce("response", F.lit(""))))
+    n = F.col("_n")
     short = F.when(n < rules.MIN_WORDS, F.least(F.lit(0.5), (rules.MIN_WORDS - n) / rules.MIN_WORDS)).otherwise(0.0)
     long = F.when(n > rules.MAX_WORDS, F.least(F.lit(0.4), (n - rules.MAX_WORDS) / rules.MAX_WORDS)).otherwise(0.0)
-    score = 1.0 - short - long - F.when(_sentence_mean() > rules.LONG_SENTENCE, 0.1).otherwise(0.0)
+    score = 1.0 - short - long - F.when(F.col("_mean") > rules.LONG_SENTENCE, 0.1).otherwise(0.0)
     score = F.when(T.contains_any(_low(), rules.BANNED), F.least(score, F.lit(0.2))).otherwise(score)
     return F.round(clamp(score), 4)
 
 
 def _flags() -> Column:
     """Flags in order of the components, each followed by its threshold's."""
-    n = F.size(T.words(F.coalesce("response", F.lit(""))))
+    n = F.col("_n")
     cited_unknown = F.size(F.array_except("cited_ids", "retrieved_ids")) > 0
     named = {
         "rubric": [("rubric_incomplete", F.col("rubric") < 0.5)],
         "intent": [("intent_action_mismatch", F.col("intent_score") < 0.6)],
         "gating": [("advanced_concept_drift", F.size(drifting_terms()) > 0), ("prereq_gating_failed", F.col("gating") < 0.5)],
         "grounding": [("unknown_grounding_ids", cited_unknown), ("grounding_low", F.col("grounding") < 0.6)],
-        "style": [("response_too_short", n < rules.MIN_WORDS), ("response_too_long", n > rules.MAX_WORDS), ("long_sentences", _sentence_mean() > rules.LONG_SENTENCE), ("banned_phrase", T.contains_any(_low(), rules.BANNED))],
+        "style": [("response_too_short", n < rules.MIN_WORDS), ("response_too_long", n > rules.MAX_WORDS), ("long_sentences", F.col("_mean") > rules.LONG_SENTENCE), ("banned_phrase", T.contains_any(_low(), rules.BANNED))],
     }
     each = []
     for name in COMPONENTS:
@@ -110,20 +113,21 @@ def score_responses(rows: DataFrame, weights: dict[str, float] | None = None) ->
     """Rows with rubric, intent_score, gating, grounding, style, total and flags."""
     w = weights or rules.REWARD_WEIGHTS
     whole = sum(w.values()) or 1.0
-    r = rows.withColumns({"rubric": rubric(), "intent_score": intent(), "gating": gating(), "grounding": grounding(), "style": style()})
+    r = _prepared(rows).withColumns({"rubric": rubric(), "intent_score": intent(), "gating": gating(), "grounding": grounding(), "style": style()})
     total = sum((F.col("intent_score" if c == "intent" else c) * (w.get(c, 0.0) / whole) for c in COMPONENTS), F.lit(0.0))
-    return r.withColumns({"total": F.round(clamp(total), 4), "flags": _flags()})
+    return r.withColumns({"total": F.round(clamp(total), 4), "flags": _flags()}).drop("_low", "_n", "_mean")
 
 
 def critic(rows: DataFrame) -> DataFrame:
     """Rows with clarity, accuracy, support, critic_confidence and hallucination, without a model."""
-    n, low, focus = F.size(T.words(F.coalesce("response", F.lit("")))), _low(), F.lower(F.coalesce("focus_concept", F.lit("")))
+    rows = _prepared(rows)
+    n, low, focus = F.col("_n"), _low(), F.lower(F.coalesce("focus_concept", F.lit("")))
     clarity = F.when(n > 0, clamp(n / 120.0)).otherwise(0.2)
     accuracy = F.when(low.contains("hallucinate"), 0.4).when((focus != "") & F.contains(low, focus), 0.85).otherwise(0.6)
     cited, known = F.array_distinct("cited_ids"), F.col("retrieved_ids")
     support = F.when((F.size(known) > 0) & (F.size(cited) > 0), 0.6 + 0.4 * F.size(F.array_intersect(cited, known)) / F.greatest(F.size(known), F.lit(1))).when(F.size(known) > 0, 0.5).otherwise(0.55)
     r = rows.withColumns({"_c": clarity, "_a": accuracy, "_s": support})
-    return r.withColumns({"clarity": F.round("_c", 4), "accuracy": F.round("_a", 4), "support": F.round(clamp(F.col("_s")), 4), "hallucination": (F.col("_s") < 0.5) | (F.col("_a") < 0.5), "critic_confidence": F.round(clamp((F.col("_c") + F.col("_a") + F.col("_s")) / 3), 4)}).drop("_c", "_a", "_s")
+    return r.withColumns({"clarity": F.round("_c", 4), "accuracy": F.round("_a", 4), "support": F.round(clamp(F.col("_s")), 4), "hallucination": (F.col("_s") < 0.5) | (F.col("_a") < 0.5), "critic_confidence": F.round(clamp((F.col("_c") + F.col("_a") + F.col("_s")) / 3), 4)}).drop("_c", "_a", "_s", "_low", "_n", "_mean")
 
 
 def preferences(candidates: DataFrame) -> DataFrame:
@@ -188,7 +192,8 @@ def stepwise(rows: DataFrame) -> DataFrame:
 
     Further columns: classifier_confidence, has_mastery, level, roles (array), snippets and difficulties (arrays).
     """
-    low, n = _low(), F.size(T.words(F.coalesce("response", F.lit(""))))
+    rows = _prepared(rows)
+    low, n = _low(), F.col("_n")
     conf = F.coalesce("classifier_confidence", F.lit(0.0))
     understand = F.when(conf > 0.7, 0.4).when(conf > 0.5, 0.2).otherwise(0.0) + F.when(F.col("has_mastery"), 0.3).otherwise(0.0) + F.when(F.size("learning_path") > 0, 0.3).otherwise(0.0)
     affect = F.when(F.col("affect").isin("confused", "frustrated") & F.col("action").isin("hint", "explain"), 0.3).when((F.col("affect") == "engaged") & F.col("action").isin("ask", "reflect"), 0.3).otherwise(0.0)
@@ -210,4 +215,4 @@ def stepwise(rows: DataFrame) -> DataFrame:
     formative = F.when(T.strip(low).endswith("?"), 0.5).otherwise(0.0) + F.when(T.contains_any(low, rules.REFLECTION), 0.3).otherwise(0.0) + F.when(T.contains_any(low, rules.NEXT_STEPS), 0.2).otherwise(0.0)
     steps = dict(zip(rules.STEP_WEIGHTS, (understand, pedagogy, content, structure, output, formative)))
     r = rows.withColumns({name: F.round(F.least(F.lit(1.0), s), 6) for name, s in steps.items()})
-    return r.withColumn("step_total", F.round(sum((F.col(s) * w for s, w in rules.STEP_WEIGHTS.items()), F.lit(0.0)), 4))
+    return r.drop("_low", "_n", "_mean").withColumn("step_total", F.round(sum((F.col(s) * w for s, w in rules.STEP_WEIGHTS.items()), F.lit(0.0)), 4))

@@ -36,12 +36,11 @@ def concept_occurrences(spark, sf_dir):
     return G.occurrences(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("concept"), F.col("l_orderkey").alias("chunk"), F.lit(1).alias("times")))
 
 
-@add("""with c as (select l_orderkey as chunk, list_slice(list_sort(list(distinct l_partkey)), 1, 5) as cs from lineitem group by l_orderkey), u as (select chunk, unnest(cs) as x from c)
+@add("""with c as (select l_orderkey as chunk, list(distinct l_partkey) as cs from lineitem group by l_orderkey), u as (select chunk, unnest(cs) as x from c)
     select a.x as a, b.x as b, (count(*) * 1.0)::double as weight, count(*) as chunks from u a join u b on a.chunk = b.chunk and a.x < b.x group by a.x, b.x""")
 def co_occurrence(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("chunk")).agg(F.collect_set("l_partkey").alias("concepts"))
-    # the SQL's input: five parts of an order at most; the operator has no such bound
-    return G.co_occurrence(c.withColumn("concepts", F.slice(F.array_sort("concepts"), 1, 5)))
+    return G.co_occurrence(c)
 
 
 @add("""with m as (select lower(p_name) as key, p_name as display_name, l_shipdate as seen, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey as seq from lineitem join part on l_partkey = p_partkey where p_name <> '')
@@ -86,11 +85,11 @@ def endpoint_lookup(spark, sf_dir):
     return nodes.select("key", F.coalesce("created", F.lit(True)).alias("created")).distinct()
 
 
-@add("""with ev as (select l_returnflag as type, l_partkey as target, l_orderkey as chunk, l_discount as confidence from lineitem), r as (select distinct l_returnflag as type, l_partkey as target, l_suppkey as source from lineitem where l_suppkey % 4 = 0),
+@add("""with ev as (select l_returnflag as type, l_partkey as target, l_orderkey as chunk, l_discount as confidence from lineitem), r as (select distinct l_returnflag as type, l_partkey as target, l_suppkey as source from lineitem),
     b as (select type, target, chunk, confidence, row_number() over (partition by type, target order by confidence desc, chunk) as n from ev) select r.type, r.target, r.source, b.chunk as evidence_chunk, b.confidence as evidence_confidence from r left join b on r.type = b.type and r.target = b.target and n = 1""")
 def relation_evidence(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("type"), F.col("l_partkey").alias("target"), F.col("l_suppkey").alias("source"), F.col("l_orderkey").alias("chunk"), F.col("l_discount").alias("confidence"))
-    return G.best_evidence(l.where("source % 4 = 0").select("type", "target", "source").distinct(), l)
+    return G.best_evidence(l.select("type", "target", "source").distinct(), l)
 
 
 @add(f"with {_EDGES} select key, count(*) as degree from (select src as key from edges union all select dst from edges) group by key")
@@ -104,25 +103,27 @@ def prune_hubs_and_weak(spark, sf_dir):
     return G.detach(e, G.degrees(e).where("degree > 30")).where(F.coalesce("confidence", F.lit(1.0)) >= 0.3)
 
 
-@add(f"with {_EDGES} select p_partkey as key from part where p_partkey in (select src from edges where src % 3 = 0 union all select dst from edges where src % 3 = 0)")
+@add(f"with {_EDGES}, n as (select p_partkey as key from part union all select 1000000 + s_suppkey from supplier) select key from n where key in (select src from edges union all select dst from edges)")
 def prune_singletons(spark, sf_dir):
-    return G.drop_singletons(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")), _edges(spark, sf_dir).where("src % 3 = 0"))
+    """Parts with edges, and suppliers, which have none."""
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")).union(table(spark, sf_dir, "supplier").select(F.col("s_suppkey") + 1_000_000))
+    return G.drop_singletons(nodes, _edges(spark, sf_dir))
 
 
-_CYCLES = f"""{_EDGES}, d as (select distinct src, dst from edges), w(path, tip) as (select [src, dst], dst from d where dst > src union all select list_append(path, d.dst), d.dst from w join d on d.src = w.tip where d.dst > path[1] and not list_contains(path, d.dst) and len(path) < 5),
+_CYCLES = f"""{_EDGES}, d as (select distinct src, dst from edges), w(path, tip) as (select [src, dst], dst from d where dst > src union all select list_append(path, d.dst), d.dst from w join d on d.src = w.tip where d.dst > path[1] and not list_contains(path, d.dst) and len(path) < 10),
     cyc as (select path from w join d on d.src = w.tip and d.dst = path[1])"""
 
 
 @add(f"with recursive {_CYCLES} select array_to_string(path, '>') as path, len(path)::int as length from cyc")
 def cycles(spark, sf_dir):
-    c = G.cycles(_edges(spark, sf_dir), 5)
+    c = G.cycles(_edges(spark, sf_dir), 10)
     return c.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.size("path").alias("length"))
 
 
 @add(f"""with recursive {_CYCLES}, u as (select path, unnest(path) as src, unnest(list_append(path[2:], path[1])) as dst from cyc), m as (select src, dst, min(coalesce(confidence, 1.0)) as c from edges group by all),
     r as (select path, src, dst, row_number() over (partition by path order by c, src, dst) as n from u join m using (src, dst)) select src, dst, type, confidence from edges e where not exists (select 1 from r where n = 1 and r.src = e.src and r.dst = e.dst)""")
 def break_cycles(spark, sf_dir):
-    return G.break_cycles(_edges(spark, sf_dir), 5).select("src", "dst", "type", "confidence")
+    return G.break_cycles(_edges(spark, sf_dir), 10).select("src", "dst", "type", "confidence")
 
 
 @add(f"""with recursive {_EDGES}, b as (select src, dst from edges union select dst, src from edges), w(key, hops) as (select 7::bigint, 0 union all select b.dst, hops + 1 from (select distinct key, hops from w) w join b on b.src = w.key where hops < 2) select key, min(hops)::int as hops from w group by key""")
@@ -131,9 +132,9 @@ def concept_subgraph(spark, sf_dir):
     return G.subgraph(_edges(spark, sf_dir), seeds, 2)
 
 
-@add(f"""with recursive {_EDGES}, pe as (select distinct src, dst from edges where type = 'PREREQUISITE_OF'), w(target, key, depth) as (select p_partkey, p_partkey, 0 from part where p_partkey % 100 = 0 union all select target, src, depth + 1 from (select distinct * from w) w join pe on dst = key where depth < 4) select target, key, max(depth)::int as depth from w group by all""")
+@add(f"""with recursive {_EDGES}, pe as (select distinct src, dst from edges where type = 'PREREQUISITE_OF'), w(target, key, depth) as (select p_partkey, p_partkey, 0 from part union all select target, src, depth + 1 from (select distinct * from w) w join pe on dst = key where depth < 4) select target, key, max(depth)::int as depth from w group by all""")
 def prerequisite_closure(spark, sf_dir):
-    t = table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("target"))
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("target"))
     return G.prerequisite_closure(_edges(spark, sf_dir).where("type = 'PREREQUISITE_OF'"), t, 4)
 
 

@@ -46,12 +46,11 @@ def prerequisite_links(spark, sf_dir):
     return linking.prerequisite_links(chunks(spark, sf_dir), ["key_concepts", "topic"])
 
 
-@add(f"""with recursive {_PREREQ}, e as (select distinct doc_id, idx, prereq_idx from pre), longest(doc_id, idx, depth, step) as (select doc_id, idx, 0, 0 from chunks where idx < 12
-      union all select e.doc_id, e.idx, l.depth + 1, l.step + 1 from (select distinct doc_id, idx, depth, step from longest) l join e on e.doc_id = l.doc_id and e.prereq_idx = l.idx where l.step < 12 and e.idx < 12)
+@add(f"""with recursive {_PREREQ}, e as (select distinct doc_id, idx, prereq_idx from pre), longest(doc_id, idx, depth, step) as (select doc_id, idx, 0, 0 from chunks
+      union all select e.doc_id, e.idx, l.depth + 1, l.step + 1 from (select distinct doc_id, idx, depth, step from longest) l join e on e.doc_id = l.doc_id and e.prereq_idx = l.idx)
     select doc_id, idx, max(depth)::int as depth from longest group by doc_id, idx""")
 def prerequisite_depth(spark, sf_dir):
-    # the first twelve chunks of each document keep the recursive SQL small; the operator has no such bound
-    c = chunks(spark, sf_dir).where("idx < 12")
+    c = chunks(spark, sf_dir)
     return linking.chain_depth(c, linking.prerequisite_links(c, ["key_concepts", "topic"]))
 
 

@@ -77,10 +77,12 @@ def page_diversity(spark, sf_dir):
     return R.spread_pages(_hits(spark, sf_dir)).select("query_id", "chunk_id", "rank")
 
 
-@add(f"with {_HITS}, d as (select query_id, chunk_id % 7 as chunk_id, rank from hits), n as (select *, row_number() over (partition by query_id, chunk_id order by rank) as n from d) select query_id, chunk_id, rank from n where n = 1")
+@add(f"with {_HITS}, d as (select query_id, chunk_id, rank from hits union all select query_id, case when bm25 > 0 then chunk_id end, rank + 50 from hits), n as (select *, row_number() over (partition by query_id, chunk_id order by rank) as n from d where chunk_id is not null) select query_id, chunk_id, rank::int as rank from n where n = 1")
 def hit_dedup(spark, sf_dir):
-    h = _hits(spark, sf_dir).select("query_id", (F.col("chunk_id") % 7).alias("chunk_id"), "rank")
-    return R.distinct_hits(h).select("query_id", "chunk_id", "rank")
+    """Hits of two searches, the second one's only those by text, without chunk otherwise."""
+    h = _hits(spark, sf_dir)
+    again = h.select("query_id", F.when(F.col("bm25") > 0, F.col("chunk_id")).alias("chunk_id"), (F.col("rank") + 50).alias("rank"))
+    return R.distinct_hits(h.select("query_id", "chunk_id", "rank").union(again)).select("query_id", "chunk_id", "rank")
 
 
 @add(f"""with {_HITS}, n as (select *, row_number() over (partition by query_id, resource_id, page_number order by source_offset is null, source_offset, chunk_id) as n from hits), g as (select *, ((n - 1) // 2)::int as part from n)
@@ -121,9 +123,16 @@ def tutor_retrieval(spark, sf_dir):
     return R.tutor_retrieve(_queries(spark, sf_dir), _chunks(spark, sf_dir), ROLES, k=3)
 
 
-@add()
+@add(f"""with recursive {_HITS.replace('rank <= 50)', 'rank <= 12)')}, rel as (select * from hits where score >= 0.35 or sim >= 0.3 or bm25 >= 0.15),
+    n as (select query_id, resource_id, page_number, chunk_id, snippet, length(snippet) as size, row_number() over (partition by query_id, resource_id, page_number order by source_offset is null, source_offset, chunk_id) as n from rel),
+    f as (select query_id, resource_id, page_number, chunk_id, snippet, n, size as used, 0 as part from n where n = 1
+      union all select n.query_id, n.resource_id, n.page_number, n.chunk_id, n.snippet, n.n, case when f.used < 1200 then f.used + n.size else n.size end, case when f.used < 1200 then f.part else f.part + 1 end from f join n on n.query_id = f.query_id and n.resource_id = f.resource_id and n.page_number = f.page_number and n.n = f.n + 1),
+    packs as (select query_id, resource_id, page_number, part, left(string_agg(snippet, ' ' order by n), 1200) as snippet, arg_min(chunk_id, n)::varchar as cid from f group by query_id, resource_id, page_number, part),
+    li as (select *, row_number() over (partition by query_id order by resource_id, page_number, part) as k from packs)
+    select query_id, string_agg('[' || k::varchar || '] ' || left(snippet, 320) || ' (chunk_id:' || cid || ', page:' || page_number::varchar || ')', chr(10) order by k) as context, coalesce(string_agg(cid, '|' order by k) filter (where k <= 3), '') as citations from li where k <= 6 group by query_id""")
 def doubt_context(spark, sf_dir):
-    return R.doubt_context(R._ranked(_hits(spark, sf_dir).drop("rank"), 12, F.desc("score"), F.col("chunk_id")))
+    d = R.doubt_context(R._ranked(_hits(spark, sf_dir).drop("rank"), 12, F.desc("score"), F.col("chunk_id")))
+    return d.withColumn("citations", F.array_join("citations", "|"))
 
 
 @add(f"""with {_HITS}, p as (select *, row_number() over (partition by query_id, resource_id, page_number order by rank) as n from hits), o as (select *, row_number() over (partition by query_id order by rank) as m from p where n = 1),

@@ -38,14 +38,14 @@ def _ids(start, n):
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(start, start + n - 1), lambda i: F.concat(F.lit("c"), i.cast("string"))))
 
 
-def _responses(spark, sf_dir, whole=False):
-    """Cue and text of each turn. The text is whole where no SQL is compared; the SQL takes its first 200 characters."""
+def _responses(spark, sf_dir):
+    """Cue and whole text of each turn."""
     text = F.coalesce("text", F.lit(""))
     c, t = F.col("conv_id"), F.col("turn")
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).withColumn("n", c + 3 * t)
     n = F.col("n")
     return rows.select(
-        "conv_id", "turn", "n", F.concat(_pick(CUES, n), F.lit(" "), text if whole else F.left(text, F.lit(200))).alias("response"), _pick(FOCUS, F.floor(n / 3)).alias("focus_concept"), F.array(*map(F.lit, PATH)).alias("learning_path"),
+        "conv_id", "turn", "n", F.concat(_pick(CUES, n), F.lit(" "), text).alias("response"), _pick(FOCUS, F.floor(n / 3)).alias("focus_concept"), F.array(*map(F.lit, PATH)).alias("learning_path"),
         _pick(INTENTS, n).alias("intent"), _pick(AFFECTS, F.floor(n / 2)).alias("affect"), _pick(ACTIONS, F.floor(n / 5)).alias("action"), _ids(F.lit(0), (n % 5).cast("int")).alias("retrieved_ids"), _ids((n % 3).cast("int"), (n % 4).cast("int")).alias("cited_ids"),
     )
 
@@ -61,7 +61,7 @@ def _sp(values, n):
 _SPLIT = "list_filter(regexp_split_to_array({0}, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
 _STRIP = "regexp_replace({0}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')"
 _BASE = f"""g as (select conv_id, turn, min(text) as text, conv_id + 3 * turn as n from conversations group by conv_id, turn),
-    r as (select conv_id, turn, n, {_sp(CUES, 'n')} || ' ' || left(coalesce(text, ''), 200) as response, {_sp(FOCUS, 'n // 3')} as focus, {_arr(PATH)} as path, {_sp(INTENTS, 'n')} as intent, {_sp(AFFECTS, 'n // 2')} as affect, {_sp(ACTIONS, 'n // 5')} as action,
+    r as (select conv_id, turn, n, {_sp(CUES, 'n')} || ' ' || coalesce(text, '') as response, {_sp(FOCUS, 'n // 3')} as focus, {_arr(PATH)} as path, {_sp(INTENTS, 'n')} as intent, {_sp(AFFECTS, 'n // 2')} as affect, {_sp(ACTIONS, 'n // 5')} as action,
         list_transform(range(0, n % 5), lambda i: 'c' || i::varchar) as known, list_transform(range(n % 3, n % 3 + n % 4), lambda i: 'c' || i::varchar) as cited from g),
     f as (select *, lower(response) as low, coalesce(focus, '') as fo, len({_SPLIT.format('response')}) as nw, list_filter(regexp_split_to_array({_STRIP.format('response')}, '[.!?]+\\s*'), lambda s: s <> '') as parts from r),
     q as (select *, ((fo <> '' and contains(low, fo)) or {sql_any('low', rules.ANSWERS)})::int as da, ({sql_any('low', rules.EXAMPLES)} or regexp_matches(low, '\\bexample\\b'))::int as ex, {sql_any('low', rules.REASONS)}::int as re, (ends_with({_STRIP.format('low')}, '?') or {sql_any('low', rules.SUGGESTIONS)})::int as fm,
@@ -100,8 +100,8 @@ def critic_scores(spark, sf_dir):
     return V.critic(_responses(spark, sf_dir)).select("conv_id", "turn", "clarity", "accuracy", "support", "hallucination", "critic_confidence")
 
 
-def _scored(spark, sf_dir, whole=False):
-    return V.critic(V.score_responses(_responses(spark, sf_dir, whole)))
+def _scored(spark, sf_dir):
+    return V.critic(V.score_responses(_responses(spark, sf_dir)))
 
 
 @add(f"""with {_BASE}, p as (select conv_id as observation_id, turn, greatest(0, least(1, 0.4::double + 0.5::double * total + 0.1::double * critic_confidence)) as s from cri),
@@ -130,9 +130,15 @@ def evaluation_subset(spark, sf_dir):
     return V.evaluate(_scored(spark, sf_dir).where("conv_id % 2 = 0")).withColumnRenamed("value", "base_value")
 
 
-@add()
+def _half(odd: int) -> str:
+    """Evaluation of the conversations of one parity."""
+    part = f"(select * from cri where conv_id % 2 = {odd})"
+    return f"({_NAMED} union all {_RATES})".replace("from cri", f"from {part}")
+
+
+@add(f"with {_BASE}, a as {_half(0)}, b as {_half(1)} select kind, name, round(coalesce(b.value, 0) - coalesce(a.value, 0), 4) as delta from a full join b using (kind, name)")
 def evaluation_deltas(spark, sf_dir):
-    s = _scored(spark, sf_dir, whole=True)
+    s = _scored(spark, sf_dir)
     return V.deltas(V.evaluate(s.where("conv_id % 2 = 0")), V.evaluate(s.where("conv_id % 2 = 1")))
 
 
@@ -157,8 +163,22 @@ def preference_validation(spark, sf_dir):
     return V.validate_preferences(_prefs(spark, sf_dir))
 
 
-@add()
+_LEVELS = ["beginner", "developing", "proficient", "mastering"]
+_FLOW = " + ".join(f"{sql_any('low', stage)}::int" for stage in rules.FLOW)
+_STEPS = f"""st as (select *, n % 10 / 10.0::double as conf, {_sp(_LEVELS, 'n')} as level, [{_sp(['definition', 'example', 'proof'], 'n')}, 'application'] as roles, {_sp(['introductory', 'intermediate', 'advanced'], 'n')} as dif from q),
+    ro as (select *, case when level in ('beginner', 'developing') then ['definition', 'explanation', 'example'] when level = 'proficient' then ['example', 'application', 'derivation'] else ['derivation', 'proof', 'application'] end as wanted, len(list_filter(['all about heat', 'gradient'], lambda s: fo <> '' and contains(s, fo))) as mentions,
+        case level when 'beginner' then ['introductory'] when 'developing' then ['introductory', 'intermediate'] when 'proficient' then ['intermediate'] else ['intermediate', 'advanced'] end as easy, ({_FLOW}) as flow from st),
+    six as (select conv_id, turn, round(least(1, case when conf > 0.7::double then 0.4 when conf > 0.5::double then 0.2 else 0 end::double + case when n % 2 = 0 then 0.3 else 0 end::double + 0.3::double), 6) as understand_student,
+        round(least(1, case when affect in ('confused', 'frustrated') and action in ('hint', 'explain') or affect = 'engaged' and action in ('ask', 'reflect') then 0.3 else 0 end::double + case when intent = 'question' and action in ('explain', 'hint') or intent = 'answer' and action in ('reflect', 'ask') then 0.3 else 0 end::double
+            + 0.4::double * len(list_filter(wanted, lambda r: list_contains(roles, r))) / 3), 6) as select_pedagogy,
+        round(least(1, case when len(known) >= 3 then 0.3 when len(known) >= 1 then 0.15 else 0 end::double + case when mentions > 0 then 0.3::double * mentions / 2 else 0 end + case when list_contains(easy, dif) then 0.4 else 0 end::double), 6) as retrieve_content,
+        round(least(1, case when nw between 50 and 200 then 0.4 when nw between 30 and 250 then 0.2 else 0 end::double + case when contains(response, chr(10) || chr(10)) then 0.3 else 0 end::double + case when flow >= 2 then 0.3 else 0 end::double), 6) as structure_response,
+        round((da + ex + re + fm) / 4.0::double, 6) as generate_output,
+        round(least(1, case when ends_with({_STRIP.format('low')}, '?') then 0.5 else 0 end::double + case when {sql_any('low', rules.REFLECTION)} then 0.3 else 0 end::double + case when {sql_any('low', rules.NEXT_STEPS)} then 0.2 else 0 end::double), 6) as formative_check from ro)"""
+
+
+@add(f"with {_BASE}, {_STEPS} select *, round(" + " + ".join(f"{step} * {w}::double" for step, w in rules.STEP_WEIGHTS.items()) + ", 4) as step_total from six")
 def stepwise_rubric(spark, sf_dir):
     n = F.col("n")
-    r = _responses(spark, sf_dir, whole=True).withColumns({"classifier_confidence": n % 10 / 10.0, "has_mastery": n % 2 == 0, "level": _pick(["beginner", "developing", "proficient", "mastering"], n), "roles": F.array(_pick(["definition", "example", "proof"], n), F.lit("application")), "snippets": F.array(F.lit("all about heat"), F.lit("gradient")), "difficulties": F.array(_pick(["introductory", "intermediate", "advanced"], n))})
+    r = _responses(spark, sf_dir).withColumns({"classifier_confidence": n % 10 / 10.0, "has_mastery": n % 2 == 0, "level": _pick(["beginner", "developing", "proficient", "mastering"], n), "roles": F.array(_pick(["definition", "example", "proof"], n), F.lit("application")), "snippets": F.array(F.lit("all about heat"), F.lit("gradient")), "difficulties": F.array(_pick(["introductory", "intermediate", "advanced"], n))})
     return V.stepwise(r).select("conv_id", "turn", *rules.STEP_WEIGHTS, "step_total")
