@@ -1,4 +1,4 @@
-"""Names that need a look at each text: fuzzy matches and variables, as Arrow-batched functions of distinct values."""
+"""Names that need a look at each text: fuzzy matches, as Arrow-batched functions of distinct values."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from . import rules
 
@@ -40,22 +40,3 @@ def alias_like(a: pd.Series, b: pd.Series) -> pd.Series:
         return plain.sub("", x) == plain.sub("", y) or SequenceMatcher(None, x, y).ratio() >= rules.ALIAS
 
     return pd.Series([same(x, y) for x, y in zip(a, b)])
-
-
-_COMMAND = re.compile("|".join(r"\\" + f for f in sorted(rules.LATEX_FUNCTIONS, key=len, reverse=True)))
-_VARIABLE = re.compile(r"\\?([a-zA-Z]+)(?:_\{?([a-zA-Z0-9]+)\}?)?(?:\^(\{[^}]+\}|[^\\\s,})]+))?")
-_NO_VARIABLE = {*rules.LATEX_FUNCTIONS, *rules.GREEK, *(g.capitalize() for g in rules.GREEK)}
-
-
-def variables_of(equation: str) -> list[str]:
-    """Sorted names of up to three letters with their sub- and superscripts; commands and Greek letters are none."""
-    found = set()
-    for base, sub, power in _VARIABLE.findall(_COMMAND.sub("", equation)):
-        if len(base) <= 3 and base not in _NO_VARIABLE:
-            found.add(base + (f"_{sub}" if sub else "") + (f"^{power}" if power else ""))
-    return sorted(found)
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def variables(equations: pd.Series) -> pd.Series:
-    return equations.map(lambda e: [] if e is None else variables_of(e))

@@ -184,3 +184,24 @@ CHUNK_TYPES = ["definition", "theorem", "example", "exercise", "formula", "summa
 MOST_CONCEPTS = 5
 TOKEN_PRICES = {"gpt-3.5-turbo": 0.002 / 1000, "gpt-4": 0.03 / 1000, "gpt-4-turbo": 0.01 / 1000}
 STORAGE_PRICE = 0.023
+
+# Mastery from which a concept is no focus any more, as asked for and on the path.
+PRIMARY_MASTERED, PATH_MASTERED = 0.85, 0.8
+# Words that count as agreement in a message.
+AGREEMENT = ["correct", "right", "agreed"]
+# Texts of responses without a model, and the confidence of a quoted snippet.
+EXAMPLE_STEPS = [
+    "1. Identify the known quantities or facts from the prompt.",
+    "2. Apply the relevant principle for the concept.",
+    "3. Compute or reason through the result step by step.",
+    "4. Double-check the conclusion and relate it back to the concept.",
+]
+REVIEW_HINT = "Note the key relationships and examples discussed."
+NO_CHUNKS = "I couldn't find a grounded snippet yet. Let's review your materials first. Could you point me to the chapter or section?"
+NO_SNIPPET = "I couldn't find a grounded snippet yet. Let's review the relevant materials together. Do you recall which section covers this concept?"
+SNIPPET_BEFORE, SNIPPET_AFTER = "Here's what your materials say about this topic:\n\n", "\n\nLet me know if you'd like a different angle."
+SNIPPET_CONFIDENCE = 0.5
+# Keys that a request to an agent must have.
+AGENT_KEYS = {"study-plan": [], "daily-quiz": ["concepts"], "doubt": ["question"], "analysis": ["user_id"], "tutor": ["message", "user_id"], "mock": []}
+# A variable: a name with an optional subscript and power.
+VARIABLE = r"\\?([a-zA-Z]+)(?:_\{?([a-zA-Z0-9]+)\}?)?(?:\^(\{[^}]+\}|[^\\\s,})]+))?"

@@ -78,6 +78,18 @@ def latex_formulas(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, strip), lambda f: f != ""))
 
 
+def variables(equation: Column) -> Column:
+    """Sorted names of up to three letters with their sub- and superscripts; commands and Greek letters are none."""
+    commands = "|".join(r"\\" + f for f in sorted(rules.LATEX_FUNCTIONS, key=len, reverse=True))
+    plain = F.regexp_replace(F.coalesce(equation, F.lit("")), commands, "")
+    base, sub, power = (F.regexp_extract_all(plain, F.lit(rules.VARIABLE), F.lit(g)) for g in (1, 2, 3))
+    parts = F.arrays_zip(base.alias("base"), sub.alias("sub"), power.alias("power"))
+    no_name = F.array(*map(F.lit, [*rules.LATEX_FUNCTIONS, *rules.GREEK, *(g.capitalize() for g in rules.GREEK)]))
+    named = F.filter(parts, lambda v: (F.length(v["base"]) <= 3) & ~F.array_contains(no_name, v["base"]))
+    mark = lambda sign, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(sign), v)).otherwise("")
+    return F.array_sort(F.array_distinct(F.transform(named, lambda v: F.concat(v["base"], mark("_", v["sub"]), mark("^", v["power"])))))
+
+
 def cross_references(text: Column) -> Column:
     """Struct of sorted, distinct references per kind."""
 
@@ -137,13 +149,21 @@ def is_noise_concept(name: Column) -> Column:
     return F.coalesce(noise, F.lit(True))
 
 
-def synonym(name: Column) -> Column:
-    """Acronyms spelled out, known variants as the first of their group, else the squeezed name (without the fuzzy step)."""
-    squeezed = F.regexp_replace(F.regexp_replace(strip(name), f"{WS}+", " "), "[‘’′]", "'")
+def squeezed(name: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(strip(name), f"{WS}+", " "), "[‘’′]", "'")
+
+
+def known_form(name: Column) -> Column:
+    """Acronyms spelled out, known variants as the first of their group, else null."""
     known = {v.lower(): sorted(group)[0] for group in rules.SYNONYMS for v in group}
     table = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))
     short = F.create_map(*(F.lit(x) for kv in rules.ACRONYMS.items() for x in kv))
-    return F.coalesce(F.try_element_at(short, F.upper(strip(name))), F.try_element_at(table, F.lower(squeezed)), squeezed)
+    return F.coalesce(F.try_element_at(short, F.upper(strip(name))), F.try_element_at(table, F.lower(squeezed(name))))
+
+
+def synonym(name: Column) -> Column:
+    """The known form, else the squeezed name (without the fuzzy step)."""
+    return F.coalesce(known_form(name), squeezed(name))
 
 
 def occurrences(text: Column, term: Column) -> Column:

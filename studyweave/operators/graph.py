@@ -143,6 +143,14 @@ def subgraph(edges: DataFrame, seeds: DataFrame, depth: int, types: list[str] |
     return reached.groupBy("key").agg(F.min("hops").alias("hops"))
 
 
+def subgraph_edges(edges: DataFrame, seeds: DataFrame, depth: int, types: list[str] | None = None) -> DataFrame:
+    """(src, dst, type): the edges on walks of at most ``depth`` steps from a seed, so those with an end nearer than that."""
+    e = edges.where(F.col("type").isin(types)) if types else edges
+    near = subgraph(e, seeds, depth).where(F.col("hops") < min(max(depth, 1), 3)).select("key")
+    ends = [e.join(near.withColumnRenamed("key", end), end, "left_semi").select("src", "dst", "type") for end in ("src", "dst")]
+    return ends[0].union(ends[1]).distinct()
+
+
 def prerequisite_closure(edges: DataFrame, targets: DataFrame, depth: int = 4) -> DataFrame:
     """(target, key, depth): all prerequisites up to ``depth`` steps behind each target, the target itself at 0, each at its greatest depth."""
     back = edges.select(F.col("dst").alias("_at"), F.col("src").alias("_before")).distinct()
@@ -210,8 +218,28 @@ def concept_buckets(concepts: DataFrame) -> DataFrame:
     return concepts.withColumn("bucket", bucket).where("bucket is not null").groupBy("resource_id", "bucket").agg(F.array_sort(F.collect_set("name")).alias("concepts"))
 
 
-def formula_edges(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Formula nodes (id, latex, type) and HAS_FORMULA edges (chunk_id, id); a resource's equal formulas are one node."""
-    found = chunks.select("doc_id", "chunk_id", F.explode(T.latex_formulas(F.col("full_text"))).alias("latex"))
-    keyed = found.withColumn("id", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "latex"), 256))
-    return keyed.select("id", "latex", T.formula_type(F.col("latex")).alias("type")).distinct(), keyed.select("chunk_id", "id").distinct()
+def _formulas(chunks: DataFrame) -> DataFrame:
+    found = chunks.select("doc_id", "chunk_id", "key_concepts", F.explode("formulas").alias("latex"))
+    return found.withColumn("id", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "latex"), 256))
+
+
+def formula_nodes(chunks: DataFrame) -> DataFrame:
+    """(id, latex, type, variables) of chunks with ``formulas``; a resource's equal formulas are one node."""
+    return _formulas(chunks).select("id", "latex").distinct().select("id", "latex", T.formula_type(F.col("latex")).alias("type"), T.variables(F.col("latex")).alias("variables"))
+
+
+def formula_graph(chunks: DataFrame, fan_out: int = 3) -> DataFrame:
+    """(type, src, dst): chunks to formulas and figures, these to the chunk's first concepts, formulas to variables.
+
+    ``chunks``: doc_id, chunk_id, key_concepts, formulas and figures (arrays).
+    """
+    found = _formulas(chunks)
+    figures = chunks.select("chunk_id", "key_concepts", F.explode("figures").alias("label"), "doc_id").withColumn("id", F.concat_ws(":", F.col("doc_id").cast("string"), "label"))
+    edge = lambda rows, kind, src, dst: rows.select(F.lit(kind).alias("type"), F.col(src).alias("src"), dst.alias("dst"))
+    concepts = F.explode(F.slice("key_concepts", 1, fan_out))
+    variable = formula_nodes(chunks).select("id", F.explode("variables").alias("symbol"))
+    parts = [
+        edge(found, "HAS_FORMULA", "chunk_id", F.col("id")), edge(found, "ABOUT", "id", concepts), edge(variable, "HAS_VARIABLE", "id", F.left(F.sha2(F.concat_ws(":", "id", "symbol"), 256), F.lit(16))),
+        edge(figures, "HAS_FIGURE", "chunk_id", F.col("id")), edge(figures, "ILLUSTRATES", "id", concepts),
+    ]
+    return reduce(DataFrame.union, parts).distinct()

@@ -12,8 +12,9 @@ from ..functions import text as T
 from ..functions.names import alias_like
 from ..operators import graph as G
 from ..operators.linking import links
-from .inputs import CHUNKS_SQL, _quoted, chunks, table
+from .inputs import CHUNKS_SQL, _quoted, chunks, sql_ladder, table
 from .registry import Registry
+from .text_queries import _LATEX, _STRIPPED, _VARIABLES
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -31,9 +32,11 @@ _EDGES = """p as (select p_partkey as src from part), ee as (select src, (case w
     edges as (select src, dst, type, case when src % 17 <> 0 then (src % 10) / 10.0::double end as confidence from ee where src <> dst)"""
 
 
-@add("""with m as (select l_partkey as concept, l_orderkey as chunk, greatest(count(*), 1) as frequency from lineitem group by all) select concept, chunk, frequency, least(1.0::double, frequency / (sum(frequency) over (partition by chunk))::double) as salience from m""")
+@add(f"""with {CHUNKS_SQL}, k as (select distinct chunk_id as chunk, unnest(key_concepts) as concept, lower(full_text) as low from tagged), m as (select chunk, concept, greatest((length(low) - length(replace(low, concept, ''))) // length(concept), 1) as frequency from k)
+    select concept, chunk, frequency, least(1.0::double, frequency / (sum(frequency) over (partition by chunk))::double) as salience from m""")
 def concept_occurrences(spark, sf_dir):
-    return G.occurrences(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("concept"), F.col("l_orderkey").alias("chunk"), F.lit(1).alias("times")))
+    c = chunks(spark, sf_dir).select(F.col("chunk_id").alias("chunk"), "full_text", F.explode(F.array_distinct("key_concepts")).alias("concept"))
+    return G.occurrences(c.select("concept", "chunk", T.occurrences(F.col("full_text"), F.col("concept")).cast("long").alias("times")))
 
 
 @add("""with c as (select l_orderkey as chunk, list(distinct l_partkey) as cs from lineitem group by l_orderkey), u as (select chunk, unnest(cs) as x from c)
@@ -132,6 +135,31 @@ def concept_subgraph(spark, sf_dir):
     return G.subgraph(_edges(spark, sf_dir), seeds, 2)
 
 
+@add(f"""with recursive {_EDGES}, b as (select src, dst from edges union select dst, src from edges), w(key, hops) as (select 7::bigint, 0 union all select b.dst, hops + 1 from (select distinct key, hops from w) w join b on b.src = w.key where hops < 2),
+    n as (select key, min(hops) as hops from w group by key) select distinct src, dst, type from edges where src in (select key from n where hops < 2) or dst in (select key from n where hops < 2)""")
+def concept_subgraph_edges(spark, sf_dir):
+    seeds = spark.range(7, 8).select(F.col("id").alias("key"))
+    return G.subgraph_edges(_edges(spark, sf_dir), seeds, 2)
+
+
+_FORMULA_GRAPH = f"""{CHUNKS_SQL}, f as (select distinct doc_id, chunk_id, key_concepts, unnest(list_distinct({_STRIPPED.format(_LATEX)})) as formula from tagged), i as (select *, sha256(doc_id::varchar || ':' || formula) as id from f),
+    v as (select id, unnest({_VARIABLES}) as symbol from i), fig as (select distinct doc_id, chunk_id, key_concepts, unnest(list_transform(regexp_extract_all(full_text, '(?i)\\b(?:Fig|Figure)\\.?\\s*' || '{rules.NUMBER}', 1), lambda h: 'Fig. ' || h)) as label from tagged),
+    e as (select 'HAS_FORMULA' as type, chunk_id as src, id as dst from i union select 'ABOUT', id, unnest(list_slice(key_concepts, 1, 3)) from i union select 'HAS_VARIABLE', id, left(sha256(id || ':' || symbol), 16) from v
+      union select 'HAS_FIGURE', chunk_id, doc_id::varchar || ':' || label from fig union select 'ILLUSTRATES', doc_id::varchar || ':' || label, unnest(list_slice(key_concepts, 1, 3)) from fig)"""
+
+
+@add(f"with {_FORMULA_GRAPH} select type, src, dst from e")
+def formula_graph(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    return G.formula_graph(c.withColumns({"formulas": T.latex_formulas(F.col("full_text")), "figures": T.cross_references(F.col("full_text"))["figures"]}))
+
+
+@add(f"with {_FORMULA_GRAPH} select distinct id, formula as latex, {sql_ladder('formula', rules.FORMULA_LADDER, _quoted('algebraic'))} as type, array_to_string({_VARIABLES}, '|') as variables from i")
+def formula_nodes(spark, sf_dir):
+    n = G.formula_nodes(chunks(spark, sf_dir).withColumn("formulas", T.latex_formulas(F.col("full_text"))))
+    return n.withColumn("variables", F.array_join("variables", "|"))
+
+
 @add(f"""with recursive {_EDGES}, pe as (select distinct src, dst from edges where type = 'PREREQUISITE_OF'), w(target, key, depth) as (select p_partkey, p_partkey, 0 from part union all select target, src, depth + 1 from (select distinct * from w) w join pe on dst = key where depth < 4) select target, key, max(depth)::int as depth from w group by all""")
 def prerequisite_closure(spark, sf_dir):
     t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("target"))

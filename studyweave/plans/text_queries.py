@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..functions.names import fuzzy_form, variables
+from ..functions.names import fuzzy_form
 from ..operators import chunking, quality
 from .inputs import CHUNKS_SQL, SENTENCES_SQL, _quoted, chunks, sentences, sql_any, sql_ladder, table
 from .registry import Registry
@@ -55,10 +55,16 @@ def formula_types(spark, sf_dir):
     return found.select("chunk_id", "formula", T.formula_type(F.col("formula")).alias("kind"), F.left(F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "formula"), 256), F.lit(16)).alias("formula_id"))
 
 
-@add()
+_PLAIN = "regexp_replace(formula, '" + "|".join(r"\\" + f for f in sorted(rules.LATEX_FUNCTIONS, key=len, reverse=True)) + "', '', 'g')"
+_PARTS = f"list_zip({', '.join(f'regexp_extract_all({_PLAIN}, {_quoted(rules.VARIABLE)}, {g})' for g in (1, 2, 3))})"
+_NO_NAME = "[" + ", ".join(map(_quoted, [*rules.LATEX_FUNCTIONS, *rules.GREEK, *(g.capitalize() for g in rules.GREEK)])) + "]"
+_VARIABLES = f"list_sort(list_distinct(list_transform(list_filter({_PARTS}, lambda v: length(v[1]) <= 3 and not list_contains({_NO_NAME}, v[1])), lambda v: v[1] || case when coalesce(v[2], '') <> '' then '_' || v[2] else '' end || case when coalesce(v[3], '') <> '' then '^' || v[3] else '' end)))"
+
+
+@add(f"with {CHUNKS_SQL}, f as (select unnest(list_distinct({_STRIPPED.format(_LATEX)})) as formula from chunks), u as (select formula, count(*) as uses from f group by formula) select formula, uses, array_to_string({_VARIABLES}, '|') as variables from u")
 def formula_variables(spark, sf_dir):
     found = chunks(spark, sf_dir).where("full_text rlike '[$\\\\\\\\]'").select(F.explode(T.latex_formulas(F.col("full_text"))).alias("formula")).groupBy("formula").agg(F.count("*").alias("uses"))
-    return found.select("formula", "uses", variables("formula").alias("variables"))
+    return found.select("formula", "uses", F.array_join(T.variables(F.col("formula")), "|").alias("variables"))
 
 
 _BLOOM = "greatest(2, " + ", ".join(f"case when {sql_any('low', p)} then {n} else 0 end" for n, p in rules.BLOOM.items()) + ")"
@@ -99,29 +105,34 @@ def cross_references(spark, sf_dir):
     return found.select("chunk_id", *(F.array_join(f"r.{kind}", "|").alias(kind) for kind, _, _ in rules.REFERENCES))
 
 
-@add("""with n as (select doc_id, left(coalesce(text, ''), 30) as name from documents)
+@add("""with n as (select doc_id, coalesce(text, '') as name from documents)
     select doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(regexp_replace(name, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'))), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) as canonical from n""")
 def canonical_names(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.canonical_name(F.left(F.coalesce("text", F.lit("")), F.lit(30))).alias("canonical"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.canonical_name(F.coalesce("text", F.lit(""))).alias("canonical"))
 
 
 _NAMES = ["FFT", " ode ", "Heat Xfer", "thermal  transfer", "Fourier’s law", "heat conduction", "Fourier Laws", "page 12", "1234", "iv", "(cid:7)", "Theory", "a+b=c*d!", "Boundary layer", "x", "Section 2", "20°C"]
-_NAMES_SQL = "(values " + ", ".join(f"({_quoted(n)})" for n in _NAMES) + ") t(name)"
 _KNOWN = {v.lower(): sorted(g)[0] for g in rules.SYNONYMS for v in g}
 
 
-@add(f"""with q as (select p_partkey, x.name from part, {_NAMES_SQL.replace(' t(name)', ' x(name)')} where p_partkey % 50 = 0), s as (select *, regexp_replace(regexp_replace(regexp_replace(name, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'), '[‘’′]', chr(39), 'g') as sq from q)
+@add(f"""with q as (select p_partkey, unnest([p_name, ([{', '.join(map(_quoted, _NAMES))}])[p_partkey % {len(_NAMES)} + 1]]) as name from part), s as (select *, regexp_replace(regexp_replace(regexp_replace(name, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'), '[‘’′]', chr(39), 'g') as sq from q)
     select p_partkey, name, case upper(trim(name)) {' '.join(f"when {_quoted(k)} then {_quoted(v)}" for k, v in rules.ACRONYMS.items())} else case lower(sq) {' '.join(f"when {_quoted(k)} then {_quoted(v)}" for k, v in _KNOWN.items())} else sq end end as form,
       (length(trim(name)) < 3 or regexp_matches(lower(trim(name)), {_quoted('|'.join(rules.NOISE_PATTERNS))}) or lower(trim(name)) in ({', '.join(map(_quoted, rules.GENERIC_TERMS))}) or length(name) > 100 or length(regexp_replace(name, '[\\p{{L}}\\p{{N}} ,-]', '', 'g')) > length(name) // 3) as noise from s""")
 def concept_forms(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select("p_partkey", F.explode(F.array(*map(F.lit, _NAMES))).alias("name"))
-    return parts.select("p_partkey", "name", T.synonym(F.col("name")).alias("form"), T.is_noise_concept(F.col("name")).alias("noise"))
+    """Every part's name, and one of the fixed names by its number."""
+    return _concept_names(spark, sf_dir).select("p_partkey", "name", T.synonym(F.col("name")).alias("form"), T.is_noise_concept(F.col("name")).alias("noise"))
+
+
+def _concept_names(spark, sf_dir):
+    other = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array("p_name", other)).alias("name"))
 
 
 @add()
 def fuzzy_concepts(spark, sf_dir):
-    names = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.explode(F.array(*map(F.lit, _NAMES))).alias("name")).distinct()
-    return names.select("name", F.coalesce(fuzzy_form("name"), T.synonym(F.col("name"))).alias("form"))
+    """Known forms first, then the form most alike, else the name."""
+    names = _concept_names(spark, sf_dir).select("name").distinct()
+    return names.select("name", F.coalesce(T.known_form(F.col("name")), fuzzy_form("name"), T.squeezed(F.col("name"))).alias("form"))
 
 
 @add(f"with {CHUNKS_SQL} select chunk_id, left(full_text, 300) as snippet, 1.0::double as score from chunks where full_text ilike '%gradient%' order by chunk_id limit 50")
@@ -157,10 +168,20 @@ def chunk_metrics(spark, sf_dir):
     return rows.groupBy("content_type").agg(F.count("*").alias("n"), F.round(F.avg("tokens"), 4).alias("mean_tokens"), F.count_if("formula").alias("with_formula"))
 
 
-@add()
+_BODY = r"\\s+" + rules.NUMBER + r"\\s*[:\\-]?\\s*([^.]+(?:\\.[^.]+)?)"
+_STRIP1 = "regexp_replace({0}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')"
+
+
+def _captions_sql(pattern: str, word: str, kind: str) -> str:
+    both = ", ".join(f"regexp_extract_all(full_text, {_quoted(pattern)}, {g})" for g in (1, 2))
+    return f"select chunk_id, '{word}' || z[1] as label, {_STRIP1.format('z[2]')} as caption, {kind} as kind from (select chunk_id, unnest(list_zip({both})) as z from chunks)"
+
+
+@add(f"""with {CHUNKS_SQL}, f as ({_captions_sql(r"(?i)(?:Figure|Fig\.?)" + _BODY, "Figure ", sql_ladder("lower(z[2])", rules.FIGURE_KINDS, "'unknown'"))} union all {_captions_sql("(?i)Table" + _BODY, "Table ", "'table'")})
+    select chunk_id, label, caption, kind, array_to_string(list_slice(list_filter(regexp_extract_all(caption, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b'), lambda c: length(c) > 3), 1, 5), '|') as concepts from f""")
 def figure_captions(spark, sf_dir):
     found = chunks(spark, sf_dir).select("chunk_id", F.explode(T.figures(F.col("full_text"))).alias("f"))
-    return found.select("chunk_id", "f.label", "f.caption", "f.kind", T.caption_concepts(F.col("f.caption")).alias("concepts"))
+    return found.select("chunk_id", "f.label", "f.caption", "f.kind", F.array_join(T.caption_concepts(F.col("f.caption")), "|").alias("concepts"))
 
 
 @add()
