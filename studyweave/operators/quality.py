@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import rules
 from ..functions.text import truthy
 
 
@@ -19,6 +20,35 @@ def tag_coverage(rows: DataFrame, tagged: Column) -> DataFrame:
     return found.withColumn("pct", F.round(F.lit(100.0) * F.col("tagged") / F.nullif("total", F.lit(0)), 2))
 
 
+def tag_structure(rows: DataFrame) -> DataFrame:
+    """total, valid_json and empty_tags over rows whose JSON ``tags`` are not null: objects, and those without keys."""
+    keys = F.json_object_keys("tags")  # null for what is no object
+    return rows.where(F.col("tags").isNotNull()).agg(F.count("*").alias("total"), F.count_if(keys.isNotNull()).alias("valid_json"), F.count_if(F.size(keys) == 0).alias("empty_tags"))
+
+
+def missing_keys(agent: Column, payload: Column) -> Column:
+    """Keys that a request (map of strings) must have for its agent and lacks or leaves empty; unknown agents need none."""
+    table = F.create_map(*(x for a, keys in rules.AGENT_KEYS.items() for x in (F.lit(a), F.array(*map(F.lit, keys)).cast("array<string>"))))
+    wanted = F.coalesce(F.try_element_at(table, agent), F.array().cast("array<string>"))
+    return F.filter(wanted, lambda k: F.coalesce(F.try_element_at(payload, k), F.lit("")) == "")
+
+
+def valid_uuid(value: Column) -> Column:
+    """The trimmed value if it is a UUID (8-4-4-4-12 hexadecimal digits), else null."""
+    return F.when(F.lower(F.trim(value)).rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), F.trim(value))
+
+
+def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows drawn by a hash of their key and a seed: the same rows for the same seed, however they lie."""
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), key).limit(n)
+
+
+def observed(rows: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, Observation]:
+    """rows, and their measures (count always) as they pass through a stage; read them after the stage's action."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *(m.alias(k) for k, m in measures.items())), seen
+
+
 def distribution(rows: DataFrame, column: str) -> DataFrame:
     """n and share of each value; the window only sees one row per value."""
     n = rows.groupBy(column).agg(F.count("*").alias("n"))

@@ -136,6 +136,19 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, sim_weight
     return reduce(DataFrame.unionByName, (_block(q, chunks, k, sim_weight, text_weight, boost if resource is not None else 1.0, page_proximity) for q in blocks))
 
 
+def substring_search(queries: DataFrame, chunks: DataFrame, k: int = 50) -> DataFrame:
+    """query_id, chunk_id, snippet, score (1.0), rank: the first k chunks by id that hold the text, ignoring case.
+
+    The mode for when there are no vectors. The stated queries are a block of checked size that meets all chunks.
+    """
+    n, chars = queries.agg(F.count("*"), F.sum(F.length("text"))).first()
+    if n * 64 + (chars or 0) > BLOCK_BYTES:
+        raise ValueError("ask fewer queries at once")
+    asked = F.broadcast(queries.where(F.coalesce("text", F.lit("")) != "").select("query_id", F.lower("text").alias("_t")))
+    found = chunks.select("chunk_id", "full_text", F.lower("full_text").alias("_low")).join(asked, F.contains("_low", "_t"))
+    return _ranked(found.select("query_id", "chunk_id", F.left("full_text", F.lit(300)).alias("snippet"), F.lit(1.0).alias("score")), k, F.col("chunk_id"))
+
+
 def relevant(hits: DataFrame, score: float = 0.35, sim: float = 0.30, bm25: float = 0.15, relax: bool = False) -> DataFrame:
     """Hits that reach any threshold; with ``relax``, a query none of whose hits does keeps those of at least 0."""
     passes = lambda a, b, c: F.coalesce(F.col("score") >= a, F.lit(False)) | F.coalesce(F.col("sim") >= b, F.lit(False)) | F.coalesce(F.col("bm25") >= c, F.lit(False))

@@ -168,7 +168,7 @@ def chunk_metrics(spark, sf_dir):
     return rows.groupBy("content_type").agg(F.count("*").alias("n"), F.round(F.avg("tokens"), 4).alias("mean_tokens"), F.count_if("formula").alias("with_formula"))
 
 
-_BODY = r"\\s+" + rules.NUMBER + r"\\s*[:\\-]?\\s*([^.]+(?:\\.[^.]+)?)"
+_BODY = r"\s+" + rules.NUMBER + r"\s*[:\-]?\s*([^.]+(?:\.[^.]+)?)"
 _STRIP1 = "regexp_replace({0}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')"
 
 
@@ -178,7 +178,7 @@ def _captions_sql(pattern: str, word: str, kind: str) -> str:
 
 
 @add(f"""with {CHUNKS_SQL}, f as ({_captions_sql(r"(?i)(?:Figure|Fig\.?)" + _BODY, "Figure ", sql_ladder("lower(z[2])", rules.FIGURE_KINDS, "'unknown'"))} union all {_captions_sql("(?i)Table" + _BODY, "Table ", "'table'")})
-    select chunk_id, label, caption, kind, array_to_string(list_slice(list_filter(regexp_extract_all(caption, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b'), lambda c: length(c) > 3), 1, 5), '|') as concepts from f""")
+    select chunk_id, label, caption, kind, array_to_string(list_slice(list_filter(regexp_extract_all(regexp_replace(caption, '[À-ÖØ-öø-ʯ]', '0', 'g'), '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b'), lambda c: length(c) > 3), 1, 5), '|') as concepts from f""")
 def figure_captions(spark, sf_dir):
     found = chunks(spark, sf_dir).select("chunk_id", F.explode(T.figures(F.col("full_text"))).alias("f"))
     return found.select("chunk_id", "f.label", "f.caption", "f.kind", F.array_join(T.caption_concepts(F.col("f.caption")), "|").alias("concepts"))
