@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,30 +13,43 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 
-PACKED = "struct<done: array<string>, open: array<string>, tokens: int>"
+#: Units and spans of fewer characters make no chunk.
+LEAST_CHARS = 20
 
 
-def pack_sentences(sentences: Column, max_tokens: int) -> Column:
-    """Array of chunk texts: sentences joined while they stay within ``max_tokens``; a longer one stands alone."""
-    start = F.lit(None).cast(PACKED)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("tokens"))
+@dataclass(frozen=True)
+class ChunkPlan:
+    """What chunking does beyond cutting: limits by content type, whole formulas, tags, formula metadata."""
 
-    def step(acc, s):
-        n = F.size(T.words(s))
-        full = (acc["tokens"] + n > max_tokens) & (F.size(acc["open"]) > 0)
-        return F.struct(
-            F.when(full, F.array_append(acc["done"], F.array_join(acc["open"], " "))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.array(s)).otherwise(F.array_append(acc["open"], s)).alias("open"),
-            F.when(full, n).otherwise(acc["tokens"] + n).alias("tokens"),
-        )
+    content_aware: bool = True
+    preserve_formulas: bool = True
+    tags: bool = False
+    formulas: bool = False
 
-    return F.aggregate(sentences, start, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.array_append(acc["done"], F.array_join(acc["open"], " "))).otherwise(acc["done"]))
+
+def pack_sentences(sentences: Column, max_tokens: Column | int) -> Column:
+    """Array of chunk texts: sentences joined while they stay within ``max_tokens``; a longer one stands alone.
+
+    The fold only keeps where chunks start; texts are joined once. ``sentences`` should be a column, for it is read
+    for every chunk.
+    """
+    most = F.lit(max_tokens) if isinstance(max_tokens, int) else max_tokens
+    start = F.struct(F.lit(0).alias("tokens"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("starts"))
+
+    def step(acc, n):
+        full = (acc["at"] > F.element_at(acc["starts"], -1)) & (acc["tokens"] + n > most)
+        return F.struct(F.when(full, n).otherwise(acc["tokens"] + n).alias("tokens"), (acc["at"] + 1).alias("at"), F.when(full, F.array_append(acc["starts"], acc["at"])).otherwise(acc["starts"]).alias("starts"))
+
+    starts = F.aggregate(F.transform(sentences, lambda s: F.size(T.words(s))), start, step, lambda acc: acc["starts"])
+    # each start with the next one
+    spans = F.zip_with(starts, F.slice(starts, 2, F.size(sentences)), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.size(sentences)).alias("b")))
+    return F.when(F.size(sentences) > 0, F.transform(spans, lambda s: F.array_join(F.slice(sentences, s["a"] + 1, s["b"] - s["a"]), " "))).otherwise(F.array().cast("array<string>"))
 
 
 def split_documents(docs: DataFrame, max_tokens: int = 500) -> DataFrame:
     """(doc_id, idx, chunk): packed sentences of every text; null and blank texts give no row."""
-    packed = docs.select("doc_id", pack_sentences(T.sentences(F.coalesce("text", F.lit(""))), max_tokens).alias("chunks"))
-    return packed.select("doc_id", F.posexplode("chunks").alias("idx", "chunk"))
+    cut = docs.select("doc_id", T.sentences(F.coalesce("text", F.lit(""))).alias("ss"))
+    return cut.select("doc_id", F.posexplode(pack_sentences(F.col("ss"), max_tokens)).alias("idx", "chunk"))
 
 
 def semantic_spans(counts: list[int], similarity: list[float], threshold: float, least: int, most: int, overlap: int) -> list[tuple[int, int]]:
@@ -109,35 +123,92 @@ def _around(text: str, a: int, b: int, room: int = 200) -> tuple[int, int]:
     return before.end() if before else low, after.end() if after else high
 
 
-def _formula_chunks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+def _formula_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for doc, text in zip(batch["doc_id"], batch["text"]):
+        for key, text, most in zip(batch["key"], batch["text"], batch["most"]):
             found, end = formula_spans(text), 0
             for k, (a, b) in enumerate(found):
                 low, end = _around(text, a, b)
                 piece = text[low:end]
                 if len(piece.split()) > most:
                     piece = text[max(0, a - 100) : b + 100]
-                rows.append((doc, k, low, end, True, piece.strip()))
+                rows.append((key, k, low, end, True, piece.strip()))
             if found and text[end:].strip():
-                rows.append((doc, len(found), end, len(text), False, text[end:].strip()))
-        yield pd.DataFrame(rows, columns=["doc_id", "idx", "begin", "stop", "has_formula", "chunk"])
+                rows.append((key, len(found), end, len(text), False, text[end:].strip()))
+        yield pd.DataFrame(rows, columns=["key", "idx", "begin", "stop", "has_formula", "chunk"])
 
 
-def formula_aware_split(docs: DataFrame, max_tokens: int = 500) -> DataFrame:
-    """(doc_id, idx, begin, stop, has_formula, chunk): every formula whole with its surroundings, and the rest after
-    the last; texts without formulas are packed by sentences, begin and stop being sums of chunk lengths."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    with_formula = F.lit(False)
+def _has_formula() -> Column:
+    test = F.lit(False)
     for p in rules.FORMULA_PATTERNS:
-        with_formula = with_formula | F.col("text").rlike("(?U)" + p)
-    schema = "doc_id long, idx int, begin int, stop int, has_formula boolean, chunk string"
-    formulas = texts.where(with_formula).mapInPandas(lambda b: _formula_chunks(b, max_tokens), schema)
-    plain = texts.where(~with_formula).select("doc_id", pack_sentences(T.sentences(F.col("text")), max_tokens).alias("c"))
-    plain = plain.select("doc_id", "c", F.posexplode("c").alias("idx", "chunk"))
+        test = test | F.col("text").rlike("(?U)" + p)
+    return test
+
+
+def _split(texts: DataFrame, formulas: bool = True) -> DataFrame:
+    """(key, idx, begin, stop, has_formula, chunk) from (key long, text, most): every formula whole with its
+    surroundings, and the rest after the last; texts without formulas are packed by sentences, begin and stop being
+    sums of chunk lengths."""
+    test = _has_formula() if formulas else F.lit(False)
+    plain = texts.where(~test).select("key", "most", T.sentences(F.col("text")).alias("ss")).select("key", pack_sentences(F.col("ss"), F.col("most")).alias("c"))
+    plain = plain.select("key", "c", F.posexplode("c").alias("idx", "chunk"))
     begin = F.aggregate(F.slice("c", 1, F.col("idx")), F.lit(0), lambda n, s: n + F.length(s))
-    return formulas.union(plain.select("doc_id", "idx", begin.alias("begin"), (begin + F.length("chunk")).alias("stop"), F.lit(False).alias("has_formula"), "chunk"))
+    packed = plain.select("key", "idx", begin.alias("begin"), (begin + F.length("chunk")).alias("stop"), F.lit(False).alias("has_formula"), "chunk")
+    if not formulas:
+        return packed
+    return texts.where(test).select("key", "text", "most").mapInPandas(_formula_chunks, "key long, idx int, begin int, stop int, has_formula boolean, chunk string").union(packed)
+
+
+def formula_aware_split(docs: DataFrame, max_tokens: int = 500) -> DataFrame:
+    """(doc_id, idx, begin, stop, has_formula, chunk) of every text; see :func:`_split`."""
+    return _split(docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.lit(max_tokens).alias("most"))).withColumnRenamed("key", "doc_id")
+
+
+def unit_chunks(units: DataFrame, plan: ChunkPlan = ChunkPlan()) -> DataFrame:
+    """(unit_id, idx, source_offset, token_count, has_equation, content_type, text_snippet, full_text) of a page's units.
+
+    ``units``: unit_id, page (its text), start, stop, kind. Spans that are empty or begin before the page and units of
+    fewer than LEAST_CHARS characters give none. A unit within its kind's most tokens stays whole, a longer one is
+    packed by sentences, one with formulas (if they are preserved) is cut around them. Offsets are those of the page.
+    A plan may add tags (role, difficulty) and formulas (their bodies).
+    """
+    limits = size_limits(F.col("kind") if plan.content_aware else F.lit("unknown"))["most"]
+    text = T.strip(F.substring("page", F.col("start") + 1, F.col("stop") - F.col("start")))
+    rows = units.where("stop > start and start >= 0").select("unit_id", "start", "kind", text.alias("text"), limits.alias("most")).where(F.length("text") >= LEAST_CHARS)
+    whole = F.size(T.words(F.col("text"))) <= F.col("most")
+    if plan.preserve_formulas:
+        whole = whole & ~_has_formula()
+    rows = rows.withColumn("whole", whole)
+    alone = rows.where("whole").select("unit_id", F.lit(0).alias("idx"), F.lit(0).alias("begin"), F.lit(False).alias("has_formula"), F.col("text").alias("chunk"))
+    cut = _split(rows.where("not whole").select(F.col("unit_id").alias("key"), "text", "most"), plan.preserve_formulas)
+    both = alone.union(cut.select("key", "idx", "begin", "has_formula", "chunk")).join(units.select("unit_id", "start", "kind"), "unit_id")
+    out = both.select(
+        "unit_id", "idx", (F.col("start") + F.col("begin")).alias("source_offset"), F.size(T.words(F.col("chunk"))).alias("token_count"), F.col("has_formula").alias("has_equation"), F.coalesce("kind", F.lit("unknown")).alias("content_type"),
+        F.left("chunk", F.lit(300)).alias("text_snippet"), F.col("chunk").alias("full_text"),
+    )
+    return enriched(out, plan)
+
+
+def enriched(chunks: DataFrame, plan: ChunkPlan) -> DataFrame:
+    """Chunks with what the plan adds: pedagogy role and content type by the text, formula bodies."""
+    if plan.tags:
+        chunks = chunks.withColumns({"pedagogy_role": T.pedagogy_role(F.col("full_text")), "content_type": T.content_type(F.col("full_text"))})
+    return chunks.withColumn("formulas", T.latex_formulas(F.col("full_text"))) if plan.formulas else chunks
+
+
+def structural_chunks(spans: DataFrame) -> DataFrame:
+    """(span_id, source_offset, token_count, pedagogy_role, text_snippet, full_text) of spans clamped to their page.
+
+    ``spans``: span_id, page, start, stop, section_title. Spans that end before they begin go, and texts of fewer than
+    LEAST_CHARS characters.
+    """
+    n = F.length("page")
+    low = F.greatest(F.lit(0), F.least(F.col("start"), n - 1))
+    rows = spans.where((F.col("stop") > 0) & (F.col("stop") > F.col("start")) & (T.strip(F.col("page")) != ""))
+    rows = rows.withColumn("low", low).withColumn("high", F.greatest(F.col("low") + 1, F.least(F.col("stop"), n)))
+    rows = rows.withColumn("full_text", T.strip(F.substring("page", F.col("low") + 1, F.col("high") - F.col("low")))).where(F.length("full_text") >= LEAST_CHARS)
+    return rows.select("span_id", F.col("low").alias("source_offset"), F.size(T.words(F.col("full_text"))).alias("token_count"), T.pedagogy_role(F.col("full_text"), F.col("section_title")).alias("pedagogy_role"), F.left("full_text", F.lit(300)).alias("text_snippet"), "full_text")
 
 
 def formulas(docs: DataFrame) -> DataFrame:

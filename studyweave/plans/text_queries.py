@@ -35,7 +35,56 @@ def token_packing(spark, sf_dir):
     return chunking.split_documents(table(spark, sf_dir, "documents"), PACK)
 
 
+_UNITS = f"""cut as (select doc_id, coalesce(text, '') as page, unnest(range(length(coalesce(text, '')) // 700 + 1)) as k from documents),
+    units as (select doc_id * 1000000 + k as unit_id, page, (k * 700 - case when k % 9 = 8 then 10000 else 0 end)::int as start, (k * 700 + case when k % 5 = 4 then 8 else 690 end)::int as stop, (array['concept_intro', 'derivation', 'example', 'summary', null])[(doc_id + k) % 5 + 1] as kind, (doc_id + k) as n from cut)"""
+
+
+def _units(spark, sf_dir):
+    """Spans of 690 characters every 700, some too short, some before their page."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("page"))
+    k = F.col("k")
+    d = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.length("page") / 700).cast("int"))))
+    kinds = F.array(*map(F.lit, ["concept_intro", "derivation", "example", "summary", None]))
+    return d.select(
+        (F.col("doc_id") * 1_000_000 + k).alias("unit_id"), "page", (k * 700 - F.when(k % 9 == 8, 10_000).otherwise(0)).cast("int").alias("start"), (k * 700 + F.when(k % 5 == 4, 8).otherwise(690)).cast("int").alias("stop"),
+        F.element_at(kinds, ((F.col("doc_id") + k) % 5 + 1).cast("int")).alias("kind"), (F.col("doc_id") + k).alias("n"),
+    )
+
+
+_MOST = "case coalesce(kind, '') " + " ".join(f"when '{k}' then {v[1]}" for k, v in rules.SIZE_LIMITS.items()) + f" else {rules.SIZE_DEFAULT[1]} end"
+_TEXT = "regexp_replace(substring(page, start + 1, stop - start), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')"
+_CUT = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?\n])[ \t\n\r\f]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')), lambda x: x <> '')"
+
+
+@add(f"""with recursive {_UNITS}, u as (select unit_id, start, kind, {_TEXT} as text, {_MOST} as most from units where stop > start and start >= 0), k as (select *, len({_WORDS.format('text')}) as words from u where length(text) >= 20),
+    s as (select unit_id, most, unnest(l) as sentence, unnest(range(len(l)))::int as pos from (select unit_id, most, {_CUT} as l from k where words > most)), n as (select *, len({_WORDS.format('sentence')})::int as n from s),
+    f as (select unit_id, pos, sentence, n as tokens, 0 as idx from n where pos = 0
+      union all select n.unit_id, n.pos, n.sentence, case when f.tokens + n.n > n.most then n.n else f.tokens + n.n end, case when f.tokens + n.n > n.most then f.idx + 1 else f.idx end from f join n on n.unit_id = f.unit_id and n.pos = f.pos + 1),
+    p as (select unit_id, idx::int as idx, string_agg(sentence, ' ' order by pos) as chunk from f group by unit_id, idx),
+    o as (select unit_id, idx, chunk, coalesce(sum(length(chunk)) over (partition by unit_id order by idx rows between unbounded preceding and 1 preceding), 0) as begin from p union all select unit_id, 0, text, 0 from k where words <= most)
+    select unit_id, idx, (start + begin)::int as source_offset, len({_WORDS.format('chunk')})::int as token_count, false as has_equation, coalesce(kind, 'unknown') as content_type, left(chunk, 300) as text_snippet, chunk as full_text from o join k using (unit_id)""")
+def unit_chunks(spark, sf_dir):
+    return chunking.unit_chunks(_units(spark, sf_dir), chunking.ChunkPlan(preserve_formulas=False))
+
+
+@add()
+def planned_chunks(spark, sf_dir):
+    """All a plan can add: formulas kept whole, tags, formula bodies."""
+    c = chunking.unit_chunks(_units(spark, sf_dir), chunking.ChunkPlan(tags=True, formulas=True))
+    return c.withColumn("formulas", F.array_join("formulas", "|"))
+
+
 _ROLE = sql_ladder("lower(full_text)", rules.ROLE_LADDER, sql_ladder("lower(section_title)", rules.ROLE_TITLE_LADDER, _quoted(rules.ROLE_DEFAULT)))
+_CLAMPED = f"""c as (select unit_id as span_id, greatest(0, least(start, length(page) - 1)) as low, page, stop, case when n % 3 = 0 then 'Summary' else '' end as section_title from units where stop > 0 and stop > start and {_TEXT.replace('substring(page, start + 1, stop - start)', 'page')} <> ''),
+    h as (select *, greatest(low + 1, least(stop, length(page))) as high from c), x as (select *, regexp_replace(substring(page, low + 1, high - low), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') as full_text from h)"""
+
+
+@add(f"with {_UNITS}, {_CLAMPED} select span_id, low::int as source_offset, len({_WORDS.format('full_text')})::int as token_count, {_ROLE} as pedagogy_role, left(full_text, 300) as text_snippet, full_text from x where length(full_text) >= 20")
+def structural_chunks(spark, sf_dir):
+    spans = _units(spark, sf_dir).withColumnRenamed("unit_id", "span_id").withColumn("section_title", F.when(F.col("n") % 3 == 0, "Summary").otherwise(""))
+    return chunking.structural_chunks(spans)
+
+
 _CONTENT = sql_ladder("lower(full_text)", rules.CONTENT_LADDER, f"case when {sql_any(f'left(lower(full_text), {rules.CONTENT_INTRO_CHARS})', rules.CONTENT_INTRO)} then 'concept_intro' else 'unknown' end")
 
 
