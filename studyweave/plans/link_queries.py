@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import linking, quality
 from .inputs import CHUNKS_SQL, chunks, table
 from .registry import Registry
-from .text_queries import _CONTENT
+from .text_queries import _BLOOM, _CONTENT, _LATEX, _STRIPPED
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -152,7 +152,18 @@ def embedding_upsert(spark, sf_dir):
     return linking.upsert_embeddings(d, "v2", T.fallback_embedding).select("doc_id", "embedded", F.get("embedding", F.lit(0)).alias("first_component"))
 
 
-@add()
+# Points of a chunk's metadata; what is always there here counts 60.
+_GRADE = "case when s >= 95 then 'A+' when s >= 90 then 'A' when s >= 80 then 'B' when s >= 70 then 'C' when s >= 60 then 'D' else 'F' end"
+
+
+@add(f"""with {CHUNKS_SQL}, c as (select *, list_distinct({_STRIPPED.format(_LATEX)}) as fs from tagged), v as (select *, list_transform(fs, lambda f: len(regexp_extract_all(regexp_replace(f, '[À-ÖØ-öø-ʯ]', '0', 'g'), '\\b([a-z])\\b', 1)) > 0) as vs from c),
+    p as (select len(fs) as n, len(list_filter(vs, lambda x: x)) as complete, idx % 10 <> 0 and len(topic) > 0 as tagged, len(prerequisites) > 0 as pre,
+        least(100, 10 + case when idx % 10 <> 0 then 7 else 0 end + case when len(topic) > 0 then 7 else 0 end + case when len(key_concepts) > 0 then 6 else 0 end + case when len(prerequisites) > 0 then 8 else 0 end + case when len(fs) > 0 then 10 else 0 end + case when list_contains(vs, true) then 5 else 0 end + 10 + 10 + 10 + 5 + 5) as points from v),
+    a as (select count(*) as total, sum(n) as f, sum(complete) as complete, count(*) filter (where tagged) as tagged, count(*) filter (where pre) as pre, avg(points) as rich, min(points) as low, max(points) as high from p),
+    r as (select *, 100.0::double * f / greatest(f, 1) as r1, 100.0::double * tagged / greatest(total, 1) as r2, 100.0::double * complete / greatest(f, 1) as r3, 100.0::double * pre / greatest(total, 1) as r4, 100.0::double * total / greatest(total, 1) as r5 from a),
+    q as (select *, (r1 >= 95)::int + (r2 >= 90)::int + (r3 >= 70)::int + (r4 >= 30)::int + (r5 >= 95)::int + (r5 >= 90)::int as passed from r)
+    select total, round(r1, 2) as formulas_preserved, round(r2, 2) as tags_hierarchical, round(r3, 2) as formulas_complete, round(r4, 2) as prerequisites_present, round(r5, 2) as context_windows, round(r5, 2) as relationships_linked, passed as checks_passed,
+        round(rich, 2) as richness, low as least_richness, high as most_richness, {_GRADE} as grade from (select *, passed / 6.0::double * 60 + rich * 0.4::double as s from q)""")
 def quality_report(spark, sf_dir):
     c = linking.links(chunks(spark, sf_dir))
     found = T.latex_formulas(F.col("full_text"))

@@ -28,7 +28,11 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def mastery_stream(answers: DataFrame, up: float = UP, down: float = DOWN) -> DataFrame:
-    """user_id, concept, mastery, attempts, correct after each batch, from (user_id, concept, ts, seq, right)."""
+    """user_id, concept, mastery, attempts, correct after each batch, from (user_id, concept, ts, seq, right).
+
+    A key's answers of one batch are ordered in one task; ``files_per_trigger`` bounds a batch. The batch fold
+    (:func:`..operators.learner.mastery`) has no such task.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         m, attempts, correct = state.get if state.exists else (0.0, 0, 0)
