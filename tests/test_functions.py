@@ -46,8 +46,8 @@ def test_references_and_figures(spark):
     assert [(x.label, x.kind) for x in f] == [("Figure 1", "graph"), ("Table 2", "table")]
 
 
-def test_variables():
-    assert names.variables_of("\\alpha x_1 + \\frac{y^2}{z} = energy") == ["x_1", "y^2", "z"]
+def test_variables(spark):
+    assert values(spark, ["\\alpha x_1 + \\frac{y^2}{z} = energy"], T.variables(F.col("text"))) == [["x_1", "y^2", "z"]]
 
 
 def test_difficulty_and_minutes(spark):
