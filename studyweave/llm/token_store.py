@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import rans
-from .common import bound_batches, materialise, partitions, remove, shared_path
+from .common import bound_batches, materialise, maybe_broadcast, partitions, remove, shared_path
 from .tokens import encoder
 
 #: Words kept by a worker that tokenises, and bytes it encodes at once.
@@ -144,7 +144,8 @@ def _decoded(freq: np.ndarray):
 def read_index(spark: SparkSession, store: TokenStore) -> DataFrame:
     """Per document, decoded from the files: doc_id, start, n_tokens, ids_crc32."""
     blocks = store.blocks(spark)
-    files = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per file
-    before = files.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    files = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    # one row per file: the one window without a partition, over as many rows as there are files
+    before = materialise(files.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before")), "file-starts")
     docs = blocks.select("part", "first_token", "payload").mapInArrow(_decoded(store.freq), _DOCS_DDL)
-    return docs.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("first_token")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(maybe_broadcast(before, before.count()), "part").select("doc_id", (F.col("before") + F.col("first_token")).alias("start"), "n_tokens", "ids_crc32")
