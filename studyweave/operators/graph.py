@@ -66,6 +66,24 @@ def with_endpoints(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     return nodes.unionByName(ends.join(nodes, "key", "left_anti"), allowMissingColumns=True), out
 
 
+def merge_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An extracted graph merged into a stored one: names looked up without regard to case, ends that are no node
+    become one, each key and each (src, dst, type) once; confidences of new edges replace stored ones.
+
+    Nodes: key; edges: src, dst, type, confidence.
+    """
+    every = nodes.select("key").union(new_nodes.join(nodes.select(F.lower("key").alias("_l")).distinct(), F.lower("key") == F.col("_l"), "left_anti").select("key"))
+    every = every.groupBy(F.lower("key")).agg(F.min("key").alias("key")).select("key")
+    both = edges.select("src", "dst", "type", "confidence", F.lit(0).alias("seq"), F.lit(None).cast("string").alias("evidence")).unionByName(new_edges.select("src", "dst", "type", "confidence", F.lit(1).alias("seq"), F.lit(None).cast("string").alias("evidence")))
+    every, both = with_endpoints(every, both)
+    return every, both.where("src <> dst").groupBy("src", "dst", "type").agg(F.max_by("confidence", F.struct("seq", "confidence")).alias("confidence"))
+
+
+def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, n): nodes, and edges of each type; what a merge adds or a wipe removes."""
+    return nodes.agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "n").union(edges.groupBy("type").agg(F.count("*").alias("n")).select(F.col("type").alias("kind"), "n"))
+
+
 def best_evidence(relations: DataFrame, evidence: DataFrame) -> DataFrame:
     """Relations with the evidence of highest confidence for their (type, target), ties to the smaller chunk."""
     best = evidence.groupBy("type", "target").agg(F.max_by(F.struct("chunk", "confidence"), F.struct("confidence", -F.col("chunk"))).alias("e"))

@@ -50,6 +50,12 @@ def positions(chunks: DataFrame) -> DataFrame:
     })
 
 
+def link_all(chunks: DataFrame) -> DataFrame:
+    """Chunks with ids by place and page, and all that windows over a resource add: neighbours, context, places."""
+    named = chunks.withColumn("chunk_id", F.concat_ws("_", F.lit("chunk"), F.col("idx").cast("string"), F.coalesce("page_number", F.lit(0)).cast("string")))
+    return named.transform(links).transform(context_windows).transform(positions)
+
+
 def prerequisite_links(chunks: DataFrame, concepts: list[str]) -> DataFrame:
     """(doc_id, idx, term, prereq_idx): for each prerequisite the last earlier chunk that has it as a concept.
 

@@ -95,6 +95,22 @@ def relation_evidence(spark, sf_dir):
     return G.best_evidence(l.select("type", "target", "source").distinct(), l)
 
 
+@add("""with stored as (select distinct p_name as key from part where p_size % 2 = 0), fresh as (select distinct upper(p_name) as key from part where p_size % 3 = 0),
+    l as (select lower(key) as low, min(key) as key from stored group by 1), nodes as (select min(key) as key from (select key from stored union all select key from fresh where lower(key) not in (select low from l)) group by lower(key)),
+    e as (select p_name as src, p_brand as dst, 'RELATED_TO' as type from part where p_size % 2 = 0 union all select upper(p_name), p_brand, case when p_size % 4 = 0 then 'RELATED_TO' else 'DEFINES' end from part),
+    k as (select lower(key) as low, min(key) as key from nodes group by 1), o as (select distinct coalesce(a.key, src) as src, coalesce(b.key, dst) as dst, type from e left join k a on lower(src) = a.low left join k b on lower(dst) = b.low), p as (select * from o where src <> dst),
+    n as (select key from nodes union select src from o union select dst from o)
+    select 'node' as kind, count(*) as n from n union all select type, count(*) from p group by type""")
+def graph_merge(spark, sf_dir):
+    """Sizes of a graph after an extracted one was merged into it."""
+    p = table(spark, sf_dir, "part")
+    stored, fresh = p.where("p_size % 2 = 0"), p.where("p_size % 3 = 0")
+    edge = lambda rows, src, kind: rows.select(src.alias("src"), F.col("p_brand").alias("dst"), kind.alias("type"), F.lit(0.7).alias("confidence"))
+    kinds = F.when(F.col("p_size") % 4 == 0, "RELATED_TO").otherwise("DEFINES")
+    merged = G.merge_graph(stored.select(F.col("p_name").alias("key")).distinct(), edge(stored, F.col("p_name"), F.lit("RELATED_TO")), fresh.select(F.upper("p_name").alias("key")).distinct(), edge(p, F.upper("p_name"), kinds))
+    return G.graph_counts(*merged)
+
+
 @add(f"with {_EDGES} select key, count(*) as degree from (select src as key from edges union all select dst from edges) group by key")
 def node_degrees(spark, sf_dir):
     return G.degrees(_edges(spark, sf_dir))

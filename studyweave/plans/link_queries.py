@@ -37,6 +37,13 @@ def section_positions(spark, sf_dir):
     return linking.positions(chunks(spark, sf_dir)).select("chunk_id", "position_in_section", "total_in_section", "position_in_chapter", "total_in_chapter")
 
 
+@add(f"""with {CHUNKS_SQL}, k as (select *, 'chunk_' || idx::varchar || '_' || page_number::varchar as cid from chunks) select doc_id, idx, cid as chunk_id, lag(cid) over {_W} as previous_chunk_id, lead(cid) over {_W} as next_chunk_id,
+    last_value(nullif(section_title, '') ignore nulls) over (partition by doc_id order by idx rows between unbounded preceding and current row) as parent_section_id, coalesce({_STRIP.format(f'left(lag(full_text) over {_W}, 200)')}, '') as previous_chunk_summary,
+    row_number() over (partition by doc_id, section_title order by idx)::int as position_in_section, count(*) over (partition by doc_id) as total_in_chapter from k""")
+def linked_resource(spark, sf_dir):
+    return linking.link_all(chunks(spark, sf_dir)).select("doc_id", "idx", "chunk_id", "previous_chunk_id", "next_chunk_id", "parent_section_id", "previous_chunk_summary", "position_in_section", "total_in_chapter")
+
+
 _PREREQ = f"""{CHUNKS_SQL}, has as (select distinct doc_id, idx, unnest(list_concat(key_concepts, topic)) as term from tagged), wants as (select distinct doc_id, idx, unnest(prerequisites) as term from tagged),
     pre as (select w.doc_id, w.idx, w.term, max(h.idx)::int as prereq_idx from wants w join has h on w.doc_id = h.doc_id and w.term = h.term and h.idx < w.idx group by all)"""
 
