@@ -170,8 +170,11 @@ def _rest(placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     reach = (F.col("size") - F.col("pos")) * ((100 + percent) / percent) - F.col("n")
     size_class = lambda n: F.floor(F.log(n) / math.log(CLASS_RATIO)).cast("int")
     long = placed.where("kind = 1").withColumn("reach", reach + 1e-6)
+    # a table of its own, so that a long list can be split or meets a broadcast in the join
     most = long.groupBy("value", "component").agg(F.count("*").alias("m")).groupBy("value").agg(F.max_by("component", F.struct("m", "component")).alias("largest"))
-    long = materialise(long.join(most, "value").withColumn("main", F.col("component") == F.col("largest")).drop("largest"), "long-lists")
+    most = materialise(most, "main-components")
+    long = materialise(long.join(maybe_broadcast(most, most.count(), 24), "value").withColumn("main", F.col("component") == F.col("largest")).drop("largest"), "long-lists")
+    remove(placed.sparkSession, table_path(most))
     least = F.ceil(F.col("n") * percent / 100 - 1e-9)
     larger = long.where(F.col("reach") >= least).withColumn("class", F.explode(F.sequence(size_class(least), size_class(F.least("n", F.floor("reach"))))))
     smaller = long.where(F.col("reach") >= F.col("n")).withColumn("class", size_class(F.col("n")))
