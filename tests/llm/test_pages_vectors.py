@@ -204,7 +204,7 @@ def test_neighbours(spark, monkeypatch, tile):
     rng = random.Random(6)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)]
     rows += [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [None] * 8), (304, rows[0][1]), (305, [2 * x for x in rows[0][1]]), (306, [1e-200] * 8), (400, [1.0, 2.0]), (None, [1.0] * 8)]
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int")
+    df = spark.createDataFrame([(i, v, 1, 2, 3, 4) for i, v in rows], "vec_id long, embedding array<double>, rank int, v int, class int, query_id int")
     got = neighbours.nearest(df.where("vec_id % 50 = 0"), df, 5).collect()
     ok = {i: v for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
 

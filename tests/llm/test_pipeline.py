@@ -54,5 +54,31 @@ def test_stages(spark, tmp_path):
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
 
 
-def test_run_equals_stages(spark):
-    assert P.run(spark, SF).count() > 0
+def _run_on(spark, folder, docs, labels):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return P.run(spark, str(folder))
+
+
+def test_odd_rows(spark, docs, rows, tmp_path):
+    """Nulls, blanks, very long texts, rows that repeat and columns with the stages' own names, through all stages."""
+    labels = [(k * 3, int(len(t or "") > 20), 0) for k, (_, t, *_) in enumerate(rows[:60])] + [(None, 1, 0), (3, None, 0), (99999, 1, 0)]
+    packed = _run_on(spark, tmp_path, docs, labels).collect()
+    at, read = {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, read, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        read = spark.read.parquet(f"{tmp_path}/{name}")
+        at[name] = read.collect()
+    same = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    assert sorted(same(r.text) for r in at["exact_dedup"]) == sorted({same(r.text) for r in at["quality"]})
+    assert len(at["pii"]) == len(at["near_dedup"]) <= len(at["exact_dedup"])
+    # the whole run is these stages and packing
+    one = sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in P.STAGES[-1][1](spark, read, str(tmp_path)).collect())
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in packed) == one
+    assert {str(r.doc_id) for r in packed} == {str(r.doc_id) for r in at["pii"]}
+
+
+def test_empty_tables(spark, empty, tmp_path):
+    assert _run_on(spark, tmp_path, empty, []).count() == 0

@@ -56,7 +56,9 @@ def test_disclosing_terms(spark):
     copies = [(50 + i, "rare word quux with copy@example.com only once", 0) for i in range(9)]
     rest = [(100 + i, "today other words about write line", 0) for i in range(40)]
     d = spark.createDataFrame(held + copies + rest + [(500, None, 0), (501, "zaphod alone", 0)], "doc_id long, text string, _terms int").withColumnRenamed("_terms", "n_chars")
+    d = d.selectExpr("*", "1 as terms", "2 as terms_row", "3 as row", "4 as entity", "5 as line")
     assert {r.entity: r.terms for r in pii.disclosing_terms(d).collect()} == {"email:zaphod.b@example.com": ["zaphod"]}
+    assert pii.sanitise_documents(d).columns == d.columns
     clean = {r.doc_id: r.text for r in pii.sanitise_documents(d).collect()}
     assert clean[0].split("\n")[1] == "write to [term] at [email] about topica today" and clean[501] == "zaphod alone" and clean[500] is None
     assert clean[50] == "rare word quux with [email] only once"
