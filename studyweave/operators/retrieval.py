@@ -2,11 +2,13 @@
 
 Query tables are small by contract (a stated set of questions); they go to the tasks in blocks of a checked size in
 bytes. Every chunk is scored against every query, a block of queries and a batch of chunks as one matrix product - no
-candidate limit - but besides pairs with common terms only the best k per query and task are shuffled.
+candidate limit - and only the best k per query and task become rows.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -18,9 +20,10 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 
-#: Bytes of query vectors in one block, and queries in one matrix product.
-BLOCK_BYTES = 16_000_000
+#: Bytes of queries (vectors and texts) in one block, and chunks in one matrix product.
+BLOCK_BYTES = 4_000_000
 SLICE = 256
+_WORD = re.compile("[a-z0-9]+")
 #: BM25 parameters.
 K1, B = 1.2, 0.75
 
@@ -33,92 +36,95 @@ def _ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def text_relevance(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, bm25) of pairs with a common term: Okapi BM25 over lower-case ASCII words.
-
-    Only postings of query terms are built. Document frequencies come from one partial aggregation, the chunks'
-    mean length from another.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    words = chunks.select("chunk_id", tokens(F.coalesce("full_text", F.lit(""))).alias("ws"))
-    stats = words.agg(F.count("*").alias("chunks"), F.avg(F.size("ws")).alias("mean_size"))
-    postings = words.select("chunk_id", F.size("ws").alias("size"), F.explode("ws").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term", "chunk_id", "size").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = postings.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log(1 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    return asked.join(weighed.select("term", "chunk_id", weight.alias("w")), "term").groupBy("query_id", "chunk_id").agg(F.sum("w").alias("bm25"))
+def _term_weights(vocabulary: set[str], chunks: DataFrame) -> tuple[dict[str, float], float]:
+    """Inverse document frequencies of the queries' terms and the chunks' mean length, in one pass over the texts."""
+    ws = chunks.select(tokens(F.coalesce("full_text", F.lit(""))).alias("ws"))
+    # each chunk also counts for the empty term, which no text has: that gives their number and mean length
+    each = ws.select(F.size("ws").alias("size"), F.explode(F.concat(F.array_distinct("ws"), F.array(F.lit("")))).alias("term"))
+    asked = F.broadcast(chunks.sparkSession.createDataFrame([(t,) for t in sorted(vocabulary | {""})], "term string"))  # a block of queries has a checked size
+    found = {r.term: r for r in each.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("size").alias("size")).collect()}
+    every = found.pop("", None)
+    return {t: math.log(1 + (every.df - r.df + 0.5) / (r.df + 0.5)) for t, r in found.items()}, every.size / every.df if every else 0.0
 
 
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     """Unit vectors of the arrays of that size, zero rows for others, nulls and zero vectors."""
     out = np.zeros((len(lists), dim))
     rows = np.flatnonzero(lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dim)
-    if len(rows):
+    if len(rows) and dim:
         x = lists.take(pa.array(rows)).flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, dim)
         size = np.sqrt((x * x).sum(1))
         out[rows] = np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] > 0)
     return np.nan_to_num(out)
 
 
-def _nearest(ids: np.ndarray, vectors: list[np.ndarray], k: int, factor: float, proximity: bool):
-    """Of each query (in slices of unit vectors) the task's k best chunks by similarity and page, ties to the smaller id."""
+class _Block:
+    """A block of queries as the tasks hold it: vectors by size, and each query's terms as places in the vocabulary."""
+
+    def __init__(self, table: pa.Table, idf: dict[str, float], mean_size: float):
+        lists = table.column("embedding").combine_chunks()
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        order = np.argsort(sizes, kind="stable")
+        self.ids, self.mean_size = table.column("query_id").to_numpy()[order], mean_size
+        self.vectors = [(int(d), _matrix(lists.take(pa.array(order[sizes[order] == d])), int(d))) for d in np.unique(sizes)]
+        self.place = {t: k for k, t in enumerate(idf)}
+        self.idf = np.array([*idf.values(), 0.0])
+        texts = table.column("text").to_pylist()
+        # the place after the last term is always zero; every query has it, so that none is empty
+        terms = [[*(self.place[t] for t in sorted(set(_WORD.findall((texts[q] or "").lower()))) if t in self.place), len(idf)] for q in order.tolist()]
+        self.terms, self.starts = np.concatenate([np.zeros(0, int), *terms]).astype(int), np.cumsum([0, *map(len, terms)])[:-1]
+
+    def similarity(self, embeddings: pa.Array) -> np.ndarray:
+        """Queries by chunks; vectors of another size, nulls and zeros have none."""
+        return np.concatenate([v @ _matrix(embeddings, d).T for d, v in self.vectors])
+
+    def relevance(self, texts: list) -> np.ndarray:
+        """BM25 of queries by chunks."""
+        tf, size = np.zeros((len(texts), len(self.idf))), np.zeros(len(texts))
+        for i, text in enumerate(texts):
+            words = _WORD.findall((text or "").lower())
+            size[i] = len(words)
+            for w in words:
+                if (k := self.place.get(w)) is not None:
+                    tf[i, k] += 1
+        weight = self.idf * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * size / (self.mean_size or 1.0)))[:, None])
+        return np.add.reduceat(weight[:, self.terms], self.starts, axis=1).T
+
+
+def _scored(block: _Block, k: int, sim_weight: float, text_weight: float, factor: float, proximity: bool):
+    """Of each query the task's k best chunks, ties to the smaller id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros((len(v), 0)), np.zeros((len(v), 0), np.int64)) for v in vectors]
+        held: list[np.ndarray] = []  # score, chunk, page, sim, bm25 of the best so far, a row per query
         for batch in batches:
-            chunk = batch.column("chunk_id").to_numpy()
-            near = np.maximum(1.0, 1 + np.maximum(0, 10 - batch.column("page_number").fill_null(10).to_numpy()) * 0.02) if proximity else np.ones(len(chunk))
-            x = _matrix(batch.column("embedding"), vectors[0].shape[1]).T
-            for n, v in enumerate(vectors):
-                score = np.round(np.round(v @ x, 6) * factor * near, 9)
-                scores, chunks = np.concatenate([best[n][0], score], 1), np.concatenate([best[n][1], np.broadcast_to(chunk, score.shape)], 1)
-                top = np.lexsort((chunks, -scores), axis=1)[:, :k]
-                best[n] = np.take_along_axis(scores, top, 1), np.take_along_axis(chunks, top, 1)
-        at = 0
-        for (scores, chunks), v in zip(best, vectors):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + len(v)], scores.shape[1])), pa.array(scores.ravel()), pa.array(chunks.ravel())], ["query_id", "score", "chunk_id"])
-            at += len(v)
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
+                page = part.column("page_number").to_numpy(zero_copy_only=False).astype(float)
+                near = np.maximum(1.0, 1 + np.maximum(0, 10 - np.nan_to_num(page, nan=10.0)) * 0.02) if proximity else 1.0
+                sim, text = np.round(block.similarity(part.column("embedding")), 6), block.relevance(part.column("full_text").to_pylist())
+                bm25 = np.round(text / (1 + text), 6)
+                score = np.round((sim_weight * sim + text_weight * bm25) * factor * near, 9)
+                chunk = np.broadcast_to(part.column("chunk_id").to_numpy(), score.shape)
+                new = [score, chunk, sim, bm25]
+                both = [np.concatenate(x, 1) for x in zip(held, new)] if held else new
+                top = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
+                held = [np.take_along_axis(x, top, 1) for x in both]
+        if held:
+            n = held[0].shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block.ids, n)), *(pa.array(x.ravel()) for x in held)], ["query_id", "score", "chunk_id", "sim", "bm25"])
 
     return run
 
 
-def _alone(queries: DataFrame, chunks: DataFrame, k: int, factor: float, proximity: bool) -> DataFrame:
-    """(query_id, chunk_id): each query's k best chunks by similarity alone. The queries' vectors are read to the driver."""
-    table = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).toArrow().combine_chunks()
-    lists = table.column("embedding").combine_chunks()
-    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("page_number").cast("long").alias("page_number"), "embedding")
-    found, ids = [], table.column("query_id").to_numpy()
-    for dim in np.unique(sizes).tolist():  # one size as a rule; queries without vector have size 0 with every chunk
-        of = np.flatnonzero(sizes == dim)
-        v = _matrix(lists.take(pa.array(of)), dim)
-        run = _nearest(ids[of], [v[a : a + SLICE] for a in range(0, len(v), SLICE)], k, factor, proximity)
-        best = rows.mapInArrow(run, "query_id long, score double, chunk_id long")
-        found.append(_ranked(best, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id"))
-    return reduce(DataFrame.union, found)
-
-
 def _block(queries: DataFrame, chunks: DataFrame, k: int, sim_weight: float, text_weight: float, factor: float, page_proximity: bool) -> DataFrame:
-    """The k best chunks of a block of queries.
-
-    Two sets of pairs hold them: those with a common term, and per query the k best by similarity alone. A pair
-    without common terms that is among the best is also among those k, since text only adds to a score. So pairs
-    of all chunks and queries are never made as rows.
-    """
-    asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("qv"), T.length_of(F.col("embedding")).alias("ql")))  # a block of checked size
-    lying = chunks.select("chunk_id", "resource_id", "page_number", "embedding")
-    columns = ["query_id", "chunk_id", "resource_id", "page_number"]
-    sim = F.round(T.cosine(F.col("qv"), F.col("embedding"), F.col("ql"), T.length_of(F.col("embedding"))), 6).alias("sim")
-    near = F.greatest(F.lit(1.0), 1 + F.greatest(F.lit(0), 10 - F.col("page_number")) * 0.02) if page_proximity else F.lit(1.0)
-    score = F.round((sim_weight * F.col("sim") + text_weight * F.col("bm25")) * F.lit(factor) * near, 9)
-
-    alone = _alone(queries, chunks, k, sim_weight * factor, page_proximity).withColumn("bm25", F.lit(0.0))
-    shared = text_relevance(queries, chunks).withColumn("bm25", F.round(F.col("bm25") / (1 + F.col("bm25")), 6)).select("query_id", "chunk_id", "bm25")
-    pairs = alone.unionByName(shared).groupBy("query_id", "chunk_id").agg(F.max("bm25").alias("bm25"))
-    scored = pairs.join(lying, "chunk_id").join(asked, "query_id").select(*columns, sim, "bm25").withColumn("score", score)
-    return _ranked(scored, k, F.desc("score"), F.col("chunk_id"))
+    """The k best chunks of a block of queries, which is read to the driver; pairs of all chunks and queries are never rows."""
+    table = queries.select(F.col("query_id").cast("long").alias("query_id"), "text", F.col("embedding").cast("array<double>").alias("embedding")).toArrow().combine_chunks()
+    vocabulary = {t for text in table.column("text").to_pylist() for t in _WORD.findall((text or "").lower())}
+    block = _Block(table, *_term_weights(vocabulary, chunks))
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("page_number").cast("long").alias("page_number"), "full_text", F.col("embedding").cast("array<double>").alias("embedding"))
+    best = rows.mapInArrow(_scored(block, k, sim_weight, text_weight, factor, page_proximity), "query_id long, score double, chunk_id long, sim double, bm25 double") if table.num_rows else chunks.sparkSession.createDataFrame([], "query_id long, score double, chunk_id long, sim double, bm25 double")
+    ranked = _ranked(best, k, F.desc("score"), F.col("chunk_id"))
+    return ranked.join(chunks.select("chunk_id", "resource_id", "page_number"), "chunk_id").select("query_id", "chunk_id", "resource_id", "page_number", "sim", "bm25", "score", "rank")
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, sim_weight: float = 0.7, text_weight: float = 0.3, resource: str | None = None, boost: float = 1.0, page_proximity: bool = True) -> DataFrame:
@@ -130,8 +136,8 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, sim_weight
     """
     if resource is not None:
         chunks = chunks.where(F.col("resource_id") == resource)
-    n, width = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    parts = max(1, -(-n * (8 * max(width or 0, 1) + 64) // BLOCK_BYTES))
+    size = 8 * F.coalesce(F.size("embedding"), F.lit(0)) + 8 * F.coalesce(F.length("text"), F.lit(0)) + 64
+    parts = max(1, -(-(queries.agg(F.sum(size)).first()[0] or 0) // BLOCK_BYTES))
     blocks = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [queries]
     return reduce(DataFrame.unionByName, (_block(q, chunks, k, sim_weight, text_weight, boost if resource is not None else 1.0, page_proximity) for q in blocks))
 
