@@ -11,7 +11,7 @@ Only fitting uses samples: at most LABELLED labelled rows and POOL unlabelled on
 Defined cases: null text is empty; a null language, source or length has its own value; labels that are null or
 name no document are not used, a doc_id with several labels has the larger; without rows of both classes every
 document scores the share of good labels (1 without labels) and is kept; rows that repeat a doc_id are scored
-separately; an empty table gives an empty result.
+separately; metadata columns that a table doesn't have count as null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -160,8 +160,13 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), *lists], ["doc_id", "good", "t", "m"])
 
 
+_METADATA = {"lang": pa.string(), "source": pa.string(), "n_chars": pa.int64()}
+
+
 def _columns(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
+    kinds = {"lang": "string", "source": "string", "n_chars": "long"}
+    meta = ((F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items())
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *meta)
 
 
 def co_train(text: np.ndarray, meta: np.ndarray, good: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> tuple[Logistic, Logistic]:
@@ -234,7 +239,8 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain = [batch.column("text").fill_null(""), *(batch.column(c) for c in ("lang", "source", "n_chars"))]
+            held = (batch.column(c).cast(t) if c in batch.schema.names else pa.nulls(batch.num_rows, t) for c, t in _METADATA.items())
+            plain = [batch.column("text").fill_null(""), *held]
             yield batch.filter(pa.array(model.scores(pa.RecordBatch.from_arrays(plain, ["text", "lang", "source", "n_chars"]))[0] >= KEEP))
         hand_back()
 

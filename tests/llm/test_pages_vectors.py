@@ -239,3 +239,5 @@ def test_quality_cases(spark, docs, rows, empty):
     out = quality.score(docs, model)
     assert out.count() == len(rows) and quality.keep_good(docs, model).columns == docs.columns
     assert quality.score(empty, model).count() == 0
+    bare = docs.select("doc_id", "text")
+    assert quality.score(bare, model).count() == len(rows) and quality.keep_good(bare, quality.train(bare, mixed)).columns == ["doc_id", "text"]
