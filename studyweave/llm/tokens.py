@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ CACHE_WORDS = 100_000
 CACHE_BYTES = 20
 #: ASCII punctuation that the vocabulary's pre-tokens take as one run after a word (the apostrophe starts contractions).
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Lower-case ASCII letters with such a run after them.
+_PLAIN = re.compile("([a-z]+)([" + re.escape(_TAIL) + "]*)")
 #: A word of its own between the words of one library call; it never comes from a text's words there.
 _BREAK = "\x1c"
 
@@ -54,6 +58,7 @@ class WordEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
+        self.model = self.library.model
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         # byte-level vocabularies write each byte as a printable character
@@ -65,16 +70,18 @@ class WordEncoder:
 
     def _simple(self, word: str) -> bytes | None:
         """Ids of lower-case Latin letters and a run of punctuation after them, past the normaliser; else None."""
-        stem = word.rstrip(_TAIL)
-        if not stem.isalpha() or stem != stem.lower() or not (stem.isascii() or (max(stem) < "\u0250" and unicodedata.is_normalized("NFC", stem))):
-            return None
-        shown = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.bytes_as_text)
-        tail = word[len(stem) :]
-        if tail not in self.tails:
+        if plain := _PLAIN.fullmatch(word):
+            shown, tail = plain.groups()
+        else:
+            stem = word.rstrip(_TAIL)
+            if not stem.isalpha() or stem != stem.lower() or not max(stem) < "\u0250" or not unicodedata.is_normalized("NFC", stem):
+                return None
+            shown, tail = stem.encode().decode("latin-1").translate(self.bytes_as_text), word[len(stem) :]
+        if (end := self.tails.get(tail)) is None:
             if len(self.tails) > 10_000:
                 self.tails = {"": b""}
-            self.tails[tail] = np.array(self._ids(tail), np.uint16).tobytes()
-        return np.array([t.id for t in self.library.model.tokenize(shown)], np.uint16).tobytes() + self.tails[tail]
+            end = self.tails[tail] = np.array(self._ids(tail), np.uint16).tobytes()
+        return array("H", [t.id for t in self.model.tokenize(shown)]).tobytes() + end
 
     def _learn(self, words: list[str]) -> None:
         self.learned += sum(map(len, words))
