@@ -1,4 +1,4 @@
-"""Training-data operators: ten dealt operators over documents, pages and embeddings.
+"""Training-data operators: thirteen dealt operators over documents, pages and embeddings.
 
 Nothing else in the library imports this subpackage.
 """
