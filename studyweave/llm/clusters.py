@@ -12,12 +12,14 @@ Defined cases: vectors that are null, of another length or that hold null or non
 fewer vectors than centroids each vector starts one; rows without vec_id are assigned but start no centroid; rows that
 repeat a vec_id count each; equal vectors may start several centroids, of which the larger numbers stay empty and
 where they are; without any vector with an id the result is empty, as is that of an empty table. Components whose
-integers pass 2^21 are measured in Python's integers; sums of squares beyond a long are null.
+integers pass 2^21 are measured in Python's integers; distances and sums beyond a long are null. Vectors with a
+component beyond 1e33 take no part, as non-finite ones.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -32,6 +34,8 @@ from .common import bound_batches, hand_back, materialise, remove, table_path
 PER_GROUP = 10
 #: Integers of up to this size have exact squared distances in double precision (64 components and more).
 EXACT = 1 << 21
+#: Components beyond this have integers of more than 38 digits, which Spark's decimals don't hold.
+LARGEST = 1e33
 #: Room for rounding in bounds, as a share.
 SLACK = 1e-12
 _STATE = "vec_id long, q binary, wide array<decimal(38,0)>, own int, upper double, lower array<double>"
@@ -41,7 +45,7 @@ _LONG = (1 << 63) - 1
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
     """(vec_id, x) of the vectors that take part."""
     x = F.col("embedding").cast("array<double>")
-    fit = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    fit = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= LARGEST))
     return vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim)).where(fit).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
 
 
@@ -53,8 +57,8 @@ def _floors(x: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _whole(x: np.ndarray, scale: float) -> list[int]:
-    """The integers of one vector whatever their size; scale is a power of two, so products are exact but for overflow."""
-    return [int(np.floor(scale * v)) if np.isfinite(scale * v) else int(v) * int(scale) for v in x.tolist()]
+    """The integers of one vector, whatever their size."""
+    return [math.floor(scale * v) for v in x.tolist()]
 
 
 def squared(q: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -151,11 +155,8 @@ def _start(dim: int, scale: float):
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
             q, large = _floors(x, scale)
             small = np.where(large[:, None], 0, q).astype("<i4")
-            wide = [[Decimal(v) for v in w] if max(map(abs, w)) < 10**38 else None for w in map(lambda r: _whole(x[r], scale), np.flatnonzero(large).tolist())]
-            wide = dict(zip(np.flatnonzero(large).tolist(), wide))
-            keep = [k for k in range(batch.num_rows) if k not in wide or wide[k] is not None]
-            n = len(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(keep, pa.int64())), pa.array([small[k].tobytes() for k in keep], pa.binary()), _decimals([wide.get(k) for k in keep]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.list_(pa.float64()))], ["vec_id", "q", "wide", "own", "upper", "lower"])
+            n, wide = batch.num_rows, {k: [Decimal(v) for v in _whole(x[k], scale)] for k in np.flatnonzero(large).tolist()}
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([r.tobytes() for r in small], pa.binary()), _decimals([wide.get(k) for k in range(n)]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.list_(pa.float64()))], ["vec_id", "q", "wide", "own", "upper", "lower"])
 
     return run
 
@@ -247,8 +248,9 @@ def cluster(vectors: DataFrame, k: int = 40, rounds: int = 5, dim: int = 64, sca
     bound_batches(spark)
     state = materialise(usable(vectors, dim).mapInArrow(_start(dim, scale), _STATE), "vectors")
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
-    first = state.where("vec_id is not null").select(key.alias("h"), "q", "wide").orderBy("h", "q", "wide").limit(k).collect()
-    centroids = [[int(v) for v in r.wide] if r.wide is not None else np.frombuffer(r.q, "<i4").tolist() for r in first]
+    # components grow with their integers, so ties of ids are in the order of the integers
+    first = usable(vectors, dim).where("vec_id is not null").select(key.alias("h"), "x").orderBy("h", "x").limit(k).collect()
+    centroids = [_whole(np.array(r.x), scale) for r in first]
     result = "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
     if not centroids:
         return spark.createDataFrame([], result)
