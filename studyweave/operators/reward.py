@@ -6,6 +6,9 @@ cited_ids (arrays). Every score is an expression, so a table of responses is sco
 
 from __future__ import annotations
 
+from decimal import Decimal
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,13 +112,31 @@ def _flags() -> Column:
     return F.filter(F.array(*each), lambda f: f.isNotNull())
 
 
+def exact_sum(parts: dict[str, float], scale: int = 4, places: int = 4):
+    """Weighted sum of columns of ``scale`` places, rounded half up to ``places``: in decimals, since sums of rounded
+    numbers often lie on a half, which binary fractions miss."""
+    each = (F.col(c).cast(f"decimal(12,{scale})") * F.lit(Decimal(str(round(w, 6)))).cast("decimal(8,6)") for c, w in parts.items())
+    return F.round(reduce(Column.__add__, each), places).cast("double")
+
+
+def exact_share(part, whole):
+    """part / whole of whole numbers from 0 on, rounded half up to 4 places without a binary fraction."""
+    return F.call_function("div", 20_000 * part + whole, 2 * whole) / 10_000
+
+
+def exact_mean(column: str):
+    """Mean of numbers of 4 places from 0 on, rounded half up to 4 places."""
+    total, n = F.sum(F.round(F.col(column) * 10_000).cast("long")), F.count(column)
+    return F.call_function("div", 2 * total + n, F.nullif(2 * n, F.lit(0))) / 10_000
+
+
 def score_responses(rows: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Rows with rubric, intent_score, gating, grounding, style, total and flags."""
     w = weights or rules.REWARD_WEIGHTS
     whole = sum(w.values()) or 1.0
     r = _prepared(rows).withColumns({"rubric": rubric(), "intent_score": intent(), "gating": gating(), "grounding": grounding(), "style": style()})
-    total = sum((F.col("intent_score" if c == "intent" else c) * (w.get(c, 0.0) / whole) for c in COMPONENTS), F.lit(0.0))
-    return r.withColumns({"total": F.round(clamp(total), 4), "flags": _flags()}).drop("_low", "_n", "_mean")
+    total = exact_sum({"intent_score" if c == "intent" else c: w.get(c, 0.0) / whole for c in COMPONENTS})
+    return r.withColumns({"total": clamp(total), "flags": _flags()}).drop("_low", "_n", "_mean")
 
 
 def critic(rows: DataFrame) -> DataFrame:
@@ -131,11 +152,14 @@ def critic(rows: DataFrame) -> DataFrame:
 
 
 def preferences(candidates: DataFrame) -> DataFrame:
-    """(observation_id, chosen, scores, confidence) from (observation_id, candidate, total, critic_confidence): the first highest."""
-    raw = clamp(0.4 + 0.5 * F.coalesce("total", F.lit(0.0)) + 0.1 * F.coalesce("critic_confidence", F.lit(0.0)))
+    """(observation_id, chosen, scores, confidence) from (observation_id, candidate, total, critic_confidence): the first
+    highest of 0.4 + 0.5 total + 0.1 confidence, which has 4 places each and is summed and rounded in whole numbers."""
+    whole = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)) * 10_000).cast("long")
+    raw = F.least(F.greatest(40_000 + 5 * whole("total") + whole("critic_confidence"), F.lit(0)), F.lit(100_000)).cast("long")
+    places = lambda s: F.call_function("div", s + 5, F.lit(10)) / 10_000
     g = candidates.groupBy("observation_id").agg(F.array_sort(F.collect_list(F.struct("candidate", raw.alias("s")))).alias("c"))
     best = F.array_max("c.s")
-    return g.select("observation_id", (F.array_position("c.s", best) - 1).cast("int").alias("chosen"), F.transform("c.s", lambda s: F.round(s, 4)).alias("scores"), F.round(best, 4).alias("confidence"))
+    return g.select("observation_id", (F.array_position("c.s", best) - 1).cast("int").alias("chosen"), F.transform("c.s", places).alias("scores"), places(best).alias("confidence"))
 
 
 def rollout(observations: DataFrame, candidates: int, actions: list[str]) -> DataFrame:
@@ -147,12 +171,12 @@ def evaluate(scored: DataFrame) -> DataFrame:
     """(kind, name, value): means of components and critic, rates of flags, rounded to 4 places."""
     means = {**{c: "intent_score" if c == "intent" else c for c in COMPONENTS}, "total": "total"}
     critics = {"clarity": "clarity", "accuracy": "accuracy", "support": "support", "confidence": "critic_confidence"}
-    row = scored.agg(F.count("*").alias("_n"), *(F.avg(c).alias(f"m_{n}") for n, c in means.items()), *(F.avg(c).alias(f"c_{n}") for n, c in critics.items()), F.count_if("hallucination").alias("_h"))
+    row = scored.agg(F.count("*").alias("_n"), *(exact_mean(c).alias(f"m_{n}") for n, c in means.items()), *(exact_mean(c).alias(f"c_{n}") for n, c in critics.items()), F.count_if("hallucination").alias("_h"))
     each = [F.struct(F.lit("component").alias("kind"), F.lit(n).alias("name"), F.col(f"m_{n}").alias("value")) for n in means] + [F.struct(F.lit("critic").alias("kind"), F.lit(n).alias("name"), F.col(f"c_{n}").alias("value")) for n in critics]
-    each.append(F.struct(F.lit("flag").alias("kind"), F.lit("critic_hallucination").alias("name"), (F.col("_h") / F.col("_n")).alias("value")))
-    fixed = row.where("_n > 0").select(F.explode(F.array(*each)).alias("e")).select("e.kind", "e.name", F.round("e.value", 4).alias("value")).where("kind <> 'flag' or value > 0")
+    each.append(F.struct(F.lit("flag").alias("kind"), F.lit("critic_hallucination").alias("name"), exact_share(F.col("_h"), F.col("_n")).alias("value")))
+    fixed = row.where("_n > 0").select(F.explode(F.array(*each)).alias("e")).select("e.kind", "e.name", "e.value").where("kind <> 'flag' or value > 0")
     flags = scored.select(F.explode("flags").alias("name")).where("not name like '%below_threshold'").groupBy("name").agg(F.count("*").alias("n")).crossJoin(F.broadcast(row.select("_n")))  # one row
-    return fixed.unionByName(flags.select(F.lit("flag").alias("kind"), "name", F.round(F.col("n") / F.col("_n"), 4).alias("value")))
+    return fixed.unionByName(flags.select(F.lit("flag").alias("kind"), "name", exact_share(F.col("n"), F.col("_n")).alias("value")))
 
 
 def deltas(base: DataFrame, new: DataFrame) -> DataFrame:
@@ -167,7 +191,8 @@ def preference_statistics(prefs: DataFrame) -> DataFrame:
     chosen = F.when(n > 0, F.element_at("scores", F.greatest(F.lit(1), F.least(F.col("chosen") + 1, n)).cast("int")))
     ordered = F.sort_array("scores", asc=False)
     margin = F.when(n >= 2, F.get(ordered, F.lit(0)) - F.get(ordered, F.lit(1)))
-    return prefs.agg(F.count("*").alias("num_pairs"), F.round(F.coalesce(F.avg(chosen), F.lit(0.0)), 4).alias("avg_chosen_score"), F.round(F.coalesce(F.avg(margin), F.lit(0.0)), 4).alias("avg_margin"))
+    rows = prefs.select(chosen.alias("chosen"), margin.alias("margin"))
+    return rows.agg(F.count("*").alias("num_pairs"), *(F.coalesce(exact_mean(c), F.lit(0.0)).alias(n) for c, n in (("chosen", "avg_chosen_score"), ("margin", "avg_margin"))))
 
 
 def validate_preferences(prefs: DataFrame) -> DataFrame:
@@ -215,4 +240,4 @@ def stepwise(rows: DataFrame) -> DataFrame:
     formative = F.when(T.strip(low).endswith("?"), 0.5).otherwise(0.0) + F.when(T.contains_any(low, rules.REFLECTION), 0.3).otherwise(0.0) + F.when(T.contains_any(low, rules.NEXT_STEPS), 0.2).otherwise(0.0)
     steps = dict(zip(rules.STEP_WEIGHTS, (understand, pedagogy, content, structure, output, formative)))
     r = rows.withColumns({name: F.round(F.least(F.lit(1.0), s), 6) for name, s in steps.items()})
-    return r.drop("_low", "_n", "_mean").withColumn("step_total", F.round(sum((F.col(s) * w for s, w in rules.STEP_WEIGHTS.items()), F.lit(0.0)), 4))
+    return r.drop("_low", "_n", "_mean").withColumn("step_total", exact_sum(rules.STEP_WEIGHTS, scale=6))

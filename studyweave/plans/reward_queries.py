@@ -74,7 +74,7 @@ _BASE = f"""g as (select conv_id, turn, min(text) as text, conv_id + 3 * turn as
         case when len(cited) > 0 and unknown > 0 then 0.4 when len(cited) > 0 and missing = 0 then 1.0 when len(cited) > 0 then 0.85 when len(known) > 0 then 0.6 else 0.5 end::double as grounding,
         1.0::double - case when nw < 30 then least(0.5::double, (30 - nw) / 30.0::double) else 0 end - case when nw > 220 then least(0.4::double, (nw - 220) / 220.0::double) else 0 end - case when mean_s > 32 then 0.1 else 0 end::double as st0 from fit),
     s2 as (select *, round(greatest(0, least(1, case when {sql_any('low', rules.BANNED)} then least(st0, 0.2::double) else st0 end)), 4) as style from sc),
-    tot as (select *, round(rubric * 0.4::double + intent_score * 0.2::double + gating * 0.2::double + grounding * 0.15::double + style * 0.05::double, 4) as total from s2),
+    tot as (select *, round(rubric::decimal(12,4) * 0.4::decimal(8,6) + intent_score::decimal(12,4) * 0.2::decimal(8,6) + gating::decimal(12,4) * 0.2::decimal(8,6) + grounding::decimal(12,4) * 0.15::decimal(8,6) + style::decimal(12,4) * 0.05::decimal(8,6), 4)::double as total from s2),
     cr as (select *, case when nw > 0 then least(1.0::double, nw / 120.0::double) else 0.2 end as c0, case when contains(low, 'hallucinate') then 0.4 when fo <> '' and contains(low, fo) then 0.85 else 0.6 end::double as a0,
         case when len(known) > 0 and len(cited) > 0 then 0.6::double + 0.4::double * (len(cited) - unknown) / len(known) when len(known) > 0 then 0.5 else 0.55 end::double as p0 from tot),
     cri as (select *, round(c0, 4) as clarity, round(a0, 4) as accuracy, round(least(1, p0), 4) as support, p0 < 0.5 or a0 < 0.5 as hallucination, round(least(1, (c0 + a0 + p0) / 3), 4) as critic_confidence from cr)"""
@@ -104,8 +104,9 @@ def _scored(spark, sf_dir):
     return V.critic(V.score_responses(_responses(spark, sf_dir)))
 
 
-@add(f"""with {_BASE}, p as (select conv_id as observation_id, turn, greatest(0, least(1, 0.4::double + 0.5::double * total + 0.1::double * critic_confidence)) as s from cri),
-    l as (select observation_id, list(s order by turn) as ss from p group by 1) select observation_id, (list_position(ss, list_max(ss)) - 1)::int as chosen, array_to_string(list_transform(ss, lambda x: round(x, 4)::varchar), '|') as scores, round(list_max(ss), 4) as confidence from l""")
+@add(f"""with {_BASE}, p as (select conv_id as observation_id, turn, 40000 + 5 * round(total * 10000)::bigint + round(critic_confidence * 10000)::bigint as s from cri),
+    l as (select observation_id, list(s order by turn) as ss from p group by 1)
+    select observation_id, (list_position(ss, list_max(ss)) - 1)::int as chosen, array_to_string(list_transform(ss, lambda x: ((x + 5) // 10 / 10000.0::double)::varchar), '|') as scores, (list_max(ss) + 5) // 10 / 10000.0::double as confidence from l""")
 def preferences(spark, sf_dir):
     p = V.preferences(_scored(spark, sf_dir).select(F.col("conv_id").alias("observation_id"), F.col("turn").alias("candidate"), "total", "critic_confidence"))
     return p.withColumn("scores", F.array_join(F.transform("scores", lambda s: s.cast("string")), "|"))
@@ -116,8 +117,13 @@ def rollout_candidates(spark, sf_dir):
     return V.rollout(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("observation_id")).distinct(), 4, ["explain", "ask", "hint"])
 
 
-_NAMED = " union all ".join(f"select '{kind}' as kind, '{name}' as name, round(avg({col}), 4) as value from cri" for kind, name, col in [("component", "rubric", "rubric"), ("component", "intent", "intent_score"), ("component", "gating", "gating"), ("component", "grounding", "grounding"), ("component", "style", "style"), ("component", "total", "total"), ("critic", "clarity", "clarity"), ("critic", "accuracy", "accuracy"), ("critic", "support", "support"), ("critic", "confidence", "critic_confidence")])
-_RATES = " union all ".join(f"select 'flag', '{flag}', round(count(*) filter (where {test}) / count(*)::double, 4) from cri having count(*) filter (where {test}) > 0" for fs in [*_FLAGS.values(), [("critic_hallucination", "hallucination")]] for flag, test in fs)
+def _mean(column: str) -> str:
+    """Mean of numbers of 4 places, rounded half up in whole numbers."""
+    return f"(2 * sum(round({column} * 10000)::bigint) + count({column})) // (2 * count({column})) / 10000.0::double"
+
+
+_NAMED = " union all ".join(f"select '{kind}' as kind, '{name}' as name, {_mean(col)} as value from cri" for kind, name, col in [("component", "rubric", "rubric"), ("component", "intent", "intent_score"), ("component", "gating", "gating"), ("component", "grounding", "grounding"), ("component", "style", "style"), ("component", "total", "total"), ("critic", "clarity", "clarity"), ("critic", "accuracy", "accuracy"), ("critic", "support", "support"), ("critic", "confidence", "critic_confidence")])
+_RATES = " union all ".join(f"select 'flag', '{flag}', (20000 * count(*) filter (where {test}) + count(*)) // (2 * count(*)) / 10000.0::double from cri having count(*) filter (where {test}) > 0" for fs in [*_FLAGS.values(), [("critic_hallucination", "hallucination")]] for flag, test in fs)
 
 
 @add(f"with {_BASE} {_NAMED} union all {_RATES}")
@@ -152,7 +158,7 @@ def _prefs(spark, sf_dir):
 _PREFS = """pr as (select event_id as observation_id, (event_id % 5)::int as chosen, case when event_id % 10 = 0 then [] else list_transform(range(1, event_id % 4 + 2), lambda i: ((event_id * 7 + i * 13) % 100) / 100.0::double) end as scores, (event_id % 4 + 1)::int as candidates, event_id % 23 / 20.0::double as total, 0.9::double + event_id % 5 / 25.0::double as weight_sum from events)"""
 
 
-@add(f"with {_PREFS}, m as (select scores[greatest(1, least(chosen + 1, len(scores)))] as c, case when len(scores) >= 2 then list_reverse_sort(scores)[1] - list_reverse_sort(scores)[2] end as m from pr) select count(*) as num_pairs, round(avg(c), 4) as avg_chosen_score, round(avg(m), 4) as avg_margin from m")
+@add(f"with {_PREFS}, m as (select scores[greatest(1, least(chosen + 1, len(scores)))] as c, case when len(scores) >= 2 then list_reverse_sort(scores)[1] - list_reverse_sort(scores)[2] end as m from pr) select count(*) as num_pairs, {_mean('c')} as avg_chosen_score, {_mean('m')} as avg_margin from m")
 def preference_statistics(spark, sf_dir):
     return V.preference_statistics(_prefs(spark, sf_dir))
 
@@ -177,7 +183,7 @@ _STEPS = f"""st as (select *, n % 10 / 10.0::double as conf, {_sp(_LEVELS, 'n')}
         round(least(1, case when ends_with({_STRIP.format('low')}, '?') then 0.5 else 0 end::double + case when {sql_any('low', rules.REFLECTION)} then 0.3 else 0 end::double + case when {sql_any('low', rules.NEXT_STEPS)} then 0.2 else 0 end::double), 6) as formative_check from ro)"""
 
 
-@add(f"with {_BASE}, {_STEPS} select *, round(" + " + ".join(f"{step} * {w}::double" for step, w in rules.STEP_WEIGHTS.items()) + ", 4) as step_total from six")
+@add(f"with {_BASE}, {_STEPS} select *, round(" + " + ".join(f"{step}::decimal(12,6) * {w}::decimal(8,6)" for step, w in rules.STEP_WEIGHTS.items()) + ", 4)::double as step_total from six")
 def stepwise_rubric(spark, sf_dir):
     n = F.col("n")
     r = _responses(spark, sf_dir).withColumns({"classifier_confidence": n % 10 / 10.0, "has_mastery": n % 2 == 0, "level": _pick(["beginner", "developing", "proficient", "mastering"], n), "roles": F.array(_pick(["definition", "example", "proof"], n), F.lit("application")), "snippets": F.array(F.lit("all about heat"), F.lit("gradient")), "difficulties": F.array(_pick(["introductory", "intermediate", "advanced"], n))})
