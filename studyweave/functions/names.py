@@ -1,4 +1,4 @@
-"""Names that need a look at each text: fuzzy matches, as Arrow-batched functions of distinct values."""
+"""Pairs of names of one chunk, compared in Arrow batches; larger sets meet in operators.similar."""
 
 from __future__ import annotations
 
@@ -7,26 +7,10 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import BooleanType
 
 from . import rules
 
-_FORMS = sorted({sorted(group)[0] for group in rules.SYNONYMS})
-
-
-@F.pandas_udf(StringType())
-def fuzzy_form(names: pd.Series) -> pd.Series:
-    """The known form most like a name (ratio of matching blocks of at least FUZZY, ties to the first), else null."""
-
-    def best(name):
-        if name is None:
-            return None
-        score, form = max(((SequenceMatcher(None, name.lower(), f.lower()).ratio(), f) for f in _FORMS), key=lambda x: x[0])
-        return form if score >= rules.FUZZY else None
-
-    known = {n: best(n) for n in names.unique()}
-    return names.map(known)
-
 
 @F.pandas_udf(BooleanType())
 def alias_like(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -37,6 +21,10 @@ def alias_like(a: pd.Series, b: pd.Series) -> pd.Series:
         if not x or not y:
             return False
         x, y = x.lower(), y.lower()
-        return plain.sub("", x) == plain.sub("", y) or SequenceMatcher(None, x, y).ratio() >= rules.ALIAS
+        if plain.sub("", x) == plain.sub("", y):
+            return True
+        m = SequenceMatcher(None, x, y)
+        # upper bounds by lengths and by letter counts come first
+        return m.real_quick_ratio() >= rules.ALIAS and m.quick_ratio() >= rules.ALIAS and m.ratio() >= rules.ALIAS
 
     return pd.Series([same(x, y) for x, y in zip(a, b)])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from .mentions import earlier_names
 
 def in_order():
     """Window over a resource's chunks in their order."""
@@ -200,14 +201,11 @@ def implicit_prerequisites(chunks: DataFrame, most: int = 10) -> DataFrame:
     """(doc_id, idx, prerequisites): a chunk's own and the key concepts of earlier chunks that its text mentions,
     in order of first appearance, at most ``most``.
 
-    Each concept of a resource is one row with its first place; it meets the resource's later chunks.
+    All concepts of a resource are looked for in one pass over each text.
     """
-    each = chunks.select("doc_id", "idx", F.posexplode("key_concepts").alias("place", "concept"))
-    first = each.groupBy(F.col("doc_id").alias("_doc"), "concept").agg(F.min(F.struct("idx", "place")).alias("first"))
+    each = chunks.select("doc_id", "idx", F.posexplode("key_concepts").alias("place", "name"))
+    first = each.groupBy("doc_id", "name").agg(F.min(F.struct("idx", "place")).alias("first")).select("doc_id", "name", "first.idx", "first.place")
     own = F.array_distinct(F.coalesce("prerequisites", F.array().cast("array<string>")))
-    rows = chunks.select("doc_id", "idx", own.alias("own"), F.lower("full_text").alias("low"))
-    named = rows.join(first, (F.col("doc_id") == F.col("_doc")) & (F.col("first.idx") < F.col("idx")) & F.contains("low", F.lower("concept")) & ~F.array_contains("own", F.col("concept")))
-    ranked = named.select("doc_id", "idx", "concept", F.row_number().over(W.partitionBy("doc_id", "idx").orderBy("first")).alias("n")).where(F.col("n") <= most)
-    listed = ranked.groupBy("doc_id", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "concept"))), lambda c: c["concept"]).alias("named"))
-    joined = rows.drop("low").join(listed, ["doc_id", "idx"], "left")
+    rows = chunks.select("doc_id", "idx", own.alias("own"), "full_text")
+    joined = rows.select("doc_id", "idx", "own").join(earlier_names(rows, first, most), ["doc_id", "idx"], "left")
     return joined.select("doc_id", "idx", F.slice(F.concat("own", F.coalesce("named", F.array().cast("array<string>"))), 1, most).alias("prerequisites"))

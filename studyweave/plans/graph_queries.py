@@ -11,6 +11,7 @@ from ..functions import rules
 from ..functions import text as T
 from ..functions.names import alias_like
 from ..operators import graph as G
+from ..operators import similar as S
 from ..operators.linking import links
 from .inputs import CHUNKS_SQL, _quoted, chunks, sql_ladder, table
 from .registry import Registry
@@ -245,6 +246,29 @@ def alias_pairs(spark, sf_dir):
     return G.co_occurrence(names).select("a", "b", alias_like("a", "b").alias("alias"))
 
 
+def _spelt_names(spark, sf_dir):
+    """(name, mentions) of all parts as written, and in a second spelling that depends on the part's number."""
+    n, name = F.col("p_partkey") % 4, F.col("p_name")
+    other = F.when(n == 0, F.upper(F.replace(name, F.lit(" "), F.lit("-")))).when(n == 1, F.concat(name, F.lit("s"))).when(n == 2, F.concat(F.left(name, F.lit(4)), F.substring(name, F.lit(6), F.length(name)))).otherwise(F.concat(F.lit("the "), name))
+    rows = table(spark, sf_dir, "part").select(F.explode(F.array(F.struct(name.alias("name"), F.lit(3).alias("times")), F.struct(other.alias("name"), (F.col("p_size") % 5).alias("times")))).alias("r"))
+    return rows.groupBy("r.name").agg(F.sum("r.times").alias("mentions"))
+
+
+@add()
+def alias_groups(spark, sf_dir):
+    """Groups of part names that are spelt alike, with the name that stands for each."""
+    return S.alias_groups(_spelt_names(spark, sf_dir))
+
+
+@add()
+def alias_rewrite(spark, sf_dir):
+    """Edges between the names of a part's two spellings and of parts of one brand, rewritten to canonical names."""
+    names = _spelt_names(spark, sf_dir)
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_name", "p_size").groupBy("p_brand").agg(F.min("p_name").alias("src"), F.collect_set("p_name").alias("all"))
+    edges = parts.select("src", F.explode("all").alias("dst"), F.lit("RELATED_TO").alias("type"), F.lit(0.5).alias("confidence")).where("src <> dst")
+    return S.rewrite_aliases(edges, S.alias_groups(names))
+
+
 @add(f"with {CHUNKS_SQL} select chunk_id, lead(chunk_id) over (partition by doc_id order by idx) as next_chunk_id from chunks qualify next_chunk_id is not null")
 def next_chunk_edges(spark, sf_dir):
     return links(chunks(spark, sf_dir)).where("next_chunk_id is not null").select("chunk_id", "next_chunk_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.text_index import TextIndex
+from ..operators.vector_index import VectorIndex
 from ..sources.staging import shared_path
 from .inputs import table
 from .registry import Registry
@@ -50,3 +51,22 @@ def ranked_text(spark, sf_dir):
     chunks = _chunks(spark, sf_dir).withColumn("title", F.col("role"))
     index = TextIndex(spark, shared_path(spark, "text-index"), (("title", "A"), ("full_text", "B")), True).build(chunks)
     return index.ranked(_asks(spark, sf_dir), 10).select("query_id", "chunk_id", "score", "rank")
+
+
+def _vector_index(spark, sf_dir):
+    return VectorIndex.build(spark, shared_path(spark, "vector-index"), _chunks(spark, sf_dir), dim=64)
+
+
+@add()
+def probed_search(spark, sf_dir):
+    """Top 10 by similarity in the third of the lists that is nearest to each benchmark item's vector."""
+    index = _vector_index(spark, sf_dir)
+    return index.search(_queries(spark, sf_dir), 10, probes=-(-len(index.centroids) // 3)).select("query_id", "chunk_id", "sim", "rank")
+
+
+@add(f"""with {_HITS}, r as (select query_id, pa.chunk_id, sim, row_number() over (partition by query_id order by sim desc, pa.chunk_id)::int as rank
+    from pa join ck using (chunk_id) where embedding is not null and query_id in (select query_id from qs where qv is not null)) select query_id, chunk_id, sim, rank from r where rank <= 10""")
+def probed_search_all(spark, sf_dir):
+    """The same with all lists: the exact way."""
+    index = _vector_index(spark, sf_dir)
+    return index.search(_queries(spark, sf_dir), 10, probes=len(index.centroids)).select("query_id", "chunk_id", "sim", "rank")

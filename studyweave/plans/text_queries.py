@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..functions.names import fuzzy_form
+from ..operators.similar import known_forms
 from ..operators import chunking, quality
 from .inputs import CHUNKS_SQL, SENTENCES_SQL, _quoted, chunks, sentences, sql_any, sql_ladder, table
 from .registry import Registry
@@ -181,7 +181,11 @@ def _concept_names(spark, sf_dir):
 def fuzzy_concepts(spark, sf_dir):
     """Known forms first, then the form most alike, else the name."""
     names = _concept_names(spark, sf_dir).select("name").distinct()
-    return names.select("name", F.coalesce(T.known_form(F.col("name")), fuzzy_form("name"), T.squeezed(F.col("name"))).alias("form"))
+    forms = spark.createDataFrame([(min(group).lower(),) for group in rules.SYNONYMS], "form string")
+    named = {min(group).lower(): min(group) for group in rules.SYNONYMS}
+    spelt = F.create_map(*(F.lit(x) for kv in named.items() for x in kv))
+    found = known_forms(names, forms).select("name", F.try_element_at(spelt, F.col("form")).alias("like"))
+    return found.select("name", F.coalesce(T.known_form(F.col("name")), F.col("like"), T.squeezed(F.col("name"))).alias("form"))
 
 
 @add(f"with {CHUNKS_SQL} select chunk_id, left(full_text, 300) as snippet, 1.0::double as score from chunks where full_text ilike '%gradient%' order by chunk_id limit 50")

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from studyweave.functions import names
+
 from studyweave.functions import text as T
 from studyweave.operators import chunking
+from studyweave.operators.similar import known_forms
 from studyweave.sources import io
 
 
@@ -32,7 +33,9 @@ def test_sentences_and_tokens(spark):
 def test_canonical_and_synonyms(spark):
     assert values(spark, ["  Fourier's-Law ", "Café Déjà", None, "x_y"], T.canonical_name(F.col("text"))) == ["fourier s law", "cafe deja", "", "x y"]
     assert values(spark, ["FFT", "Heat Xfer", "heat transfer", "other  name"], T.synonym(F.col("text"))) == ["Fast Fourier Transform", "Heat Transfer", "Heat Transfer", "other name"]
-    assert values(spark, ["Fourier Laws", "zzz", None], names.fuzzy_form("text")) == ["Fourier Law", None, None]
+    forms = spark.createDataFrame([("fourier law",), ("entropy",)], "form string")
+    got = known_forms(spark.createDataFrame([("Fourier Laws",), ("zzz",), (None,)], "name string"), forms)
+    assert {r.name: r.form for r in got.collect()} == {"Fourier Laws": "fourier law", "zzz": None, None: None}
 
 
 def test_noise(spark):

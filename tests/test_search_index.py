@@ -131,3 +131,43 @@ def test_update_writes_only_folders_of_changes(spark, tmp_path):
     for way in ("search", "ranked"):
         assert sorted(map(tuple, getattr(index, way)(asks).collect())) == sorted(map(tuple, getattr(fresh, way)(asks).collect()))
     assert {r.chunk_id for r in index.ranked(asks).where("query_id = 2").collect()} == {3}
+
+
+def test_probing_finds_nearly_all(spark):
+    """A third of the lists holds at least nine tenths of the exact nearest, over every benchmark vector."""
+    from studyweave.operators.vector_index import VectorIndex
+    from studyweave.plans.retrieval_queries import _chunks, _queries
+
+    sf = os.path.join(os.path.dirname(SF), "sf0.1")
+    queries, chunks = _queries(spark, sf), _chunks(spark, sf).where("embedding is not null")
+    index = VectorIndex.build(spark, text_index.staged(spark.range(1), "x").inputFiles()[0].rsplit("/", 1)[0] + "-vectors", chunks, 64)
+    exact = {(r.query_id, r.chunk_id) for r in retrieval.hybrid_search(queries.where("embedding is not null"), chunks, 10, 1.0, 0.0, page_proximity=False).collect()}
+    lists = len(index.centroids)
+    assert lists > 30
+    found = {(r.query_id, r.chunk_id) for r in index.search(queries, 10, -(-lists // 3)).collect()}
+    assert len(exact & found) >= 0.9 * len(exact) and len(exact) > 500
+    assert {(r.query_id, r.chunk_id) for r in index.search(queries, 10, lists).collect()} == exact
+
+
+def test_vector_index_of_odd_rows(spark, tmp_path):
+    from studyweave.operators.vector_index import VectorIndex
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(400)] + [(400 + i, [1.0, 2.0, 3.0]) for i in range(300)]
+    odd = [(900, None), (901, []), (902, [0.0] * 3), (903, [1.0] * 4), (904, [float("nan")] * 3), (905, [None, 1.0, 1.0]), (None, [1.0] * 3)]
+    ddl = "chunk_id long, embedding array<double>"
+    index = VectorIndex.build(spark, str(tmp_path / "v"), spark.createDataFrame(rows + odd, ddl), 3, lists=9)
+    index.extend(spark.createDataFrame([(1000, [3.0, 2.0, 1.0]), (1001, None)], ddl))
+    queries = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [3.0, 2.0, 1.0]), (3, None), (4, [0.0] * 3), (5, [1.0])], "query_id long, embedding array<double>")
+    every = {i: np.array(v) / np.linalg.norm(v) for i, v in [*rows, (1000, [3.0, 2.0, 1.0])]}
+    for probes in (9, 100):
+        got = {(r.query_id, r["rank"]): (r.chunk_id, r.sim) for r in index.search(queries, 5, probes).collect()}
+        want = {}
+        for q, v in ((1, [1.0, 2.0, 3.0]), (2, [3.0, 2.0, 1.0])):
+            unit = np.array(v) / np.linalg.norm(v)
+            for n, (s, i) in enumerate(sorted((-round(float(unit @ u), 6), i) for i, u in every.items())[:5], 1):
+                want[q, n] = (i, -s)
+        assert got == want
+    assert os.path.isdir(tmp_path / "v" / "list=0")
+    none = VectorIndex.build(spark, str(tmp_path / "n"), spark.createDataFrame(odd, ddl), 3)
+    assert none.search(queries, 5, 3).count() == 0
