@@ -29,7 +29,7 @@ def automaton(names: list[str]):
 
 def _search(most: int | None):
     def run(key: tuple, chunks: pa.Table, names: pa.Table) -> pa.Table:
-        listed = sorted((r for r in names.to_pylist() if r["low"] is not None), key=lambda r: (r["idx"], r["place"], r["name"]))
+        listed = sorted((r for r in names.to_pylist() if r["low"] is not None), key=lambda r: (r["first"], r["place"], r["name"]))
         # names that are equal in lower case share a pattern; the empty name stands in every text
         same: dict[str, list[int]] = {}
         for n, r in enumerate(listed):
@@ -42,7 +42,7 @@ def _search(most: int | None):
             hits = {p for _, p in machine.iter(low)} if machine is not None and low else set()
             places = sorted([n for p in hits for n in same[patterns[p]]] + (everywhere if low is not None else []))
             taken = set(own or ())
-            kept = [listed[n]["name"] for n in places if listed[n]["idx"] < idx and listed[n]["name"] not in taken]
+            kept = [listed[n]["name"] for n in places if listed[n]["first"] < idx and listed[n]["name"] not in taken]
             out.append(kept if most is None else kept[:most])
         return pa.table({"doc_id": pa.array([key[0].as_py()] * len(out), pa.int64()), "idx": pa.array(chunks.column("idx").to_pylist(), pa.int32()), "named": pa.array(out, pa.list_(pa.string()))})
 
@@ -58,5 +58,5 @@ def earlier_names(chunks: DataFrame, names: DataFrame, most: int | None = None)
     """
     slots = chunks.groupBy("doc_id").agg(F.ceil(F.count("*") / SLOT_CHUNKS).cast("int").alias("slots"))
     texts = chunks.join(slots, "doc_id").select("doc_id", F.pmod(F.xxhash64("idx"), F.col("slots")).cast("int").alias("slot"), "idx", F.lower("full_text").alias("low"), "own")
-    copies = names.join(slots, "doc_id").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "name", F.lower("name").alias("low"), "idx", "place")
-    return texts.groupBy("doc_id", "slot").cogroup(copies.groupBy("doc_id", "slot")).applyInArrow(_search(most), "doc_id long, idx int, named array<string>")
+    copies = names.join(slots, "doc_id").select(F.col("doc_id").alias("of"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("copy"), "name", F.lower("name").alias("low"), F.col("idx").alias("first"), "place")
+    return texts.groupBy("doc_id", "slot").cogroup(copies.groupBy("of", "copy")).applyInArrow(_search(most), "doc_id long, idx int, named array<string>")
