@@ -17,6 +17,11 @@ from ..functions import rules
 from ..functions import text as T
 from ..sources.staging import staged
 
+#: Concepts of a chunk whose pairs one row makes.
+PAIR_ROWS = 500
+#: Steps over edges between two tables of labels.
+STEPS = 3
+
 
 def merge_nodes(rows: DataFrame) -> DataFrame:
     """(key, display_name, created_at, last_seen, mentions) from (key, display_name, seen, seq): the first display name stays."""
@@ -42,11 +47,14 @@ def occurrences(mentions: DataFrame) -> DataFrame:
 def co_occurrence(chunks: DataFrame, weight: float = 1.0) -> DataFrame:
     """(a, b, weight, chunks) of concept pairs of the same chunk, a < b, from (chunk, concepts).
 
-    Each chunk counts once per pair; all its distinct concepts meet.
+    Each chunk counts once per pair, also if it has several rows; all its distinct concepts meet. A chunk with many
+    concepts is dealt over tasks by ``PAIR_ROWS`` of its first ones, so no row makes more than that times its concepts.
     """
-    listed = chunks.select("chunk", F.array_sort(F.array_distinct("concepts")).alias("c")).select("chunk", "c", F.posexplode("c").alias("i", "a"))
-    pairs = listed.select("chunk", "a", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("b"))
-    return pairs.distinct().groupBy("a", "b").agg((F.count("*") * F.lit(weight)).alias("weight"), F.count("*").alias("chunks"))
+    whole = chunks.groupBy("chunk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("concepts")))).alias("c"))
+    dealt = whole.where(F.size("c") > 1).withColumn("s", F.explode(F.sequence(F.lit(0), F.floor((F.size("c") - 2) / PAIR_ROWS).cast("int")))).repartition("chunk", "s")
+    first = dealt.select("c", F.explode(F.sequence(F.col("s") * PAIR_ROWS + 1, F.least((F.col("s") + 1) * PAIR_ROWS, F.size("c") - 1))).alias("i"))
+    pairs = first.select(F.element_at("c", F.col("i")).alias("a"), F.explode(F.slice("c", F.col("i") + 1, F.size("c"))).alias("b"))
+    return pairs.groupBy("a", "b").agg((F.count("*") * F.lit(weight)).alias("weight"), F.count("*").alias("chunks"))
 
 
 def confident(edges: DataFrame) -> DataFrame:
@@ -115,29 +123,87 @@ def prune(nodes: DataFrame, edges: DataFrame, most_degree: int = 100, least_conf
     return nodes, break_cycles(edges, cycle_length)
 
 
-def cycles(edges: DataFrame, length: int = 10, trims: int = 3) -> DataFrame:
+def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
+    """Edges without those of nodes that nothing leads to or from, again and again until none is left to trim."""
+    n = edges.count()
+    for _ in range(rounds):
+        edges = staged(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "trimmed-edges")
+        before, n = n, edges.count()
+        if n in (0, before):
+            break
+    return edges
+
+
+def _spread(labels: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame:
+    """(node, label): the largest label that leads to a node over any number of edges; unmarked nodes have none."""
+    while True:
+        now = labels.select("node", "label", F.col("label").alias("was"))
+        for _ in range(STEPS):
+            led = edges.join(now.select(F.col("node").alias(start), F.col("label").alias("new")), start).groupBy(F.col(end).alias("node")).agg(F.max("new").alias("new"))
+            now = now.join(led, "node", "left").select("node", F.greatest("label", "new").alias("label"), "was")
+        after = staged(now, "labels")
+        labels = after.select("node", "label")
+        if after.where(~F.col("was").eqNullSafe(F.col("label"))).isEmpty():
+            return labels
+
+
+def strong_components(edges: DataFrame, trims: int = 30) -> DataFrame:
+    """(node, component) of every node on a directed cycle; the component is its greatest node.
+
+    Nodes without edges in or out are trimmed. Then each node takes the greatest node that leads to it as its colour;
+    cycles never leave a colour. From each colour's own node, walks against the edges within the colour find its
+    component. What is left goes into the next round; every round settles at least one component of each colour.
+    """
+    e = _trimmed(staged(edges.select("src", "dst").where("src <> dst").distinct(), "edges"), trims)
+    found = []
+    while not e.isEmpty():
+        nodes = staged(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "nodes")
+        colour = _spread(nodes.select("node", F.col("node").alias("label")), e, "src", "dst")
+        src, dst = (colour.select(F.col("node").alias(end), F.col("label").alias(f"{end}_colour")) for end in ("src", "dst"))
+        same = staged(e.join(src, "src").join(dst, "dst").where("src_colour = dst_colour").select("src", "dst"), "edges-of-one-colour")
+        reach = _spread(colour.select("node", F.when(F.col("node") == F.col("label"), F.col("node")).alias("label")), same, "dst", "src").where("label is not null")
+        found.append(reach.select("node", F.col("label").alias("component")))
+        left = same.join(reach.select(F.col("node").alias("src")), "src", "left_anti").join(reach.select(F.col("node").alias("dst")), "dst", "left_anti")
+        e = _trimmed(staged(left.select("src", "dst"), "edges"), trims)
+    if not found:
+        node = edges.schema["src"].dataType.simpleString()
+        return edges.sparkSession.createDataFrame([], f"node {node}, component {node}")
+    every = reduce(DataFrame.union, found)
+    return every.join(every.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "component", "left_semi").select("node", "component")
+
+
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """(src, dst, component) of the edges within a strong component: those that lie on some cycle, each once."""
+    part = staged(strong_components(edges), "components")
+    e = edges.select("src", "dst").where("src <> dst").distinct()
+    return e.join(part.select(F.col("node").alias("src"), "component"), "src").join(part.select(F.col("node").alias("dst"), F.col("component").alias("to")), "dst").where(F.col("component") == F.col("to")).select("src", "dst", "component")
+
+
+def cycles(edges: DataFrame, length: int = 10, most: int | None = None) -> DataFrame:
     """(path) of simple directed cycles of 2 to ``length`` edges, each once, from its smallest node on.
 
-    Nodes without edges in or out can lie on none and are trimmed first; a path only grows over nodes greater
-    than its start. The edges and each length's paths are written to the shared folder, so no plan grows with
-    the length, and the walk ends when no path is left.
+    Only edges within strong components are walked; a path only grows over nodes greater than its start. The edges and
+    each length's paths are written to the shared folder, so no plan grows with the length, and the walk ends when no
+    path is left, or once ``most`` cycles are known (the shortest ones, smaller nodes first).
     """
-    e = edges.select("src", "dst").where("src <> dst").distinct()
-    for _ in range(trims):
-        e = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-    e = staged(e, "walk-edges")
+    e = staged(cyclic_edges(edges).select("src", "dst"), "walk-edges")
     step = e.select(F.col("src").alias("_from"), F.col("dst").alias("_to"))
     paths = e.where("dst > src").select(F.array("src", "dst").alias("path"))
-    found = []
+    found, n_found = [], 0
     for n in range(2, length + 1):
         last, first = F.element_at("path", -1), F.element_at("path", 1)
         grown = paths.join(step, last == F.col("_from"))
-        found.append(grown.where(F.col("_to") == first).select("path"))
+        closed = grown.where(F.col("_to") == first).select("path")
+        found.append(closed if most is None else staged(closed, "cycles"))
+        n_found += 0 if most is None else found[-1].count()
+        if most is not None and n_found >= most:
+            break
         if n < length:
             paths = staged(grown.where((F.col("_to") > first) & ~F.array_contains("path", F.col("_to"))).select(F.array_append("path", F.col("_to")).alias("path")), "walks")
             if paths.isEmpty():
                 break
-    return reduce(DataFrame.union, found)
+    every = reduce(DataFrame.union, found)
+    return every if most is None else every.orderBy(F.size("path"), "path").limit(most)
 
 
 def break_cycles(edges: DataFrame, length: int = 10) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import random
 from datetime import datetime, timedelta
+from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from studyweave.operators import graph, learner, linking, quality, retrieval, reward
@@ -69,6 +71,60 @@ def test_graph_prune(spark):
     assert sorted((r.src, r.dst) for r in left.collect()) == [(1, 2), (3, 1), (3, 4)]
 
 
+def plain_components(edges):
+    """Nodes that reach each other, by reachability of all pairs."""
+    after = {}
+    for a, b in edges:
+        if a != b:
+            after.setdefault(a, set()).add(b)
+
+    def reach(x):
+        seen, stack = set(), [x]
+        while stack:
+            for y in after.get(stack.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    stack.append(y)
+        return seen
+
+    r = {x: reach(x) for x in after}
+    return {x: max(y for y in r[x] if x in r.get(y, ())) for x in r if x in r[x]}
+
+
+@pytest.mark.parametrize("n,m,trims", [(30, 40, 30), (30, 90, 30), (60, 70, 1), (25, 24, 0)])
+def test_strong_components(spark, n, m, trims):
+    rng = random.Random(n + m)
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    want = plain_components(edges)
+    assert {r.node: r.component for r in graph.strong_components(df, trims).collect()} == want
+    on = {(a, b) for a, b in edges if a != b and want.get(a) is not None and want.get(a) == want.get(b)}
+    assert {(r.src, r.dst) for r in graph.cyclic_edges(df).collect()} == on
+
+
+def test_graph_without_cycles_ends_after_trimming(spark):
+    edges = spark.range(1_000_000).select((F.col("id") % 200_000).alias("src"), (F.col("id") % 200_000 + 1 + F.pmod(F.xxhash64("id"), F.lit(90_000))).alias("dst"))
+    assert graph.cyclic_edges(edges.where("dst > src")).isEmpty()
+
+
+def test_most_cycles(spark):
+    edges = spark.createDataFrame([(a, b) for a in range(6) for b in range(6) if a != b], "src long, dst long")
+    every = sorted((len(r.path), r.path) for r in graph.cycles(edges, 4).collect())
+    assert len(every) == 15 + 40 + 90
+    assert [r.path for r in graph.cycles(edges, 4, most=20).collect()] == [p for _, p in every[:20]]
+
+
+def test_pairs_of_large_and_repeated_chunks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PAIR_ROWS", 3)
+    chunks = [("a", list("abcdefgh")), ("a", ["a", "z", "a"]), ("b", ["b", "a", None]), ("c", ["x"]), ("d", []), ("e", None)]
+    got = {(r.a, r.b): r.chunks for r in graph.co_occurrence(spark.createDataFrame(chunks, "chunk string, concepts array<string>")).where("a is not null and b is not null").collect()}
+    want = {}
+    for names in (sorted(set("abcdefghz")), ["a", "b"]):
+        for p in combinations(names, 2):
+            want[p] = want.get(p, 0) + 1
+    assert got == want
+
+
 def test_cycles_once(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 1), (3, 5), (5, 6)], "src long, dst long")
     assert sorted(tuple(r.path) for r in graph.cycles(edges, 5).collect()) == [(1, 2), (1, 2, 3)]
