@@ -203,21 +203,40 @@ def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield now, held
 
 
-def _marked(row, pos, ids, texts, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Marked places dealt over buckets of documents."""
-    deal = (mix(texts.view(np.uint64) ^ ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)[row]
-    order = np.argsort(deal, kind="stable")
-    deal, row, pos = deal[order], row[order], pos[order]
-    out = []
-    for b in np.unique(deal).tolist():
-        part = slice(*np.searchsorted(deal, [b, b + 1]))
-        who, own_ids, own_texts = _rows_of(row[part], ids, texts)
-        out.append((b, len(who), len(own_ids), pack(who), pack(pos[part].astype(np.uint32)), pack(own_ids), pack(own_texts)))
-    yield _batch(out, _MARKS)
+class _Marks:
+    """Marked places of a task's groups, dealt over buckets of documents once there are many of them."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.parts, self.n = buckets, [], 0
+
+    def add(self, row: np.ndarray, pos: np.ndarray, ids: np.ndarray, texts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        row, ids, texts = _rows_of(row, ids, texts)
+        self.parts.append((row, pos.astype(np.uint32), ids, texts))
+        self.n += len(row)
+        if self.n >= BLOCK:
+            yield from self.send()
+
+    def send(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        base = np.cumsum([0] + [len(p[2]) for p in self.parts])
+        row = np.concatenate([p[0].astype(np.int64) + b for p, b in zip(self.parts, base)])
+        pos, ids, texts = (np.concatenate([p[k] for p in self.parts]) for k in (1, 2, 3))
+        self.parts, self.n = [], 0
+        deal = (mix(texts.view(np.uint64) ^ ids.view(np.uint64)) % np.uint64(self.buckets)).astype(np.int32)[row]
+        order = np.argsort(deal, kind="stable")
+        deal, row, pos = deal[order], row[order], pos[order]
+        out = []
+        for b in np.unique(deal).tolist():
+            part = slice(*np.searchsorted(deal, [b, b + 1]))
+            who, own_ids, own_texts = _rows_of(row[part], ids, texts)
+            out.append((b, len(who), len(own_ids), pack(who), pack(pos[part]), pack(own_ids), pack(own_texts)))
+        yield _batch(out, _MARKS)
 
 
 def _subtrees(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = _Marks(buckets)
         for _, sent in _by_key(batches, "grp"):
             path, rest, row, pos, marked_row, marked_pos, ids, texts = ([] for _ in range(8))
             base = 0
@@ -241,8 +260,9 @@ def _subtrees(buckets: int):
                 marked_row = np.concatenate([marked_row, row[order][later]])
                 marked_pos = np.concatenate([marked_pos, pos[order][later]])
             if len(marked_row):
-                yield from _marked(marked_row.astype(np.int64), marked_pos, ids, texts, buckets)
+                yield from marks.add(marked_row.astype(np.int64), marked_pos, ids, texts)
             hand_back()
+        yield from marks.send()
 
     return run
 
