@@ -35,7 +35,7 @@ from .words import LOWER, hashes, pack, table, unpack
 #: Words of the dictionary that 21-bit ids can tell apart; 16 bytes each are broadcast.
 NARROW = 1_000_000
 #: Keys that a task sorts before it sends them, and keys of a range.
-BLOCK = 1_000_000
+BLOCK = 400_000
 RANGE = 500_000
 #: Occurrences that a count must have.
 LEAST = 100
@@ -186,6 +186,7 @@ def _sender(coder: Coder, longest: int, borders: np.ndarray, ddl: str):
                 if n >= BLOCK:
                     yield send(parts)
                     parts, n = [], 0
+                    hand_back()
             hand_back()
         if n:
             yield send(parts)
