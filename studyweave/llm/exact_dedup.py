@@ -30,7 +30,6 @@ from .common import bound_batches, free_name, hand_back, materialise, maybe_broa
 SPLITTER_CHARS = 64
 #: Bytes of texts that a task holds back until it knows whether their first characters go on to its end.
 HELD_BYTES = 4_000_000
-_NO_ID = np.iinfo(np.int64).max
 _RUNS = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("part", pa.int32()), ("nth", pa.int64()), ("run", pa.int64()), ("rows", pa.int64()), ("best_chars", pa.int64()), ("best_id", pa.int64()), ("best_nth", pa.int64()), ("text_sha256", pa.string()), ("edge_text", pa.string())])
 _RUNS_DDL = "doc_id long, row_hash long, part int, nth long, run long, rows long, best_chars long, best_id long, best_nth long, text_sha256 string, edge_text string"
 
@@ -50,22 +49,21 @@ class _Runs:
 
     def __init__(self):
         self.part, self.run, self.seen = TaskContext.get().partitionId(), -1, 0
-        self.held: list[tuple] = []  # of the open run: ids, lengths, hashes, positions
+        self.held: list[tuple] = []  # of the open run: ids, whether they are null, lengths, hashes, positions
         self.text = self.head = None
         self.waiting: list[pa.RecordBatch] = []  # closed runs with the head of the last one, with their texts
         self.bytes = 0
 
     def close(self, edge: bool) -> pa.RecordBatch:
-        ids, chars, hashes, nth = (np.concatenate([h[k] for h in self.held]) for k in range(4))
+        ids, none, chars, hashes, nth = (np.concatenate([h[k] for h in self.held]) for k in range(5))
         longest = chars.max()
-        among = np.flatnonzero(chars == longest)
-        best = among[np.argmin(ids[among])]
+        best = np.lexsort((ids, none, -chars))[0]
         n, text = len(ids), self.text.as_py()
         self.bytes += len(text) + 120 * n
         sha = hashlib.sha256(text.encode()).hexdigest()
         columns = [
-            pa.array(ids, mask=ids == _NO_ID), pa.array(hashes), pa.array(np.full(n, self.part, np.int32)), pa.array(nth), pa.array(np.full(n, self.run)), pa.array(np.full(n, n)), pa.array(np.full(n, longest)),
-            pa.array(np.full(n, ids[best]), mask=np.full(n, ids[best] == _NO_ID)), pa.array(np.full(n, nth[best])), pa.array([sha] * n, pa.string()), pa.array([text] + [None] * (n - 1) if edge else [None] * n, pa.string()),
+            pa.array(ids, mask=none), pa.array(hashes), pa.array(np.full(n, self.part, np.int32)), pa.array(nth), pa.array(np.full(n, self.run)), pa.array(np.full(n, n)), pa.array(np.full(n, longest)),
+            pa.array(np.full(n, ids[best]), mask=np.full(n, none[best])), pa.array(np.full(n, nth[best])), pa.array([sha] * n, pa.string()), pa.array([text] + [None] * (n - 1) if edge else [None] * n, pa.string()),
         ]
         self.held = []
         return pa.RecordBatch.from_arrays(columns, schema=_RUNS)
@@ -77,8 +75,8 @@ class _Runs:
 
     def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         norm, head = batch.column("norm"), batch.column("head")
-        ids = batch.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-        rest = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("chars", "row_hash")] + [self.seen + np.arange(batch.num_rows)]
+        ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+        rest = [batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)] + [batch.column(c).to_numpy(zero_copy_only=False) for c in ("chars", "row_hash")] + [self.seen + np.arange(batch.num_rows)]
         self.seen += batch.num_rows
         same = np.zeros(batch.num_rows, bool)
         same[1:] = pc.equal(norm[1:], norm[:-1]).to_numpy(zero_copy_only=False)
@@ -123,7 +121,7 @@ def _found(docs: DataFrame) -> DataFrame:
     dealt = rows.withColumn("head", _head(F.col("text"))).repartitionByRange(partitions(spark), "head", "doc_id")
     ordered = dealt.select("doc_id", "head", F.length("text").cast("long").alias("chars"), F.xxhash64("text").alias("row_hash"), normalised(F.col("text")).alias("norm")).sortWithinPartitions("norm", "doc_id")
     runs = materialise(ordered.mapInArrow(_mark_runs, _RUNS_DDL), "content-sort")
-    best = F.max(F.struct("best_chars", -F.coalesce("best_id", F.lit(_NO_ID)), -F.col("part"), "best_id", F.col("part").alias("best_part"), "best_nth"))
+    best = F.min(F.struct((-F.col("best_chars")).alias("shorter"), F.col("best_id").isNull().alias("none"), "best_id", F.col("part").alias("best_part"), "best_nth"))
     edges = runs.where("edge_text is not null")
     equal = edges.groupBy("edge_text").agg(F.count("*").alias("parts"), F.sum("rows").alias("all_rows"), best.alias("best"), F.collect_list(F.struct("part", "run")).alias("runs")).where("parts > 1")
     # a text has one run a range

@@ -43,6 +43,21 @@ def test_exact_rows_that_repeat(spark):
     assert sorted(left, key=repr) == sorted([(1, "a b", 7), (None, "x", 1), (None, "y", 1), (3, "z", 1), (3, "other", 1)], key=repr)
 
 
+def test_exact_extreme_ids(spark):
+    ends = [-(2**63), 2**63 - 1, -1, 0, None]
+    rows = [(i, t) for t in ("same", "other ") for i in ends] + [(2**63 - 1, "last"), (None, "last"), (None, "none"), (-(2**63), "more ")] + [(5, "more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 6):
+        got = {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size, r.kept) for r in exact_dedup.find_copies(df.repartition(parts)).collect()}
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        for i in ends:
+            for t in ("same", "other"):
+                assert got[i, sha(t)] == (-(2**63), 5, i == -(2**63))
+        assert got[2**63 - 1, sha("last")] == (2**63 - 1, 2, True) and got[None, sha("last")] == (2**63 - 1, 2, False)
+        assert got[None, sha("none")] == (None, 1, True) and got[5, sha("more")] == (-(2**63), 2, False)
+        assert sorted(r.text.strip() for r in exact_dedup.drop_copies(df.repartition(parts)).collect()) == ["last", "more", "none", "other", "same"]
+
+
 def test_exact_over_borders(spark, monkeypatch):
     """Many texts that begin alike, held by more rows than a range takes, and texts of white space before them."""
     rng = random.Random(6)
