@@ -32,9 +32,11 @@ from .common import bound_batches, hand_back, materialise, maybe_broadcast, part
 
 #: Smaller payloads are always stored.
 REVISIT_BYTES = 1000
-#: Payload bytes of a file on average, and the most it can have (but for one larger page); bound what a reader holds.
+#: Payload bytes of a file on average, and the most it can have; bound what a reader holds. Pages of more than
+#: LARGE_BYTES have files of their own, so they don't decide how many records the others' files hold.
 FILE_BYTES = 8_000_000
 FILE_BOUND = 128_000_000
+LARGE_BYTES = 4_000_000
 #: Entries of a run, which a task sorts at once, and of a range, which a task merges at once.
 RUN_ROWS = 50_000
 RANGE_ROWS = 20_000
@@ -88,11 +90,15 @@ def write_archives(pages: DataFrame, path: str | None = None) -> str:
     bound_batches(spark)
     path = path or shared_path(spark, "warc")
     size = F.octet_length(F.coalesce("html", F.lit(""))).cast("long")
-    total, largest, count = pages.agg(F.sum(size), F.max(size), F.count("*")).first()
+    common = F.when(size <= LARGE_BYTES, size)
+    total, largest, count, pages_in_all = pages.agg(F.sum(common), F.max(common), F.count(common), F.count("*")).first()
     # files are cut by a number of records, so pages are written by the tasks that read them, without a shuffle
     per_file = max(1, min(FILE_BYTES * count // max(1, total or 0), FILE_BOUND // max(1, largest or 0)))
     rows, first = records(pages)
-    _as_text(rows).write.option("maxRecordsPerFile", per_file).option("lineSep", "\r\n\r\n").text(path)
+    written = lambda part, n, mode: _as_text(part).write.mode(mode).option("maxRecordsPerFile", n).option("lineSep", "\r\n\r\n").text(path)
+    written(rows.where(F.col("n") <= LARGE_BYTES), per_file, "error")
+    if count < pages_in_all:
+        written(rows.where(F.col("n") > LARGE_BYTES), 1, "append")
     remove(spark, table_path(first))
     return path
 

@@ -241,3 +241,13 @@ def test_quality_cases(spark, docs, rows, empty):
     assert quality.score(empty, model).count() == 0
     bare = docs.select("doc_id", "text")
     assert quality.score(bare, model).count() == len(rows) and quality.keep_good(bare, quality.train(bare, mixed)).columns == ["doc_id", "text"]
+
+
+def test_one_large_page_does_not_decide_the_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://x.example.org/"), F.col("id")).alias("url"), F.when(F.col("id") == 77, F.repeat(F.concat(F.col("id").cast("string"), F.lit("01234567")), 3_000_000)).otherwise(F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), 320)).alias("html"))
+    path = warc.write_archives(pages.repartition(3), str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").glob("part-*"))) <= 8
+    found = warc.capture_histories(pages)
+    assert found.count() == 2000 and found.where("page_id = 77").first().payload_bytes == 30_000_000 and path
