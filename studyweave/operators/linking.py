@@ -130,18 +130,29 @@ def look_ahead(chunks: DataFrame, steps: int = 5, most: int = 3) -> DataFrame:
     return rows.select("doc_id", "idx", F.slice(F.array_sort(F.array_distinct(topics)), 1, most).alias("prepares_for"))
 
 
-def assign_sections(chunks: DataFrame, sections: DataFrame) -> DataFrame:
-    """Chunks with the section that has their number, else the first whose [start, stop) holds their offset.
+def spans_at(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, offset, start, title) of the spans [start, stop) that hold a point, nested and overlapping ones included.
 
-    Both joins have the resource as an equality key, so ranges are only compared within a resource.
+    A span goes into the one or two bins of the smallest power of two that is no less than its length; a point asks one
+    bin for each power that occurs, so both meet by equality of (resource, power, bin). Points: doc_id, offset.
     """
+    length = F.col("stop").cast("long") - F.col("start").cast("long")
+    rows = spans.where(F.col("start").isNotNull() & (length > 0)).select("doc_id", "start", "stop", "title", F.when(length == 1, 0).otherwise(F.length(F.bin(length - 1))).cast("int").alias("power"))
+    powers = sorted(r.power for r in rows.select("power").distinct().collect())  # 63 at most
+    binned = rows.withColumn("bin", F.explode(F.sequence(F.expr("shiftright(cast(start as bigint), power)"), F.expr("shiftright(cast(stop as bigint) - 1, power)"))))
+    asked = points.where("offset is not null").select("doc_id", "offset", F.explode(F.array(*map(F.lit, powers)).cast("array<int>")).alias("power")).withColumn("bin", F.expr("shiftright(cast(offset as bigint), power)"))
+    return asked.join(binned, ["doc_id", "power", "bin"]).where("start <= offset and offset < stop").select("doc_id", "offset", "start", "title")
+
+
+def assign_sections(chunks: DataFrame, sections: DataFrame) -> DataFrame:
+    """Chunks with the section that has their number, else the first whose [start, stop) holds their offset."""
     s = sections.select("doc_id", "number", "start", "stop", "title")
     by_number = s.groupBy("doc_id", "number").agg(F.min_by("title", "start").alias("by_number"))
     rows = chunks.join(by_number, ["doc_id", "number"], "left")
-    spans = s.select(F.col("doc_id").alias("_d"), "start", "stop", "title")
-    inside = rows.join(spans, (F.col("doc_id") == F.col("_d")) & (F.col("start") <= F.col("offset")) & (F.col("offset") < F.col("stop")), "left")
-    found = inside.groupBy(*chunks.columns, "by_number").agg(F.min_by("title", "start").alias("by_offset"))
-    return found.withColumn("section", F.coalesce("by_number", "by_offset")).drop("by_number", "by_offset")
+    points = rows.where("by_number is null").select("doc_id", "offset").distinct()
+    by_offset = spans_at(points, s).groupBy("doc_id", "offset").agg(F.min_by("title", "start").alias("by_offset"))
+    found = rows.join(by_offset, ["doc_id", "offset"], "left").withColumn("section", F.coalesce("by_number", "by_offset"))
+    return found.select(*chunks.columns, "section")
 
 
 def neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, learner_queries, link_queries, retrieval_queries, reward_queries, search_queries, text_queries, tutor_queries
+from . import graph_queries, learner_queries, link_queries, retrieval_queries, reward_queries, search_queries, source_queries, text_queries, tutor_queries
 
-_MODULES = (text_queries, link_queries, retrieval_queries, graph_queries, learner_queries, reward_queries, tutor_queries, search_queries)
+_MODULES = (text_queries, link_queries, retrieval_queries, graph_queries, learner_queries, reward_queries, tutor_queries, search_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 #: Larger uploads are refused.
 MAX_UPLOAD = 100 * 1024 * 1024
@@ -56,7 +59,7 @@ def read_records(spark: SparkSession, path: str, schema: StructType, array: bool
         good = parsed.select(F.explode("r").alias("r"))
         bad = parsed.where("r is null")
     else:
-        full = StructType(schema.fields).add("_bad", "string")
+        full = StructType(list(schema.fields)).add("_bad", "string")  # add() changes the list it is given
         parsed = text.withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
         good, bad = parsed.where("r._bad is null"), parsed.where("r._bad is not null")
     return good.select(*(F.col("r")[f.name].alias(f.name) for f in schema.fields)), bad.select("_file", F.col("value").alias("_bad"))
@@ -75,11 +78,51 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
+# Marks around an answer's JSON.
+_SENTINEL = re.compile(r"BEGIN_STRICT_JSON\s*(.*?)\s*END_STRICT_JSON", re.IGNORECASE | re.DOTALL)
+_FENCE = re.compile(r"^```(?:json)?[ \t]*$|```", re.IGNORECASE | re.MULTILINE)
+_MARK = re.compile(r'\\.|["{}\]]|,(?=\s*[}\]])', re.DOTALL)
+
+
+def scan_objects(text: str) -> list[str]:
+    """Every top-level object of a text: a fold over braces, quotes and escapes. Quotes count within objects only, braces
+    outside strings only; commas before a closing bracket go, if they stand outside strings. An object that is cut off
+    is none, but whole objects within it are not looked for either."""
+    found, depth, quoted, start, gone = [], 0, False, 0, []
+    for m in _MARK.finditer(text):
+        mark = m[0]
+        if depth and mark == '"':
+            quoted = not quoted
+        elif quoted or mark[0] == "\\" or mark in '"]':
+            continue
+        elif mark == "{":
+            if not depth:
+                start, gone = m.start(), []
+            depth += 1
+        elif mark == "," and depth:
+            gone.append(m.start())
+        elif mark == "}" and depth:
+            depth -= 1
+            if not depth:
+                cuts = [start - 1, *gone, m.end()]
+                found.append("".join(text[a + 1 : b] for a, b in zip(cuts, cuts[1:])))
+    return found
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def json_objects(texts: pd.Series) -> pd.Series:
+    """Every top-level JSON object of each text, in order; marked ones first, if there are marks. Null has none."""
+
+    def one(text: str | None) -> list[str]:
+        marked = _SENTINEL.search(text or "")
+        return (scan_objects(marked[1]) if marked else None) or scan_objects(_FENCE.sub("", text or ""))
+
+    return texts.map(one)
+
+
 def extracted_json(text: Column) -> Column:
-    """The JSON in a model's answer as text: between fences, else from the first brace to the last; commas before a closing bracket go."""
-    fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
-    braced = F.nullif(F.regexp_extract(text, r"(?s)([{\[].*[}\]])", 1), F.lit(""))
-    return F.regexp_replace(F.regexp_replace(F.coalesce(fenced, braced, F.lit("")), r"^\s+|\s+$", ""), r",\s*([}\]])", "$1")
+    """The first object of a model's answer as text, empty if it has none."""
+    return F.coalesce(F.get(json_objects(text), F.lit(0)), F.lit(""))
 
 
 def report_markdown(report: DataFrame, title: str) -> str:

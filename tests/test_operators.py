@@ -240,3 +240,18 @@ def test_whole_responses_count(spark, tmp_path):
 
     for name in ("stepwise_rubric", "evaluation_deltas"):
         assert run(name, "") != run(name, "For example, a rod warms up because heat flows. Can you explain why?")
+
+
+def test_spans_that_hold_a_point(spark):
+    """Nested, overlapping, empty and very long spans against all pairs; candidates stay few."""
+    rng = random.Random(12)
+    spans = [(d, a := rng.randrange(-500, 5000), a + rng.choice([0, 1, 2, 3, 7, 50, 900, 10_000_000]), f"s{k}") for k in range(300) for d in [k % 3]] + [(1, None, 5, "x"), (1, 5, None, "x"), (1, 9, 3, "x")]
+    points = sorted({(rng.randrange(3), rng.randrange(-600, 6000)) for _ in range(300)}) + [(1, None), (None, 5)]
+    got = linking.spans_at(spark.createDataFrame(points, "doc_id long, offset int"), spark.createDataFrame(spans, "doc_id long, start int, stop int, title string"))
+    want = sorted((d, p, a, t) for d, p in points for x, a, b, t in spans if d == x and None not in (p, a, b) and a <= p < b)
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 1000
+    many = spark.createDataFrame([(1, 10 * k, 10 * k + 10, "s") for k in range(20_000)], "doc_id long, start int, stop int, title string")
+    at = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") * 10 + 3).cast("int").alias("offset"))
+    met = linking.spans_at(at, many)
+    assert met.count() == 20_000  # one resource: all pairs would be 400,000,000
+    assert linking.spans_at(at.limit(0), many).count() == 0 and linking.spans_at(at, many.limit(0)).count() == 0

@@ -38,3 +38,42 @@ def test_broken_json(spark):
     texts = ["{'a': 1}", "{\"a\": {\"b\": [1, 2,]}} tail }", "``` {\"x\": 1} ```", "", None, "[1, 2]"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(io.extracted_json(F.col("text"))).collect()]
     assert len(got) == 6 and json.loads(got[2]) == {"x": 1}
+
+
+def test_objects_in_answers(spark):
+    cases = {
+        'a {"x": {"y": "}"}} b {"z": 1,} {"cut": {"in": 1}': ['{"x": {"y": "}"}}', '{"z": 1}'],
+        'say "hi {"a": "q\\" { ,}", "b": [1, 2, ], }': ['{"a": "q\\" { ,}", "b": [1, 2 ] }'],
+        "```json\n{\"a\": 1}\n```": ['{"a": 1}'],
+        'x {} BEGIN_STRICT_JSON {"m": {"n": 2}} END_STRICT_JSON {"o": 3}': ['{"m": {"n": 2}}'],
+        "begin_strict_json nothing end_strict_json {\"o\": 3}": ['{"o": 3}'],
+        "} } {": [],
+        '[{"a": 1}, {"b": 2}]': ['{"a": 1}', '{"b": 2}'],
+        "\\{ {\"p\": \"c:\\\\\"}": ['{"p": "c:\\\\"}'],
+        "": [],
+        None: [],
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "text string").select("text", io.json_objects(F.col("text")).alias("found")).collect()
+    assert {r.text: r.found for r in rows} == cases
+    for found in cases.values():
+        for text in found:
+            json.loads(text)
+
+
+def test_long_answers_are_scanned_once():
+    import time
+
+    began = time.time()
+    assert len(io.scan_objects("prose { " + '{"a": [1, "x}", {"b": 2}]}' * 100_000)) == 0
+    assert len(io.scan_objects('{"a": [1, "x}", {"b": 2}]} and ' * 100_000)) == 100_000
+    assert time.time() - began < 20
+
+
+def test_records_do_not_change_the_schema(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    rows = spark.createDataFrame([(1, "a")], "n long, t string")
+    io.write_records(rows, str(tmp_path / "r"))
+    schema = StructType(rows.schema.fields)
+    good, bad = io.read_records(spark, str(tmp_path / "r"), schema)
+    assert good.columns == ["n", "t"] == schema.names and good.count() == 1 and bad.count() == 0
