@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import quality, reward
-from ..sources import io
+from ..sources import io, ledger
 from ..sources.staging import shared_path
-from .inputs import table
+from ..functions import rules
+from ..functions import text as T
+from .inputs import CHUNKS_SQL, _quoted, chunks, sql_ladder, table
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -60,3 +62,29 @@ def observed_stage(spark, sf_dir):
     rows, seen = quality.observed(table(spark, sf_dir, "documents").select("doc_id", "text"), "chunking", chars=F.sum(F.length(F.coalesce("text", F.lit("")))), blank=F.count_if(F.coalesce("text", F.lit("")) == ""))
     rows.write.parquet(shared_path(spark, "observed"))
     return spark.createDataFrame([(seen.get["rows"], seen.get["chars"], seen.get["blank"])], "rows long, chars long, blank long")
+
+
+def _backfill(spark, sf_dir):
+    """Roles of all chunks, filled in by a job that is stopped twice and meets an error once before it ends."""
+    log, out = ledger.Ledger(spark, shared_path(spark, "ledger")), shared_path(spark, "roles")
+    rows = chunks(spark, sf_dir).select("doc_id", "idx", "full_text")
+    good = lambda part: part.select("doc_id", "idx", T.pedagogy_role(F.lower("full_text")).alias("role"))
+    bad = lambda part: good(part).withColumn("role", F.raise_error(F.lit("the worker lost its model")).cast("string"))
+    ledger.run(log, "roles", rows, "doc_id", good, out, pieces=6, stop_after=2)
+    ledger.run(log, "roles", rows, "doc_id", bad, out, stop_after=1)
+    ledger.run(log, "roles", rows, "doc_id", good, out)
+    return log, out
+
+
+@add(f"with {CHUNKS_SQL} select doc_id, idx, {sql_ladder('lower(full_text)', rules.ROLE_LADDER, _quoted(rules.ROLE_DEFAULT))} as role from chunks")
+def resumed_backfill(spark, sf_dir):
+    """What the backfill wrote: every chunk once."""
+    log, out = _backfill(spark, sf_dir)
+    return ledger.results(log, "roles", out)
+
+
+@add("select 'done' as state, case when k = 2 then 2 else 1 end::bigint as attempts, k::int as piece from range(6) r(k)")
+def backfill_states(spark, sf_dir):
+    """The ledger's ranges after the backfill; the one that met an error was begun twice."""
+    log, _ = _backfill(spark, sf_dir)
+    return log.status("roles").select("state", "attempts", "piece")
