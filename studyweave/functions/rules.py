@@ -78,7 +78,8 @@ MATH_LEVELS = [
 ]
 ABSTRACT_WORDS = ["theory", "principle", "axiom", "theorem", "postulate", "law"]
 
-# Kinds of figures by caption.
+# The two sides of a comparison in a caption, and kinds of figures by caption.
+VERSUS = r"(\w+(?:\s+\w+)?)\s+versus\s+(\w+(?:\s+\w+)?)"
 FIGURE_KINDS = [
     ("graph", ["plot", "curve", "versus", "vs", "axis", "axes"]),
     ("diagram", ["schematic", "diagram", "illustration", "flowchart"]),

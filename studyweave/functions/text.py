@@ -188,6 +188,14 @@ def caption_concepts(caption: Column, most: int = 5) -> Column:
     return F.slice(F.filter(F.regexp_extract_all(caption, F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"), F.lit(0)), lambda c: F.length(c) > 3), 1, most)
 
 
+def axes(caption: Column, kind: Column) -> Column:
+    """Struct x, y of a graph's axes: named ones first, else the sides of "versus"; null where the caption has none."""
+    low = F.lower(caption)
+    named = lambda axis: F.nullif(strip(F.regexp_extract(low, axis + r"[- ]axis:?\s*([^,;.]+)", 1)), F.lit(""))
+    side = lambda group: F.nullif(strip(F.regexp_extract(low, rules.VERSUS, group)), F.lit(""))
+    return F.when(kind == "graph", F.struct(F.coalesce(named("x"), side(2)).alias("x"), F.coalesce(named("y"), side(1)).alias("y")))
+
+
 def section_path(number: Column) -> Column:
     return F.filter(F.split(F.replace(number, F.lit(" "), F.lit("")), r"\."), lambda s: s != "")
 

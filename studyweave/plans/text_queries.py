@@ -230,6 +230,18 @@ def _captions_sql(pattern: str, word: str, kind: str) -> str:
     return f"select chunk_id, '{word}' || z[1] as label, {_STRIP1.format('z[2]')} as caption, {kind} as kind from (select chunk_id, unnest(list_zip({both})) as z from chunks)"
 
 
+def _axis_sql(axis: str, group: int) -> str:
+    first, second = (_STRIP1.format(f"regexp_extract(lower(caption), {_quoted(p)}, {g})") for p, g in ((axis + r"[- ]axis:?\s*([^,;.]+)", 1), (rules.VERSUS, group)))
+    return f"case when kind = 'graph' then coalesce(nullif({first}, ''), nullif({second}, '')) end as {axis}"
+
+
+@add(f"""with {CHUNKS_SQL}, f as ({_captions_sql(r"(?i)(?:Figure|Fig\.?)" + _BODY, "Figure ", sql_ladder("lower(z[2])", rules.FIGURE_KINDS, "'unknown'"))})
+    select chunk_id, label, kind, {_axis_sql('x', 2)}, {_axis_sql('y', 1)} from f where kind <> 'table'""")
+def figure_axes(spark, sf_dir):
+    found = chunks(spark, sf_dir).select("chunk_id", F.explode(T.figures(F.col("full_text"))).alias("f")).where("f.kind <> 'table'")
+    return found.select("chunk_id", "f.label", "f.kind", T.axes(F.col("f.caption"), F.col("f.kind")).alias("axes")).select("chunk_id", "label", "kind", "axes.x", "axes.y")
+
+
 @add(f"""with {CHUNKS_SQL}, f as ({_captions_sql(r"(?i)(?:Figure|Fig\.?)" + _BODY, "Figure ", sql_ladder("lower(z[2])", rules.FIGURE_KINDS, "'unknown'"))} union all {_captions_sql("(?i)Table" + _BODY, "Table ", "'table'")})
     select chunk_id, label, caption, kind, array_to_string(list_slice(list_filter(regexp_extract_all(regexp_replace(caption, '[À-ÖØ-öø-ʯ]', '0', 'g'), '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b'), lambda c: length(c) > 3), 1, 5), '|') as concepts from f""")
 def figure_captions(spark, sf_dir):

@@ -121,3 +121,9 @@ def test_pages_with_math(spark):
     pages = spark.createDataFrame([("p", 1, "one"), ("p", 2, "two")], "path string, page_number int, text string")
     math = spark.createDataFrame([("p", 2, 1, "b"), ("p", 2, 0, "a")], "path string, page_number int, pos int, latex string")
     assert [r.text for r in io.with_math(pages, math).orderBy("page_number").collect()] == ["one", "two\n\nMATH:\na\nb"]
+
+
+def test_axes(spark):
+    cases = [("Plot: X-axis: Time (s), y axis speed; more", "graph", ("time (s)", "speed")), ("Curve of mean heat versus time of day", "graph", ("time of", "mean heat")), ("x axis: km. heat versus cold", "graph", ("km", "heat")), ("plain", "graph", (None, None)), ("heat versus time", "diagram", None), (None, "graph", (None, None))]
+    rows = spark.createDataFrame([(c, k) for c, k, _ in cases], "caption string, kind string").select(T.axes(F.col("caption"), F.col("kind")).alias("a")).collect()
+    assert [None if r.a is None else tuple(r.a) for r in rows] == [w for _, _, w in cases]
