@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import retrieval as R
 from .inputs import CUES, CUES_SQL, _quoted, table
@@ -136,7 +137,12 @@ def doubt_context(spark, sf_dir):
 
 
 @add(f"""with {_HITS}, p as (select *, row_number() over (partition by query_id, resource_id, page_number order by rank) as n from hits), o as (select *, row_number() over (partition by query_id order by rank) as m from p where n = 1),
-    u as (select distinct user_id, event_type as concept, user_id % 7 as query_id from events) select user_id, concept, chunk_id, left(snippet, 200) as snippet from u join o using (query_id) where m <= 2""")
+    b as (select item_id as query_id, row_number() over (order by item_id) - 1 as place, count(*) over () as items from benchmark),
+    u as (select distinct user_id, event_type as concept, query_id from events join b on user_id % items = place) select user_id, concept, chunk_id, left(snippet, 200) as snippet from u join o using (query_id) where m <= 2""")
 def weak_concept_references(spark, sf_dir):
-    weak = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("concept"), (F.col("user_id") % 7).alias("query_id")).distinct()
+    b = table(spark, sf_dir, "benchmark")
+    # every item is some learners' question; one row an item is numbered, so the window is small
+    items = b.select(F.col("item_id").alias("query_id"), (F.row_number().over(W.orderBy("item_id")) - 1).alias("place"))
+    weak = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("concept"), (F.col("user_id") % F.lit(max(b.count(), 1))).alias("place")).distinct()
+    weak = weak.join(items, "place").select("user_id", "concept", "query_id")
     return R.weak_references(weak, _hits(spark, sf_dir))

@@ -24,11 +24,12 @@ PATH = ["heat", "flux", "gradient", "tensor"]
 
 
 def _turns(spark, sf_dir):
-    """A turn of a conversation with its retrieved chunks: up to three cuts of its text, some blank, some without id."""
+    """A turn of a conversation with its retrieved chunks: thirds of its whole text, some blank, some without id."""
     t = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).withColumn("n", F.col("conv_id") + 3 * F.col("turn"))
     n, body = F.col("n"), F.coalesce("text", F.lit(""))
+    third = F.floor((F.length(body) + 2) / 3).cast("int")
     cid = lambda i: F.when((n + i) % 5 == 0, F.lit(None).cast("string")).when((n + i) % 11 == 0, "").otherwise(F.concat(F.lit("c"), (n + i).cast("string")))
-    cut = lambda i: F.when((n + i) % 7 == 0, "  ").otherwise(F.substring(body, i * 40 + 1, 200))
+    cut = lambda i: F.when((n + i) % 7 == 0, "  ").otherwise(F.substring(body, F.lit(i) * third + 1, third))
     each = F.array(*(F.struct(cid(i).alias("id"), cut(i).alias("snippet")) for i in range(3)))
     known = F.map_from_arrays(F.array(*map(F.lit, PATH)), F.array(*(((n * (k + 3)) % 100) / 100.0 for k in range(len(PATH)))))
     return t.select(
@@ -43,7 +44,7 @@ def _list(values):
 
 _TURNS = f"""g as (select conv_id, turn, min(text) as text, conv_id + 3 * turn as n from conversations group by conv_id, turn),
     t as (select *, {_sp(ACTIONS, 'n')} as action, {_sp(CONCEPTS, 'n // 2')} as concept, coalesce({_sp(LEVELS, 'n')}, 'beginner') as level, {_sp(list(KINDS), 'n // 3')} as question_type, {_sp(HARD, 'n // 4')} as difficulty, {_list(PATH)} as path,
-        list_transform(range(0, n % 4), lambda i: {{'id': case when (n + i) % 5 = 0 then null when (n + i) % 11 = 0 then '' else 'c' || (n + i)::varchar end, 'snippet': case when (n + i) % 7 = 0 then '  ' else substring(coalesce(text, ''), i * 40 + 1, 200) end}}) as chunks,
+        list_transform(range(0, n % 4), lambda i: {{'id': case when (n + i) % 5 = 0 then null when (n + i) % 11 = 0 then '' else 'c' || (n + i)::varchar end, 'snippet': case when (n + i) % 7 = 0 then '  ' else substring(coalesce(text, ''), i * ((length(coalesce(text, '')) + 2) // 3) + 1, (length(coalesce(text, '')) + 2) // 3) end}}) as chunks,
         [{', '.join(f'(n * {k + 3}) % 100 / 100.0::double' for k in range(len(PATH)))}] as mastery, ['', {_sp(['entropy', None], 'n')}] as fallback, nullif(trim(coalesce({_sp(CONCEPTS, 'n // 2')}, '')), '') as asked from g)"""
 
 
