@@ -95,7 +95,7 @@ def _scored(block: _Block, k: int, sim_weight: float, text_weight: float, factor
     """Of each query the task's k best chunks, ties to the smaller id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # score, chunk, page, sim, bm25 of the best so far, a row per query
+        held: list[np.ndarray] = []  # score, chunk, sim, bm25, resource and page of the best so far, a row per query
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE):
                 part = batch.slice(low, SLICE)
@@ -104,14 +104,14 @@ def _scored(block: _Block, k: int, sim_weight: float, text_weight: float, factor
                 sim, text = np.round(block.similarity(part.column("embedding")), 6), block.relevance(part.column("full_text").to_pylist())
                 bm25 = np.round(text / (1 + text), 6)
                 score = np.round((sim_weight * sim + text_weight * bm25) * factor * near, 9)
-                chunk = np.broadcast_to(part.column("chunk_id").to_numpy(), score.shape)
-                new = [score, chunk, sim, bm25]
+                new = [score, np.broadcast_to(part.column("chunk_id").to_numpy(), score.shape), sim, bm25, *(np.broadcast_to(np.array(part.column(c).to_pylist(), object), score.shape) for c in ("resource_id", "page_number"))]
                 both = [np.concatenate(x, 1) for x in zip(held, new)] if held else new
                 top = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
                 held = [np.take_along_axis(x, top, 1) for x in both]
         if held:
             n = held[0].shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block.ids, n)), *(pa.array(x.ravel()) for x in held)], ["query_id", "score", "chunk_id", "sim", "bm25"])
+            kinds = (pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block.ids, n)), *(pa.array(x.ravel(), t) for x, t in zip(held, kinds))], ["query_id", "score", "chunk_id", "sim", "bm25", "resource_id", "page_number"])
 
     return run
 
@@ -121,10 +121,11 @@ def _block(queries: DataFrame, chunks: DataFrame, k: int, sim_weight: float, tex
     table = queries.select(F.col("query_id").cast("long").alias("query_id"), "text", F.col("embedding").cast("array<double>").alias("embedding")).toArrow().combine_chunks()
     vocabulary = {t for text in table.column("text").to_pylist() for t in _WORD.findall((text or "").lower())}
     block = _Block(table, *_term_weights(vocabulary, chunks))
-    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("page_number").cast("long").alias("page_number"), "full_text", F.col("embedding").cast("array<double>").alias("embedding"))
-    best = rows.mapInArrow(_scored(block, k, sim_weight, text_weight, factor, page_proximity), "query_id long, score double, chunk_id long, sim double, bm25 double") if table.num_rows else chunks.sparkSession.createDataFrame([], "query_id long, score double, chunk_id long, sim double, bm25 double")
-    ranked = _ranked(best, k, F.desc("score"), F.col("chunk_id"))
-    return ranked.join(chunks.select("chunk_id", "resource_id", "page_number"), "chunk_id").select("query_id", "chunk_id", "resource_id", "page_number", "sim", "bm25", "score", "rank")
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("page_number").cast("long").alias("page_number"), F.col("resource_id").cast("string").alias("resource_id"), "full_text", F.col("embedding").cast("array<double>").alias("embedding"))
+    ddl = "query_id long, score double, chunk_id long, sim double, bm25 double, resource_id string, page_number long"
+    best = rows.mapInArrow(_scored(block, k, sim_weight, text_weight, factor, page_proximity), ddl) if table.num_rows else chunks.sparkSession.createDataFrame([], ddl)
+    typed = [F.col(c).cast(chunks.schema[c].dataType).alias(c) for c in ("resource_id", "page_number")]
+    return _ranked(best, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", *typed, "sim", "bm25", "score", "rank")
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, sim_weight: float = 0.7, text_weight: float = 0.3, resource: str | None = None, boost: float = 1.0, page_proximity: bool = True) -> DataFrame:
