@@ -23,6 +23,8 @@ from ..functions import text as T
 #: Bytes of queries (vectors and texts) in one block, and chunks in one matrix product.
 BLOCK_BYTES = 4_000_000
 SLICE = 256
+#: Stands for a missing page while the best chunks are gathered; no page has this number.
+NO_PAGE = -(2**62)
 _WORD = re.compile("[a-z0-9]+")
 #: BM25 parameters.
 K1, B = 1.2, 0.75
@@ -95,7 +97,8 @@ def _scored(block: _Block, k: int, sim_weight: float, text_weight: float, factor
     """Of each query the task's k best chunks, ties to the smaller id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # score, chunk, sim, bm25, resource and page of the best so far, a row per query
+        held: list[np.ndarray] = []  # score, chunk, sim, bm25, resource's number and page of the best so far, a row per query
+        names: dict[str | None, int] = {}  # resources of the task
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE):
                 part = batch.slice(low, SLICE)
@@ -104,14 +107,16 @@ def _scored(block: _Block, k: int, sim_weight: float, text_weight: float, factor
                 sim, text = np.round(block.similarity(part.column("embedding")), 6), block.relevance(part.column("full_text").to_pylist())
                 bm25 = np.round(text / (1 + text), 6)
                 score = np.round((sim_weight * sim + text_weight * bm25) * factor * near, 9)
-                new = [score, np.broadcast_to(part.column("chunk_id").to_numpy(), score.shape), sim, bm25, *(np.broadcast_to(np.array(part.column(c).to_pylist(), object), score.shape) for c in ("resource_id", "page_number"))]
+                code = np.array([names.setdefault(r, len(names)) for r in part.column("resource_id").to_pylist()])
+                at_page = part.column("page_number").fill_null(NO_PAGE).to_numpy(zero_copy_only=False)
+                new = [score, np.broadcast_to(part.column("chunk_id").to_numpy(), score.shape), sim, bm25, *(np.broadcast_to(x, score.shape) for x in (code, at_page))]
                 both = [np.concatenate(x, 1) for x in zip(held, new)] if held else new
                 top = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
                 held = [np.take_along_axis(x, top, 1) for x in both]
         if held:
             n = held[0].shape[1]
-            kinds = (pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block.ids, n)), *(pa.array(x.ravel(), t) for x, t in zip(held, kinds))], ["query_id", "score", "chunk_id", "sim", "bm25", "resource_id", "page_number"])
+            resource, page = pa.array(list(names), pa.string()).take(pa.array(held[4].ravel())), held[5].ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block.ids, n)), *(pa.array(x.ravel()) for x in held[:4]), resource, pa.array(page, mask=page == NO_PAGE)], ["query_id", "score", "chunk_id", "sim", "bm25", "resource_id", "page_number"])
 
     return run
 

@@ -255,3 +255,11 @@ def test_spans_that_hold_a_point(spark):
     met = linking.spans_at(at, many)
     assert met.count() == 20_000  # one resource: all pairs would be 400,000,000
     assert linking.spans_at(at.limit(0), many).count() == 0 and linking.spans_at(at, many.limit(0)).count() == 0
+
+
+def test_hits_keep_missing_resources_and_pages(spark):
+    chunks = spark.createDataFrame([(1, None, None, "heat flux", [1.0, 0.0]), (2, "r", 0, "heat", [0.0, 1.0]), (3, "r", 7, None, None)], "chunk_id long, resource_id string, page_number int, full_text string, embedding array<double>")
+    asks = spark.createDataFrame([(9, "heat", [1.0, 0.0])], "query_id long, text string, embedding array<double>")
+    got = retrieval.hybrid_search(asks, chunks, 3)
+    assert got.schema["page_number"].dataType.simpleString() == "int"
+    assert {r.chunk_id: (r.resource_id, r.page_number) for r in got.collect()} == {1: (None, None), 2: ("r", 0), 3: ("r", 7)}
