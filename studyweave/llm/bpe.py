@@ -5,7 +5,8 @@ boundaries in their overlaps. Neighbouring chunks are stitched at the first boun
 pattern only looks ahead, so from a common boundary on both go on alike. That is a join of narrow rows. Then each
 chunk's own piece, from seam to seam, is encoded where it lies, and a text's ids stream in order through one task
 that makes the digests. Texts with a seam on which nothing agrees (one pre-token longer than the overlap, say) are
-cut again into larger chunks with larger overlaps, at last into one. A text of one chunk is the case without a seam.
+cut again into larger chunks with larger overlaps, at last into one. Every text goes this way, through the tables of
+chunks, seams and pieces; one that fits into a chunk has no overlap, hence no seam, and its chunk is its only piece.
 
 Decoding concatenates the bytes of the ids.
 
@@ -34,6 +35,7 @@ GROWTH = 8
 LOOK = 3
 
 _codecs: dict[tuple[str, str], "Codec"] = {}
+_CHUNK = ["row", "doc_id", "k", "of", "chunk"]
 _RESULT = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 _RESULT_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -98,13 +100,13 @@ def _digested(doc_ids: pa.Array, rows: list[tuple[int, str, str]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], _RESULT)
 
 
-def _single(ranks: str, pattern: str):
-    """Texts of one chunk: no seam, one piece."""
+def _alone(ranks: str, pattern: str):
+    """Digests of texts whose only piece this is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks, pattern)
         for batch in batches:
-            yield _digested(batch.column("doc_id"), [Digest(c).add(c.encode(t.as_py())).row() for t in batch.column("text")])
+            yield _digested(batch.column("doc_id"), [Digest(c).add(c.encode(p.as_py())).row() for p in batch.column("piece")])
             hand_back()
 
     return run
@@ -118,12 +120,12 @@ def _scanned(ranks: str, pattern: str, size: int, overlap: int):
         c = codec(ranks, pattern)
         for batch in batches:
             heads, tails = [], []
-            for chunk, closing in zip(batch.column("chunk"), batch.column("closing")):
-                ends = list(c.boundaries(chunk.as_py(), closing.as_py()))
+            for of, chunk, closing in zip(batch.column("of").to_pylist(), batch.column("chunk"), batch.column("closing")):
+                ends = list(c.boundaries(chunk.as_py(), closing.as_py())) if of > 1 else []  # an only chunk overlaps with none
                 heads.append([0, *(e for e in ends if e <= overlap)])
                 tails.append([e - size for e in ends if e >= size])
             both = [pa.array(x, pa.list_(pa.int32())) for x in (heads, tails)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "k", "chunk")), *both], ["row", "doc_id", "k", "chunk", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in _CHUNK), *both], [*_CHUNK, "head", "tail"])
             hand_back()
 
     return run
@@ -158,42 +160,52 @@ def _joined(ranks: str, pattern: str):
     return run
 
 
-def _stitched(texts: DataFrame, ranks: str, pattern: str, size: int, overlap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, pieces of the texts whose chunks all meet, rows of the others)."""
+def _chunked(texts: DataFrame, size: int, overlap: int) -> DataFrame:
+    """(row, doc_id, k, of, chunk, closing) of texts (row, doc_id, text): the k-th of so many chunks."""
     n = F.length("text")
-    parts = F.ceil(n / size).cast("int")
-    cut = texts.select("row", "doc_id", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("k"))
-    cut = cut.select("row", "doc_id", "k", F.substring("text", F.col("k") * size + 1, F.lit(size + overlap)).alias("chunk"), (F.col("k") * size + size + overlap >= F.col("n")).alias("closing"))
-    # a long text's chunks are dealt over tasks
-    chunks = cut.repartition("row", "k").mapInArrow(_scanned(ranks, pattern, size, overlap), "row long, doc_id long, k int, chunk string, head array<int>, tail array<int>")
+    cut = texts.select("row", "doc_id", "text", n.alias("n"), F.greatest(F.lit(1), F.ceil(n / size)).cast("int").alias("of"))
+    cut = cut.select("row", "doc_id", "text", "n", "of", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("k"))
+    return cut.select("row", "doc_id", "k", "of", F.substring("text", F.col("k") * size + 1, F.lit(size + overlap)).alias("chunk"), (F.col("k") * size + size + overlap >= F.col("n")).alias("closing"))
+
+
+def _stitched(cut: DataFrame, ranks: str, pattern: str, size: int, overlap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, pieces of the texts whose chunks all meet, rows of the others)."""
+    chunks = cut.mapInArrow(_scanned(ranks, pattern, size, overlap), "row long, doc_id long, k int, of int, chunk string, head array<int>, tail array<int>")
     chunks = materialise(chunks, "chunks")
-    after = chunks.select("row", (F.col("k") - 1).alias("k"), "head")
-    seams = materialise(chunks.select("row", "k", "tail").join(after, ["row", "k"]).select("row", "k", F.array_min(F.array_intersect("tail", "head")).alias("seam")), "seams")
+    many, only = chunks.where("of > 1"), chunks.where("of = 1")
+    after = many.select("row", (F.col("k") - 1).alias("k"), "head")
+    seams = materialise(many.select("row", "k", "tail").join(after, ["row", "k"]).select("row", "k", F.array_min(F.array_intersect("tail", "head")).alias("seam")), "seams")
     apart = seams.where("seam is null").select("row").distinct()
     bounds = seams.select("row", "k", (F.col("seam") + size).alias("stop")).join(seams.select("row", (F.col("k") + 1).alias("k"), F.col("seam").alias("start")), ["row", "k"], "full")
     bounds = bounds.join(apart, "row", "left_anti")
-    pieces = chunks.join(apart, "row", "left_anti").join(bounds, ["row", "k"], "left")
+    pieces = many.join(apart, "row", "left_anti").join(bounds, ["row", "k"], "left")
     start = F.coalesce("start", F.lit(0))
-    return chunks, pieces.select("row", "doc_id", "k", F.substring("chunk", start + 1, F.coalesce("stop", F.length("chunk")) - start).alias("piece")), apart
+    pieces = pieces.select("row", "doc_id", "k", "of", F.substring("chunk", start + 1, F.coalesce("stop", F.length("chunk")) - start).alias("piece"))
+    return chunks, only.select("row", "doc_id", "k", "of", F.col("chunk").alias("piece")).union(pieces), apart
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Encode and decode every text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     spark = docs.sparkSession
     bound_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    out = texts.where(F.length("text") <= chunk).mapInArrow(_single(ranks, pattern), _RESULT_DDL)
-    long = materialise(texts.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "long-texts")
-    left, used, encoded = long, [long], []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # chunks of longer texts are dealt over tasks; an only chunk stays where its text is
+    short, long = (_chunked(texts.where(test), chunk, overlap) for test in (F.length("text") <= chunk, F.length("text") > chunk))
+    cut, used, encoded, out = short.union(long.repartition("row", "k")), [], [], None
     while True:
-        chunks, pieces, apart = _stitched(left, ranks, pattern, chunk, overlap)
-        encoded.append(materialise(pieces.mapInArrow(_encoded(ranks, pattern), "row long, doc_id long, k int, ids binary"), "pieces"))
+        chunks, pieces, apart = _stitched(cut, ranks, pattern, chunk, overlap)
+        done = pieces.where("of = 1").mapInArrow(_alone(ranks, pattern), _RESULT_DDL)
+        out = done if out is None else out.union(done)
+        encoded.append(materialise(pieces.where("of > 1").mapInArrow(_encoded(ranks, pattern), "row long, doc_id long, k int, ids binary"), "pieces"))
         apart = materialise(apart, "apart")
-        used += [chunks, apart]
+        used.append(apart)
         again = apart.count()
         if not again:
             break
-        left, chunk, overlap = long.join(maybe_broadcast(apart, again), "row", "left_semi"), chunk * GROWTH, overlap * GROWTH
+        # texts to cut again are put together from the chunks that each begins with
+        left = chunks.join(maybe_broadcast(apart, again), "row", "left_semi").groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("k", F.left("chunk", F.lit(chunk)).alias("part")))).alias("parts"))
+        chunk, overlap = chunk * GROWTH, overlap * GROWTH
+        cut = _chunked(left.select("row", "doc_id", F.array_join("parts.part", "").alias("text")), chunk, overlap).repartition("row", "k")
     remove(spark, *(table_path(t) for t in used))
     for pieces in encoded:
         ordered = pieces.repartition("row").sortWithinPartitions("row", "k")

@@ -117,6 +117,21 @@ def test_byte_bpe(spark, docs, rows, empty, chunk, overlap):
     assert bpe.encode_documents(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_tables(spark):
+    """Short, empty and long texts all pass through chunks, seams and pieces; the pieces make up the texts."""
+    from pyspark.sql import functions as F
+
+    texts = {0: "", 1: "short one", 2: "words and more words " * 10, 3: "a" * 200}
+    rows = spark.createDataFrame([(k, k, t) for k, t in texts.items()], "row long, doc_id long, text string")
+    chunks, pieces, apart = bpe._stitched(bpe._chunked(rows, 40, 12), RANKS, public_tokenizers.PATTERN, 40, 12)
+    assert {r.row: r.n for r in chunks.groupBy("row").agg(F.count("*").alias("n")).collect()} == {0: 1, 1: 1, 2: 6, 3: 5}
+    assert [r.row for r in apart.collect()] == [3]
+    got = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r.row, r.k)):
+        got[r.row] = got.get(r.row, "") + r.piece
+    assert got == {k: t for k, t in texts.items() if k != 3}
+
+
 def test_byte_bpe_seams(spark):
     """Random texts of odd pre-tokens (long runs, contractions, white space at the cuts), cut everywhere."""
     import random
