@@ -6,12 +6,14 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..sources.staging import staged
 
 #: Units and spans of fewer characters make no chunk.
 LEAST_CHARS = 20
@@ -72,25 +74,94 @@ def semantic_spans(counts: list[int], similarity: list[float], threshold: float,
     return out
 
 
-def semantic_chunks(sentences: DataFrame, threshold: float = 0.65, least: int = 60, most: int = 240, overlap: int = 1) -> DataFrame:
-    """(doc_id, idx, source_offset, full_text) from (doc_id, pos, sentence, embedding).
+#: Sentences of a document that one task looks at together.
+BLOCK = 512
 
-    Cuts follow the cosine of neighbouring sentences' vectors, which stays an expression; only the fold over a
-    document's sentences is Python.
-    """
-    from pyspark.sql import Window as W
 
-    near = T.cosine(F.col("embedding"), F.lead("embedding").over(W.partitionBy("doc_id").orderBy("pos")))
-    rows = sentences.withColumn("near", near).withColumn("n", T.token_count(F.col("sentence"))).select("doc_id", "pos", "sentence", "near", "n")
+def block_steps(counts: list[int], cuts: list[bool], before: list[int], least: int, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a block of sentences does to a chunk that reaches it: (tokens of the chunk that leaves it, cuts within it)
+    for every number of tokens that the chunk may have when it comes, from 0 to the larger bound (more is as good).
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        parts = group["sentence"].tolist()
-        spans = semantic_spans(group["n"].tolist(), group["near"].tolist()[:-1], threshold, least, most, overlap)
-        before = [0, *(pd.Series([len(p) + 1 for p in parts]).cumsum())]
-        return pd.DataFrame({"doc_id": group["doc_id"].iloc[0], "idx": range(len(spans)), "source_offset": [int(before[a]) for a, _ in spans], "full_text": [" ".join(parts[a:b]) for a, b in spans]})
+    ``cuts``: whether a sentence differs from the next one; ``before``: token counts of the sentences before the
+    block, the last ``overlap`` of them at least, or all.
+    """
+    cap = max(least, most)
+    tokens, made, seen = np.arange(cap + 1), np.zeros(cap + 1, np.int64), list(before)
+    for n, differs in zip(counts, cuts):
+        seen.append(n)
+        tokens = tokens + n
+        full = tokens >= (min(least, most) if differs else most)
+        again = sum(seen[len(seen) - overlap :]) if len(seen) >= overlap else 0
+        tokens, made = np.minimum(np.where(full, again, tokens), cap), made + full
+    return tokens, made
+
+
+def semantic_chunks(sentences: DataFrame, threshold: float = 0.65, least: int = 60, most: int = 240, overlap: int = 1, block: int = BLOCK) -> DataFrame:
+    """(doc_id, idx, source_offset, full_text) from (doc_id, pos, sentence, embedding), the spans of :func:`semantic_spans`.
+
+    A document's sentences are dealt over tasks in blocks. A chunk that reaches a block is known by its tokens so
+    far, of which at most ``most`` matter, so that a block is a table of what leaves it for each of these numbers.
+    Only the tables of a document's blocks meet in one task, where they are followed from the first on; then each
+    block makes its cuts. Sentences meet again per chunk. Null embeddings count as different neighbours.
+    """
+    from pyspark.sql import Window as W
 
-    return rows.groupBy("doc_id").applyInPandas(fold, "doc_id long, idx int, source_offset int, full_text string")
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id")  # joins keep a null id's sentences
+    rows = sentences.select(doc, "pos", "sentence", "embedding", F.floor(F.col("pos") / block).cast("int").alias("block"), T.token_count(F.col("sentence")).cast("int").alias("n"))
+    place = W.partitionBy("doc_id", "block").orderBy("pos")
+    # a block's neighbours: its successor's first vector, the counts before it, where it begins
+    edges = rows.groupBy("doc_id", "block").agg(F.min_by("embedding", "pos").alias("first"), F.slice(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"])), 1, overlap).alias("last"), F.sum(F.length("sentence") + 1).alias("chars"), F.count("*").alias("size"))
+    row = W.partitionBy("doc_id").orderBy("block")
+    earlier = F.flatten(F.reverse(F.collect_list("last").over(row.rowsBetween(-max(1, overlap), -1))))
+    sums = {c: F.coalesce(F.sum(s).over(row.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) for c, s in (("begin", "chars"), ("rank", "size"))}
+    edges = edges.select("doc_id", "block", F.lead("first").over(row).alias("next"), F.lead(F.lit(1)).over(row).isNull().alias("final"), F.reverse(F.slice(earlier, 1, overlap)).alias("before"), *(v.alias(c) for c, v in sums.items()))
+    inner = F.sum(F.length("sentence") + 1).over(place.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.select("doc_id", "block", "sentence", "n", "embedding", F.lead("embedding").over(place).alias("after"), (F.row_number().over(place) - 1).alias("row"), F.coalesce(inner, F.lit(0)).alias("at"), F.lead(F.lit(1)).over(place).isNull().alias("closes"))
+    rows = rows.join(edges, ["doc_id", "block"])
+    follows = F.when(F.col("closes"), F.col("next")).otherwise(F.col("after"))
+    near = T.cosine(F.col("embedding"), follows)
+    last = F.col("closes") & F.col("final")
+    rows = staged(rows.select("doc_id", "block", (F.col("rank") + F.col("row")).alias("rank"), (F.col("begin") + F.col("at")).alias("at"), "sentence", "n", F.coalesce(~last & (near < threshold), F.lit(False)).alias("differs"), "before"), "sentences")
+    narrow = rows.select("doc_id", "block", "rank", "n", "differs", "before")
+
+    def steps(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rank")
+        tokens, made = block_steps(group["n"].tolist(), group["differs"].tolist(), list(group["before"].iloc[0]), least, most, overlap)
+        return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1], "block": group["block"].iloc[:1], "tokens": [tokens], "made": [made]})
+
+    def follow(blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values("block")
+        t, k, entries = 0, 0, []
+        for tokens, made in zip(blocks["tokens"], blocks["made"]):
+            entries.append((t, k))
+            t, k = int(tokens[t]), k + int(made[t])
+        return pd.DataFrame({"doc_id": blocks["doc_id"], "block": blocks["block"], "t": [e[0] for e in entries], "k": [e[1] for e in entries]})
+
+    tables = narrow.groupBy("doc_id", "block").applyInPandas(steps, "doc_id string, block int, tokens array<int>, made array<int>")
+    entries = tables.groupBy("doc_id").applyInPandas(follow, "doc_id string, block int, t int, k int")
+
+    def mark(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rank")
+        t, k, seen, idx = int(group["t"].iloc[0]), int(group["k"].iloc[0]), list(group["before"].iloc[0]), []
+        for n, differs in zip(group["n"], group["differs"]):
+            idx.append(k)
+            seen.append(n)
+            t += n
+            if t >= most or (differs and t >= least):
+                t, k = (sum(seen[len(seen) - overlap :]) if len(seen) >= overlap else 0), k + 1
+                idx[-1] = -k  # the last sentence of chunk k - 1
+        return pd.DataFrame({"doc_id": group["doc_id"], "rank": group["rank"], "mark": idx})
+
+    marks = narrow.join(entries, ["doc_id", "block"]).groupBy("doc_id", "block").applyInPandas(mark, "doc_id string, rank long, mark int")
+    marks = staged(marks, "marks")
+    own = marks.select("doc_id", "rank", F.when(F.col("mark") < 0, -F.col("mark") - 1).otherwise(F.col("mark")).alias("idx"))
+    # the next chunk takes the last sentences of this one again
+    again = marks.where((F.col("mark") < 0) & (F.col("rank") + 1 >= overlap)) if overlap else marks.limit(0)
+    again = again.select("doc_id", F.explode(F.sequence(F.col("rank") + 1 - max(1, overlap), F.col("rank"))).alias("rank"), (-F.col("mark")).alias("idx"))
+    member = rows.select("doc_id", "rank", "at", "sentence").join(own.union(again), ["doc_id", "rank"])
+    parts = F.array_sort(F.collect_list(F.struct("rank", "sentence")))
+    out = member.groupBy("doc_id", "idx").agg(F.min("at").cast("int").alias("source_offset"), F.array_join(F.transform(parts, lambda x: x["sentence"]), " ").alias("full_text"))
+    return out.withColumn("doc_id", F.expr("try_cast(doc_id as long)"))
 
 
 def size_limits(kind: Column) -> Column:

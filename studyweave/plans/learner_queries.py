@@ -167,6 +167,17 @@ def streamed_mastery(spark, sf_dir):
     return last.select("user_id", "concept", F.round("s.mastery", 6).alias("mastery"), "s.attempts", "s.correct")
 
 
+@add(f"with {_STATE} select user_id, concept, mastery, attempts, correct from state")
+def late_mastery(spark, sf_dir):
+    """The stream that waits for late answers, over a finished folder: the batch's state."""
+    answers = _answers(S.read_events(spark, f"{sf_dir}/events.parque[t]"))
+    with S.rocksdb(spark):
+        out = S.run_once(S.late_mastery_stream(answers), shared_path(spark, "late-stream"), "update")
+    # after its last batch a key may be told once more, when a timer settles it
+    last = out.groupBy("user_id", "concept").agg(F.max_by(F.struct("mastery", "attempts", "correct"), F.struct("attempts", "batch")).alias("s"))
+    return last.select("user_id", "concept", F.round("s.mastery", 6).alias("mastery"), "s.attempts", "s.correct")
+
+
 @add("select date_trunc('hour', ts) as start, event_type, count(*) as events, round(avg(value), 4) as mean_value from events group by all")
 def activity_windows(spark, sf_dir):
     return S.activity_windows(table(spark, sf_dir, "events")).withColumn("mean_value", F.round("mean_value", 4))

@@ -1,18 +1,21 @@
 """Learner state over streams of answers and turns.
 
 State is kept per key by Spark's state store; what goes out is the new state of the keys of each batch. Within a
-batch rows are ordered by time, across batches by arrival. The watermark variants are an extension: they finish
+batch rows are ordered by time, across batches by arrival; ``late_mastery_stream`` orders across batches too. The watermark variants are an extension: they finish
 a window once no earlier events are expected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.learner import DOWN, UP
 
@@ -45,6 +48,96 @@ def mastery_stream(answers: DataFrame, up: float = UP, down: float = DOWN) -> Da
     return answers.groupBy("user_id", "concept").applyInPandasWithState(fold, "user_id long, concept string, mastery double, attempts long, correct long", "mastery double, attempts long, correct long", "update", GroupStateTimeout.NoTimeout)
 
 
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Streams started within keep their state in RocksDB, which states of several variables need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def clamp_of(right: np.ndarray, up: float, down: float) -> tuple[float, float, float]:
+    """A run of answers as m -> clamp(m + shift, low, high)."""
+    shift, low, high = 0.0, 0.0, 1.0
+    for r in right.tolist():
+        step = up if r else down
+        shift, low, high = shift + step, min(1.0, max(0.0, low + step)), min(1.0, max(0.0, high + step))
+    return shift, low, high
+
+
+class LateAnswers(StatefulProcessor):
+    """Answers of a learner and concept in order of time, however they arrive.
+
+    State: what is settled (mastery and counts of all slices of time that the watermark has passed), and for each
+    later slice its answers with the three numbers that they come to. An arriving piece of a batch changes only the
+    slices that it touches; a timer at a slice's end settles it and forgets its answers.
+    """
+
+    def __init__(self, up: float, down: float, slice_ms: int):
+        self.up, self.down, self.slice_ms = up, down, slice_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "mastery double, attempts long, correct long")
+        self.slices = handle.getMapState("slices", "slice long", "shift double, low double, high double, ts array<long>, seq array<long>, right array<boolean>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for piece in rows:
+            ts = piece["ts"].to_numpy("datetime64[us]").astype(np.int64)
+            seq, right = piece["seq"].to_numpy(np.int64), piece["right"].to_numpy(bool)
+            of = ts // (self.slice_ms * 1000)
+            for s in np.unique(of).tolist():
+                at = of == s
+                self._add(s, ts[at], seq[at], right[at])
+        yield self._state(key)
+
+    def _add(self, s: int, ts: np.ndarray, seq: np.ndarray, right: np.ndarray) -> None:
+        if self.slices.containsKey((s,)):
+            _, _, _, *old = self.slices.getValue((s,))
+            ts, seq, right = (np.concatenate([np.array(o, n.dtype), n]) for o, n in zip(old, (ts, seq, right)))
+        else:
+            self.handle.registerTimer((s + 1) * self.slice_ms)
+        order = np.lexsort((seq, ts))
+        self.slices.updateValue((s,), (*clamp_of(right[order], self.up, self.down), ts[order].tolist(), seq[order].tolist(), right[order].tolist()))
+
+    def _before(self) -> tuple[float, int, int]:
+        return tuple(self.settled.get()) if self.settled.exists() else (0.0, 0, 0)
+
+    def _state(self, key) -> pd.DataFrame:
+        m, attempts, correct = self._before()
+        waiting = sorted((k[0], v) for k, v in self.slices.iterator())
+        for _, (shift, low, high, _, _, right) in waiting:
+            m, attempts, correct = max(low, min(high, m + shift)), attempts + len(right), correct + sum(right)
+        return pd.DataFrame({"user_id": [key[0]], "concept": [key[1]], "mastery": [m], "attempts": [attempts], "correct": [correct], "waiting": [sum(len(v[5]) for _, v in waiting)]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = expiredTimerInfo.getExpiryTimeInMs()
+        m, attempts, correct = self._before()
+        for s, (shift, low, high, _, _, right) in sorted((k[0], v) for k, v in self.slices.iterator() if (k[0] + 1) * self.slice_ms <= passed):
+            m, attempts, correct = max(low, min(high, m + shift)), attempts + len(right), correct + sum(right)
+            self.slices.removeKey((s,))
+        self.settled.update((m, attempts, correct))
+        yield self._state(key)
+
+    def close(self) -> None:
+        pass
+
+
+def late_mastery_stream(answers: DataFrame, late: str = "2 days", slice_hours: int = 24, up: float = UP, down: float = DOWN) -> DataFrame:
+    """user_id, concept, mastery, attempts, correct, waiting after each batch, from (user_id, concept, ts, seq, right).
+
+    The state is that of all answers so far in order of time, also of those that arrive in a later batch than their
+    successors, up to ``late`` behind the newest; older ones are left out. ``waiting`` counts the answers that may
+    still get a predecessor. Rows without a time are left out. Run it within :func:`rocksdb`.
+    """
+    rows = answers.where("ts is not null").select("user_id", "concept", "ts", "seq", "right").withWatermark("ts", late)
+    return rows.groupBy("user_id", "concept").transformWithStateInPandas(LateAnswers(up, down, slice_hours * 3_600_000), "user_id long, concept string, mastery double, attempts long, correct long, waiting long", "Update", "EventTime")
+
+
 def explain_stream(turns: DataFrame) -> DataFrame:
     """session_id, turn, consecutive_explains of every turn, from (session_id, turn, action)."""
 

@@ -214,6 +214,82 @@ def test_streamed_explains(spark, tmp_path):
     assert sorted((r.session_id, r.turn, r.consecutive_explains) for r in out.collect()) == [(1, 0, 1), (1, 1, 2), (1, 2, 0), (1, 3, 1), (2, 0, 0)]
 
 
+def test_semantic_chunks_over_blocks(spark):
+    """Documents cut into blocks of any size give the spans of the fold over the whole document."""
+    import random
+
+    from studyweave.operators import chunking
+
+    rng, rows, texts = random.Random(4), [], {}
+    for doc in [*range(12), None]:
+        texts[doc] = [(" ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(1, 9))), rng.choice([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0], None])) for _ in range(rng.choice([1, 2, 5, 40, 90]))]
+        rows += [(doc, k, s, v) for k, (s, v) in enumerate(texts[doc])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, pos int, sentence string, embedding array<double>")
+
+    def near(u, v):
+        return sum(x * y for x, y in zip(u, v)) / sum(x * x for x in u) ** 0.5 / sum(x * x for x in v) ** 0.5 if u and v else 0.0
+
+    for least, most, overlap, block in ((8, 20, 1, 7), (5, 12, 0, 3), (6, 30, 3, 2), (4, 3, 2, 4), (8, 20, 1, 512)):
+        got = sorted(((r.doc_id is None, r.doc_id or 0), r.idx, r.source_offset, r.full_text) for r in chunking.semantic_chunks(df, 0.5, least, most, overlap, block).collect())
+        want = []
+        for doc, parts in texts.items():
+            spans = chunking.semantic_spans([len(s.split()) for s, _ in parts], [near(u, v) for (_, u), (_, v) in zip(parts, parts[1:])], 0.5, least, most, overlap)
+            want += [((doc is None, doc or 0), k, sum(len(s) + 1 for s, _ in parts[:a]), " ".join(s for s, _ in parts[a:b])) for k, (a, b) in enumerate(spans)]
+        assert got == sorted(want), (least, most, overlap, block)
+    assert chunking.semantic_chunks(df.limit(0)).count() == 0
+
+
+def test_late_answers(spark, tmp_path):
+    """Shuffled files give the fold in order of time; what the watermark has passed is settled, older answers are left out."""
+    import datetime as dt
+    import random
+
+    rng, t0 = random.Random(3), dt.datetime(2024, 1, 1)
+    rows = [(rng.randint(1, 3), rng.choice("ab"), t0 + dt.timedelta(minutes=rng.randint(0, 60 * 24 * 12)), k, rng.random() < 0.6) for k in range(400)]
+    rows += [(1, "a", t0 + dt.timedelta(hours=h), 1000 + h, h % 2 == 0) for h in range(30)] + [(2, "a", rows[0][2], 5000, True), (2, "a", None, 5001, True)]
+    ddl = "user_id long, concept string, ts timestamp, seq long, right boolean"
+
+    def run(files, late):
+        folder = tmp_path / f"in-{late.split()[0]}"
+        for k, part in enumerate(files):
+            path = str(folder / f"{k:03}")
+            spark.createDataFrame(part, ddl).coalesce(1).write.parquet(path)
+        stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{folder}/*")
+        with learners.rocksdb(spark):
+            return learners.run_once(learners.late_mastery_stream(stream, late), str(tmp_path / f"out-{late.split()[0]}"), "update").collect()
+
+    def want(rows):
+        out = {}
+        for user, concept, ts, seq, right in sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[3])):
+            m, n, c = out.get((user, concept), (0.0, 0, 0))
+            out[user, concept] = (min(1.0, max(0.0, m + (0.1 if right else -0.05))), n + 1, c + right)
+        return out
+
+    def last(out):
+        found = {}
+        for r in sorted(out, key=lambda r: (r.attempts, r.batch)):
+            found[r.user_id, r.concept] = (r.mastery, r.attempts, r.correct)
+        return found
+
+    def same(a, b):
+        assert a.keys() == b.keys()
+        for k in a:
+            assert abs(a[k][0] - b[k][0]) < 1e-9 and a[k][1:] == b[k][1:], k
+
+    rng.shuffle(rows)
+    same(last(run([rows[k::5] for k in range(5)], "40 days")), want(rows))  # nothing is settled
+    # bounded disorder: rows up to about a day from their place
+    near = sorted((r for r in rows if r[2]), key=lambda r: r[2] + dt.timedelta(hours=rng.randint(0, 24)))
+    size = len(near) // 6
+    out = run([near[k * size : (k + 1) * size if k < 5 else None] for k in range(6)], "2 days")
+    same(last(out), want(near))
+    assert min(r.waiting for r in out if r.batch == max(x.batch for x in out)) < max(r.attempts for r in out)
+    # far behind the watermark: left out
+    old = (1, "a", t0 - dt.timedelta(days=90), 9999, True)
+    same(last(run([near[: len(near) // 2], near[len(near) // 2 :], [old]], "3 days")), want(near))
+
+
 def test_pairs_of_all_concepts(spark):
     from itertools import combinations
 
