@@ -1,12 +1,13 @@
 """Quality of documents by co-training.
 
 Two views of a document are kept apart: its text (letter, symbol and repetition statistics) and its metadata
-(language, source, length). Each has a logistic regression. In rounds, each classifier labels the documents of
-an unlabelled pool of which it is most confident and hands them to the other as further training rows. Both are
-then calibrated on labelled rows that were held out, and their calibrated log-odds are added, the prior counted
+(language, source, length). Each has a logistic regression. In rounds, each classifier scores all documents without
+a label and hands those of which it is most confident to the other as further training rows. Both are then calibrated on labelled rows that were held out, and their calibrated log-odds are added, the prior counted
 once. All documents are scored with both views.
 
-Only fitting uses samples: at most LABELLED labelled rows and POOL unlabelled ones, drawn by a hash of doc_id.
+Only fitting uses a sample: at most LABELLED labelled rows, drawn by a hash of doc_id. Features are made once per
+document and staged; a round is a pass over them. What comes to the driver is bounded by LABELLED: the fitted rows,
+and in each round the share HANDED of their number.
 
 Defined cases: null text is empty; a null language, source or length has its own value; labels that are null or
 name no document are not used, a doc_id with several labels has the larger; without rows of both classes every
@@ -24,15 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import bound_batches, byte_slices, hand_back, text_buffers
+from .common import bound_batches, byte_slices, hand_back, materialise, remove, table_path, text_buffers
 from .shingles import _words
 
-#: Bounds of what fitting reads.
+#: Bound of the labelled rows that fitting reads.
 LABELLED = 12_000
-POOL = 12_000
 ROUNDS = 3
-#: Share of the labelled rows that each view may hand over in a round, and how sure it must be.
+#: Share of the labelled rows' number that each view may hand over in a round, and how sure it must be.
 HANDED = 0.1
 SURE = 0.95
 #: Documents are kept from this probability of being good on.
@@ -80,20 +81,32 @@ def text_features(column: pa.Array) -> np.ndarray:
     return out
 
 
-def metadata_features(lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> np.ndarray:
-    """One-hot buckets of language and source, and bins of the stated length."""
-    out = np.zeros((len(lang), _LANG_BUCKETS + _SOURCE_BUCKETS + 12))
-    rows = np.arange(len(lang))
-    for values, first, n in ((lang, 0, _LANG_BUCKETS), (source, _LANG_BUCKETS, _SOURCE_BUCKETS)):
+def metadata_slots(lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> np.ndarray:
+    """Each document's bucket of language and of source, and bin of the stated length, as places among META_FEATURES."""
+    out = np.zeros((len(lang), 3), np.int32)
+    for j, (values, first, n) in enumerate(((lang, 0, _LANG_BUCKETS), (source, _LANG_BUCKETS, _SOURCE_BUCKETS))):
         coded = values.dictionary_encode()
         bucket = np.array([zlib.crc32((v or "").encode()) % (n - 1) for v in coded.dictionary.to_pylist()] + [n - 1], np.int64)
-        index = coded.indices.fill_null(len(bucket) - 1).to_numpy()
-        out[rows, first + bucket[index]] = 1
+        out[:, j] = first + bucket[coded.indices.fill_null(len(bucket) - 1).to_numpy()]
     length = np.maximum(0, n_chars.fill_null(0).to_numpy(zero_copy_only=False).astype(float))
-    out[rows, _LANG_BUCKETS + _SOURCE_BUCKETS + np.minimum(11, np.log2(1 + length) // 1.5).astype(int)] = 1
+    out[:, 2] = _LANG_BUCKETS + _SOURCE_BUCKETS + np.minimum(11, np.log2(1 + length) // 1.5).astype(int)
+    return out
+
+
+META_FEATURES = _LANG_BUCKETS + _SOURCE_BUCKETS + 12
+
+
+def one_hot(slots: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(slots), META_FEATURES))
+    np.put_along_axis(out, slots.astype(np.int64), 1.0, 1)
     return out
 
 
+def metadata_features(lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> np.ndarray:
+    """One-hot buckets of language and source, and bins of the stated length."""
+    return one_hot(metadata_slots(lang, source, n_chars))
+
+
 @dataclass
 class Logistic:
     """Weights on standardised features, and the calibration of the log-odds."""
@@ -155,9 +168,16 @@ class Model:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        t, m = text_features(batch.column("text")), metadata_features(*(batch.column(c) for c in ("lang", "source", "n_chars")))
+        t, m = text_features(batch.column("text")), metadata_slots(*(batch.column(c) for c in ("lang", "source", "n_chars")))
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]).astype(np.int32)), pa.array(x.ravel())) for x in (t, m)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), *lists], ["doc_id", "good", "t", "m"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "t", "m"])
+        hand_back()
+
+
+def _views(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices of both views from columns t and m."""
+    t, m = ((c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).flatten().to_numpy(zero_copy_only=False) for c in (table.column("t"), table.column("m")))
+    return t.reshape(-1, TEXT_FEATURES).astype(float), one_hot(m.reshape(-1, 3))
 
 
 _METADATA = {"lang": pa.string(), "source": pa.string(), "n_chars": pa.int64()}
@@ -169,54 +189,83 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *meta)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, good: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> tuple[Logistic, Logistic]:
-    """Fit both views; each round every view hands its most confident pool rows, in the classes' shares, to the other."""
-    views = ((text, pool_text), (meta, pool_meta))
-    extra: list[dict[int, float]] = [{}, {}]
-    share = good.mean()
+_SURE_DDL = "view int, label double, sure double, row long, t array<double>, m array<int>"
 
-    def fitted(v: int) -> Logistic:
-        own, pool = views[v]
-        rows = list(extra[v])
-        return Logistic.fit(np.concatenate([own, pool[rows]]), np.concatenate([good, np.array([extra[v][r] for r in rows])]))
 
+def _surest(models: list[Logistic], taken: list[np.ndarray], most: dict[float, int]):
+    """Of a task's documents, those of which a view is surest (view, label, sure, row and features): no more than it
+    may hand over, so what a task holds is bounded."""
+
+    def best(found: list[pa.RecordBatch], v: int, label: float) -> pa.RecordBatch:
+        rows = pa.concat_batches(found)
+        order = np.lexsort((rows.column("row").to_numpy(), -rows.column("sure").to_numpy()))[: most[label]]
+        return rows.take(pa.array(order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[int, float], pa.RecordBatch] = {}
+        for batch in batches:
+            views, rows = _views(batch), batch.column("row").to_numpy()
+            for v in (0, 1):
+                p = 1 / (1 + np.exp(-np.clip(models[v].odds(views[v]), -40, 40)))
+                for label, sure in ((1.0, p), (0.0, 1 - p)):
+                    at = np.flatnonzero((sure >= SURE) & ~np.isin(rows, taken[1 - v]))
+                    if len(at):
+                        part = batch.take(pa.array(at))
+                        part = pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v, np.int32)), pa.array(np.full(len(at), label)), pa.array(sure[at]), *(part.column(c) for c in ("row", "t", "m"))], ["view", "label", "sure", "row", "t", "m"])
+                        kept[v, label] = best([*([kept[v, label]] if (v, label) in kept else []), part], v, label)
+        yield from kept.values()
+
+    return run
+
+
+def _handed(pool: DataFrame, models: list[Logistic], taken: list[np.ndarray], most: dict[float, int]) -> pa.Table:
+    """The documents of a pool that each view hands over, ranked over all tasks in two steps."""
+    found = pool.mapInArrow(_surest(models, taken, most), _SURE_DDL)
+    limit = F.when(F.col("label") > 0, most[1.0]).otherwise(most[0.0])
+    for keys in (["view", "label", F.pmod("row", F.lit(64))], ["view", "label"]):
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("sure"), "row"))
+        found = found.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+    return found.toArrow().sort_by([("view", "ascending"), ("label", "ascending"), ("row", "ascending")])
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, good: np.ndarray, pool: DataFrame, rounds: int = ROUNDS) -> tuple[Logistic, Logistic]:
+    """Fit both views; each round every view hands the rows of the pool (row, t, m) of which it is surest, in the
+    classes' shares, to the other."""
+    x, y, taken = [text, meta], [good, good], [np.zeros(0, np.int64)] * 2
+    most = {1.0: int(HANDED * len(good) * good.mean()), 0.0: int(HANDED * len(good) * (1 - good.mean()))}
     for _ in range(rounds):
-        models = [fitted(0), fitted(1)]
+        new = _handed(pool, [Logistic.fit(x[v], y[v]) for v in (0, 1)], taken, most)
+        if not len(new):
+            break
+        views, of = _views(new), new.column("view").to_numpy()
         for v in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(models[v].odds(views[v][1]), -40, 40)))
-            for label, sure, part in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                most = int(HANDED * len(good) * part)
-                order = np.argsort(-sure, kind="stable")
-                for r in [r for r in order.tolist() if sure[r] >= SURE and r not in extra[1 - v]][:most]:
-                    extra[1 - v][r] = label
-    return fitted(0), fitted(1)
-
-
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Fit on bounded samples of the labelled and the other documents."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") > 0).cast("double").alias("good"))
-    draw = F.xxhash64("doc_id", F.lit(7))
-    some = marks.join(ids, "doc_id", "left_semi").orderBy(draw, "doc_id").limit(labelled)
-    others = ids.join(marks, "doc_id", "left_anti").orderBy(draw, "doc_id").limit(pool).withColumn("good", F.lit(None).cast("double"))
-    wanted = some.unionByName(others)  # at most labelled + pool rows, which bounds the broadcast
+            got = of == 1 - v  # what the other view hands over
+            x[v], y[v] = np.concatenate([x[v], views[v][got]]), np.concatenate([y[v], new.column("label").to_numpy()[got]])
+            taken[v] = np.concatenate([taken[v], new.column("row").to_numpy()[got]])
+    return Logistic.fit(x[0], y[0]), Logistic.fit(x[1], y[1])
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
+    """Fit on a bounded sample of the labelled documents and on what the views are surest of among all others."""
     bound_batches(docs.sparkSession)
-    rows = _columns(docs).join(F.broadcast(wanted), "doc_id").mapInArrow(_featured, "doc_id long, good double, t array<double>, m array<double>")
-    table = rows.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    made = materialise(_columns(docs).mapInArrow(_featured, "doc_id long, t array<double>, m array<int>"), "features")
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") > 0).cast("double").alias("good"))
+    some = marks.join(made.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(labelled)  # at most so many rows, which bounds the broadcast
+    table = made.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     good = table.column("good").to_numpy()
-    known = ~np.isnan(good)
-    if not known.any():
-        return Model(None, None, 1.0)
-    prior = float(good[known].mean())
-    t, m = (np.array(table.column(c).combine_chunks().flatten()).reshape(len(good), -1) for c in ("t", "m"))
-    held = known & (np.array([zlib.crc32(str(i).encode()) % 10 for i in table.column("doc_id").to_pylist()]) < 3)
-    fit = known & ~held
-    if len(np.unique(good[fit])) < 2:
-        return Model(None, None, prior)
-    text, meta = co_train(t[fit], m[fit], good[fit], t[~known], m[~known])
-    text.calibrate(t[held], good[held])
-    meta.calibrate(m[held], good[held])
-    return Model(text, meta, min(max(prior, 1e-6), 1 - 1e-6))
+    model = Model(None, None, float(good.mean()) if len(good) else 1.0)
+    held = np.array([zlib.crc32(str(i).encode()) % 10 < 3 for i in table.column("doc_id").to_pylist()], bool)
+    used = [made]
+    if len(np.unique(good[~held])) == 2:
+        t, m = _views(table)
+        pool = materialise(made.join(marks, "doc_id", "left_anti").select(F.monotonically_increasing_id().alias("row"), "t", "m"), "pool")
+        used.append(pool)
+        text, meta = co_train(t[~held], m[~held], good[~held], pool)
+        text.calibrate(t[held], good[held])
+        meta.calibrate(m[held], good[held])
+        model = Model(text, meta, min(max(model.prior, 1e-6), 1 - 1e-6))
+    remove(docs.sparkSession, *map(table_path, used))
+    return model
 
 
 def _scored(model: Model):

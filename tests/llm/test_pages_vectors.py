@@ -229,6 +229,25 @@ def test_quality_held_out(spark):
     assert sum(r.kept == (r.quality > 0) for r in scored) / len(scored) >= 0.9
 
 
+def test_quality_hands_over_the_surest(spark):
+    """Over all tasks and rows, each view hands over those of which it is surest, and none twice."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    t, m = rng.normal(size=(900, quality.TEXT_FEATURES)), np.stack([rng.integers(0, 8, 900), rng.integers(8, 40, 900), rng.integers(40, 52, 900)], 1)
+    y = (t[:, 0] + (m[:, 0] > 3) * 4 - 2 > 0).astype(float)
+    models = [quality.Logistic.fit(t[:300], y[:300], 0.1), quality.Logistic.fit(quality.one_hot(m[:300]), y[:300], 0.1)]
+    pool = spark.createDataFrame([(k, t[k].tolist(), m[k].tolist()) for k in range(900)], "row long, t array<double>, m array<int>").repartition(7)
+    taken, most = [np.arange(0, 900, 3), np.arange(0, 900, 5)], {1.0: 40, 0.0: 25}
+    got = quality._handed(pool, models, taken, most).to_pylist()
+    for v, x in ((0, t), (1, quality.one_hot(m))):
+        p = 1 / (1 + np.exp(-models[v].odds(x)))
+        for label, sure in ((1.0, p), (0.0, 1 - p)):
+            free = [k for k in range(900) if sure[k] >= quality.SURE and k not in set(taken[1 - v].tolist())]
+            assert {r["row"] for r in got if (r["view"], r["label"]) == (v, label)} == set(sorted(free, key=lambda k: (-sure[k], k))[: most[label]])
+    assert got
+
+
 def test_quality_cases(spark, docs, rows, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.score(docs, quality.train(docs, none)).where("kept").count() == len(rows)
