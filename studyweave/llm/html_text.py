@@ -4,7 +4,7 @@ Markup is flattened into blocks of text. A block is described by its word count
 blocks before and after it, and by what it lies in: a container of main text (article, main, content-like names), a
 container of anything else (nav, footer, aside, form, names of adverts, notices, comments and the like), or a
 heading. A decision tree fitted to the labelled table of :mod:`html_examples` keeps or drops it. Where a page names
-its containers, these decide; on pages of neutral markup, words and links of the block and its neighbours do.
+its containers, these decide (names of states, such as no-sidebar, don't count, nor does a form around an article); on pages of neutral markup, words and links of the block and its neighbours do.
 
 Defined cases: null and empty html give empty text; unclosed and crossing tags are tolerated; the content of
 scripts, styles and the head is never text; <br> is white space; null page_ids and urls stay null; rows that repeat a
@@ -36,11 +36,17 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FRAMES = frozenset("nav footer aside form fieldset dialog menu".split())
 _BODY = frozenset("article main".split())
+#: A frame that is but a form.
+_FORM = 2
 #: Parts of class and id names, and roles: fixed words that sites use for what is not, and what is, main text.
 _NOT_TEXT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget|footer|header|masthead|topbar|share|sharing|social|related|recommend(?:ed|ations)?|more-?stories|comments?|comment-?list|respond|replies|reply|disqus|discussion|pagination|pager|search|toolbar|skip-?link|complementary|contentinfo|search|alertdialog)(?:$|[\s_-])",
     re.I,
 )
+#: Names of a state or of what is missing (``no-sidebar``, ``comments-open``): they say nothing of what a container holds.
+_STATE = re.compile(r"(?:no|not|has|have|with|without|is)[_-].*|.*[_-](?:open|opened|closed|enabled|disabled)", re.I)
+#: Names that head or divide an article when they stand in one: its own header, a section on side effects or a discussion.
+_PART = re.compile(r"(?:^|[\s_-])(?:header|discussion|side(?=-effects?\b))(?:$|[\s_-])", re.I)
 _TEXT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|article-?body|main|text)(?:$|[\s_-])", re.I)
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_body", "in_frame", "heading")
 #: Bounds of the tree: its depth, and the rows of the labelled table that a leaf stands for.
@@ -105,20 +111,26 @@ def blocks(page: str, marked: bool = False) -> list[tuple[str, int, int, int, in
                 if name == "p" and stack and stack[-1][0] == "p":
                     stack.pop()
                 up = stack[-1] if stack else ("", 0, 0, 0)
+                named_frame = False
                 is_body, is_frame, mark = name in _BODY, name in _FRAMES or (name == "header" and not up[1]), up[3]
                 if raw:
                     named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
-                    hint = " ".join(named[k] for k in ("class", "id", "role") if k in named)
+                    hint = " ".join(n for k in ("class", "id", "role") if k in named for n in named[k].split() if not _STATE.fullmatch(n))
                     if hint and name not in ("body", "html"):
-                        is_frame = is_frame or (bool(_NOT_TEXT.search(hint)) and not is_body)
+                        other = _PART.sub(" ", hint) if up[1] and not up[2] else hint
+                        named_frame = bool(_NOT_TEXT.search(other)) and not is_body
+                        is_frame = is_frame or named_frame
                         is_body = is_body or (not is_frame and bool(_TEXT.search(hint)))
                     if "hidden" in named or "display:none" in named.get("style", "").replace(" ", ""):
                         is_frame = True
                     if marked and "data-keep" in named:
                         mark = int(named["data-keep"])
-                stack.append((name, int(up[1] or is_body), int(up[2] or is_frame), mark))
+                # some servers wrap the whole page in a form: an article or main part within it is none of its fields
+                framed = up[2] and not (name in _BODY and up[2] == _FORM)
+                own = _FORM if name == "form" and not named_frame else 1
+                stack.append((name, int(up[1] or is_body), framed or (own if is_frame else 0), mark))
             top = stack[-1] if stack else ("", 0, 0, 0)
-            body, frame, label = top[1:]
+            body, frame, label = top[1], int(top[2] > 0), top[3]
             heading = int(len(top[0]) == 2 and top[0][0] == "h" and top[0][1].isdigit())
     flush()
     return out

@@ -220,6 +220,29 @@ def test_neighbours(spark, monkeypatch, tile):
     assert {r.query_id for r in got} <= set(ok)
 
 
+_PROSE = " ".join(["prose about the river and the mill"] * 6)
+_ARTICLE = f"<h1>The title here</h1><p>{_PROSE}</p>"
+
+
+@pytest.mark.parametrize("page,paragraphs", [
+    (f"<div id='content' class='no-sidebar'>{_ARTICLE}</div>", 1),
+    (f"<div class='has-sidebar main'>{_ARTICLE}</div>", 1),
+    (f"<div class='comments-open post'>{_ARTICLE}</div>", 1),
+    (f"<form id='page'><article>{_ARTICLE}</article></form>", 1),
+    (f"<article><header class='entry-header'><h1>The title here</h1></header><p>{_PROSE}</p></article>", 1),
+    (f"<main><div class='post-header'><h1>The title here</h1></div><p>{_PROSE}</p></main>", 1),
+    (f"<article>{_ARTICLE}<section class='discussion'><p>{_PROSE}</p></section></article>", 2),
+    (f"<article>{_ARTICLE}<section class='side-effects'><p>{_PROSE}</p></section></article>", 2),
+    (f"<article>{_ARTICLE}<div class='comments'><p>{_PROSE}</p></div><aside><article><p>{_PROSE}</p></article></aside></article>", 1),
+    (f"<article>{_ARTICLE}<form><p>{_PROSE}</p></form><div class='side-bar'><p>{_PROSE}</p></div></article>", 1),
+])
+def test_names_that_say_nothing(page, paragraphs):
+    """States and parts of an article are no frames; comments, cards and forms in one still are."""
+    links = "<nav><ul><li><a href='/'>Home</a></li></ul></nav>"
+    got = html_text.main_text(f"<html><body>{links}{page}<footer>&copy; example</footer></body></html>")
+    assert got.split("\n") == ["The title here"] + [_PROSE] * paragraphs
+
+
 def test_quality_held_out(spark):
     """Trained on half of the labels, right on at least nine tenths of the others."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
