@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -69,73 +70,114 @@ def clamp_of(right: np.ndarray, up: float, down: float) -> tuple[float, float, f
     return shift, low, high
 
 
+#: An answer that waits: order of time, then number, and whether it is right.
+_ANSWER = np.dtype([("ts", "<i8"), ("seq", "<i8"), ("right", "?")])
+#: Waiting answers that a key keeps as one value; with more of them each slice of time has its own. And rows of a batch
+#: that are taken at once.
+FEW = 2_000
+PIECE = 50_000
+
+
+def _packed(rows: list[Row]) -> np.ndarray:
+    last = 2**63 - 1  # rows without a number come last
+    return np.array([(r.us, last if r.seq is None else r.seq, bool(r.right)) for r in rows], _ANSWER)
+
+
 class LateAnswers(StatefulProcessor):
     """Answers of a learner and concept in order of time, however they arrive.
 
-    State: what is settled (mastery and counts of all slices of time that the watermark has passed), and for each
-    later slice its answers with the three numbers that they come to. An arriving piece of a batch changes only the
-    slices that it touches; a timer at a slice's end settles it and forgets its answers.
+    State: what is settled (mastery and counts of all slices of time that the watermark has passed) and the answers of
+    later slices. A key's few waiting answers lie beside what is settled, so that a batch reads and writes one value;
+    those of a key with many lie in their slices, each with the three numbers that they come to, and an arriving piece
+    of a batch changes only the slices that it touches. A key has one timer, at the end of its first slice that waits:
+    it settles all slices that the watermark has passed and forgets their answers.
     """
 
-    def __init__(self, up: float, down: float, slice_ms: int):
-        self.up, self.down, self.slice_ms = up, down, slice_ms
+    def __init__(self, up: float, down: float, slice_ms: int, few: int = FEW):
+        self.up, self.down, self.slice_ms, self.few = up, down, slice_ms, few
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", "mastery double, attempts long, correct long")
-        self.slices = handle.getMapState("slices", "slice long", "shift double, low double, high double, ts array<long>, seq array<long>, right array<boolean>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for piece in rows:
-            ts = piece["ts"].to_numpy("datetime64[us]").astype(np.int64)
-            seq, right = piece["seq"].to_numpy(np.int64), piece["right"].to_numpy(bool)
-            of = ts // (self.slice_ms * 1000)
-            for s in np.unique(of).tolist():
-                at = of == s
-                self._add(s, ts[at], seq[at], right[at])
-        yield self._state(key)
-
-    def _add(self, s: int, ts: np.ndarray, seq: np.ndarray, right: np.ndarray) -> None:
-        if self.slices.containsKey((s,)):
-            _, _, _, *old = self.slices.getValue((s,))
-            ts, seq, right = (np.concatenate([np.array(o, n.dtype), n]) for o, n in zip(old, (ts, seq, right)))
-        else:
-            self.handle.registerTimer((s + 1) * self.slice_ms)
-        order = np.lexsort((seq, ts))
-        self.slices.updateValue((s,), (*clamp_of(right[order], self.up, self.down), ts[order].tolist(), seq[order].tolist(), right[order].tolist()))
-
-    def _before(self) -> tuple[float, int, int]:
-        return tuple(self.settled.get()) if self.settled.exists() else (0.0, 0, 0)
-
-    def _state(self, key) -> pd.DataFrame:
-        m, attempts, correct = self._before()
-        waiting = sorted((k[0], v) for k, v in self.slices.iterator())
-        for _, (shift, low, high, _, _, right) in waiting:
-            m, attempts, correct = max(low, min(high, m + shift)), attempts + len(right), correct + sum(right)
-        return pd.DataFrame({"user_id": [key[0]], "concept": [key[1]], "mastery": [m], "attempts": [attempts], "correct": [correct], "waiting": [sum(len(v[5]) for _, v in waiting)]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs()
-        m, attempts, correct = self._before()
-        for s, (shift, low, high, _, _, right) in sorted((k[0], v) for k, v in self.slices.iterator() if (k[0] + 1) * self.slice_ms <= passed):
-            m, attempts, correct = max(low, min(high, m + shift)), attempts + len(right), correct + sum(right)
+        self.known = handle.getValueState("known", "mastery double, attempts long, correct long, timer long, many boolean, waiting binary")
+        self.slices = handle.getMapState("slices", "slice long", "shift double, low double, high double, attempts long, correct long")
+        self.answers = handle.getMapState("answers", "slice long", "waiting binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        m, attempts, correct, timer, many, held = self.known.get() or (0.0, 0, 0, None, False, b"")
+        few, first = np.frombuffer(held, _ANSWER), timer
+        while piece := list(islice(rows, PIECE)):
+            new = _packed(piece)
+            end = self._end(int(new["ts"].min()))
+            first = end if first is None else min(first, end)
+            if many or len(few) + len(new) > self.few:
+                self._add(np.concatenate([few, new]))
+                few, many = few[:0], True
+            else:
+                few = np.concatenate([few, new])
+                few = few[np.argsort(few, order=("ts", "seq"))]
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+        self.known.update((m, attempts, correct, first, many, few.tobytes()))
+        yield self._state(key, m, attempts, correct, few, self._waiting() if many else [])
+
+    def _end(self, us: int) -> int:
+        return (us // (self.slice_ms * 1000) + 1) * self.slice_ms
+
+    def _add(self, new: np.ndarray) -> None:
+        of = new["ts"] // (self.slice_ms * 1000)
+        for s in np.unique(of).tolist():
+            held = self.answers.getValue((s,)) if self.slices.containsKey((s,)) else (b"",)
+            rows = np.concatenate([np.frombuffer(held[0], _ANSWER), new[of == s]])
+            rows = rows[np.argsort(rows, order=("ts", "seq"))]
+            self.answers.updateValue((s,), (rows.tobytes(),))
+            self.slices.updateValue((s,), (*clamp_of(rows["right"], self.up, self.down), len(rows), int(rows["right"].sum())))
+
+    def _waiting(self) -> list[tuple]:
+        return sorted((k[0], *v) for k, v in self.slices.iterator())
+
+    def _after(self, m: float, few: np.ndarray, slices: list[tuple]) -> float:
+        for right in few["right"].tolist():
+            m = min(1.0, max(0.0, m + (self.up if right else self.down)))
+        for _, shift, low, high, _, _ in slices:
+            m = max(low, min(high, m + shift))
+        return m
+
+    def _state(self, key, m: float, attempts: int, correct: int, few: np.ndarray, slices: list[tuple]) -> Row:
+        waiting, right = len(few) + sum(x[4] for x in slices), int(few["right"].sum()) + sum(x[5] for x in slices)
+        return Row(user_id=key[0], concept=key[1], mastery=self._after(m, few, slices), attempts=attempts + waiting, correct=correct + right, waiting=waiting)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        m, attempts, correct, _, many, held = self.known.get()
+        few, slices = np.frombuffer(held, _ANSWER), self._waiting() if many else []
+        over = few["ts"] // (self.slice_ms * 1000) < passed // self.slice_ms
+        done, few = few[over], few[~over]
+        gone, slices = [x for x in slices if (x[0] + 1) * self.slice_ms <= passed], [x for x in slices if (x[0] + 1) * self.slice_ms > passed]
+        for s, *_ in gone:
             self.slices.removeKey((s,))
-        self.settled.update((m, attempts, correct))
-        yield self._state(key)
+            self.answers.removeKey((s,))
+        m, attempts, correct = self._after(m, done, gone), attempts + len(done) + sum(x[4] for x in gone), correct + int(done["right"].sum()) + sum(x[5] for x in gone)
+        timer = self._end(int(few["ts"][0])) if len(few) else (slices[0][0] + 1) * self.slice_ms if slices else None
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self.known.update((m, attempts, correct, timer, bool(slices), few.tobytes()))
+        yield self._state(key, m, attempts, correct, few, slices)
 
     def close(self) -> None:
         pass
 
 
-def late_mastery_stream(answers: DataFrame, late: str = "2 days", slice_hours: int = 24, up: float = UP, down: float = DOWN) -> DataFrame:
+def late_mastery_stream(answers: DataFrame, late: str = "2 days", slice_hours: int = 24, up: float = UP, down: float = DOWN, few: int = FEW) -> DataFrame:
     """user_id, concept, mastery, attempts, correct, waiting after each batch, from (user_id, concept, ts, seq, right).
 
     The state is that of all answers so far in order of time, also of those that arrive in a later batch than their
     successors, up to ``late`` behind the newest; older ones are left out. ``waiting`` counts the answers that may
     still get a predecessor. Rows without a time are left out. Run it within :func:`rocksdb`.
     """
-    rows = answers.where("ts is not null").select("user_id", "concept", "ts", "seq", "right").withWatermark("ts", late)
-    return rows.groupBy("user_id", "concept").transformWithStateInPandas(LateAnswers(up, down, slice_hours * 3_600_000), "user_id long, concept string, mastery double, attempts long, correct long, waiting long", "Update", "EventTime")
+    rows = answers.where("ts is not null").select("user_id", "concept", "ts", F.unix_micros("ts").alias("us"), F.col("seq").cast("long").alias("seq"), "right").withWatermark("ts", late)
+    return rows.groupBy("user_id", "concept").transformWithState(LateAnswers(up, down, slice_hours * 3_600_000, few), "user_id long, concept string, mastery double, attempts long, correct long, waiting long", "Update", "EventTime")
 
 
 def explain_stream(turns: DataFrame) -> DataFrame:
