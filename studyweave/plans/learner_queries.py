@@ -162,7 +162,9 @@ def sanitised_labels(spark, sf_dir):
 @add(f"with {_STATE} select user_id, concept, mastery, attempts, correct from state")
 def streamed_mastery(spark, sf_dir):
     """The stream over a finished folder gives the batch's state."""
-    out = S.run_once(S.mastery_stream(_answers(S.read_events(spark, f"{sf_dir}/events.parque[t]"))), shared_path(spark, "stream"), "update")
+    answers = _answers(S.read_events(spark, f"{sf_dir}/events.parque[t]"))
+    with S.rocksdb(spark):
+        out = S.run_once(S.mastery_stream(answers), shared_path(spark, "stream"), "update")
     last = out.groupBy("user_id", "concept").agg(F.max_by(F.struct("mastery", "attempts", "correct"), "batch").alias("s"))
     return last.select("user_id", "concept", F.round("s.mastery", 6).alias("mastery"), "s.attempts", "s.correct")
 

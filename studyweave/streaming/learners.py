@@ -31,24 +31,6 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(path)
 
 
-def mastery_stream(answers: DataFrame, up: float = UP, down: float = DOWN) -> DataFrame:
-    """user_id, concept, mastery, attempts, correct after each batch, from (user_id, concept, ts, seq, right).
-
-    A key's answers of one batch are ordered in one task; ``files_per_trigger`` bounds a batch. The batch fold
-    (:func:`..operators.learner.mastery`) has no such task.
-    """
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        m, attempts, correct = state.get if state.exists else (0.0, 0, 0)
-        for right in pd.concat(list(batches)).sort_values(["ts", "seq"])["right"]:
-            m = min(1.0, max(0.0, m + (up if right else down)))
-            attempts, correct = attempts + 1, correct + int(right)
-        state.update((m, attempts, correct))
-        yield pd.DataFrame({"user_id": [key[0]], "concept": [key[1]], "mastery": [m], "attempts": [attempts], "correct": [correct]})
-
-    return answers.groupBy("user_id", "concept").applyInPandasWithState(fold, "user_id long, concept string, mastery double, attempts long, correct long", "mastery double, attempts long, correct long", "update", GroupStateTimeout.NoTimeout)
-
-
 @contextmanager
 def rocksdb(spark: SparkSession):
     """Streams started within keep their state in RocksDB, which states of several variables need."""
@@ -79,8 +61,8 @@ PIECE = 50_000
 
 
 def _packed(rows: list[Row]) -> np.ndarray:
-    last = 2**63 - 1  # rows without a number come last
-    return np.array([(r.us, last if r.seq is None else r.seq, bool(r.right)) for r in rows], _ANSWER)
+    last = 2**63 - 1  # rows without a time or a number come last
+    return np.array([(last if r.us is None else r.us, last if r.seq is None else r.seq, bool(r.right)) for r in rows], _ANSWER)
 
 
 class LateAnswers(StatefulProcessor):
@@ -169,6 +151,41 @@ class LateAnswers(StatefulProcessor):
         pass
 
 
+class ArrivedAnswers(StatefulProcessor):
+    """Answers of a learner and concept: those of a batch in order of time, after those of earlier batches."""
+
+    def __init__(self, up: float, down: float):
+        self.up, self.down = up, down
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "mastery double, attempts long, correct long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        m, attempts, correct = self.known.get() or (0.0, 0, 0)
+        pieces = []
+        while piece := list(islice(rows, PIECE)):
+            pieces.append(_packed(piece))
+        answers = np.concatenate(pieces)
+        for right in answers["right"][np.argsort(answers, order=("ts", "seq"))].tolist():
+            m = min(1.0, max(0.0, m + (self.up if right else self.down)))
+        attempts, correct = attempts + len(answers), correct + int(answers["right"].sum())
+        self.known.update((m, attempts, correct))
+        yield Row(user_id=key[0], concept=key[1], mastery=m, attempts=attempts, correct=correct)
+
+    def close(self) -> None:
+        pass
+
+
+def mastery_stream(answers: DataFrame, up: float = UP, down: float = DOWN) -> DataFrame:
+    """user_id, concept, mastery, attempts, correct after each batch, from (user_id, concept, ts, seq, right).
+
+    A key's answers of one batch are ordered in one task, 17 bytes each; ``files_per_trigger`` bounds a batch. The batch
+    fold (:func:`..operators.learner.mastery`) has no such task. Run it within :func:`rocksdb`.
+    """
+    rows = answers.select("user_id", "concept", F.unix_micros("ts").alias("us"), F.col("seq").cast("long").alias("seq"), "right")
+    return rows.groupBy("user_id", "concept").transformWithState(ArrivedAnswers(up, down), "user_id long, concept string, mastery double, attempts long, correct long", "Update", "None")
+
+
 def late_mastery_stream(answers: DataFrame, late: str = "2 days", slice_hours: int = 24, up: float = UP, down: float = DOWN, few: int = FEW) -> DataFrame:
     """user_id, concept, mastery, attempts, correct, waiting after each batch, from (user_id, concept, ts, seq, right).
 

@@ -33,3 +33,13 @@ def test_one_timer_settles_all_slices_of_a_key(spark, tmp_path, few):
         assert {k: v[1:] for k, v in last.items()} == {k: v[1:] for k, v in want.items()}
         assert all(abs(last[k][0] - want[k][0]) < 1e-6 for k in want)
     assert len({(r.user_id, r.concept, r.batch) for r in settled}) == len(settled) == 2 * len(want)
+
+
+def test_stream_takes_answers_without_time_or_value(spark, tmp_path):
+    """An answer without a time is the last of its batch, one without a value is a wrong one."""
+    ddl = "user_id long, concept string, ts timestamp, seq long, right boolean"
+    rows = [(1, "a", None, 9, True), (1, "a", T0, 2, False), (1, "a", T0, 1, True), (1, "a", T0, 3, None), (None, None, T0, 4, True)]
+    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "in"))
+    with learners.rocksdb(spark):
+        out = learners.run_once(learners.mastery_stream(spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), "update").collect()
+    assert {(r.user_id, r.concept): (round(r.mastery, 9), r.attempts, r.correct) for r in out} == {(1, "a"): (0.1, 4, 2), (None, None): (0.1, 1, 1)}
