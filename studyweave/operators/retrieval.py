@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import insort
 from collections.abc import Iterator
 from functools import reduce
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as T
 
@@ -156,9 +159,39 @@ def substring_search(queries: DataFrame, chunks: DataFrame, k: int = 50) -> Data
     n, chars = queries.agg(F.count("*"), F.sum(F.length("text"))).first()
     if n * 64 + (chars or 0) > BLOCK_BYTES:
         raise ValueError("ask fewer queries at once")
-    asked = F.broadcast(queries.where(F.coalesce("text", F.lit("")) != "").select("query_id", F.lower("text").alias("_t")))
-    found = chunks.select("chunk_id", "full_text", F.lower("full_text").alias("_low")).join(asked, F.contains("_low", "_t"))
-    return _ranked(found.select("query_id", "chunk_id", F.left("full_text", F.lit(300)).alias("snippet"), F.lit(1.0).alias("score")), k, F.col("chunk_id"))
+    asked = queries.where(F.coalesce("text", F.lit("")) != "").select("query_id", F.lower("text").alias("_t")).toArrow()
+    rows = chunks.select("chunk_id", F.left("full_text", F.lit(300)).alias("snippet"), F.lower("full_text").alias("_low"))
+    kinds = {"query_id": queries.schema["query_id"].dataType, **{c: rows.schema[c].dataType for c in ("chunk_id", "snippet")}}
+    found = rows.where("_low is not null").mapInArrow(_first_holders(asked, k), StructType([StructField(c, t) for c, t in kinds.items()]))
+    return _ranked(found.withColumn("score", F.lit(1.0)), k, F.col("chunk_id"))
+
+
+def _first_holders(queries: pa.Table, k: int):
+    """Of each query the task's first k chunks by id (a null id before all) that hold its text; others never become rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = list(zip(queries.column("query_id").to_pylist(), queries.column("_t").to_pylist()))
+        held: list[list[tuple]] = [[] for _ in asked]  # (place, snippet) in order
+        kinds = [queries.schema.field("query_id").type]
+        for batch in batches:
+            ids = batch.column("chunk_id").to_pylist()
+            # by id, so that a full query needs no look at the later chunks of the batch
+            places = [(False,) if c is None else (True, c) for c in ids]
+            rows = sorted(range(len(ids)), key=places.__getitem__)
+            texts, snippets = batch.column("_low").to_pylist(), batch.column("snippet")
+            kinds[1:] = [batch.schema.field(c).type for c in ("chunk_id", "snippet")]
+            for (_, text), best in zip(asked, held):
+                for i in rows:
+                    if len(best) >= k and places[i] >= best[-1][0]:
+                        break
+                    if text in texts[i]:
+                        insort(best, (places[i], snippets[i].as_py()), key=itemgetter(0))
+                        del best[k:]
+        found = [(q, place[1] if place[0] else None, snippet) for (q, _), best in zip(asked, held) for place, snippet in best]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], ["query_id", "chunk_id", "snippet"])
+
+    return run
 
 
 def relevant(hits: DataFrame, score: float = 0.35, sim: float = 0.30, bm25: float = 0.15, relax: bool = False) -> DataFrame:

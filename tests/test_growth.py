@@ -43,3 +43,24 @@ def test_stream_takes_answers_without_time_or_value(spark, tmp_path):
     with learners.rocksdb(spark):
         out = learners.run_once(learners.mastery_stream(spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), "update").collect()
     assert {(r.user_id, r.concept): (round(r.mastery, 9), r.attempts, r.correct) for r in out} == {(1, "a"): (0.1, 4, 2), (None, None): (0.1, 1, 1)}
+
+
+def test_substring_pairs_never_become_rows(spark):
+    """Of a word in every chunk only the first k chunks of a task leave it."""
+    from pyspark.sql import functions as F
+
+    from studyweave.operators import retrieval as R
+
+    ids = [None, *range(200)]
+    random.Random(1).shuffle(ids)
+    chunks = spark.createDataFrame([(c, None if c == 3 else f"The WORD {c} " + "x" * 400) for c in ids], "chunk_id int, full_text string").repartition(3)
+    asked = spark.createDataFrame([(1, "word"), (2, "19"), (3, ""), (4, None), (5, "no such"), (5, "word 7 ")], "query_id long, text string")
+    hits = R.substring_search(asked, chunks, 4)
+    found = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.chunk_id)
+        assert len(r.snippet) == 300 and r.score == 1.0
+    assert found == {1: [None, 0, 1, 2], 2: [19, 119, 190, 191], 5: [7]}
+    assert dict(hits.dtypes)["chunk_id"] == "int"
+    assert "NestedLoopJoin" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert R.substring_search(asked.where(F.lit(False)), chunks, 4).count() == 0
