@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as T
+from ..sources.staging import staged
 
 #: Bytes of queries (vectors and texts) in one block, and chunks in one matrix product.
 BLOCK_BYTES = 4_000_000
@@ -124,11 +125,20 @@ def _scored(block: _Block, k: int, sim_weight: float, text_weight: float, factor
     return run
 
 
-def _block(queries: DataFrame, chunks: DataFrame, k: int, sim_weight: float, text_weight: float, factor: float, page_proximity: bool) -> DataFrame:
+def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with columns of their chunks: only chunks that are hit travel. The hits of stated queries are few; their ids are
+    staged and go to the tasks if they take less than BLOCK_BYTES."""
+    hits = staged(hits, "hits")
+    ids = hits.select("chunk_id").distinct()
+    found = chunks.join(F.broadcast(ids) if 16 * hits.count() <= BLOCK_BYTES else ids, "chunk_id", "left_semi")
+    return hits.join(found, "chunk_id")
+
+
+def _block(queries: DataFrame, chunks: DataFrame, texts: DataFrame, k: int, sim_weight: float, text_weight: float, factor: float, page_proximity: bool) -> DataFrame:
     """The k best chunks of a block of queries, which is read to the driver; pairs of all chunks and queries are never rows."""
     table = queries.select(F.col("query_id").cast("long").alias("query_id"), "text", F.col("embedding").cast("array<double>").alias("embedding")).toArrow().combine_chunks()
     vocabulary = {t for text in table.column("text").to_pylist() for t in _WORD.findall((text or "").lower())}
-    block = _Block(table, *_term_weights(vocabulary, chunks))
+    block = _Block(table, *_term_weights(vocabulary, texts))
     rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("page_number").cast("long").alias("page_number"), F.col("resource_id").cast("string").alias("resource_id"), "full_text", F.col("embedding").cast("array<double>").alias("embedding"))
     ddl = "query_id long, score double, chunk_id long, sim double, bm25 double, resource_id string, page_number long"
     best = rows.mapInArrow(_scored(block, k, sim_weight, text_weight, factor, page_proximity), ddl) if table.num_rows else chunks.sparkSession.createDataFrame([], ddl)
@@ -136,11 +146,12 @@ def _block(queries: DataFrame, chunks: DataFrame, k: int, sim_weight: float, tex
     return _ranked(best, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", *typed, "sim", "bm25", "score", "rank")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, sim_weight: float = 0.7, text_weight: float = 0.3, resource: str | None = None, boost: float = 1.0, page_proximity: bool = True) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, sim_weight: float = 0.7, text_weight: float = 0.3, resource: str | None = None, boost: float = 1.0, page_proximity: bool = True, vectors: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, resource_id, page_number, sim, bm25, score, rank of each query's k best chunks.
 
     ``queries``: query_id, text, embedding; ``chunks``: chunk_id, resource_id, page_number, full_text, embedding.
-    A missing vector has similarity 0. With ``resource``, only its chunks are searched and ``boost`` applies.
+    ``vectors`` (chunk_id, embedding; ids once each) may come by themselves: terms are then weighed without a join, and
+    texts travel once, neither sorted nor spilled, since a task hashes its vectors. A missing vector has similarity 0. With ``resource``, only its chunks are searched and ``boost`` applies.
     Relevance is BM25 / (1 + BM25), so both parts are within one. Weights must not be negative. Ids are numbers.
     """
     if resource is not None:
@@ -148,7 +159,11 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, sim_weight
     size = 8 * F.coalesce(F.size("embedding"), F.lit(0)) + 8 * F.coalesce(F.length("text"), F.lit(0)) + 64
     parts = max(1, -(-(queries.agg(F.sum(size)).first()[0] or 0) // BLOCK_BYTES))
     blocks = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [queries]
-    return reduce(DataFrame.unionByName, (_block(q, chunks, k, sim_weight, text_weight, boost if resource is not None else 1.0, page_proximity) for q in blocks))
+    texts = chunks
+    if vectors is not None:
+        chunks = chunks.select("chunk_id", "resource_id", "page_number", "full_text").join(vectors.select("chunk_id", "embedding").hint("shuffle_hash"), "chunk_id", "left")
+        chunks = staged(chunks, "chunks") if parts > 1 else chunks
+    return reduce(DataFrame.unionByName, (_block(q, chunks, texts, k, sim_weight, text_weight, boost if resource is not None else 1.0, page_proximity) for q in blocks))
 
 
 def substring_search(queries: DataFrame, chunks: DataFrame, k: int = 50) -> DataFrame:
@@ -272,13 +287,13 @@ def with_neighbours(hits: DataFrame, k: int, window: int = 1, per_page: int = 4)
     return kept.where(F.col("place") <= max(2 * k, 8)).select("query_id", "chunk_id", "place")
 
 
-def tutor_retrieve(queries: DataFrame, chunks: DataFrame, roles: list[str], k: int = 15) -> DataFrame:
+def tutor_retrieve(queries: DataFrame, chunks: DataFrame, roles: list[str], k: int = 15, vectors: DataFrame | None = None) -> DataFrame:
     """Hybrid search for max(10, 4k) hits, relevance with relaxing, role boost, neighbours. Blank queries find nothing.
 
     ``chunks`` also has role and source_offset.
     """
     asked = queries.where(T.strip(F.coalesce("text", F.lit(""))) != "")
-    hits = hybrid_search(asked, chunks, max(10, 4 * k)).join(chunks.select("chunk_id", "role", "source_offset"), "chunk_id")
+    hits = with_chunks(hybrid_search(asked, chunks, max(10, 4 * k), vectors=vectors), chunks.select("chunk_id", "role", "source_offset"))
     return with_neighbours(pedagogy_boost(relevant(hits, relax=True), roles), k)
 
 

@@ -22,18 +22,29 @@ def _queries(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(v, "query_id", "left")
 
 
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
 def _chunks(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    v = _vectors(spark, sf_dir).withColumnRenamed("chunk_id", "doc_id")
+    return _described(table(spark, sf_dir, "documents").join(v.hint("shuffle_hash"), "doc_id", "left"), "embedding")
+
+
+def _texts(spark, sf_dir):
+    """The chunks without their vectors: no join."""
+    return _described(table(spark, sf_dir, "documents"))
+
+
+def _described(d, *more):
     cues = F.array(*(F.lit(c) for c, _, _ in CUES))
-    d = table(spark, sf_dir, "documents").join(v, "doc_id", "left")
     cue = F.element_at(cues, (F.col("doc_id") % len(CUES) + 1).cast("int"))
-    return d.select(F.col("doc_id").alias("chunk_id"), F.coalesce("source", F.lit("")).alias("resource_id"), (F.col("doc_id") % 20).cast("int").alias("page_number"), F.col("doc_id").cast("int").alias("source_offset"), F.coalesce("text", F.lit("")).alias("full_text"), "embedding", T.pedagogy_role(cue).alias("role"))
+    return d.select(F.col("doc_id").alias("chunk_id"), F.coalesce("source", F.lit("")).alias("resource_id"), (F.col("doc_id") % 20).cast("int").alias("page_number"), F.col("doc_id").cast("int").alias("source_offset"), F.coalesce("text", F.lit("")).alias("full_text"), *more, T.pedagogy_role(cue).alias("role"))
 
 
 def _hits(spark, sf_dir, k=50):
-    c = _chunks(spark, sf_dir)
-    extra = c.select("chunk_id", "role", "source_offset", F.left("full_text", F.lit(300)).alias("snippet"))
-    return R.hybrid_search(_queries(spark, sf_dir), c, k).join(extra, "chunk_id")
+    extra = _texts(spark, sf_dir).select("chunk_id", "role", "source_offset", F.left("full_text", F.lit(300)).alias("snippet"))
+    return R.with_chunks(R.hybrid_search(_queries(spark, sf_dir), _texts(spark, sf_dir), k, vectors=_vectors(spark, sf_dir)), extra)
 
 
 _HITS = f"""{CUES_SQL}, ck as (select doc_id as chunk_id, coalesce(source, '') as resource_id, (doc_id % 20)::int as page_number, doc_id::int as source_offset, coalesce(text, '') as full_text, embedding::double[] as embedding,
@@ -52,7 +63,7 @@ _HITS = f"""{CUES_SQL}, ck as (select doc_id as chunk_id, coalesce(source, '') a
 
 @add(f"with {_HITS} select query_id, chunk_id, resource_id, page_number, sim, bm25, score, rank from hits where rank <= 10")
 def hybrid_search(spark, sf_dir):
-    return R.hybrid_search(_queries(spark, sf_dir), _chunks(spark, sf_dir), 10)
+    return R.hybrid_search(_queries(spark, sf_dir), _texts(spark, sf_dir), 10, vectors=_vectors(spark, sf_dir))
 
 
 @add(f"with {_HITS} select query_id, chunk_id, score from hits where score >= 0.35 or sim >= 0.3 or bm25 >= 0.15")
@@ -105,7 +116,7 @@ def microchunk_packing(spark, sf_dir):
 @add(f"""with {_HITS}, k as (select * from hits where rank <= 5) select item_id as query_id, coalesce(string_agg(chunk_id::varchar, '|' order by rank), '') as ids, coalesce(max(score), 0) as best from benchmark left join k on query_id = item_id group by item_id""")
 def search_bench(spark, sf_dir):
     q = _queries(spark, sf_dir)
-    b = R.search_bench(R.hybrid_search(q, _chunks(spark, sf_dir), 5), q)
+    b = R.search_bench(R.hybrid_search(q, _texts(spark, sf_dir), 5, vectors=_vectors(spark, sf_dir)), q)
     return b.select("query_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), "|").alias("ids"), F.coalesce(F.array_max("scores"), F.lit(0.0)).alias("best"))
 
 
@@ -121,7 +132,7 @@ def quiz_pick(spark, sf_dir):
     n as (select *, row_number() over (partition by query_id, resource_id, page_number order by turn, source_offset, chunk_id) as n from t), p as (select *, row_number() over (partition by query_id order by turn, source_offset, chunk_id)::int as place from n where n <= 4)
     select query_id, chunk_id, place from p where place <= 8""")
 def tutor_retrieval(spark, sf_dir):
-    return R.tutor_retrieve(_queries(spark, sf_dir), _chunks(spark, sf_dir), ROLES, k=3)
+    return R.tutor_retrieve(_queries(spark, sf_dir), _texts(spark, sf_dir), ROLES, k=3, vectors=_vectors(spark, sf_dir))
 
 
 @add(f"""with recursive {_HITS.replace('rank <= 50)', 'rank <= 12)')}, rel as (select * from hits where score >= 0.35 or sim >= 0.3 or bm25 >= 0.15),

@@ -64,3 +64,27 @@ def test_substring_pairs_never_become_rows(spark):
     assert dict(hits.dtypes)["chunk_id"] == "int"
     assert "NestedLoopJoin" not in hits._jdf.queryExecution().executedPlan().toString()
     assert R.substring_search(asked.where(F.lit(False)), chunks, 4).count() == 0
+
+
+def test_vectors_by_themselves_give_the_same_hits_without_a_sort_of_texts(spark):
+    from pyspark.sql import functions as F
+
+    from studyweave.operators import retrieval as R
+
+    words = "heat flux entropy field wave".split()
+    rng = random.Random(2)
+    rows = [(c, "r", c % 4, " ".join(rng.choices(words, k=9)), [rng.random(), rng.random()] if c % 3 else None) for c in range(60)]
+    whole = spark.createDataFrame(rows, "chunk_id long, resource_id string, page_number int, full_text string, embedding array<double>")
+    asked = spark.createDataFrame([(1, "heat wave", [1.0, 0.2]), (2, "flux", None)], "query_id long, text string, embedding array<double>")
+    vectors = whole.select("chunk_id", "embedding").where("embedding is not null")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = R.hybrid_search(asked, whole.drop("embedding"), 7, vectors=vectors)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(hits.collect()) == sorted(R.hybrid_search(asked, whole, 7).collect())
+        extra = whole.select("chunk_id", F.left("full_text", F.lit(5)).alias("snippet"))
+        assert sorted(R.with_chunks(hits, extra).collect()) == sorted(hits.join(extra, "chunk_id").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
