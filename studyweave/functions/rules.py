@@ -206,3 +206,9 @@ SNIPPET_CONFIDENCE = 0.5
 AGENT_KEYS = {"study-plan": [], "daily-quiz": ["concepts"], "doubt": ["question"], "analysis": ["user_id"], "tutor": ["message", "user_id"], "mock": []}
 # A variable: a name with an optional subscript and power.
 VARIABLE = r"\\?([a-zA-Z]+)(?:_\{?([a-zA-Z0-9]+)\}?)?(?:\^(\{[^}]+\}|[^\\\s,})]+))?"
+# Signs without which a pattern finds nothing; those of references in lower case.
+SIGNS = {
+    **dict(zip(LATEX_PATTERNS, (["\\begin{equation"], ["\\begin{align"], ["\\begin{eqnarray"], ["\\begin{gather"], ["\\["], ["$$"], ["\\("], ["$"]))),
+    **dict(zip(FORMULA_PATTERNS, (["\\begin{equation}"], ["\\begin{align}"], ["\\begin{eqnarray}"], ["$$"], ["$"], ["="], ["(", "="]))),
+    **dict(zip((p for _, _, ps in REFERENCES for p in ps), (["eq"], ["("], ["["], ["fig"], ["tab"], ["sec"], ["chapter"]))),
+}

@@ -37,7 +37,7 @@ def truthy(value: Column, kind: str = "string") -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\f"))
 
 
 def words(text: Column) -> Column:
@@ -51,7 +51,8 @@ def token_count(text: Column, least: int = 1) -> Column:
 
 def sentences(text: Column) -> Column:
     """Stripped, non-empty sentences: white space after . ! ? or a line break separates them."""
-    return F.filter(F.transform(F.split(text, rf"(?<=[.!?\n]){WS}+"), strip), lambda s: s != "")
+    # the class comes first: few characters are white space, and only at those the engine looks behind
+    return F.filter(F.transform(F.split(text, rf"{WS}(?<=[.!?\n]{WS}){WS}*"), strip), lambda s: s != "")
 
 
 def pedagogy_role(text: Column, title: Column | None = None) -> Column:
@@ -72,9 +73,18 @@ def formula_type(equation: Column) -> Column:
     return ladder(equation, rules.FORMULA_LADDER, "algebraic")
 
 
+def signed(text: Column, signs: Sequence[str], found: Column) -> Column:
+    """``found`` (an array of strings) where the text holds all signs without which a pattern finds nothing; plain
+    searches for these are far cheaper than the pattern. Null texts give what ``found`` is for them."""
+    holds = text.contains(signs[0])
+    for s in signs[1:]:
+        holds = holds & text.contains(s)
+    return F.when(~holds, F.array().cast("array<string>")).otherwise(found)
+
+
 def latex_formulas(text: Column) -> Column:
     """Stripped formula bodies in order of the patterns, each once."""
-    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in rules.LATEX_PATTERNS)))
+    found = F.flatten(F.array(*(signed(text, rules.SIGNS[p], F.regexp_extract_all(text, F.lit(p), F.lit(1))) for p in rules.LATEX_PATTERNS)))
     return F.array_distinct(F.filter(F.transform(found, strip), lambda f: f != ""))
 
 
@@ -94,7 +104,7 @@ def cross_references(text: Column) -> Column:
     """Struct of sorted, distinct references per kind."""
 
     def found(written: str, patterns: list[str]) -> Column:
-        hits = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns)))
+        hits = F.flatten(F.array(*(signed(F.lower(text), rules.SIGNS[p], F.regexp_extract_all(text, F.lit(p), F.lit(1))) for p in patterns)))
         return F.array_sort(F.array_distinct(F.transform(hits, lambda h: F.concat(F.lit(written), h))))
 
     return F.struct(*(found(written, patterns).alias(kind) for kind, written, patterns in rules.REFERENCES))
@@ -139,7 +149,7 @@ ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċč
 def canonical_name(name: Column) -> Column:
     """Lower case, accents off, other signs and hyphens as single blanks."""
     plain = F.translate(F.lower(strip(F.coalesce(name, F.lit("")))), *ACCENTS)
-    return strip(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", " "), " +", " "))
+    return strip(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
 def is_noise_concept(name: Column) -> Column:
@@ -246,6 +256,8 @@ def token_cost(tokens: Column, model: Column) -> Column:
 def weighted_tokens(heading: Column, body: Column, tags: Column) -> Column:
     """Words of a chunk with the weight of where they stand: A heading, B body, C tags."""
     def part(source, weight):
-        return F.transform(F.regexp_extract_all(F.lower(F.coalesce(source, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight")))
+        # words are made distinct before they are structs, which Spark would compare each with each
+        words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(source, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+        return F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight")))
 
-    return F.array_distinct(F.concat(part(heading, "A"), part(body, "B"), part(tags, "C")))
+    return F.concat(part(heading, "A"), part(body, "B"), part(tags, "C"))

@@ -62,8 +62,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every document: doc_id, idx, chunk_id, page_number, source_offset, full_text, section_title,
     section_level, key_concepts, prerequisites, topic."""
     # a document's sentences are grouped while still one row, so no shuffle is needed
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.coalesce("text", F.lit(""))).alias("l")).where("size(l) > 0")
-    starts = F.sequence(F.lit(0), F.floor((F.size("l") - 1) / CHUNK_SENTENCES).cast("int"))
+    # and no filter on their number, which would cut every text twice: Spark moves it below the cutting
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.coalesce("text", F.lit(""))).alias("l"))
+    starts = F.when(F.size("l") > 0, F.sequence(F.lit(0), F.floor((F.size("l") - 1) / CHUNK_SENTENCES).cast("int"))).otherwise(F.array().cast("array<int>"))
     cut = docs.select("doc_id", F.explode(F.transform(starts, lambda i: F.struct(i.alias("idx"), F.array_join(F.slice("l", i * CHUNK_SENTENCES + 1, CHUNK_SENTENCES), " ").alias("body")))).alias("c"))
     cues = F.array(*(F.struct(F.lit(c).alias("cue"), F.lit(t).alias("title"), F.lit(n).alias("level")) for c, t, n in CUES))
     cue = F.element_at(cues, ((F.col("doc_id") + F.col("idx")) % len(CUES) + 1).cast("int"))
