@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,69 +100,114 @@ def block_steps(counts: list[int], cuts: list[bool], before: list[int], least: i
 def semantic_chunks(sentences: DataFrame, threshold: float = 0.65, least: int = 60, most: int = 240, overlap: int = 1, block: int = BLOCK) -> DataFrame:
     """(doc_id, idx, source_offset, full_text) from (doc_id, pos, sentence, embedding), the spans of :func:`semantic_spans`.
 
-    A document's sentences are dealt over tasks in blocks. A chunk that reaches a block is known by its tokens so
-    far, of which at most ``most`` matter, so that a block is a table of what leaves it for each of these numbers.
-    Only the tables of a document's blocks meet in one task, where they are followed from the first on; then each
-    block makes its cuts. Sentences meet again per chunk. Null embeddings count as different neighbours.
+    A document's sentences are dealt over tasks in blocks. Most documents are one block, which is cut at once. For
+    others, a chunk that reaches a block is known by its tokens so far, of which at most ``most`` matter, so that a
+    block is a table of what leaves it for each of these numbers. Only the tables of a document's blocks meet in one
+    task, where they are followed from the first on; then each block makes its cuts, and chunks that reach over a
+    border are put together. Null embeddings count as different neighbours.
     """
     from pyspark.sql import Window as W
 
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id")  # joins keep a null id's sentences
-    rows = sentences.select(doc, "pos", "sentence", "embedding", F.floor(F.col("pos") / block).cast("int").alias("block"), T.token_count(F.col("sentence")).cast("int").alias("n"))
+    rows = sentences.select(doc, "pos", "sentence", F.struct("embedding", T.length_of(F.col("embedding")).alias("length")).alias("v"), F.floor(F.col("pos") / block).cast("int").alias("block"), T.token_count(F.col("sentence")).cast("int").alias("n"))
+    near = lambda u, v: T.cosine(u["embedding"], v["embedding"], u["length"], v["length"])
     place = W.partitionBy("doc_id", "block").orderBy("pos")
-    # a block's neighbours: its successor's first vector, the counts before it, where it begins
-    edges = rows.groupBy("doc_id", "block").agg(F.min_by("embedding", "pos").alias("first"), F.slice(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"])), 1, overlap).alias("last"), F.sum(F.length("sentence") + 1).alias("chars"), F.count("*").alias("size"))
-    row = W.partitionBy("doc_id").orderBy("block")
-    earlier = F.flatten(F.reverse(F.collect_list("last").over(row.rowsBetween(-max(1, overlap), -1))))
-    sums = {c: F.coalesce(F.sum(s).over(row.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) for c, s in (("begin", "chars"), ("rank", "size"))}
-    edges = edges.select("doc_id", "block", F.lead("first").over(row).alias("next"), F.lead(F.lit(1)).over(row).isNull().alias("final"), F.reverse(F.slice(earlier, 1, overlap)).alias("before"), *(v.alias(c) for c, v in sums.items()))
     inner = F.sum(F.length("sentence") + 1).over(place.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.select("doc_id", "block", "sentence", "n", "embedding", F.lead("embedding").over(place).alias("after"), (F.row_number().over(place) - 1).alias("row"), F.coalesce(inner, F.lit(0)).alias("at"), F.lead(F.lit(1)).over(place).isNull().alias("closes"))
-    rows = rows.join(edges, ["doc_id", "block"])
-    follows = F.when(F.col("closes"), F.col("next")).otherwise(F.col("after"))
-    near = T.cosine(F.col("embedding"), follows)
-    last = F.col("closes") & F.col("final")
-    rows = staged(rows.select("doc_id", "block", (F.col("rank") + F.col("row")).alias("rank"), (F.col("begin") + F.col("at")).alias("at"), "sentence", "n", F.coalesce(~last & (near < threshold), F.lit(False)).alias("differs"), "before"), "sentences")
-    narrow = rows.select("doc_id", "block", "rank", "n", "differs", "before")
+    rows = rows.select("doc_id", "block", "sentence", "n", "v", F.lead("v").over(place).alias("after"), (F.row_number().over(place) - 1).alias("row"), F.coalesce(inner, F.lit(0)).alias("at"), F.lead(F.lit(1), max(1, overlap)).over(place).isNull().alias("tail"))
+    # a block's first and last sentences keep their vectors: what its neighbours need to know of it
+    edge = F.col("tail") | (F.col("row") == 0)
+    rows = staged(rows.select("doc_id", "block", "row", "at", "sentence", "n", (near(F.col("v"), F.col("after")) < threshold).alias("differs"), F.col("after").isNull().alias("closes"), edge.alias("edge"), F.when(edge, F.col("v")).alias("v")), "sentences")
+    edges = rows.where("edge").groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("row", "n", "at", "sentence", "v"))).alias("e"))
+    row = W.partitionBy("doc_id").orderBy("block")
+    first, last, size = F.get("e", F.lit(0)), F.element_at("e", -1), F.size("e")
+    begin = F.coalesce(F.sum(last["at"] + F.coalesce(F.length(last["sentence"]) + 1, F.lit(0))).over(row.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edges = edges.select("doc_id", "block", "e", begin.alias("begin"), F.lead(first["v"]).over(row).alias("next"), F.lead(F.lit(1)).over(row).isNull().alias("final"), F.count("*").over(W.partitionBy("doc_id")).alias("blocks"))
+    # most documents are one block, of which nothing else has to be known
+    edges = edges.where("blocks > 1")
+    tail = F.transform(F.slice("e", F.greatest(F.lit(1), size - overlap + 1), overlap), lambda x: F.struct(x["n"].alias("n"), (x["at"] + F.col("begin")).alias("at"), x["sentence"].alias("sentence")))
+    earlier = F.flatten(F.collect_list("tail").over(row.rowsBetween(-max(1, overlap), -1)))
+    edges = edges.withColumn("tail", tail).withColumn("earlier", earlier)
+    before = F.slice("earlier", F.greatest(F.lit(1), F.size("earlier") - overlap + 1), overlap)
+    edges = staged(edges.select("doc_id", "block", "begin", "final", before.alias("before"), (~F.col("final") & (near(last["v"], F.col("next")) < threshold)).alias("turns")), "block-edges")
+    narrow = rows.select("doc_id", "block", "row", "n", "differs", "closes").join(edges.where("not final").select("doc_id", "block", "turns", F.transform("before", lambda x: x["n"]).alias("before")), ["doc_id", "block"])
+    narrow = narrow.select("doc_id", "block", "row", "n", F.when(F.col("closes"), F.col("turns")).otherwise(F.col("differs")).alias("differs"), "before")
 
     def steps(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank")
+        group = group.sort_values("row")
         tokens, made = block_steps(group["n"].tolist(), group["differs"].tolist(), list(group["before"].iloc[0]), least, most, overlap)
         return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1], "block": group["block"].iloc[:1], "tokens": [tokens], "made": [made]})
 
     def follow(blocks: pd.DataFrame) -> pd.DataFrame:
         blocks = blocks.sort_values("block")
         t, k, entries = 0, 0, []
-        for tokens, made in zip(blocks["tokens"], blocks["made"]):
-            entries.append((t, k))
-            t, k = int(tokens[t]), k + int(made[t])
-        return pd.DataFrame({"doc_id": blocks["doc_id"], "block": blocks["block"], "t": [e[0] for e in entries], "k": [e[1] for e in entries]})
+        for block, tokens, made in zip(blocks["block"], blocks["tokens"], blocks["made"]):
+            entries.append((block, t, k))
+            if tokens is not None:  # the last block has no table, for nothing follows it
+                t, k = int(tokens[t]), k + int(made[t])
+        return pd.DataFrame({"doc_id": blocks["doc_id"].iloc[0], "block": [e[0] for e in entries], "t": [e[1] for e in entries], "k": [e[2] for e in entries]})
 
     tables = narrow.groupBy("doc_id", "block").applyInPandas(steps, "doc_id string, block int, tokens array<int>, made array<int>")
-    entries = tables.groupBy("doc_id").applyInPandas(follow, "doc_id string, block int, t int, k int")
-
-    def mark(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank")
-        t, k, seen, idx = int(group["t"].iloc[0]), int(group["k"].iloc[0]), list(group["before"].iloc[0]), []
-        for n, differs in zip(group["n"], group["differs"]):
-            idx.append(k)
-            seen.append(n)
-            t += n
-            if t >= most or (differs and t >= least):
-                t, k = (sum(seen[len(seen) - overlap :]) if len(seen) >= overlap else 0), k + 1
-                idx[-1] = -k  # the last sentence of chunk k - 1
-        return pd.DataFrame({"doc_id": group["doc_id"], "rank": group["rank"], "mark": idx})
-
-    marks = narrow.join(entries, ["doc_id", "block"]).groupBy("doc_id", "block").applyInPandas(mark, "doc_id string, rank long, mark int")
-    marks = staged(marks, "marks")
-    own = marks.select("doc_id", "rank", F.when(F.col("mark") < 0, -F.col("mark") - 1).otherwise(F.col("mark")).alias("idx"))
-    # the next chunk takes the last sentences of this one again
-    again = marks.where((F.col("mark") < 0) & (F.col("rank") + 1 >= overlap)) if overlap else marks.limit(0)
-    again = again.select("doc_id", F.explode(F.sequence(F.col("rank") + 1 - max(1, overlap), F.col("rank"))).alias("rank"), (-F.col("mark")).alias("idx"))
-    member = rows.select("doc_id", "rank", "at", "sentence").join(own.union(again), ["doc_id", "rank"])
-    parts = F.array_sort(F.collect_list(F.struct("rank", "sentence")))
-    out = member.groupBy("doc_id", "idx").agg(F.min("at").cast("int").alias("source_offset"), F.array_join(F.transform(parts, lambda x: x["sentence"]), " ").alias("full_text"))
-    return out.withColumn("doc_id", F.expr("try_cast(doc_id as long)"))
+    ends = edges.where("final").select("doc_id", "block", F.lit(None).cast("array<int>").alias("tokens"), F.lit(None).cast("array<int>").alias("made"))
+    entries = tables.unionByName(ends).groupBy("doc_id").applyInPandas(follow, "doc_id string, block int, t int, k int")
+
+    # a block of several is headed by a row that tells how it is entered
+    header = edges.join(entries, ["doc_id", "block"]).select("doc_id", "block", F.lit(-1).alias("row"), F.struct("t", "k", "begin", "before", "turns").alias("enters"))
+    both = rows.select("doc_id", "block", "row", "at", "sentence", "n", F.when(~F.col("closes"), F.col("differs")).alias("differs")).unionByName(header, allowMissingColumns=True)
+    pieces = both.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "row").mapInArrow(_pieces(least, most, overlap), _PIECE)
+    pieces = staged(pieces, "pieces")
+    parts = F.array_sort(F.collect_list(F.struct("at", "text")))
+    met = pieces.where("open").groupBy("doc_id", "idx").agg(F.min("at").alias("at"), F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text"))
+    out = pieces.where("not open").select("doc_id", "idx", "at", "text").unionByName(met)
+    return out.select(F.expr("try_cast(doc_id as long)").alias("doc_id"), "idx", F.col("at").cast("int").alias("source_offset"), F.col("text").alias("full_text"))
+
+
+_PIECE = "doc_id string, idx int, at long, text string, open boolean"
+
+
+def _pieces(least: int, most: int, overlap: int):
+    """Chunks, or parts of chunks (open) that reach over a block's border, from sentences sorted by (doc_id, block, row)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, out = None, []
+        t = k = begin = 0
+        seen, parts = [], []  # the last sentences up to here, and those of the open chunk
+        several = opens = turns = False
+
+        def close(is_open: bool) -> None:
+            if parts:
+                out.append((here[0], k, parts[0][1], " ".join(s for _, _, s in parts if s is not None), is_open))
+
+        def taken() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.bool_())
+            columns = list(zip(*out)) if out else [()] * len(kinds)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds)], [x.split()[0] for x in _PIECE.split(", ")])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for doc, block, row, at, sentence, n, differs, enters in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "block", "row", "at", "sentence", "n", "differs", "enters"))):
+                if (doc, block) != here:
+                    close(several)
+                    here, t, k, begin, seen, parts, several, opens, turns = (doc, block), 0, 0, 0, [], [], False, False, False
+                if row < 0:
+                    t, k, begin, turns, several, opens = enters["t"], enters["k"], enters["begin"], enters["turns"], True, True
+                    seen = [(x["n"], x["at"], x["sentence"]) for x in enters["before"]]
+                    continue
+                parts.append((n, at + begin, sentence))
+                if overlap:
+                    seen.append(parts[-1])
+                    del seen[:-overlap]
+                t += n
+                if t >= most or ((turns if differs is None else differs) and t >= least):
+                    close(opens)
+                    parts = seen[:] if overlap and len(seen) >= overlap else []
+                    t, k, opens = sum(x[0] for x in parts), k + 1, False
+            yield taken()
+        close(several)
+        if out:
+            yield taken()
+
+    return run
 
 
 def size_limits(kind: Column) -> Column:

@@ -25,6 +25,21 @@ def test_texts_are_cut_into_sentences_once(spark):
     assert plan(chunks(spark, SF)).count("split(coalesce(text") == 1
 
 
+def test_one_block_documents_need_no_tables(spark, monkeypatch):
+    """Only the blocks of documents of several blocks are told to each other."""
+    rows, staged = {}, chunking.staged
+
+    def counted(df, tag):
+        out = staged(df, tag)
+        rows[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(chunking, "staged", counted)
+    df = spark.createDataFrame([(d, k, f"some words {k}", [1.0, float(k)]) for d in range(5) for k in range(3 if d else 9)], "doc_id long, pos int, sentence string, embedding array<double>")
+    assert chunking.semantic_chunks(df, block=4).count() == 5
+    assert rows["block-edges"] == 3  # of the one document with nine sentences
+
+
 def test_index_words_are_made_distinct_as_strings(spark):
     """Spark compares structs each with each."""
     assert "array_distinct(concat" not in plan(catalog.queries()["search_index"](spark, SF))
