@@ -30,23 +30,36 @@ class ChunkPlan:
     formulas: bool = False
 
 
-def pack_sentences(sentences: Column, max_tokens: Column | int) -> Column:
-    """Array of chunk texts: sentences joined while they stay within ``max_tokens``; a longer one stands alone.
+def packed_spans(sentences: Column, max_tokens: Column | int) -> Column:
+    """Array of structs (begin, chunk): sentences joined while they stay within ``max_tokens``; a longer one stands alone.
+    ``begin`` is the sum of the lengths of the chunks before.
 
     The fold only keeps where chunks start; texts are joined once. ``sentences`` should be a column, for it is read
     for every chunk.
     """
     most = F.lit(max_tokens) if isinstance(max_tokens, int) else max_tokens
-    start = F.struct(F.lit(0).alias("tokens"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("starts"))
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("begin"))
+    # chars: of the chunks up to here, the open one with a blank at its end
+    start = F.struct(F.lit(0).alias("tokens"), F.lit(0).alias("at"), F.lit(0).alias("chars"), F.array(first).alias("starts"))
+
+    def step(acc, s):
+        full = (acc["at"] > F.element_at(acc["starts"], -1)["at"]) & (acc["tokens"] + s["n"] > most)
+        return F.struct(
+            F.when(full, s["n"]).otherwise(acc["tokens"] + s["n"]).alias("tokens"), (acc["at"] + 1).alias("at"), (acc["chars"] + s["size"] + F.when(full, 0).otherwise(1)).alias("chars"),
+            F.when(full, F.array_append(acc["starts"], F.struct(acc["at"].alias("at"), (acc["chars"] - 1).alias("begin")))).otherwise(acc["starts"]).alias("starts"),
+        )
+
+    measured = F.transform(sentences, lambda s: F.struct(F.size(T.words(s)).alias("n"), F.length(s).alias("size")))
+    starts = F.aggregate(measured, start, step, lambda acc: acc["starts"])
+    # each start with the next one
+    spans = F.zip_with(starts, F.transform(F.slice(starts, 2, F.size(sentences)), lambda s: s["at"]), lambda a, b: F.struct(a["at"].alias("a"), F.coalesce(b, F.size(sentences)).alias("b"), a["begin"].alias("begin")))
+    chunk = lambda s: F.array_join(F.slice(sentences, s["a"] + 1, s["b"] - s["a"]), " ")
+    return F.when(F.size(sentences) > 0, F.transform(spans, lambda s: F.struct(s["begin"].alias("begin"), chunk(s).alias("chunk")))).otherwise(F.array().cast("array<struct<begin:int,chunk:string>>"))
 
-    def step(acc, n):
-        full = (acc["at"] > F.element_at(acc["starts"], -1)) & (acc["tokens"] + n > most)
-        return F.struct(F.when(full, n).otherwise(acc["tokens"] + n).alias("tokens"), (acc["at"] + 1).alias("at"), F.when(full, F.array_append(acc["starts"], acc["at"])).otherwise(acc["starts"]).alias("starts"))
 
-    starts = F.aggregate(F.transform(sentences, lambda s: F.size(T.words(s))), start, step, lambda acc: acc["starts"])
-    # each start with the next one
-    spans = F.zip_with(starts, F.slice(starts, 2, F.size(sentences)), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.size(sentences)).alias("b")))
-    return F.when(F.size(sentences) > 0, F.transform(spans, lambda s: F.array_join(F.slice(sentences, s["a"] + 1, s["b"] - s["a"]), " "))).otherwise(F.array().cast("array<string>"))
+def pack_sentences(sentences: Column, max_tokens: Column | int) -> Column:
+    """The chunk texts of :func:`packed_spans`."""
+    return F.transform(packed_spans(sentences, max_tokens), lambda s: s["chunk"])
 
 
 def split_documents(docs: DataFrame, max_tokens: int = 500) -> DataFrame:
@@ -222,7 +235,7 @@ _FORMULAS = [re.compile(p) for p in rules.FORMULA_PATTERNS]
 def formula_spans(text: str) -> list[tuple[int, int]]:
     """Formulas in order; those that overlap or touch are one."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted(m.span() for p in _FORMULAS for m in p.finditer(text)):
+    for a, b in sorted(m.span() for p in _FORMULAS if all(s in text for s in rules.SIGNS[p.pattern]) for m in p.finditer(text)):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -240,46 +253,57 @@ def _around(text: str, a: int, b: int, room: int = 200) -> tuple[int, int]:
     return before.end() if before else low, after.end() if after else high
 
 
-def _formula_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for key, text, most in zip(batch["key"], batch["text"], batch["most"]):
-            found, end = formula_spans(text), 0
-            for k, (a, b) in enumerate(found):
-                low, end = _around(text, a, b)
-                piece = text[low:end]
-                if len(piece.split()) > most:
-                    piece = text[max(0, a - 100) : b + 100]
-                rows.append((key, k, low, end, True, piece.strip()))
-            if found and text[end:].strip():
-                rows.append((key, len(found), end, len(text), False, text[end:].strip()))
-        yield pd.DataFrame(rows, columns=["key", "idx", "begin", "stop", "has_formula", "chunk"])
+def _formula_chunks(keep: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text, most, *more in zip(batch["text"], batch["most"], *(batch[c] for c in keep)):
+                found, end = formula_spans(text), 0
+                for k, (a, b) in enumerate(found):
+                    low, end = _around(text, a, b)
+                    piece = text[low:end]
+                    if len(piece.split()) > most:
+                        piece = text[max(0, a - 100) : b + 100]
+                    rows.append((*more, k, low, end, True, piece.strip()))
+                if found and text[end:].strip():
+                    rows.append((*more, len(found), end, len(text), False, text[end:].strip()))
+            yield pd.DataFrame(rows, columns=[*keep, "idx", "begin", "stop", "has_formula", "chunk"])
+
+    return run
 
 
 def _has_formula() -> Column:
     test = F.lit(False)
     for p in rules.FORMULA_PATTERNS:
-        test = test | F.col("text").rlike("(?U)" + p)
+        found = F.col("text").rlike("(?U)" + p)
+        for s in rules.SIGNS[p]:  # looked for before the pattern
+            found = F.col("text").contains(s) & found
+        test = test | found
     return test
 
 
 def _split(texts: DataFrame, formulas: bool = True) -> DataFrame:
-    """(key, idx, begin, stop, has_formula, chunk) from (key long, text, most): every formula whole with its
-    surroundings, and the rest after the last; texts without formulas are packed by sentences, begin and stop being
-    sums of chunk lengths."""
+    """All but text, most and whole of ``texts``, with idx, begin, stop, has_formula and chunk: every formula whole with
+    its surroundings, and the rest after the last; texts without formulas are packed by sentences, begin and stop being
+    sums of chunk lengths. Those that are ``whole`` (a column) are one chunk and hold no formula that counts."""
+    keep = [c for c in texts.columns if c not in ("text", "most", "whole")]
     test = _has_formula() if formulas else F.lit(False)
-    plain = texts.where(~test).select("key", "most", T.sentences(F.col("text")).alias("ss")).select("key", pack_sentences(F.col("ss"), F.col("most")).alias("c"))
-    plain = plain.select("key", "c", F.posexplode("c").alias("idx", "chunk"))
-    begin = F.aggregate(F.slice("c", 1, F.col("idx")), F.lit(0), lambda n, s: n + F.length(s))
-    packed = plain.select("key", "idx", begin.alias("begin"), (begin + F.length("chunk")).alias("stop"), F.lit(False).alias("has_formula"), "chunk")
+    sentences = F.when(F.col("whole"), F.array().cast("array<string>")).otherwise(T.sentences(F.col("text")))
+    alone = F.array(F.struct(F.lit(0).alias("begin"), F.col("text").alias("chunk")))
+    plain = texts.where(~test).select(*keep, "text", "most", "whole", sentences.alias("ss"))
+    plain = plain.select(*keep, F.posexplode(F.when(F.col("whole"), alone).otherwise(packed_spans(F.col("ss"), F.col("most")))).alias("idx", "c"))
+    begin, chunk = F.col("c.begin"), F.col("c.chunk")
+    packed = plain.select(*keep, "idx", begin.alias("begin"), (begin + F.length(chunk)).alias("stop"), F.lit(False).alias("has_formula"), chunk.alias("chunk"))
     if not formulas:
         return packed
-    return texts.where(test).select("key", "text", "most").mapInPandas(_formula_chunks, "key long, idx int, begin int, stop int, has_formula boolean, chunk string").union(packed)
+    types = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
+    ddl = ", ".join(f"{c} {types[c]}" for c in keep)
+    return texts.where(test).select(*keep, "text", "most").mapInPandas(_formula_chunks(keep), f"{ddl}, idx int, begin int, stop int, has_formula boolean, chunk string").union(packed)
 
 
 def formula_aware_split(docs: DataFrame, max_tokens: int = 500) -> DataFrame:
     """(doc_id, idx, begin, stop, has_formula, chunk) of every text; see :func:`_split`."""
-    return _split(docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.lit(max_tokens).alias("most"))).withColumnRenamed("key", "doc_id")
+    return _split(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(max_tokens).alias("most"), F.lit(False).alias("whole")))
 
 
 def unit_chunks(units: DataFrame, plan: ChunkPlan = ChunkPlan()) -> DataFrame:
@@ -292,14 +316,10 @@ def unit_chunks(units: DataFrame, plan: ChunkPlan = ChunkPlan()) -> DataFrame:
     """
     limits = size_limits(F.col("kind") if plan.content_aware else F.lit("unknown"))["most"]
     text = T.strip(F.substring("page", F.col("start") + 1, F.col("stop") - F.col("start")))
-    rows = units.where("stop > start and start >= 0").select("unit_id", "start", "kind", text.alias("text"), limits.alias("most")).where(F.length("text") >= LEAST_CHARS)
-    whole = F.size(T.words(F.col("text"))) <= F.col("most")
-    if plan.preserve_formulas:
-        whole = whole & ~_has_formula()
-    rows = rows.withColumn("whole", whole)
-    alone = rows.where("whole").select("unit_id", F.lit(0).alias("idx"), F.lit(0).alias("begin"), F.lit(False).alias("has_formula"), F.col("text").alias("chunk"))
-    cut = _split(rows.where("not whole").select(F.col("unit_id").alias("key"), "text", "most"), plan.preserve_formulas)
-    both = alone.union(cut.select("key", "idx", "begin", "has_formula", "chunk")).join(units.select("unit_id", "start", "kind"), "unit_id")
+    rows = units.where("stop > start and start >= 0 and unit_id is not null").select("unit_id", "start", "kind", F.explode(F.array(text)).alias("text"), limits.alias("most")).where(F.length("text") >= LEAST_CHARS)
+    # a text is a generated row of its own, or Spark would cut it from its page anew for each filter below;
+    # start and kind go along with the text: no join brings them back
+    both = _split(rows.withColumn("whole", F.size(T.words(F.col("text"))) <= F.col("most")), plan.preserve_formulas)
     out = both.select(
         "unit_id", "idx", (F.col("start") + F.col("begin")).alias("source_offset"), F.size(T.words(F.col("chunk"))).alias("token_count"), F.col("has_formula").alias("has_equation"), F.coalesce("kind", F.lit("unknown")).alias("content_type"),
         F.left("chunk", F.lit(300)).alias("text_snippet"), F.col("chunk").alias("full_text"),

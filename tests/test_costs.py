@@ -40,6 +40,19 @@ def test_one_block_documents_need_no_tables(spark, monkeypatch):
     assert rows["block-edges"] == 3  # of the one document with nine sentences
 
 
+def test_planned_chunks_are_not_joined(spark):
+    p = plan(catalog.queries()["planned_chunks"](spark, SF))
+    assert "Join" not in p and "substring(page" in p
+
+
+def test_formula_patterns_wait_for_their_signs(spark):
+    """The patterns run only on texts that hold an equals sign, a dollar sign or an environment."""
+    df = spark.createDataFrame([(1, "plain words. " * 3), (2, "f(x) = 3 holds here"), (3, None)], "doc_id long, text string")
+    p = plan(chunking.formula_aware_split(df, 5))
+    assert "Contains(" in p and "aggregate(slice(" not in p
+    assert [(r.doc_id, r.begin, r.has_formula) for r in chunking.formula_aware_split(df, 5).orderBy("doc_id", "begin").collect()] == [(1, 0, False), (1, 25, False), (2, 0, True)]
+
+
 def test_index_words_are_made_distinct_as_strings(spark):
     """Spark compares structs each with each."""
     assert "array_distinct(concat" not in plan(catalog.queries()["search_index"](spark, SF))
