@@ -303,7 +303,10 @@ def concept_buckets(concepts: DataFrame) -> DataFrame:
 
 
 def _formulas(chunks: DataFrame) -> DataFrame:
-    found = chunks.select("doc_id", "chunk_id", "key_concepts", F.explode("formulas").alias("latex"))
+    return _identified(chunks.select("doc_id", "chunk_id", "key_concepts", F.explode("formulas").alias("latex")))
+
+
+def _identified(found: DataFrame) -> DataFrame:
     return found.withColumn("id", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "latex"), 256))
 
 
@@ -317,11 +320,15 @@ def formula_graph(chunks: DataFrame, fan_out: int = 3) -> DataFrame:
 
     ``chunks``: doc_id, chunk_id, key_concepts, formulas and figures (arrays).
     """
-    found = _formulas(chunks)
-    figures = chunks.select("chunk_id", "key_concepts", F.explode("figures").alias("label"), "doc_id").withColumn("id", F.concat_ws(":", F.col("doc_id").cast("string"), "label"))
+    marked_as = lambda kind, found: F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("label")))
+    marks = F.concat(marked_as("formula", "formulas"), marked_as("figure", "figures"))
+    # texts are searched once; all edges come from what was found
+    marked = staged(chunks.select("doc_id", "chunk_id", F.slice("key_concepts", 1, fan_out).alias("key_concepts"), F.explode(marks).alias("m")).select("doc_id", "chunk_id", "key_concepts", "m.kind", "m.label"), "formulas-and-figures")
+    found = _identified(marked.where("kind = 'formula'").withColumnRenamed("label", "latex"))
+    figures = marked.where("kind = 'figure'").withColumn("id", F.concat_ws(":", F.col("doc_id").cast("string"), "label"))
     edge = lambda rows, kind, src, dst: rows.select(F.lit(kind).alias("type"), F.col(src).alias("src"), dst.alias("dst"))
-    concepts = F.explode(F.slice("key_concepts", 1, fan_out))
-    variable = formula_nodes(chunks).select("id", F.explode("variables").alias("symbol"))
+    concepts = F.explode("key_concepts")
+    variable = found.select("id", "latex").distinct().select("id", F.explode(T.variables(F.col("latex"))).alias("symbol"))
     parts = [
         edge(found, "HAS_FORMULA", "chunk_id", F.col("id")), edge(found, "ABOUT", "id", concepts), edge(variable, "HAS_VARIABLE", "id", F.left(F.sha2(F.concat_ws(":", "id", "symbol"), 256), F.lit(16))),
         edge(figures, "HAS_FIGURE", "chunk_id", F.col("id")), edge(figures, "ILLUSTRATES", "id", concepts),

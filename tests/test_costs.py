@@ -56,3 +56,7 @@ def test_formula_patterns_wait_for_their_signs(spark):
 def test_index_words_are_made_distinct_as_strings(spark):
     """Spark compares structs each with each."""
     assert "array_distinct(concat" not in plan(catalog.queries()["search_index"](spark, SF))
+
+
+def test_formula_graph_searches_texts_once(spark):
+    assert "documents.parquet" not in plan(catalog.queries()["formula_graph"](spark, SF))
