@@ -292,8 +292,10 @@ def pedagogy_relations(chunks: DataFrame, items: str = "relations") -> DataFrame
 
     ``items``: array of structs type, source, target, confidence.
     """
-    rows = chunks.select("chunk_id", F.explode(items).alias("r")).select("chunk_id", F.upper("r.type").alias("type"), T.canonical_name(F.col("r.source")).alias("source"), T.canonical_name(F.col("r.target")).alias("target"), F.col("r.confidence").alias("confidence"))
-    return rows.where("source <> '' and target <> '' and source <> target").groupBy("chunk_id", "type", "source", "target").agg(F.max("confidence").alias("confidence"))
+    ends = F.transform(items, lambda r: F.struct(F.upper(r["type"]).alias("type"), T.canonical_name(r["source"]).alias("source"), T.canonical_name(r["target"]).alias("target"), r["confidence"].alias("confidence")))
+    # filtered within the array: Spark would move a filter on rows below the names and make each of them again for it
+    kept = F.filter(ends, lambda r: (r["source"] != "") & (r["target"] != "") & (r["source"] != r["target"]))
+    return chunks.select("chunk_id", F.explode(kept).alias("r")).select("chunk_id", "r.*").groupBy("chunk_id", "type", "source", "target").agg(F.max("confidence").alias("confidence"))
 
 
 def concept_buckets(concepts: DataFrame) -> DataFrame:

@@ -58,5 +58,9 @@ def test_index_words_are_made_distinct_as_strings(spark):
     assert "array_distinct(concat" not in plan(catalog.queries()["search_index"](spark, SF))
 
 
+def test_relations_are_named_once(spark):
+    assert plan(catalog.queries()["pedagogy_relations"](spark, SF)).count("translate(") == 2
+
+
 def test_formula_graph_searches_texts_once(spark):
     assert "documents.parquet" not in plan(catalog.queries()["formula_graph"](spark, SF))
