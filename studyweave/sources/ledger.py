@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .staging import staged
+
 _ENTRY = "job string, piece int, low long, high long, state string, at timestamp, seq long, message string"
 #: Parts into which the range of keys is counted, and from which ranges are put together.
 CELLS = 4096
@@ -59,12 +61,14 @@ def key_ranges(rows: DataFrame, key: str, pieces: int) -> list[tuple[int, int]]:
 
     Keys are counted in ``CELLS`` equal parts of their range, so what reaches the driver is bounded.
     """
-    low, high = rows.agg(F.min(key), F.max(key)).first()
+    # rows may be costly to make, so they are made once, for their number by key
+    keys = staged(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")), "keys")
+    low, high = keys.agg(F.min(key), F.max(key)).first()
     if low is None:
         return []
     step = max(1, -(-(high - low + 1) // CELLS))
     cell = F.floor((F.col(key).cast("decimal(20,0)") - F.lit(low)) / F.lit(step)).cast("int")
-    counts = {r.c: r.n for r in rows.where(F.col(key).isNotNull()).groupBy(cell.alias("c")).agg(F.count("*").alias("n")).collect()}
+    counts = {r.c: r.n for r in keys.groupBy(cell.alias("c")).agg(F.sum("n").alias("n")).collect()}
     total, seen, out, start = sum(counts.values()), 0, [], low
     for c in sorted(counts):
         seen += counts[c]

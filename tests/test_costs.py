@@ -64,3 +64,17 @@ def test_relations_are_named_once(spark):
 
 def test_formula_graph_searches_texts_once(spark):
     assert "documents.parquet" not in plan(catalog.queries()["formula_graph"](spark, SF))
+
+
+def test_ranges_are_found_in_one_pass(spark):
+    """Rows of a job may be costly to make."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(100).select(F.col("id").alias("k")).mapInArrow(count, "k long")
+    assert ledger.key_ranges(rows, "k", 4) == [(0, 25), (25, 50), (50, 75), (75, 100)]
+    assert made.value == 100
