@@ -9,7 +9,7 @@ from ..operators.vector_index import VectorIndex
 from ..sources.staging import shared_path
 from .inputs import table
 from .registry import Registry
-from .retrieval_queries import _HITS, _chunks, _queries
+from .retrieval_queries import _HITS, _chunks, _queries, _texts
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -19,14 +19,14 @@ _BEST = f"with {_HITS}, t as (select query_id, chunk_id, round(b / (1 + b), 6) a
 @add(_BEST)
 def indexed_search(spark, sf_dir):
     """Top 10 by BM25 over an index of all chunks."""
-    index = TextIndex(spark, shared_path(spark, "text-index"), stemmed=False).build(_chunks(spark, sf_dir))
+    index = TextIndex(spark, shared_path(spark, "text-index"), stemmed=False).build(_texts(spark, sf_dir))
     return index.search(_queries(spark, sf_dir), 10).select("query_id", "chunk_id", "bm25", "rank")
 
 
 @add(_BEST)
 def updated_index_search(spark, sf_dir):
     """The same from an index of an older state, brought up to date with the chunks that differ."""
-    now = _chunks(spark, sf_dir)
+    now = _texts(spark, sf_dir)
     n = F.col("chunk_id")
     # the older state lacks some chunks, has others with another text, and some that are gone by now
     old = now.where(n % 5 != 0).withColumn("full_text", F.when(n % 7 == 0, F.concat(F.lit("old words "), "full_text")).otherwise(F.col("full_text")))
@@ -48,7 +48,7 @@ def _asks(spark, sf_dir):
 @add()
 def ranked_text(spark, sf_dir):
     """Top 10 chunks with all stems of an ask, by cover density; titles weigh more than bodies."""
-    chunks = _chunks(spark, sf_dir).withColumn("title", F.col("role"))
+    chunks = _texts(spark, sf_dir).withColumn("title", F.col("role"))
     index = TextIndex(spark, shared_path(spark, "text-index"), (("title", "A"), ("full_text", "B")), True).build(chunks)
     return index.ranked(_asks(spark, sf_dir), 10).select("query_id", "chunk_id", "score", "rank")
 

@@ -8,6 +8,7 @@ from compare import SF
 from pyspark.sql import functions as F
 
 from studyweave.operators import chunking
+from studyweave.operators.text_index import TextIndex
 from studyweave.plans import catalog
 from studyweave.plans.inputs import chunks
 from studyweave.sources import ledger
@@ -78,3 +79,21 @@ def test_ranges_are_found_in_one_pass(spark):
     rows = spark.range(100).select(F.col("id").alias("k")).mapInArrow(count, "k long")
     assert ledger.key_ranges(rows, "k", 4) == [(0, 25), (25, 50), (50, 75), (75, 100)]
     assert made.value == 100
+
+
+def test_index_makes_blocks_of_texts(spark, tmp_path):
+    """Postings are no rows of their own: what is sorted by term are blocks; and texts travel without their vectors."""
+    index = TextIndex(spark, str(tmp_path / "index"), stemmed=False)
+    rows = spark.createDataFrame([(k, "some words here and some more") for k in range(600)], "chunk_id long, full_text string")
+    p = plan(index._rows(rows))
+    assert p.count("MapInArrow") == 1 and "Exchange" in p.split("MapInArrow")[1] and "Exchange" not in p.split("MapInArrow")[0]
+    assert index.build(rows).blocks().count() == 3 * 6  # five words and the empty term in each of three cells
+
+
+def test_cells_are_scored_for_all_queries_at_once(spark, tmp_path):
+    """A block travels once however many queries ask for it, and a task hands on the best k of a query."""
+    index = TextIndex(spark, str(tmp_path / "index"), stemmed=False).build(spark.createDataFrame([(k, f"alpha beta w{k % 7}") for k in range(2000)], "chunk_id long, full_text string"))
+    cells = spark.range(8).crossJoin(spark.range(5).select(F.col("id").alias("query_id"))).select("query_id", F.col("id").alias("cell"))
+    assert index._met(["alpha"], cells, ["ids"]).where("term is not null").count() == 8
+    asks = spark.createDataFrame([(q, "alpha beta") for q in range(5)], "query_id long, text string")
+    assert [(r.query_id, r.chunk_id) for r in index.ranked(asks, 2).orderBy("query_id", "rank").collect()] == [(q, c) for q in range(5) for c in (0, 1)]
