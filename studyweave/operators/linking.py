@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..sources.staging import staged
 from .mentions import earlier_names
 
 def in_order():
@@ -214,9 +215,10 @@ def implicit_prerequisites(chunks: DataFrame, most: int = 10) -> DataFrame:
 
     All concepts of a resource are looked for in one pass over each text.
     """
-    each = chunks.select("doc_id", "idx", F.posexplode("key_concepts").alias("place", "name"))
-    first = each.groupBy("doc_id", "name").agg(F.min(F.struct("idx", "place")).alias("first")).select("doc_id", "name", "first.idx", "first.place")
     own = F.array_distinct(F.coalesce("prerequisites", F.array().cast("array<string>")))
-    rows = chunks.select("doc_id", "idx", own.alias("own"), "full_text")
+    # chunks may be costly to make and are read four times
+    rows = staged(chunks.select("doc_id", "idx", own.alias("own"), "key_concepts", "full_text"), "chunks")
+    each = rows.select("doc_id", "idx", F.posexplode("key_concepts").alias("place", "name"))
+    first = each.groupBy("doc_id", "name").agg(F.min(F.struct("idx", "place")).alias("first")).select("doc_id", "name", "first.idx", "first.place")
     joined = rows.select("doc_id", "idx", "own").join(earlier_names(rows, first, most), ["doc_id", "idx"], "left")
     return joined.select("doc_id", "idx", F.slice(F.concat("own", F.coalesce("named", F.array().cast("array<string>"))), 1, most).alias("prerequisites"))

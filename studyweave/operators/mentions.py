@@ -6,6 +6,8 @@ names, so that neither a task's texts nor the pairs of texts and names grow with
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,23 +30,36 @@ def automaton(names: list[str]):
 
 
 def _search(most: int | None):
-    def run(key: tuple, chunks: pa.Table, names: pa.Table) -> pa.Table:
-        listed = sorted((r for r in names.to_pylist() if r["low"] is not None), key=lambda r: (r["first"], r["place"], r["name"]))
+    """Named chunks from rows sorted by (resource, slot), a slot's names before its texts."""
+
+    def prepared(names: list[tuple]) -> tuple:
+        listed = sorted(names)
         # names that are equal in lower case share a pattern; the empty name stands in every text
         same: dict[str, list[int]] = {}
-        for n, r in enumerate(listed):
-            same.setdefault(r["low"], []).append(n)
+        for n, (_, _, _, low) in enumerate(listed):
+            same.setdefault(low, []).append(n)
         patterns = list(same)
-        machine = automaton(patterns)
-        everywhere = same.get("", [])
-        out = []
-        for idx, low, own in zip(*(chunks.column(c).to_pylist() for c in ("idx", "low", "own"))):
-            hits = {p for _, p in machine.iter(low)} if machine is not None and low else set()
-            places = sorted([n for p in hits for n in same[patterns[p]]] + (everywhere if low is not None else []))
-            taken = set(own or ())
-            kept = [listed[n]["name"] for n in places if listed[n]["first"] < idx and listed[n]["name"] not in taken]
-            out.append(kept if most is None else kept[:most])
-        return pa.table({"doc_id": pa.array([key[0].as_py()] * len(out), pa.int64()), "idx": pa.array(chunks.column("idx").to_pylist(), pa.int32()), "named": pa.array(out, pa.list_(pa.string()))})
+        return listed, same, patterns, automaton(patterns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, names, ready = None, [], None
+        for batch in batches:
+            out = []
+            for doc, slot, is_text, low, idx, own, name, first, place in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "slot", "is_text", "low", "idx", "own", "name", "first", "place"))):
+                if (doc, slot) != here:
+                    here, names, ready = (doc, slot), [], None
+                if not is_text:
+                    if low is not None:
+                        names.append((first, place, name, low))
+                    continue
+                listed, same, patterns, machine = ready = ready or prepared(names)
+                hits = {p for _, p in machine.iter(low)} if machine is not None and low else set()
+                places = sorted([n for p in hits for n in same[patterns[p]]] + (same.get("", []) if low is not None else []))
+                taken = set(own or ())
+                kept = [listed[n][2] for n in places if listed[n][0] < idx and listed[n][2] not in taken]
+                out.append((doc, idx, kept if most is None else kept[:most]))
+            docs, places, found = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "idx", "named"])
 
     return run
 
@@ -58,5 +73,8 @@ def earlier_names(chunks: DataFrame, names: DataFrame, most: int | None = None)
     """
     slots = chunks.groupBy("doc_id").agg(F.ceil(F.count("*") / SLOT_CHUNKS).cast("int").alias("slots"))
     texts = chunks.join(slots, "doc_id").select("doc_id", F.pmod(F.xxhash64("idx"), F.col("slots")).cast("int").alias("slot"), "idx", F.lower("full_text").alias("low"), "own")
-    copies = names.join(slots, "doc_id").select(F.col("doc_id").alias("of"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("copy"), "name", F.lower("name").alias("low"), F.col("idx").alias("first"), "place")
-    return texts.groupBy("doc_id", "slot").cogroup(copies.groupBy("of", "copy")).applyInArrow(_search(most), "doc_id long, idx int, named array<string>")
+    copies = names.join(slots, "doc_id").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "name", F.lower("name").alias("low"), F.col("idx").alias("first"), "place")
+    # one sorted stream a task, for most resources are small: a group of its own would cost each more than its search
+    both = texts.withColumn("is_text", F.lit(True)).unionByName(copies.withColumn("is_text", F.lit(False)), allowMissingColumns=True)
+    both = both.withColumns({"doc_id": F.col("doc_id").cast("long"), "idx": F.col("idx").cast("int")}).repartition("doc_id", "slot").sortWithinPartitions("doc_id", "slot", "is_text")
+    return both.mapInArrow(_search(most), "doc_id long, idx int, named array<string>")

@@ -4,10 +4,11 @@ import contextlib
 import io
 import re
 
+import pyarrow as pa
 from compare import SF
 from pyspark.sql import functions as F
 
-from studyweave.operators import chunking
+from studyweave.operators import chunking, retrieval
 from studyweave.operators.text_index import TextIndex
 from studyweave.plans import catalog
 from studyweave.plans.inputs import chunks
@@ -97,3 +98,9 @@ def test_cells_are_scored_for_all_queries_at_once(spark, tmp_path):
     assert index._met(["alpha"], cells, ["ids"]).where("term is not null").count() == 8
     asks = spark.createDataFrame([(q, "alpha beta") for q in range(5)], "query_id long, text string")
     assert [(r.query_id, r.chunk_id) for r in index.ranked(asks, 2).orderBy("query_id", "rank").collect()] == [(q, c) for q in range(5) for c in (0, 1)]
+
+
+def test_names_are_sought_in_one_stream(spark):
+    """No frame per resource, and texts are cut into chunks once."""
+    p = plan(catalog.queries()["implicit_prerequisites"](spark, SF))
+    assert "CoGroup" not in p and "documents.parquet" not in p
