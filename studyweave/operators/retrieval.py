@@ -27,6 +27,8 @@ from ..sources.staging import staged
 #: Bytes of queries (vectors and texts) in one block, and chunks in one matrix product.
 BLOCK_BYTES = 4_000_000
 SLICE = 256
+#: Numbers in one table of a slice: with many queries or long ones it takes fewer chunks.
+SLICE_NUMBERS = 1_000_000
 #: Stands for a missing page while the best chunks are gathered; no page has this number.
 NO_PAGE = -(2**62)
 _WORD = re.compile("[a-z0-9]+")
@@ -79,6 +81,7 @@ class _Block:
         # the place after the last term is always zero; every query has it, so that none is empty
         terms = [[*(self.place[t] for t in sorted(set(_WORD.findall((texts[q] or "").lower()))) if t in self.place), len(idf)] for q in order.tolist()]
         self.terms, self.starts = np.concatenate([np.zeros(0, int), *terms]).astype(int), np.cumsum([0, *map(len, terms)])[:-1]
+        self.rows = min(SLICE, max(8, SLICE_NUMBERS // max(1, len(self.terms))))
 
     def similarity(self, embeddings: pa.Array) -> np.ndarray:
         """Queries by chunks; vectors of another size, nulls and zeros have none."""
@@ -104,8 +107,8 @@ def _scored(block: _Block, k: int, sim_weight: float, text_weight: float, factor
         held: list[np.ndarray] = []  # score, chunk, sim, bm25, resource's number and page of the best so far, a row per query
         names: dict[str | None, int] = {}  # resources of the task
         for batch in batches:
-            for low in range(0, batch.num_rows, SLICE):
-                part = batch.slice(low, SLICE)
+            for low in range(0, batch.num_rows, block.rows):
+                part = batch.slice(low, block.rows)
                 page = part.column("page_number").to_numpy(zero_copy_only=False).astype(float)
                 near = np.maximum(1.0, 1 + np.maximum(0, 10 - np.nan_to_num(page, nan=10.0)) * 0.02) if proximity else 1.0
                 sim, text = np.round(block.similarity(part.column("embedding")), 6), block.relevance(part.column("full_text").to_pylist())

@@ -104,3 +104,11 @@ def test_names_are_sought_in_one_stream(spark):
     """No frame per resource, and texts are cut into chunks once."""
     p = plan(catalog.queries()["implicit_prerequisites"](spark, SF))
     assert "CoGroup" not in p and "documents.parquet" not in p
+
+
+def test_slices_follow_the_queries(spark):
+    """A slice's table of chunks by asked terms has a bounded size, however many terms are asked for."""
+    asks = [(q, " ".join(f"w{k}" for k in range(100)), [1.0]) for q in range(1000)]
+    table = pa.table({"query_id": [a[0] for a in asks], "text": [a[1] for a in asks], "embedding": pa.array([a[2] for a in asks])})
+    block = retrieval._Block(table, {f"w{k}": 1.0 for k in range(100)}, 10.0)
+    assert block.rows * len(block.terms) <= retrieval.SLICE_NUMBERS
